@@ -167,3 +167,8 @@ def first_name(full_name: Column) -> Column:
     """Text before the first blank, or the word used where there is no name."""
     name = F.substring_index(full_name, " ", 1)
     return F.when(F.length(name) > 0, name).otherwise("developer")
+
+
+def coerce(value: Column, domain: Sequence[str], other: str = "unknown") -> Column:
+    """The value if it belongs to the domain."""
+    return F.when(value.isin(*domain), value).otherwise(other)

@@ -250,6 +250,112 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                {round_exact('mi', 1)} AS maintainability,
                {round_exact('cc', 2)} AS avg_complexity, duplication_pct
         FROM review_sums r JOIN dup d ON r.review_id = d.review_id"""),
+    # The platform tables.
+    "v_users": ((), """
+        SELECT c_custkey AS user_id, c_name AS username,
+               lower(c_mktsegment) || '.' || floor(c_acctbal)::BIGINT || '@example.com' AS email,
+               upper(c_mktsegment[1:1]) || lower(c_mktsegment[2:]) || ' ' || c_name AS full_name,
+               c_acctbal >= 0 AS is_active
+        FROM customer"""),
+    "v_reviews": ((), """
+        SELECT o_orderkey AS review_id, o_custkey AS author_id,
+               CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey * 10 + o_orderkey % 3 END
+                   AS repository_id,
+               'Review ' || o_orderkey || ' with priority ' || o_orderpriority AS title,
+               CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'analyzing'
+                    ELSE 'failed' END AS status,
+               (floor(o_totalprice)::BIGINT % 201) / 2.0::DOUBLE AS quality_score,
+               floor(o_totalprice)::BIGINT % 1000 AS total_lines, o_orderdate AS created_at
+        FROM orders"""),
+    "done": (("v_reviews",), "SELECT * FROM v_reviews WHERE status = 'complete'"),
+    "v_issues": (("rules",), f"""
+        SELECT md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS issue_id,
+               l_orderkey AS review_id, l_linenumber::BIGINT AS file_no, rule_id, category,
+               severity, title, is_fixable,
+               nullif(l_quantity::INTEGER, 50) AS line_start, l_returnflag = 'R' AS is_acknowledged
+        FROM lineitem JOIN rules ON idx = l_partkey % {len(PATTERN_RULES)}"""),
+    "v_authored": (("v_issues", "v_reviews"), """
+        SELECT i.*, author_id, status FROM v_issues i JOIN v_reviews r ON i.review_id = r.review_id"""),
+    "v_repositories": (("v_reviews",), """
+        SELECT repository_id, min(author_id) AS owner_id, max(created_at) AS updated_at,
+               'repo-' || repository_id AS name
+        FROM v_reviews WHERE repository_id IS NOT NULL GROUP BY repository_id"""),
+    "acks": ((), """
+        SELECT l_orderkey AS review_id, l_linenumber::BIGINT AS issue_no,
+               count(*) % 2 = 1 AS is_acknowledged
+        FROM lineitem GROUP BY ALL"""),
+    "fixed": (("acks", "v_reviews"), """
+        SELECT author_id, count(*) AS issues_fixed FROM acks JOIN v_reviews USING (review_id)
+        WHERE is_acknowledged GROUP BY author_id"""),
+    "review_days": (("done",), """
+        SELECT DISTINCT author_id AS user_id, created_at::DATE AS day FROM done"""),
+    "active_days": ((), "SELECT DISTINCT user_id, ts::DATE AS day FROM events"),
+    "review_runs": (("review_days",), """
+        SELECT user_id, count(*) AS n_days FROM (
+            SELECT user_id, day - (row_number() OVER (PARTITION BY user_id ORDER BY day))::INTEGER
+                   AS run FROM review_days) GROUP BY user_id, run"""),
+    "review_streaks": (("review_runs",), """
+        SELECT user_id, max(n_days) AS streak_days FROM review_runs GROUP BY user_id"""),
+    "active_runs": (("active_days",), """
+        SELECT user_id, count(*) AS n_days, min(day) AS first_day, max(day) AS last_day FROM (
+            SELECT user_id, day, day - (row_number() OVER (PARTITION BY user_id ORDER BY day))::INTEGER
+                   AS run FROM active_days) GROUP BY user_id, run"""),
+    "author_metrics": (("done", "v_authored", "fixed", "review_streaks"), """
+        SELECT d.author_id, reviews, best AS quality_score, first_at, last_at,
+               coalesce(critical_found, 0) AS critical_found,
+               coalesce(issues_fixed, 0) AS issues_fixed, coalesce(streak_days, 0) AS streak_days
+        FROM (SELECT author_id, count(*) AS reviews, max(quality_score) AS best,
+                     min(created_at) AS first_at, max(created_at) AS last_at
+              FROM done GROUP BY author_id) d
+        LEFT JOIN (SELECT author_id, count(*) AS critical_found FROM v_authored
+                   WHERE severity = 'critical' GROUP BY author_id) c ON d.author_id = c.author_id
+        LEFT JOIN fixed f ON d.author_id = f.author_id
+        LEFT JOIN review_streaks s ON d.author_id = s.user_id"""),
+    "held": (("author_metrics", "badges"), """
+        SELECT author_id AS user_id, badge_id, slug, name, description,
+               CASE WHEN slug = 'first-review' THEN first_at ELSE last_at END AS earned_at
+        FROM author_metrics JOIN badges ON
+             CASE metric WHEN 'reviews' THEN reviews WHEN 'critical_found' THEN critical_found
+                  WHEN 'quality_score' THEN quality_score WHEN 'issues_fixed' THEN issues_fixed
+                  ELSE streak_days END >= threshold"""),
+    "totals": (("done", "v_issues"), """
+        SELECT author_id, count(*) AS total_reviews,
+               sum(coalesce(n, 0))::BIGINT AS total_issues_found
+        FROM done d LEFT JOIN (SELECT review_id, count(*) AS n FROM v_issues GROUP BY review_id) i
+             ON d.review_id = i.review_id
+        GROUP BY author_id"""),
+    "scores": (("done",), f"""
+        SELECT author_id, list_reduce(
+                   list(struct_pack(n := 1::BIGINT, q := quality_score)
+                        ORDER BY created_at, review_id),
+                   lambda a, x: struct_pack(n := a.n + 1, q := list_transform(
+                       [(a.q * a.n + x.q) / (a.n + 1)], lambda v: {round_exact('v', 1)})[1])).q
+               AS quality_score
+        FROM done GROUP BY author_id"""),
+    "trend": (("done",), """
+        SELECT author_id, row_number() OVER (PARTITION BY author_id ORDER BY place DESC)
+               AS review_num, review_id, title[1:30] AS title, quality_score AS score,
+               strftime(created_at, '%b %d') AS date
+        FROM (SELECT *, row_number() OVER (PARTITION BY author_id
+                            ORDER BY created_at DESC, review_id DESC) AS place FROM done)
+        WHERE place <= 10"""),
+    "top": (("v_authored",), """
+        SELECT author_id, rule_id, min(title) AS title, min(severity) AS severity, count(*) AS n
+        FROM v_authored GROUP BY author_id, rule_id
+        QUALIFY row_number() OVER (PARTITION BY author_id ORDER BY count(*) DESC, rule_id) <= 5"""),
+    "means": (("v_users", "done", "v_authored"), """
+        SELECT user_id AS author_id, coalesce(q, 0.0::DOUBLE) AS mean,
+               coalesce(lines, 0) AS total_lines_reviewed, coalesce(fixable, 0) AS fixable_issues,
+               coalesce(reviews, 0) AS total_reviews
+        FROM v_users
+        LEFT JOIN (SELECT author_id, avg(coalesce(quality_score, 0)) AS q, count(*) AS reviews,
+                          sum(total_lines)::BIGINT AS lines FROM done GROUP BY author_id) d
+             ON d.author_id = user_id
+        LEFT JOIN (SELECT author_id, count(*) FILTER (is_fixable) AS fixable FROM v_authored
+                   GROUP BY author_id) i ON i.author_id = user_id"""),
+    "author_stats": (("means",), f"""
+        SELECT author_id, {round_exact('mean', 1)} AS avg_quality, total_lines_reviewed,
+               fixable_issues, total_reviews FROM means"""),
 }
 
 

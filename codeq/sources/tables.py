@@ -9,8 +9,13 @@ from codeq.rules.catalogue import PATTERN_RULES
 from codeq.sources.snippets import SNIPPETS
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, stream: bool = False) -> DataFrame:
+    """A given table, whole or as a stream of its files."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    if not stream:
+        return df
+    # A glob, because a file stream takes no path of a single file.
+    return spark.readStream.schema(df.schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -30,14 +35,14 @@ def _pick(values: list, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index)
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
+def files(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     """Source files: the prose of a document, as comments in Python files, then a snippet."""
     k = (F.col("doc_id") % len(SNIPPETS)).cast("int")
     ext = _pick([e for e, _ in SNIPPETS], k)
     commented = F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")))
     prose = F.when(ext == "py", commented).otherwise(F.col("text"))
-    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
-    return spread(documents, "doc_id").select(
+    documents = table(spark, folder, "documents", stream).select("doc_id", "source", "text")
+    return (documents if stream else spread(documents, "doc_id")).select(
         F.col("doc_id").alias("file_id"),
         F.col("source").alias("review_id"),
         F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("filename"),
@@ -56,9 +61,9 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def reviews(spark: SparkSession, folder: str) -> DataFrame:
+def reviews(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     price = F.floor("o_totalprice")
-    return table(spark, folder, "orders").select(
+    return table(spark, folder, "orders", stream).select(
         F.col("o_orderkey").alias("review_id"),
         F.col("o_custkey").alias("author_id"),
         F.when(F.col("o_orderpriority") != "5-LOW",
@@ -118,5 +123,6 @@ def status_events(spark: SparkSession, folder: str) -> DataFrame:
     ).select("review_id", "e.*")
 
 
-def activity(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type", "value")
+def activity(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    return table(spark, folder, "events", stream).select(
+        "event_id", "user_id", "ts", "event_type", "value")
