@@ -1,19 +1,30 @@
-"""Suggested names."""
+"""Suggested names, as columns and as SQL text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codeq.functions.sqltext import literal
 
-def to_snake(name: Column) -> Column:
-    parted = F.regexp_replace(name, "(?d)(.)([A-Z][a-z]+)", "$1_$2")
-    return F.lower(F.regexp_replace(parted, "([a-z0-9])([A-Z])", "$1_$2"))
 
+def snake_sql(name: str) -> str:
+    before_word = literal("(?d)(.)([A-Z][a-z]+)")
+    before_capital = literal("([a-z0-9])([A-Z])")
+    return (f"lower(regexp_replace(regexp_replace({name}, {before_word}, '$1_$2'),"
+            f" {before_capital}, '$1_$2'))")
 
-def to_pascal(name: Column) -> Column:
+
+def pascal_sql(name: str) -> str:
     """Each run of letters capitalised, underscores dropped."""
-    runs = F.regexp_extract_all(name, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    titled = F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)),
-                                                  F.lower(F.substr(r, F.lit(2)))))
-    return F.replace(F.array_join(titled, ""), F.lit("_"), F.lit(""))
+    runs = f"regexp_extract_all({name}, {literal(r'\p{L}+|[^\p{L}]+')}, 0)"
+    titled = f"transform({runs}, r -> concat(upper(left(r, 1)), lower(substr(r, 2))))"
+    return f"replace(array_join({titled}, ''), '_', '')"
+
+
+def to_snake(column: str) -> Column:
+    return F.expr(snake_sql(column))
+
+
+def to_pascal(column: str) -> Column:
+    return F.expr(pascal_sql(column))

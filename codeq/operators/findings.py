@@ -5,31 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeq.functions.sqltext import literal, struct
 from codeq.functions.text import split_lines
-from codeq.operators.scan import line_snippet, pattern_matches, scan_input
-from codeq.operators.syntax import FINDING_FIELDS, FINDING_TYPE, syntax_findings, with_facts
+from codeq.operators.scan import pattern_matches, scan_input, with_snippets
+from codeq.operators.syntax import FINDING_FIELDS, syntax_findings, with_facts
 from codeq.rules.catalogue import PATTERN_RULES
 
 
-def _pattern_findings(matches: Column, lines: Column) -> Column:
-    """Matches as full findings; the catalogue is a constant map, so attaching it needs no join."""
-    details = F.create_map(*[x for r in PATTERN_RULES for x in (
-        F.lit(r.rule_id),
-        F.struct(F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"),
-                 F.lit(r.title).alias("title"), F.lit(r.message).alias("message"),
-                 F.lit(r.fixable).alias("is_fixable"),
-                 F.lit(r.fix).cast("string").alias("fix_description")))])
-
-    def finding(m: Column) -> Column:
-        rule = details[m.rule_id]
-        own = {
-            "rule_id": m.rule_id, "line_start": m.line_start, "line_end": F.lit(None),
-            "code_snippet": line_snippet(lines, m.line_start),
-        }
-        return F.struct(*[(own[k] if k in own else rule[k]).cast(kind).alias(k)
-                          for k, kind in FINDING_FIELDS.items()]).cast(FINDING_TYPE)
-
-    return F.transform(matches, finding)
+def _pattern_findings() -> Column:
+    """``matches`` as full findings; the catalogue is a constant map, so attaching needs no join."""
+    details = ", ".join(
+        f"{literal(r.rule_id)}, " + struct(
+            category=literal(r.category), severity=literal(r.severity), title=literal(r.title),
+            message=literal(r.message), is_fixable=literal(r.fixable),
+            fix_description=literal(r.fix))
+        for r in PATTERN_RULES)
+    own = {"rule_id": "m.rule_id", "line_start": "m.line_start", "line_end": "null",
+           "code_snippet": "m.code_snippet"}
+    rule = f"element_at(map({details}), m.rule_id)"
+    finding = struct(**{name: f"cast({own.get(name, f'{rule}.{name}')} as {kind})"
+                        for name, kind in FINDING_FIELDS.items()})
+    return F.expr(f"transform(snippets, m -> {finding})")
 
 
 def with_findings(files: DataFrame) -> DataFrame:
@@ -39,11 +35,9 @@ def with_findings(files: DataFrame) -> DataFrame:
     """
     scanned = scan_input(with_facts(files)).withColumn(
         "matches", pattern_matches()).withColumn("lines", split_lines(F.col("content")))
-    return scanned.withColumn(
-        "by_pattern", _pattern_findings(F.col("matches"), F.col("lines"))
-    ).withColumn(
-        "by_syntax", syntax_findings(F.col("facts"), F.col("lines"))
-    ).drop("clean", "folded", "matches", "lines")
+    return scanned.withColumn("snippets", with_snippets("matches", "lines")).withColumns(
+        {"by_pattern": _pattern_findings(), "by_syntax": syntax_findings()}
+    ).drop("clean", "folded", "matches", "snippets", "lines")
 
 
 def all_findings(files: DataFrame) -> DataFrame:

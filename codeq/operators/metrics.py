@@ -22,7 +22,7 @@ from codeq.operators.syntax import (
     MAX_LINE,
     cognitive,
     cyclomatic,
-    parse_failed,
+    parsed,
     structure_findings,
     with_facts,
 )
@@ -53,14 +53,14 @@ def _count_severity(findings: Column, severity: str) -> Column:
 
 def _syntax_counts() -> dict[str, Column]:
     """Syntax findings per severity, from ``structure``, ``facts``, ``cyclomatic``, ``cognitive``."""
-    parsed = F.col("facts").isNotNull() & ~parse_failed(F.col("facts"))
+    is_parsed = parsed()
     cc, cog = F.col("cyclomatic"), F.col("cognitive")
-    flag = lambda condition: F.when(parsed & condition, 1).otherwise(0).cast("long")
+    flag = lambda condition: F.when(is_parsed & condition, 1).otherwise(0).cast("long")
     counts = {s: _count_severity(F.col("structure"), s) for s in SEVERITIES}
     counts["critical"] += flag(cc > 20)
     counts["error"] += flag((cc > 10) & (cc <= 20))
     counts["warning"] += flag((cc > 7) & (cc <= 10)) + flag(cog > 15)
-    counts["info"] += F.when(parsed, long_line_count(F.col("lines"), MAX_LINE)).otherwise(0)
+    counts["info"] += F.when(is_parsed, long_line_count(F.col("lines"), MAX_LINE)).otherwise(0)
     return {s: F.when(F.col("facts").isNull(), 0).otherwise(c).cast("long")
             for s, c in counts.items()}
 
@@ -78,10 +78,10 @@ def file_metrics(files: DataFrame) -> DataFrame:
         .withColumn("lines", split_lines(content))
         .withColumn("operators", m.operators(content))
         .withColumn("operands", m.operands(content))
-        .withColumn("structure", structure_findings(facts))
-        .withColumn("cyclomatic", F.when(is_python, cyclomatic(facts).cast("double"))
+        .withColumn("structure", structure_findings())
+        .withColumn("cyclomatic", F.when(is_python, cyclomatic().cast("double"))
                     .otherwise(m.branch_complexity(content)))
-        .withColumn("cognitive", F.when(is_python, cognitive(facts)).otherwise(0).cast("double"))
+        .withColumn("cognitive", F.when(is_python, cognitive()).otherwise(0).cast("double"))
     )
     matched, from_syntax = severity_match_counts(), _syntax_counts()
     counted = measured.select(

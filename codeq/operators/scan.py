@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeq.functions.text import count_matches, fold_case, java_pattern, split_lines, strip
+from codeq.functions.sqltext import literal, struct
+from codeq.functions.text import fold_case, java_pattern, split_lines, strip
 from codeq.rules.catalogue import (
     CATEGORY_BY_PREFIX,
     PATTERN_RULES,
@@ -31,24 +32,27 @@ def _clean(text: Column) -> Column:
     return F.replace(text, F.lit(MARK), F.lit(STAND_IN))
 
 
-def _may_match(rule: PatternRule, folded: Column) -> Column:
-    hit = F.lit(not rule.needles)
-    for needle in rule.needles:
-        hit = hit | F.contains(folded, F.lit(needle))
-    return hit
+def _may_match(rule: PatternRule) -> str:
+    return " or ".join(f"contains(folded, {literal(n)})" for n in rule.needles) or "true"
 
 
-def _matches(rule: PatternRule, text: Column, folded: Column) -> Column:
+def _matches(rule: PatternRule) -> str:
     """array<struct<rule_id, line_start>> of one rule in one text."""
-    marked = F.regexp_replace(text, java_pattern(rule.pattern), MARK + "$0")
-    lines = F.transform(F.split(marked, "\n"),
-                        lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")))
-    hits = F.filter(lines, lambda x: F.contains(x.line, F.lit(MARK)))
-    repeated = F.transform(hits, lambda x: F.array_repeat(
-        F.struct(F.lit(rule.rule_id).alias("rule_id"), x.line_no.alias("line_start")),
-        F.length(x.line) - F.length(F.replace(x.line, F.lit(MARK), F.lit("")))))
-    nothing = F.array().cast("array<struct<rule_id:string,line_start:int>>")
-    return F.when(_may_match(rule, folded), F.flatten(repeated)).otherwise(nothing)
+    mark = literal(MARK)
+    marked = f"regexp_replace(clean, {literal(java_pattern(rule.pattern))}, {literal(MARK + '$0')})"
+    lines = (f"transform(split({marked}, '\n'),"
+             " (line, i) -> struct(i + 1 as line_no, line as line))")
+    hits = f"filter({lines}, x -> contains(x.line, {mark}))"
+    match = struct(rule_id=literal(rule.rule_id), line_start="x.line_no")
+    repeats = f"length(x.line) - length(replace(x.line, {mark}, ''))"
+    return (f"if({_may_match(rule)},"
+            f" flatten(transform({hits}, x -> array_repeat({match}, {repeats}))),"
+            " cast(array() as array<struct<rule_id:string,line_start:int>>))")
+
+
+def _count(rule: PatternRule) -> str:
+    counted = f"regexp_count(clean, {literal(java_pattern(rule.pattern))})"
+    return f"if({_may_match(rule)}, cast({counted} as bigint), 0L)"
 
 
 def scan_input(files: DataFrame) -> DataFrame:
@@ -59,35 +63,29 @@ def scan_input(files: DataFrame) -> DataFrame:
 
 def pattern_matches(rules: Sequence[PatternRule] = PATTERN_RULES) -> Column:
     """All matches of all rules in a row of ``scan_input``."""
-    return F.concat(*[_matches(r, F.col("clean"), F.col("folded")) for r in rules])
+    return F.expr(f"concat({', '.join(_matches(r) for r in rules)})")
 
 
 def rule_match_counts(rules: Sequence[PatternRule] = PATTERN_RULES) -> dict[str, Column]:
     """Matches per rule in a row of ``scan_input``, without their lines."""
-    return {
-        r.rule_id: F.coalesce(
-            F.when(_may_match(r, F.col("folded")),
-                   count_matches(F.col("clean"), java_pattern(r.pattern))),
-            F.lit(0).cast("long"))
-        for r in rules
-    }
+    return {r.rule_id: F.expr(_count(r)) for r in rules}
 
 
 def severity_match_counts(rules: Sequence[PatternRule] = PATTERN_RULES) -> dict[str, Column]:
-    counts = rule_match_counts(rules)
-    out = {}
-    for severity in SEVERITIES:
-        out[severity] = F.lit(0).cast("long")
-        for rule in rules:
-            if rule.severity == severity:
-                out[severity] = out[severity] + counts[rule.rule_id]
-    return out
+    """Matches per severity in a row of ``scan_input``."""
+    return {s: F.expr(" + ".join(["0L", *[_count(r) for r in rules if r.severity == s]]))
+            for s in SEVERITIES}
 
 
-def line_snippet(lines: Column, line_no: Column) -> Column:
-    """The stripped line, cut to 200 characters; empty where the number is past the end."""
-    line = F.when(line_no <= F.size(lines), F.get(lines, line_no - 1)).otherwise("")
-    return F.substring(strip(line), 1, SNIPPET_CHARS)
+def with_snippets(matches: str, lines: str) -> Column:
+    """Matches with their line, stripped and cut to 200 characters; empty past the last line."""
+    def snippet(line_no: Column) -> Column:
+        line = F.when(line_no <= F.size(lines), F.get(lines, line_no - 1)).otherwise("")
+        return F.substring(strip(line), 1, SNIPPET_CHARS)
+
+    return F.transform(matches, lambda m: F.struct(
+        m.rule_id.alias("rule_id"), m.line_start.alias("line_start"),
+        snippet(m.line_start).alias("code_snippet")))
 
 
 def scan_rules(files: DataFrame, rules: Sequence[PatternRule] = PATTERN_RULES,
@@ -103,10 +101,8 @@ def scan_rules(files: DataFrame, rules: Sequence[PatternRule] = PATTERN_RULES,
     found = scanned.select(
         "review_id", "file_id",
         split_lines(F.col("content")).alias("lines"), pattern_matches(rules).alias("matches"))
-    cut = F.transform("matches", lambda m: F.struct(
-        m.rule_id.alias("rule_id"), m.line_start.alias("line_start"),
-        line_snippet(F.col("lines"), m.line_start).alias("code_snippet")))
-    return (found.select("review_id", "file_id", F.explode(cut).alias("m"))
+    return (found.select("review_id", "file_id",
+                         F.explode(with_snippets("matches", "lines")).alias("m"))
             .select("review_id", "file_id", "m.rule_id", "m.line_start", "m.code_snippet"))
 
 

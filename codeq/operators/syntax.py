@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import sys
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -19,8 +20,8 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
 from codeq.functions.metrics import language
-from codeq.functions.naming import to_pascal, to_snake
-from codeq.functions.presentation import fill
+from codeq.functions.naming import pascal_sql, snake_sql
+from codeq.functions.sqltext import fill, literal, struct
 from codeq.functions.text import split_lines
 
 FACT_TYPE = T.ArrayType(T.StructType([
@@ -176,130 +177,152 @@ def facts_table(files: DataFrame) -> DataFrame:
         "file_id", F.posexplode("facts").alias("node_id", "f")).select("file_id", "node_id", "f.*")
 
 
-def _of_kind(facts: Column, *kinds: str) -> Column:
-    return F.filter(facts, lambda f: f.kind.isin(*kinds))
+def _sql_in(kinds: tuple[str, ...]) -> str:
+    return ", ".join(literal(k) for k in kinds)
 
 
-def parse_failed(facts: Column) -> Column:
-    return F.exists(facts, lambda f: f.kind.isin("syntax_error", "analysis_error"))
+FAILED_SQL = "exists(facts, f -> f.kind in ('syntax_error', 'analysis_error'))"
+PARSED_SQL = f"(facts is not null and not {FAILED_SQL})"
+CYCLOMATIC_SQL = (
+    f"if({FAILED_SQL}, 0L, aggregate(facts, 1L, (total, f) -> total"
+    f" + if(f.kind in ({_sql_in(BRANCH_KINDS)}), 1, 0)"
+    " + if(f.kind = 'boolop', f.n_bool_values - 1, 0)))"
+)
+COGNITIVE_SQL = (
+    "aggregate(facts, 0L, (total, f) -> total"
+    f" + if(f.kind in ({_sql_in(NESTING_KINDS)}), 1 + f.depth, if(f.kind = 'except', 1, 0)))"
+)
 
 
-def cyclomatic(facts: Column) -> Column:
+def parsed() -> Column:
+    """Whether the file is Python and parses."""
+    return F.expr(PARSED_SQL)
+
+
+def cyclomatic() -> Column:
     """1 + branches + operands of and/or beyond the first; 0 if the file does not parse."""
-    extra = F.aggregate(_of_kind(facts, "boolop"), F.lit(0),
-                        lambda total, f: total + f.n_bool_values - 1)
-    return F.when(parse_failed(facts), F.lit(0)).otherwise(
-        1 + F.size(_of_kind(facts, *BRANCH_KINDS)) + extra).cast("long")
+    return F.expr(CYCLOMATIC_SQL)
 
 
-def cognitive(facts: Column) -> Column:
+def cognitive() -> Column:
     """Each if, for and while costs 1 + the branches around it; each except costs 1."""
-    return F.aggregate(
-        _of_kind(facts, *BRANCH_KINDS), F.lit(0).cast("long"),
-        lambda total, f: total + 1 + F.when(f.kind == "except", 0).otherwise(f.depth))
+    return F.expr(COGNITIVE_SQL)
 
 
-def _finding(rule_id: str, category: str, severity: str, text: str, line_start: Column = None,
-             line_end: Column = None, code_snippet: Column = None, **values: Column) -> Column:
+def _finding(rule_id: str, category: str, severity: str, text: str, line_start: str = "null",
+             line_end: str = "null", code_snippet: str = "null", **values: str) -> str:
     title, message, fix = TEXTS[text]
-    columns = {
-        "rule_id": F.lit(rule_id), "category": F.lit(category), "severity": F.lit(severity),
-        "title": F.lit(title), "message": fill(message, **values), "line_start": line_start,
-        "line_end": line_end, "code_snippet": code_snippet, "is_fixable": F.lit(fix is not None),
-        "fix_description": None if fix is None else fill(fix, **values),
+    texts = {
+        "rule_id": literal(rule_id), "category": literal(category), "severity": literal(severity),
+        "title": literal(title), "message": fill(message, **values), "line_start": line_start,
+        "line_end": line_end, "code_snippet": code_snippet, "is_fixable": literal(fix is not None),
+        "fix_description": "null" if fix is None else fill(fix, **values),
     }
-    return F.struct(*[
-        (F.lit(None) if columns[name] is None else columns[name]).cast(kind).alias(name)
-        for name, kind in FINDING_FIELDS.items()])
-
-
-def _each(facts: Column, kind: str, where, make) -> Column:
-    return F.transform(F.filter(facts, lambda f: (f.kind == kind) & where(f)), make)
-
-
-def _function_rules(facts: Column) -> list[Column]:
-    private = lambda f: F.startswith(f["name"], F.lit("_"))
-    length = lambda f: f.end_lineno - f.lineno
-    return [
-        _each(facts, "function", lambda f: ~f["name"].rlike(SNAKE_NAME) & ~private(f),
-              lambda f: _finding("AST001", "style", "warning", "function_name", f.lineno,
-                                 code_snippet=fill("def {name}(...)", name=f["name"]),
-                                 name=f["name"], better=to_snake(f["name"]))),
-        _each(facts, "function", lambda f: ~f.has_docstring & ~private(f),
-              lambda f: _finding("AST002", "documentation", "info", "function_docstring",
-                                 f.lineno, name=f["name"])),
-        F.flatten(_each(facts, "function", lambda f: f.n_mutable_defaults > 0,
-                        lambda f: F.array_repeat(
-                            _finding("AST003", "bug", "error", "mutable_default", f.lineno,
-                                     name=f["name"]), f.n_mutable_defaults))),
-        _each(facts, "function", lambda f: length(f) > 50,
-              lambda f: _finding("AST004", "maintainability", "warning", "function_long",
-                                 f.lineno, f.end_lineno, name=f["name"], n=length(f))),
-        _each(facts, "function", lambda f: (length(f) > 30) & (length(f) <= 50),
-              lambda f: _finding("AST004", "maintainability", "info", "function_longish",
-                                 f.lineno, name=f["name"], n=length(f))),
-        _each(facts, "function", lambda f: f.n_args > 7,
-              lambda f: _finding("AST005", "maintainability", "warning", "many_arguments",
-                                 f.lineno, name=f["name"], n=f.n_args)),
-    ]
-
-
-def _class_rules(facts: Column) -> list[Column]:
-    return [
-        _each(facts, "class", lambda f: ~f["name"].rlike(PASCAL_NAME),
-              lambda f: _finding("AST006", "style", "warning", "class_name", f.lineno,
-                                 name=f["name"], better=to_pascal(f["name"]))),
-        _each(facts, "class", lambda f: ~f.has_docstring,
-              lambda f: _finding("AST007", "documentation", "info", "class_docstring",
-                                 f.lineno, name=f["name"])),
-    ]
-
-
-def complexity_findings(facts: Column) -> Column:
-    """COMP001 and COMP002 of a file that parses."""
-    cc, cog = cyclomatic(facts), cognitive(facts)
-    make = lambda rule, severity, text, n: F.array(_finding(rule, "complexity", severity, text, n=n))
-    none = F.array().cast(f"array<{FINDING_TYPE}>")
-    return F.concat(
-        F.when(cc > 20, make("COMP001", "critical", "cyclomatic_critical", cc))
-        .when(cc > 10, make("COMP001", "error", "cyclomatic_error", cc))
-        .when(cc > 7, make("COMP001", "warning", "cyclomatic_warning", cc)).otherwise(none),
-        F.when(cog > 15, make("COMP002", "warning", "cognitive", cog)).otherwise(none))
+    return struct(**{name: f"cast({texts[name]} as {kind})"
+                     for name, kind in FINDING_FIELDS.items()})
+
+
+@dataclass(frozen=True)
+class StructureRule:
+    """One finding per fact of a kind for which ``where`` holds, or ``times`` findings."""
+
+    rule_id: str
+    category: str
+    severity: str
+    kind: str
+    where: str
+    text: str
+    line_end: str = "null"
+    code_snippet: str = "null"
+    n: str = "f.lineno"
+    times: str | None = None
+
+    def sql(self) -> str:
+        better = pascal_sql("f.name") if self.kind == "class" else snake_sql("f.name")
+        finding = _finding(self.rule_id, self.category, self.severity, self.text, "f.lineno",
+                           self.line_end, self.code_snippet, name="f.name", better=better, n=self.n)
+        facts = f"filter(facts, f -> f.kind = {literal(self.kind)} and {self.where})"
+        if self.times is None:
+            return f"transform({facts}, f -> {finding})"
+        return f"flatten(transform({facts}, f -> array_repeat({finding}, {self.times})))"
+
+
+_PUBLIC = "not startswith(f.name, '_')"
+_LENGTH = "(f.end_lineno - f.lineno)"
+STRUCTURE_RULES = (
+    StructureRule("SYNTAX001", "bug", "critical", "syntax_error", "true", "syntax_error"),
+    StructureRule("AST001", "style", "warning", "function",
+                  f"not f.name rlike {literal(SNAKE_NAME)} and {_PUBLIC}", "function_name",
+                  code_snippet=fill("def {name}(...)", name="f.name")),
+    StructureRule("AST002", "documentation", "info", "function",
+                  f"not f.has_docstring and {_PUBLIC}", "function_docstring"),
+    StructureRule("AST003", "bug", "error", "function", "f.n_mutable_defaults > 0",
+                  "mutable_default", times="f.n_mutable_defaults"),
+    StructureRule("AST004", "maintainability", "warning", "function", f"{_LENGTH} > 50",
+                  "function_long", line_end="f.end_lineno", n=_LENGTH),
+    StructureRule("AST004", "maintainability", "info", "function", f"{_LENGTH} between 31 and 50",
+                  "function_longish", n=_LENGTH),
+    StructureRule("AST005", "maintainability", "warning", "function", "f.n_args > 7",
+                  "many_arguments", n="f.n_args"),
+    StructureRule("AST006", "style", "warning", "class",
+                  f"not f.name rlike {literal(PASCAL_NAME)}", "class_name"),
+    StructureRule("AST007", "documentation", "info", "class", "not f.has_docstring",
+                  "class_docstring"),
+)
+_NONE = f"cast(array() as array<{FINDING_TYPE}>)"
+_STRUCTURE_SQL = f"concat({', '.join(rule.sql() for rule in STRUCTURE_RULES)})"
+
+
+def _complexity_sql() -> str:
+    def one(rule_id: str, severity: str, text: str, n: str) -> str:
+        return f"array({_finding(rule_id, 'complexity', severity, text, n=n)})"
+
+    cc, cog = CYCLOMATIC_SQL, COGNITIVE_SQL
+    return (
+        f"concat(case when {cc} > 20 then {one('COMP001', 'critical', 'cyclomatic_critical', cc)}"
+        f" when {cc} > 10 then {one('COMP001', 'error', 'cyclomatic_error', cc)}"
+        f" when {cc} > 7 then {one('COMP001', 'warning', 'cyclomatic_warning', cc)}"
+        f" else {_NONE} end,"
+        f" if({cog} > 15, {one('COMP002', 'warning', 'cognitive', cog)}, {_NONE}))"
+    )
+
+
+_LONG_LINES_SQL = (
+    "transform(filter(transform(lines, (line, i) -> struct(i + 1 as no, line as line)),"
+    f" x -> length(x.line) > {MAX_LINE}), x -> " + _finding(
+        "AST010", "style", "info", "long_line", "x.no", line="x.no", n="length(x.line)",
+        code_snippet=f"concat(left(x.line, {LONG_LINE_SNIPPET}), '...')") + ")"
+)
+
+
+# The functions below read the columns ``facts`` and ``lines``.
+
+def structure_findings() -> Column:
+    """Findings about functions and classes, and the one of a file that does not parse."""
+    return F.expr(_STRUCTURE_SQL)
 
 
-def long_line_findings(lines: Column) -> Column:
-    """AST010: lines of more than 120 characters."""
-    numbered = F.transform(lines, lambda line, i: F.struct(
-        (i + 1).alias("line_no"), F.length(line).alias("n"), line.alias("line")))
-    return F.transform(
-        F.filter(numbered, lambda x: x.n > MAX_LINE),
-        lambda x: _finding(
-            "AST010", "style", "info", "long_line", x.line_no,
-            code_snippet=F.concat(F.substring(x.line, 1, LONG_LINE_SNIPPET), F.lit("...")),
-            line=x.line_no, n=x.n))
+def complexity_findings() -> Column:
+    """COMP001 and COMP002 of a file that parses."""
+    return F.expr(_complexity_sql())
 
 
-def structure_findings(facts: Column) -> Column:
-    """Findings about functions and classes, and the one of a file that does not parse."""
-    broken = _each(facts, "syntax_error", lambda f: F.lit(True),
-                   lambda f: _finding("SYNTAX001", "bug", "critical", "syntax_error", f.lineno,
-                                      name=f["name"]))
-    return F.concat(broken, *_function_rules(facts), *_class_rules(facts))
+def long_line_findings() -> Column:
+    """AST010: lines of more than 120 characters."""
+    return F.expr(_LONG_LINES_SQL)
 
 
-def syntax_findings(facts: Column, lines: Column) -> Column:
+def syntax_findings() -> Column:
     """All findings of a Python file but those of the pattern rules; empty for other files."""
-    none = F.array().cast(f"array<{FINDING_TYPE}>")
-    parsed = F.when(parse_failed(facts), none).otherwise(
-        F.concat(long_line_findings(lines), complexity_findings(facts)))
-    return F.when(facts.isNull(), none).otherwise(F.concat(structure_findings(facts), parsed))
+    return F.expr(
+        f"if(facts is null, {_NONE}, concat({_STRUCTURE_SQL},"
+        f" if({FAILED_SQL}, {_NONE}, concat({_LONG_LINES_SQL}, {_complexity_sql()}))))")
 
 
-def explode_findings(files: DataFrame, findings) -> DataFrame:
-    """One row per finding that ``findings(facts, lines)`` lists."""
+def explode_findings(files: DataFrame, findings: Column) -> DataFrame:
+    """One row per finding that an expression over ``facts`` and ``lines`` lists."""
     rows = with_facts(files).withColumn("lines", split_lines(F.col("content")))
     # The concat keeps Catalyst from taking the array for a plain column, for which it would add a
     # "not empty" filter that computes the whole array a second time.
-    found = F.concat(findings(F.col("facts"), F.col("lines")))
-    return (rows.select("review_id", "file_id", F.explode(found).alias("f"))
+    return (rows.select("review_id", "file_id", F.explode(F.concat(findings)).alias("f"))
             .select("review_id", "file_id", "f.*"))

@@ -269,7 +269,7 @@ def syntax_facts(spark, folder):
 
 def _structure(spark, folder, rule_id: str) -> DataFrame:
     found = syntax.explode_findings(
-        t.files(spark, folder), lambda facts, lines: syntax.structure_findings(facts))
+        t.files(spark, folder), syntax.structure_findings())
     return found.filter(F.col("rule_id") == rule_id).select(
         "review_id", "file_id", "rule_id", "line_start", "severity")
 
@@ -329,8 +329,7 @@ def ast_class_docstring(spark, folder):
 def long_lines(spark, folder):
     found = syntax.explode_findings(
         t.files(spark, folder),
-        lambda facts, lines: F.when(facts.isNotNull() & ~syntax.parse_failed(facts),
-                                    syntax.long_line_findings(lines)))
+        F.when(syntax.parsed(), syntax.long_line_findings()))
     return found.select("file_id", "line_start", "code_snippet", "message")
 
 
@@ -341,22 +340,19 @@ def _facts(spark, folder) -> DataFrame:
 @query(s.with_ctes("v_files snippet_complexity", "SELECT file_id, cc::BIGINT AS cyclomatic"
                    " FROM v_files JOIN snippet_complexity USING (k)"))
 def cyclomatic(spark, folder):
-    return _facts(spark, folder).select("file_id",
-                                        syntax.cyclomatic(F.col("facts")).alias("cyclomatic"))
+    return _facts(spark, folder).select("file_id", syntax.cyclomatic().alias("cyclomatic"))
 
 
 @query(s.with_ctes("v_files snippet_complexity", "SELECT file_id, cog::BIGINT AS cognitive"
                    " FROM v_files JOIN snippet_complexity USING (k)"))
 def cognitive(spark, folder):
-    return _facts(spark, folder).select("file_id",
-                                        syntax.cognitive(F.col("facts")).alias("cognitive"))
+    return _facts(spark, folder).select("file_id", syntax.cognitive().alias("cognitive"))
 
 
 def _complexity(spark, folder, rule_id: str) -> DataFrame:
     found = syntax.explode_findings(
         t.files(spark, folder),
-        lambda facts, lines: F.when(facts.isNotNull() & ~syntax.parse_failed(facts),
-                                    syntax.complexity_findings(facts)))
+        F.when(syntax.parsed(), syntax.complexity_findings()))
     return found.filter(F.col("rule_id") == rule_id).select("file_id", "severity", "message")
 
 
@@ -387,7 +383,7 @@ def _names(spark, folder) -> DataFrame:
     SELECT name, lower(regexp_replace(regexp_replace(name, '(.)([A-Z][a-z]+)', '\1_\2', 'g'),
                                       '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS better FROM names""", names=NAMES))
 def to_snake(spark, folder):
-    return _names(spark, folder).select("name", naming.to_snake(F.col("name")).alias("better"))
+    return _names(spark, folder).select("name", naming.to_snake("name").alias("better"))
 
 
 @query(s.with_ctes("v_files", r"""
@@ -395,7 +391,7 @@ def to_snake(spark, folder):
         regexp_extract_all(name, '\p{L}+|[^\p{L}]+'),
         lambda x: upper(x[1:1]) || lower(x[2:])), ''), '_', '') AS better FROM names""", names=NAMES))
 def to_pascal(spark, folder):
-    return _names(spark, folder).select("name", naming.to_pascal(F.col("name")).alias("better"))
+    return _names(spark, folder).select("name", naming.to_pascal("name").alias("better"))
 
 
 @query(s.with_ctes("findings", """

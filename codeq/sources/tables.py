@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeq.functions.sqltext import array, literal, struct
 from codeq.rules.catalogue import PATTERN_RULES
 from codeq.sources.snippets import SNIPPETS
 
@@ -32,7 +33,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def _pick(values: list, index: Column) -> Column:
     """The value at a 0-based index of a constant list; folded into the plan, so no join."""
-    return F.get(F.array(*[F.lit(v) for v in values]), index)
+    return F.get(F.expr(array(values)), index)
 
 
 def files(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
@@ -80,11 +81,10 @@ def reviews(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame
 
 def issues(spark: SparkSession, folder: str) -> DataFrame:
     """One issue per order line; the part number picks the rule."""
-    rule = F.get(
-        F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"),
-                           F.lit(r.severity).alias("severity"), F.lit(r.title).alias("title"),
-                           F.lit(r.fixable).alias("is_fixable")) for r in PATTERN_RULES]),
-        (F.col("l_partkey") % len(PATTERN_RULES)).cast("int"))
+    rules = ", ".join(struct(
+        rule_id=literal(r.rule_id), category=literal(r.category), severity=literal(r.severity),
+        title=literal(r.title), is_fixable=literal(r.fixable)) for r in PATTERN_RULES)
+    rule = F.get(F.expr(f"array({rules})"), (F.col("l_partkey") % len(PATTERN_RULES)).cast("int"))
     return table(spark, folder, "lineitem").select(
         F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
               .cast("binary")).alias("issue_id"),
