@@ -49,14 +49,14 @@ def all_findings(files: DataFrame) -> DataFrame:
             .select("review_id", "file_id", "f.*"))
 
 
-def file_annotations(files: DataFrame) -> DataFrame:
+def annotations(findings: DataFrame) -> DataFrame:
     """One row per file: map of line number to labels; files without such findings are left out.
 
     Grouped by (file, line) and then by file: both groups are bounded by the file's text.
     """
     label = F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.col("title"))
     on_lines = (
-        all_findings(files).filter(F.col("line_start").isNotNull() & (F.col("line_start") != 0))
+        findings.filter(F.col("line_start").isNotNull() & (F.col("line_start") != 0))
         .groupBy("file_id", "line_start").agg(F.sort_array(F.collect_list(label)).alias("labels"))
     )
     return on_lines.groupBy("file_id").agg(

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from codeq.operators.badges import issues_fixed, with_badge_details
 from codeq.operators.changes import FIX_CONFIDENCE
-from codeq.operators.findings import file_annotations, with_findings
-from codeq.operators.metrics import file_metrics, review_metrics
+from codeq.operators.findings import annotations
+from codeq.operators.metrics import review_metrics
 from codeq.operators.rollups import author_counts, author_stats, author_totals, top_rules
 from codeq.operators.running import attach
+from codeq.operators.syntax import FINDING_FIELDS
 from codeq.operators.timeline import (
     longest_streak,
     quality_trend,
@@ -32,25 +33,28 @@ def _or_empty(*names: str) -> dict[str, Column]:
     return {n: F.coalesce(F.col(n), F.array()) for n in names}
 
 
-def review_detail(files: DataFrame) -> DataFrame:
+def _issue() -> Column:
+    suggestion = F.struct(
+        F.concat(F.lit("Auto-fix: "), F.col("title")).alias("title"),
+        F.col("fix_description").alias("explanation"), F.lit(FIX_CONFIDENCE).alias("confidence"))
+    return F.struct(
+        F.col("line_start").alias("line_start"), *[c for c in FINDING_FIELDS if c != "line_start"],
+        F.when(F.col("fix_description").isNotNull(), F.array(suggestion)).otherwise(F.array())
+        .alias("suggestions"))
+
+
+def review_detail(files: DataFrame, metrics: DataFrame, findings: DataFrame) -> DataFrame:
     """Reviews with their files, these with their issues, these with their suggestions.
 
+    ``metrics`` and ``findings`` are best given as written tables, as they are used more than once.
     A review comes in parts of about as many files as one review may have, so one of the usual
     size is one row, and one with a large share of all files is many: review_id, part_no, n_parts.
+    The lists per file are bounded by the file's text.
     """
-    metrics = file_metrics(files)
-    issues = F.transform(F.concat("by_pattern", "by_syntax"), lambda f: F.struct(
-        *[f[c].alias(c) for c in ("rule_id", "severity", "category", "title", "message",
-                                  "line_start", "line_end", "code_snippet", "is_fixable",
-                                  "fix_description")],
-        F.filter(F.array(F.struct(
-            F.concat(F.lit("Auto-fix: "), f.title).alias("title"),
-            f.fix_description.alias("explanation"), F.lit(FIX_CONFIDENCE).alias("confidence"))),
-            lambda s: s.explanation.isNotNull()).alias("suggestions")))
+    issues = findings.groupBy("file_id").agg(F.sort_array(F.collect_list(_issue())).alias("issues"))
     detailed = (
-        metrics.join(with_findings(files).select("file_id", "content", issues.alias("issues")),
-                     "file_id")
-        .join(file_annotations(files), "file_id", "left")
+        metrics.join(files.select("file_id", "content"), "file_id")
+        .join(issues, "file_id", "left").join(annotations(findings), "file_id", "left")
     )
     parts = metrics.groupBy("review_id").agg(
         F.ceil(F.count("*") / MAX_FILES_PER_REVIEW).alias("n_parts"))
@@ -59,9 +63,8 @@ def review_detail(files: DataFrame) -> DataFrame:
     own = [c for c in detailed.columns if c != "review_id"]
     grouped = numbered.groupBy("review_id", "part_no", "n_parts").agg(
         F.collect_list(F.struct(*own)).alias("files"))
-    listed = grouped.withColumn("files", F.array_sort(
-        "files", lambda a, b: F.signum(a.file_id - b.file_id).cast("int")))
-    return listed.join(review_metrics(files, metrics), "review_id")
+    in_order = F.array_sort("files", lambda a, b: F.signum(a.file_id - b.file_id).cast("int"))
+    return grouped.withColumn("files", in_order).join(review_metrics(files, metrics), "review_id")
 
 
 def user_profile(users: DataFrame, reviews: DataFrame, issues: DataFrame, toggles: DataFrame,

@@ -107,6 +107,17 @@ def author_totals(issues: DataFrame, reviews: DataFrame) -> DataFrame:
                 F.sum(F.coalesce("n", F.lit(0))).alias("total_issues_found")))
 
 
+def with_repository(reviews: DataFrame, repositories: DataFrame) -> DataFrame:
+    """Reviews with their repository, if they have one.
+
+    Reviews without one get a key that no repository has, a different one each, lest all of them
+    end up in the task that owns the null key.
+    """
+    key = F.coalesce(F.col("repository_id"), -1 - F.col("review_id"))
+    named = repositories.select(F.col("repository_id").alias("_key"), "name", "updated_at")
+    return reviews.withColumn("_key", key).join(named, "_key", "left").drop("_key")
+
+
 def repository_rollup(issues: DataFrame, reviews: DataFrame) -> DataFrame:
     """Complete reviews of a repository: number, average score, issues, and issues as maps."""
     of_repo = complete(reviews).filter(F.col("repository_id").isNotNull())

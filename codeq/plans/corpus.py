@@ -246,7 +246,7 @@ def annotations(spark, folder):
 
     The line of a syntax error depends on the parser version, so its label is left out.
     """
-    noted = fnd.file_annotations(t.files(spark, folder)).select(
+    noted = fnd.annotations(fnd.all_findings(t.files(spark, folder))).select(
         "file_id", F.explode("annotations").alias("line", "labels"))
     kept = noted.withColumn("labels", F.filter("labels", lambda x: x != "[CRITICAL] Syntax Error"))
     return kept.filter(F.size("labels") > 0).withColumn("labels", F.array_join("labels", " | "))

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from codeq.functions import presentation as p
 from codeq.functions.metrics import extension
 from codeq.operators import audits, badges, changes, listing, nested, rollups, scan, timeline
+from codeq.operators import findings as findings_of
+from codeq.operators import metrics as metrics_of
 from codeq.plans import sql as s
 from codeq.plans.registry import query
 from codeq.rules.catalogue import CATEGORIES, LANGUAGES, SEVERITIES, STATUSES
 from codeq.sources import tables as t
+from codeq.sources.sinks import read_back, write_findings, write_table
 
 TODAY = "2024-01-30"
 NOW = "2024-01-31 00:00:00"
@@ -69,7 +72,8 @@ def active_users(spark, folder):
 def issues_of_file(spark, folder):
     """All issues of the files that hold a critical one."""
     issues = t.issues(spark, folder)
-    selected = issues.filter(F.col("severity") == "critical").select("review_id", "file_no")
+    selected = issues.filter(F.col("severity") == "critical").select(
+        "review_id", "file_no").distinct()
     return issues.join(selected, ["review_id", "file_no"], "left_semi").select(
         "issue_id", "review_id", "file_no")
 
@@ -147,8 +151,8 @@ def severity_zero_filled(spark, folder):
     SELECT review_id, r.repository_id, name FROM v_reviews r
     LEFT JOIN v_repositories p ON r.repository_id = p.repository_id"""))
 def reviews_with_repo(spark, folder):
-    return t.reviews(spark, folder).join(
-        t.repositories(spark, folder), "repository_id", "left"
+    return rollups.with_repository(
+        t.reviews(spark, folder), t.repositories(spark, folder)
     ).select("review_id", "repository_id", "name")
 
 
@@ -453,17 +457,25 @@ def coerce_language(spark, folder):
 
 # Documents --------------------------------------------------------------------------------------
 
+def _detail(spark, folder):
+    """Review documents, put together from written tables of findings and metrics."""
+    files = t.files(spark, folder)
+    findings = read_back(spark, write_findings(findings_of.all_findings(files)))
+    metrics = read_back(spark, write_table(metrics_of.file_metrics(files), purpose="metrics"))
+    return nested.review_detail(files, metrics, findings)
+
+
 @query()
 def review_detail(spark, folder):
-    return nested.review_detail(t.files(spark, folder))
+    return _detail(spark, folder)
 
 
 @query()
 def report_json(spark, folder):
     """Each part of each review as one JSON document."""
-    detail = nested.review_detail(t.files(spark, folder))
-    return detail.select("review_id", "part_no",
-                         F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("report"))
+    return _detail(spark, folder).select(
+        "review_id", "part_no",
+        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("report"))
 
 
 @query(s.with_ctes("v_users scores totals review_streaks fixed held done", """

@@ -36,11 +36,14 @@ def stream_rolling_quality(spark, folder):
     return jobs.latest(spark, out, "author_id")
 
 
-@query(s.with_ctes("done",
-                   "SELECT DISTINCT author_id AS user_id, 1::BIGINT AS badge_id FROM done"))
+@query(s.with_ctes("done", """
+    SELECT author_id AS user_id, 1::BIGINT AS badge_id,
+           strftime(min(created_at), '%Y-%m-%d') AS earned_on FROM done GROUP BY author_id"""))
 def stream_badge_once(spark, folder):
     awards = jobs.first_badges(t.reviews(spark, folder, stream=True))
-    return spark.read.parquet(jobs.append(awards, shared_folder(spark, "stream-badges")))
+    out = jobs.update(awards, shared_folder(spark, "stream-badges"))
+    return jobs.latest(spark, out, "user_id", "badge_id").select(
+        "user_id", "badge_id", F.date_format("earned_at", "yyyy-MM-dd").alias("earned_on"))
 
 
 @query("""

@@ -67,10 +67,13 @@ def author_totals(reviews: DataFrame) -> DataFrame:
 
 
 def first_badges(reviews: DataFrame) -> DataFrame:
-    """The first-review badge, once per author however often the author comes by."""
-    return complete(reviews).select(
-        F.col("author_id").alias("user_id"), F.lit(1).cast("long").alias("badge_id")
-    ).dropDuplicates(["user_id", "badge_id"])
+    """The first-review badge, one row per author however many reviews come by.
+
+    An aggregate rather than dropDuplicates, which would send every review of an author to the
+    task that holds the author's state.
+    """
+    return complete(reviews).groupBy(F.col("author_id").alias("user_id")).agg(
+        F.min("created_at").alias("earned_at")).withColumn("badge_id", F.lit(1).cast("long"))
 
 
 def window_counts(activity: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
