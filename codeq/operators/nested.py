@@ -9,7 +9,13 @@ from codeq.operators.badges import issues_fixed, with_badge_details
 from codeq.operators.changes import FIX_CONFIDENCE
 from codeq.operators.findings import annotations
 from codeq.operators.metrics import review_metrics
-from codeq.operators.rollups import author_counts, author_stats, author_totals, top_rules
+from codeq.operators.rollups import (
+    STATS,
+    author_counts,
+    author_totals,
+    top_rules,
+    with_author_stats,
+)
 from codeq.operators.running import attach
 from codeq.operators.syntax import FINDING_FIELDS
 from codeq.operators.timeline import (
@@ -90,17 +96,16 @@ def dashboard(users: DataFrame, reviews: DataFrame, issues: DataFrame,
               held: DataFrame) -> DataFrame:
     """The dashboard of every user: trend, distribution, top rules, badges and totals."""
     user = {"author_id": "user_id"}
-    counts = author_counts(issues, reviews).withColumnsRenamed(user).drop("n_issues", "n_fixable")
     trend = _listed(quality_trend(reviews), "author_id", "quality_trend", "review_num",
                     "review_num", "title", "score", "date")
     top = _listed(top_rules(issues, reviews), "author_id", "top_rules", "place",
                   "rule_id", "title", F.col("n").alias("count"), "severity")
     badges = _listed(with_badge_details(held), "user_id", "badges", "badge_id",
                      "slug", "name", "description")
-    stats = author_stats(issues, reviews, users).withColumnsRenamed(user)
-    joined = users.select("user_id", "username", "full_name")
-    for part in (counts, trend.withColumnsRenamed(user), top.withColumnsRenamed(user), badges,
-                 stats):
+    named = users.select(F.col("user_id").alias("author_id"), "username", "full_name")
+    joined = with_author_stats(named, author_counts(issues, reviews), reviews).withColumnsRenamed(
+        user)
+    for part in (trend.withColumnsRenamed(user), top.withColumnsRenamed(user), badges):
         joined = joined.join(part, "user_id", "left")
 
     def entries(names: tuple[str, ...], label: str) -> Column:
@@ -113,8 +118,7 @@ def dashboard(users: DataFrame, reviews: DataFrame, issues: DataFrame,
         F.filter(entries(CATEGORIES, "category"), lambda x: x["count"] > 0)
         .alias("issues_by_category"),
         entries(SEVERITIES, "severity").alias("issues_by_severity"), "top_rules", "badges",
-        F.struct("avg_quality", "total_lines_reviewed", "fixable_issues", "total_reviews")
-        .alias("stats"))
+        F.struct(*STATS).alias("stats"))
 
 
 def as_json(df: DataFrame, *names: str) -> DataFrame:

@@ -86,16 +86,25 @@ def _score_sums(reviews: DataFrame, *keys: str) -> DataFrame:
 
 def author_stats(issues: DataFrame, reviews: DataFrame, users: DataFrame) -> DataFrame:
     """Per user: average score, lines and number of complete reviews; fixable issues of all."""
-    sums = _score_sums(reviews, "author_id")
-    fixable = author_counts(issues, reviews).select("author_id", "n_fixable")
-    stats = (users.select(F.col("user_id").alias("author_id"))
-             .join(sums, "author_id", "left").join(fixable, "author_id", "left")
-             .fillna(0, ["total_reviews", "tenths", "total_lines", "n_fixable"]))
-    mean = stats.withColumn("mean", _mean_score(F.col("tenths"), F.col("total_reviews")))
-    return mean.select(
-        "author_id", round_exact(F.col("mean"), 1).alias("avg_quality"),
-        F.col("total_lines").alias("total_lines_reviewed"),
-        F.col("n_fixable").alias("fixable_issues"), "total_reviews")
+    return with_author_stats(users.select(F.col("user_id").alias("author_id")),
+                             author_counts(issues, reviews).select("author_id", "n_fixable"),
+                             reviews).select("author_id", *STATS)
+
+
+STATS = ("avg_quality", "total_lines_reviewed", "fixable_issues", "total_reviews")
+
+
+def with_author_stats(authors: DataFrame, counts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Authors with their issue counts and the statistics shown with them."""
+    joined = (
+        authors.join(_score_sums(reviews, "author_id"), "author_id", "left")
+        .join(counts, "author_id", "left")
+        .fillna(0, ["total_reviews", "tenths", "total_lines", "n_fixable"])
+        .withColumn("mean", _mean_score(F.col("tenths"), F.col("total_reviews")))
+    )
+    return joined.withColumns({
+        "avg_quality": round_exact(F.col("mean"), 1), "total_lines_reviewed": F.col("total_lines"),
+        "fixable_issues": F.col("n_fixable")})
 
 
 def author_totals(issues: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Running totals, positions and firsts per key that hold up when one key owns much of the table.
 
-A plain window puts all rows of a key in one task. Here the order of a key is cut into levels, say
-day, block of ids, id: totals per level come from a grouping that combines early, windows run over
-those few totals, and only the rows of one finest group share a task.
+A plain window puts all rows of a key in one task. For a key too large for that, its order is cut
+into levels, say day, block of ids, id: totals per level come from a grouping that combines early,
+windows run over those few totals, and only the rows of one finest group share a task.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 Level = Sequence[str]
 
 GROUP_LIMIT = 1000
+HOT_ROWS = 1_000_000
 SALTS = 32
 
 
@@ -28,12 +29,32 @@ def _order(level: Level) -> list[Column]:
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], levels: Sequence[Level],
-                   measures: dict[str, Column]) -> DataFrame:
+                   measures: dict[str, Column], hot_rows: int | None = None) -> DataFrame:
     """``df`` with a running total per measure, in the order of the levels, within each key.
 
+    Keys of bearable size take a plain window; only those with more than ``hot_rows`` rows are
+    worked out level by level. A table has at most one such key per ``hot_rows`` rows, a few
+    megabytes for a trillion rows, so the list of them is safe to broadcast; on most tables it is
+    empty, and the second branch is dropped at run time.
+
     Level columns must not be null. The last level orders single rows; the ones before it should
     cut a key into groups of bearable size.
     """
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    hot = F.broadcast(df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+                      .filter(F.col("_rows") > limit).select(*keys))
+    order = [c for level in levels for c in _order(level)]
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    plain = df.join(hot, list(keys), "left_anti").select(
+        *df.columns, *[F.sum(column).over(so_far).alias(name) for name, column in measures.items()])
+    return plain.unionByName(
+        _totals_by_level(df.join(hot, list(keys), "left_semi"), keys, levels, measures))
+
+
+def _totals_by_level(df: DataFrame, keys: Sequence[str], levels: Sequence[Level],
+                     measures: dict[str, Column]) -> DataFrame:
+    """Running totals from totals per level; only rows of one finest group share a task."""
     own = {f"_{name}": column for name, column in measures.items()}
     rows = df.withColumns(own)
     sums = [F.sum(c).alias(c) for c in own]

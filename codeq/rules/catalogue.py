@@ -216,7 +216,7 @@ PATTERN_RULES = (
         fix="Replace with logging:\n  import logging\n  logger = logging.getLogger(__name__)\n  logger.info('message')",
     ),
     PatternRule(
-        rule_id="STYLE005", severity="info", needles=("#",),
+        rule_id="STYLE005", severity="info", needles=("todo", "fixme", "hack", "xxx"),
         pattern=r"#\s*TODO|#\s*FIXME|#\s*HACK|#\s*XXX",
         title="TODO/FIXME comment",
         message="Unresolved TODO/FIXME comments indicate incomplete or problematic code.",

@@ -15,6 +15,13 @@ REVIEW = ("review_id long, author_id long, repository_id long, title string, sta
           "quality_score double, total_lines long, created_at timestamp_ntz")
 
 
+@pytest.fixture(params=[None, 1000], ids=["plain", "by level"])
+def hot_rows(request, monkeypatch):
+    """Run a test both with plain windows and with the large key worked out level by level."""
+    if request.param:
+        monkeypatch.setattr(running, "HOT_ROWS", request.param)
+
+
 def review_row(i, author, score=80.0, day=0, status="complete", repo=None):
     return (i, author, repo, f"Review number {i} of a long series", status, score, 10,
             START + dt.timedelta(days=day))
@@ -39,7 +46,7 @@ def by_author(rows):
     return out
 
 
-def test_running_average(hot_reviews):
+def test_running_average(hot_reviews, hot_rows):
     rows, df = hot_reviews
     got = {r["review_id"]: (r["review_num"], r["rolling_quality"])
            for r in timeline.rolling_quality(df).collect()}
@@ -77,7 +84,7 @@ def test_trend_and_recent(hot_reviews):
             r[0] for r in own[::-1][:5]]
 
 
-def test_positions_of_reviews(hot_reviews):
+def test_positions_of_reviews(hot_reviews, hot_rows):
     rows, df = hot_reviews
     got = {r["review_id"]: r["position"] for r in listing.order_reviews(df).collect()}
     for own in by_author(rows).values():
@@ -120,7 +127,7 @@ def hot_issues(spark):
     return rows, spark.createDataFrame(rows, ISSUE).cache()
 
 
-def test_issue_order(hot_issues):
+def test_issue_order(hot_issues, hot_rows):
     rows, df = hot_issues
     rank = {"critical": 4, "error": 3, "warning": 2, "info": 1}
     got = {r["issue_id"]: r["position"] for r in listing.order_issues(df).collect()}
