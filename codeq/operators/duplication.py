@@ -6,7 +6,7 @@ occurs; no list of the files that hold a line is ever built.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeq.functions.rounding import round_exact
@@ -15,11 +15,15 @@ from codeq.functions.text import split_lines, strip
 MIN_CHARS = 10
 
 
-def code_lines(files: DataFrame) -> DataFrame:
-    """Stripped lines of more than 10 characters that are no ``#`` comments."""
+def _kept_lines() -> Column:
+    """Stripped lines of ``content``: more than 10 characters and no ``#`` comments."""
     stripped = F.transform(split_lines(F.col("content")), strip)
-    kept = F.filter(stripped, lambda x: (F.length(x) > MIN_CHARS) & ~F.startswith(x, F.lit("#")))
-    return files.select("review_id", "file_id", F.explode(kept).alias("line"))
+    return F.filter(stripped, lambda x: (F.length(x) > MIN_CHARS) & ~F.startswith(x, F.lit("#")))
+
+
+def code_lines(files: DataFrame) -> DataFrame:
+    """One row per line that counts for duplication."""
+    return files.select("review_id", "file_id", F.explode(_kept_lines()).alias("line"))
 
 
 def _share(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,8 +46,14 @@ def duplication(files: DataFrame, by_review: bool = True) -> DataFrame:
 
 
 def duplicate_lines(files: DataFrame) -> DataFrame:
-    """Every line that occurs more than once: how often and in how many files."""
-    per_file = code_lines(files).groupBy("line", "file_id").agg(F.count("*").alias("n"))
-    return (per_file.groupBy("line")
-            .agg(F.sum("n").alias("n_occurrences"), F.count("*").alias("n_files"))
+    """Every line that occurs more than once: how often and in how many files.
+
+    A file is one row, so its own repeats are told apart there, by sorting its lines; counting
+    files then takes no grouping by (line, file) and the text is shuffled once.
+    """
+    in_order = files.select(F.array_sort(_kept_lines()).alias("sorted"))
+    marked = F.expr("transform(sorted, (line, i) -> struct(line as line,"
+                    " if(i > 0 and line = sorted[i - 1], 0L, 1L) as is_first))")
+    return (in_order.select(F.explode(marked).alias("x")).groupBy(F.col("x.line").alias("line"))
+            .agg(F.count("*").alias("n_occurrences"), F.sum("x.is_first").alias("n_files"))
             .filter(F.col("n_occurrences") > 1))

@@ -23,15 +23,15 @@ def complete(reviews: DataFrame) -> DataFrame:
 def review_counts(issues: DataFrame) -> DataFrame:
     """Issues per review: all, fixable, per severity and per category, in columns."""
     return issues.groupBy("review_id").agg(
-        F.count("*").alias("n_issues"), F.count_if("is_fixable").alias("n_fixable"),
-        *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES],
-        *[F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES])
+        F.expr("count(*) as n_issues"), F.expr("count_if(is_fixable) as n_fixable"),
+        *[F.expr(f"count_if(severity = '{s}') as {s}") for s in SEVERITIES],
+        *[F.expr(f"count_if(category = '{c}') as {c}") for c in CATEGORIES])
 
 
 def author_counts(issues: DataFrame, reviews: DataFrame) -> DataFrame:
     """The same per author, over all of the author's reviews."""
     joined = review_counts(issues).join(reviews.select("review_id", "author_id"), "review_id")
-    return joined.groupBy("author_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return joined.groupBy("author_id").agg(*[F.expr(f"sum({c}) as {c}") for c in COUNTS])
 
 
 def _long(counts: DataFrame, keys: list[str], names: tuple[str, ...], label: str) -> DataFrame:
@@ -63,11 +63,14 @@ def top_rules(issues: DataFrame, reviews: DataFrame, k: int = 5) -> DataFrame:
     """The rules each author breaks most, ties by rule id."""
     per_review = issues.groupBy("review_id", "rule_id", "title", "severity").agg(
         F.count("*").alias("n"))
-    per_author = (
+    # Texts are grouped by first and only then reduced to the smallest, as hash aggregation can
+    # count but not take the minimum of a text.
+    per_text = (
         per_review.join(reviews.select("review_id", "author_id"), "review_id")
-        .groupBy("author_id", "rule_id")
-        .agg(F.sum("n").alias("n"), F.min("title").alias("title"),
-             F.min("severity").alias("severity")))
+        .groupBy("author_id", "rule_id", "title", "severity").agg(F.sum("n").alias("n")))
+    per_author = per_text.groupBy("author_id", "rule_id").agg(
+        F.sum("n").alias("n"), F.min("title").alias("title"),
+        F.min("severity").alias("severity"))
     return first_rows(per_author, ["author_id"], ["-n", "rule_id"], k)
 
 
@@ -132,7 +135,7 @@ def repository_rollup(issues: DataFrame, reviews: DataFrame) -> DataFrame:
     of_repo = complete(reviews).filter(F.col("repository_id").isNotNull())
     sums = _score_sums(of_repo, "repository_id")
     counts = (of_repo.select("review_id", "repository_id").join(review_counts(issues), "review_id")
-              .groupBy("repository_id").agg(*[F.sum(c).alias(c) for c in COUNTS]))
+              .groupBy("repository_id").agg(*[F.expr(f"sum({c}) as {c}") for c in COUNTS]))
     joined = sums.join(counts, "repository_id", "left").fillna(0, COUNTS).withColumn(
         "mean", _mean_score(F.col("tenths"), F.col("total_reviews")))
     return joined.select(
