@@ -33,6 +33,31 @@ def check_size(files: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
         "is_oversize", F.col("n_bytes") > limit)
 
 
+def check_uploads(uploads: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
+    """Uploads (review_id, filename, upload_seq, bytes) decoded and flagged."""
+    return decode(uploads).withColumn("is_oversize", F.octet_length("bytes") > limit).drop("bytes")
+
+
+def rejected_reviews(checked: DataFrame, limit: int = MAX_FILES_PER_REVIEW) -> DataFrame:
+    """Reviews with too many uploads or any upload that is too large or not text."""
+    judged = checked.groupBy("review_id").agg(
+        F.count("*").alias("n_uploads"), F.count_if("is_oversize").alias("n_oversize"),
+        F.count_if("is_rejected").alias("n_not_text"))
+    return judged.filter((F.col("n_uploads") > limit) | (F.col("n_oversize") > 0)
+                         | (F.col("n_not_text") > 0))
+
+
+def accepted_files(checked: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Files of the accepted reviews, the last upload of each name, numbered.
+
+    Write the result before using it more than once, as the numbers are given out when it runs.
+    """
+    kept = checked.select("review_id", "filename", "upload_seq", "content").join(
+        rejected.select("review_id"), "review_id", "left_anti")
+    return last_upload(kept).select(
+        F.monotonically_increasing_id().alias("file_id"), "review_id", "filename", "content")
+
+
 def check_file_count(files: DataFrame, limit: int = MAX_FILES_PER_REVIEW) -> DataFrame:
     """Files per review, and whether a review is turned away for having too many."""
     counted = files.groupBy("review_id").agg(F.count("*").alias("n_files"))

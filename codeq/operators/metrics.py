@@ -135,13 +135,17 @@ def review_averages(metrics: DataFrame) -> DataFrame:
 
 
 def review_metrics(files: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    """One row per review: totals, averages, duplication and the three texts."""
+    """One row per review: totals, averages, duplication and the three texts.
+
+    ``n_failed`` counts the files that could not be analysed.
+    """
     metrics = file_metrics(files) if metrics is None else metrics
     tenths = lambda c: F.sum(F.round(F.col(c) * 10).cast("long"))
     sums = metrics.groupBy("review_id").agg(
         F.count("*").alias("total_files"), F.sum("loc").alias("total_lines"),
         F.sum("issue_count").alias("total_issues"),
         *[F.sum(f"{s}_issues").alias(f"{s}_issues") for s in SEVERITIES],
+        F.count_if("analysis_failed").alias("n_failed"),
         tenths("quality_score").alias("q"), tenths("maintainability").alias("mi"),
         F.sum(F.col("cyclomatic").cast("long")).alias("cc"))
     n = F.col("total_files")

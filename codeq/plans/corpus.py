@@ -494,7 +494,7 @@ PRIORITY_SQL = (
     SELECT *, {SUMMARY_SQL} AS summary, {PRAISE_SQL} AS praise, {PRIORITY_SQL} AS priority
     FROM review_metrics"""))
 def review_metrics(spark, folder):
-    return met.review_metrics(t.files(spark, folder))
+    return met.review_metrics(t.files(spark, folder)).drop("n_failed")
 
 
 @query(s.with_ctes("review_metrics",

@@ -21,6 +21,10 @@ BADGES_UNTIL = "1999-01-01"
 STATUS_DAY = "2001-01-01"
 
 
+def _done(spark, folder):
+    return t.reviews(spark, folder, status="complete")
+
+
 def _held(spark, folder):
     return badges.user_badges(t.reviews(spark, folder), t.issues(spark, folder),
                               t.toggles(spark, folder))
@@ -39,7 +43,7 @@ def reviews_by_author(spark, folder):
 
 @query(s.with_ctes("done", "SELECT review_id, author_id, quality_score FROM done"))
 def completed_reviews(spark, folder):
-    return listing.filter_reviews(t.reviews(spark, folder), status="complete").select(
+    return listing.filter_reviews(_done(spark, folder), status="complete").select(
         "review_id", "author_id", "quality_score")
 
 
@@ -203,7 +207,7 @@ def author_stats(spark, folder):
 
 @query(s.with_ctes("totals", "SELECT * FROM totals"))
 def author_totals(spark, folder):
-    return rollups.author_totals(t.issues(spark, folder), t.reviews(spark, folder))
+    return rollups.author_totals(t.issues(spark, folder), _done(spark, folder))
 
 
 REPO_MEANS = """
@@ -226,7 +230,7 @@ def _repo_sql(select: str) -> str:
 @query(_repo_sql(f"SELECT repository_id, total_reviews,"
                  f" {s.round_exact('mean', 1)} AS avg_quality_score, total_issues FROM repo"))
 def repo_rollup(spark, folder):
-    return rollups.repository_rollup(t.issues(spark, folder), t.reviews(spark, folder)).drop(
+    return rollups.repository_rollup(t.issues(spark, folder), _done(spark, folder)).drop(
         "issues_by_severity", "issues_by_category")
 
 
@@ -237,7 +241,7 @@ def repo_rollup(spark, folder):
         f"""CASE WHEN {x} > 0 THEN '"{x}":' || {x} END""" for x in CATEGORIES)
     + ") || '}' AS issues_by_category FROM repo"))
 def repo_rollup_maps(spark, folder):
-    rolled = rollups.repository_rollup(t.issues(spark, folder), t.reviews(spark, folder))
+    rolled = rollups.repository_rollup(t.issues(spark, folder), _done(spark, folder))
     return nested.as_json(
         rolled.select("repository_id", "issues_by_severity", "issues_by_category"),
         "issues_by_severity", "issues_by_category")
@@ -258,7 +262,7 @@ def fix_coverage(spark, folder):
 # Time -------------------------------------------------------------------------------------------
 
 def _board(spark, folder):
-    reviews, issues = t.reviews(spark, folder), t.issues(spark, folder)
+    reviews, issues = _done(spark, folder), t.issues(spark, folder)
     return listing.leaderboard(
         t.users(spark, folder), timeline.rolling_quality_exact(reviews),
         rollups.author_totals(issues, reviews),
@@ -292,7 +296,7 @@ def leaderboard_medals(spark, folder):
 
 @query(s.with_ctes("trend", "SELECT * FROM trend"))
 def quality_trend(spark, folder):
-    return timeline.quality_trend(t.reviews(spark, folder))
+    return timeline.quality_trend(_done(spark, folder))
 
 
 @query(s.with_ctes("done", """
@@ -300,7 +304,7 @@ def quality_trend(spark, folder):
         PARTITION BY author_id ORDER BY created_at DESC, review_id DESC) AS place
     FROM done QUALIFY place <= 5"""))
 def recent_reviews(spark, folder):
-    return timeline.recent_reviews(t.reviews(spark, folder)).select(
+    return timeline.recent_reviews(_done(spark, folder)).select(
         "author_id", "review_id", F.col("place").cast("long").alias("place"))
 
 
@@ -310,12 +314,12 @@ def recent_reviews(spark, folder):
     FROM done WINDOW w AS (PARTITION BY author_id ORDER BY created_at, review_id
                            ROWS UNBOUNDED PRECEDING)"""))
 def rolling_quality(spark, folder):
-    return timeline.rolling_quality(t.reviews(spark, folder))
+    return timeline.rolling_quality(_done(spark, folder))
 
 
 @query(s.with_ctes("scores", "SELECT * FROM scores"))
 def rolling_quality_exact(spark, folder):
-    return timeline.rolling_quality_exact(t.reviews(spark, folder))
+    return timeline.rolling_quality_exact(_done(spark, folder))
 
 
 @query(s.with_ctes("active_runs",
@@ -336,7 +340,7 @@ def current_streak(spark, folder):
     SELECT author_id, review_id FROM done
     QUALIFY row_number() OVER (PARTITION BY author_id ORDER BY created_at, review_id) = 1"""))
 def first_review(spark, folder):
-    return timeline.first_review(t.reviews(spark, folder)).select("author_id", "review_id")
+    return timeline.first_review(_done(spark, folder)).select("author_id", "review_id")
 
 
 # Badges -----------------------------------------------------------------------------------------

@@ -21,7 +21,7 @@ def stream_findings(spark, folder):
     SELECT author_id, count(*) AS total_reviews, sum(total_lines)::BIGINT AS total_lines
     FROM done GROUP BY author_id"""))
 def stream_author_totals(spark, folder):
-    totals = jobs.author_totals(t.reviews(spark, folder, stream=True))
+    totals = jobs.author_totals(t.reviews(spark, folder, stream=True, status="complete"))
     out = jobs.update(totals, shared_folder(spark, "stream-totals"))
     return jobs.latest(spark, out, "author_id")
 
@@ -31,7 +31,7 @@ def stream_author_totals(spark, folder):
     JOIN (SELECT author_id, count(*) AS n_reviews FROM done GROUP BY author_id) d
          ON d.author_id = x.author_id"""))
 def stream_rolling_quality(spark, folder):
-    rolling = jobs.rolling_quality(t.reviews(spark, folder, stream=True))
+    rolling = jobs.rolling_quality(t.reviews(spark, folder, stream=True, status="complete"))
     out = jobs.update(rolling, shared_folder(spark, "stream-rolling"))
     return jobs.latest(spark, out, "author_id")
 
@@ -40,7 +40,7 @@ def stream_rolling_quality(spark, folder):
     SELECT author_id AS user_id, 1::BIGINT AS badge_id,
            strftime(min(created_at), '%Y-%m-%d') AS earned_on FROM done GROUP BY author_id"""))
 def stream_badge_once(spark, folder):
-    awards = jobs.first_badges(t.reviews(spark, folder, stream=True))
+    awards = jobs.first_badges(t.reviews(spark, folder, stream=True, status="complete"))
     out = jobs.update(awards, shared_folder(spark, "stream-badges"))
     return jobs.latest(spark, out, "user_id", "badge_id").select(
         "user_id", "badge_id", F.date_format("earned_at", "yyyy-MM-dd").alias("earned_on"))

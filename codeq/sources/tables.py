@@ -62,17 +62,27 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def reviews(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+STATUS_CODES = {"F": "complete", "O": "analyzing", "P": "failed"}
+
+
+def reviews(spark: SparkSession, folder: str, stream: bool = False,
+            status: str | None = None) -> DataFrame:
+    """Reviews, all or of one status; asking for the status here lets the scan skip the others."""
     price = F.floor("o_totalprice")
-    return table(spark, folder, "orders", stream).select(
+    orders = table(spark, folder, "orders", stream)
+    if status is not None:
+        orders = orders.filter(F.col("o_orderstatus").isin(
+            *[code for code, name in STATUS_CODES.items() if name == status]))
+    return orders.select(
         F.col("o_orderkey").alias("review_id"),
         F.col("o_custkey").alias("author_id"),
         F.when(F.col("o_orderpriority") != "5-LOW",
                F.col("o_custkey") * 10 + F.col("o_orderkey") % 3).alias("repository_id"),
         F.concat(F.lit("Review "), F.col("o_orderkey").cast("string"), F.lit(" with priority "),
                  F.col("o_orderpriority")).alias("title"),
-        F.when(F.col("o_orderstatus") == "F", "complete")
-        .when(F.col("o_orderstatus") == "O", "analyzing").otherwise("failed").alias("status"),
+        F.expr("case o_orderstatus " + " ".join(
+            f"when '{code}' then '{name}'" for code, name in STATUS_CODES.items()) + " end")
+        .alias("status"),
         ((price % 201) / 2.0).alias("quality_score"),
         (price % 1000).alias("total_lines"),
         F.col("o_orderdate").alias("created_at"),
