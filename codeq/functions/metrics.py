@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 from codeq.functions.text import WORD, WORD_EDGE, WORD_END, WORD_START, count_matches
 from codeq.rules.catalogue import EXTENSION_LANGUAGE
 
-# What counts as a branch, an operator and an operand.
+# The words that count as branches and as operators, and the operator signs.
+BRANCH_WORDS = ("if", "else", "elif", "for", "while", "switch", "case", "catch")
+SIGNS = r"+\-*/%&|^~<>"
+
 BRANCH = (
-    rf"{WORD_START}(?:if|else|elif|for|while|switch|case|catch){WORD_END}"
+    rf"{WORD_START}(?:{'|'.join(BRANCH_WORDS)}){WORD_END}"
     rf"|(?<=[{WORD}])(?:&&|\|\|)(?=[{WORD}])"
 )
-OPERATOR = rf"[+\-*/%&|^~<>]=?|==|!=|{WORD_START}(?:and|or|not|in|is){WORD_END}"
+# A sign with or without =, then == and !=, then and, or, not, in, is as whole words. The
+# look-ahead is cheap and rules out most places in a text at once.
+OPERATOR = (
+    rf"(?=[{SIGNS}=!aoni])(?:[{SIGNS}]=?|[=!]="
+    rf"|{WORD_START}(?:and|or|not|in|is){WORD_END})"
+)
+# Names and numbers.
 OPERAND = (
-    rf"{WORD_START}[a-zA-Z_][{WORD}]*+"
-    rf"|{WORD_START}\p{{Nd}}+\.?\p{{Nd}}*{WORD_EDGE}"
+    rf"(?=[a-zA-Z_]){WORD_START}[{WORD}]++"
+    rf"|(?=\p{{Nd}}){WORD_START}\p{{Nd}}+\.?\p{{Nd}}*{WORD_EDGE}"
 )
 
 # Points off per finding.

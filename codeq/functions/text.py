@@ -12,15 +12,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Members of the three character classes.
+# Members of the three character classes, the usual ones first as they are tried in
+# this order, and the members of the first once more as plain text.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = r"\p{L}\p{N}_"
+# A letter beyond the first 65536 code points is spelled out: Java's look-behind sees such letters
+# whole only if the pattern holds one.
+WORD = "a-zA-Z0-9_\U0001d400" + r"\p{L}\p{N}"
 BREAK = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 
 WORD_START = f"(?<![{WORD}])"
 WORD_END = f"(?![{WORD}])"
 WORD_EDGE = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
+SPACE_TEXT = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+UNUSUAL_BREAK = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
 LINE_BREAK = rf"\r\n|[{BREAK}]"
 
 
@@ -41,15 +50,16 @@ def fold_case(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.trim(text, F.lit(SPACE_TEXT))
 
 
 def split_lines(text: Column) -> Column:
     """The lines of a text, at every line break; no empty last line after a final break."""
-    lines = F.split(text, LINE_BREAK)
-    return F.when(
-        F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)
-    ).otherwise(lines)
+    lines = F.when(text.rlike(UNUSUAL_BREAK), F.split(text, LINE_BREAK)).otherwise(
+        F.split(text, "\n"))
+    return F.when(F.endswith(text, F.lit("\n")) | text.rlike(rf"{UNUSUAL_BREAK}\z")
+                  | (F.length(text) == 0),
+                  F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
 
 
 def count_matches(text: Column, pattern: str) -> Column:
