@@ -5,7 +5,31 @@ from __future__ import annotations
 import os
 from array import array
 
+import numpy as np
+
 ODD = b"odd"
+STOPS = ".,!?;:"
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself if it is visible, else the next from U+0100."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+LETTERS = {b: letter for b, letter in enumerate(byte_letters())}
+SPACE = LETTERS[32]
+
+
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordEncoder:
@@ -18,50 +42,100 @@ class WordEncoder:
     and any space is such a place. At most ``limit`` words are kept.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 600_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
         self.library = Tokenizer.from_file(path)
         self.spaced, self.limit, self.known = spaced, limit, {}
+        self.tails: dict[str, bytes] = {}
+        self.lower = '"Lowercase"' in self.library.to_str()
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.library.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.edge[[i for t, i in vocabulary.items()
+                   if (t.startswith(SPACE) if spaced else t.endswith("</w>"))]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in
                 self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, text: str) -> list[str]:
+    def _keys(self, text: str) -> list[str]:
+        if not self.spaced and "<|" not in text:
+            text = text.replace("\n", " ")
+            if self.lower and _latin(text):
+                text = text.lower()  # as the vocabulary does; other letters may depend on their context
         words = text.split(" ")
         if self.spaced:
             words[0] += " "  # no other word ends so: the first has no space before it
         return words
 
+    def _bare(self, words: list[str]) -> list[bytes]:
+        """Ids of words of lower-case Latin-1 letters (any case, with a space before, if spaced).
+
+        Normalising and pre-tokenising leave such a word as it is, so its bytes go to the library's
+        model as they are; ids that begin a word, or end one, tell where the next one begins.
+        """
+        letters = [w if w.isascii() else w.encode().decode("latin-1").translate(LETTERS) for w in words]
+        joined = " ".join([f"{SPACE}{w}" for w in letters] if self.spaced else letters)
+        ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids,
+                       dtype="<u4")
+        edges = np.flatnonzero(self.edge[ids])
+        if len(edges) != len(words):
+            raise ValueError("words can't be told apart by their ids")
+        at = [*(4 * edges).tolist(), 4 * len(ids)] if self.spaced else [0, *(4 * edges + 4).tolist()]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        if not self.spaced:
-            return dict(zip(words, self._library(words), strict=True))
-        fresh = {w: ODD for w in words}
-        sound = [w for w in words if w.rstrip(" ") and not w.rstrip(" ")[-1].isspace()]
-        asked = [w[:-1] if w[-1] == " " else f" {w}" for w in sound]
-        fresh.update(zip(sound, self._library(asked), strict=True))
+        """Ids of new words, ODD for those after which a text can't be cut."""
+        bare = [w for w in words if w.isalpha() and max(w) < "\u0100" and (self.spaced or w == w.lower())]
+        fresh = dict(zip(bare, self._bare(bare), strict=True)) if bare else {}
+        asked = {}
+        for w in words:
+            if w in fresh:
+                continue
+            body = w.rstrip(" ") if self.spaced else w
+            if self.spaced and (not body or body[-1].isspace()):
+                fresh[w] = ODD
+            else:
+                asked[w] = f" {w}" if self.spaced and len(body) == len(w) else body
+        fresh.update(zip(asked, self._library(list(asked.values())), strict=True))
+        return fresh
+
+    def _fresh(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of new words. Letters and the stops after them are pre-tokens apart, and joined here."""
+        stems = {w: w.rstrip(STOPS) for w in new}
+        whole = {s for w, s in stems.items() if len(s) < len(w) and s.isalpha()}
+        plain = {w for w, s in stems.items() if s not in whole or len(s) == len(w)}
+        fresh = self._learn([w for w in whole | plain if w not in self.known])
+        for w in new - plain:
+            stem, tail = stems[w], w[len(stems[w]):]
+            if tail not in self.tails:
+                self.tails[tail] = self._library([tail])[0]
+            fresh[w] = (fresh[stem] if stem in fresh else self.known[stem]) + self.tails[tail]
         return fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; texts of a few megabytes in all."""
-        split = [self._words(t) for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(set(words).difference(self.known))
         known = self.known
-        if new:
-            fresh = self._learn(list(new))
-            if len(known) + len(fresh) <= self.limit:
-                known.update(fresh)
-            else:
-                known = {w: fresh[w] if w in fresh else known[w] for ws in split for w in ws}
+        split = [self._keys(t) for t in texts]
+        found = [list(map(known.get, words)) for words in split]
+        new: set[str] = set()
+        for words, ids in zip(split, found, strict=True):
+            if None in ids:
+                new.update(w for w, x in zip(words, ids, strict=True) if x is None)
+        fresh = self._fresh(new) if new else {}
         out = []
-        for text, words in zip(texts, split, strict=True):
-            ids = list(map(known.__getitem__, words))
+        for text, words, ids in zip(texts, split, found, strict=True):
+            if None in ids:
+                ids = [fresh[w] if x is None else x for w, x in zip(words, ids, strict=True)]
             if ODD in ids:
                 ids = self._library([text]) if text else []
             out.append(b"".join(ids))
+        if len(known) + len(fresh) <= self.limit:
+            known.update(fresh)
         return out
 
 
