@@ -56,7 +56,8 @@ def through_arrow(df: DataFrame, rows: Callable[[Batches], Iterator[dict[str, li
     def run(batches: Batches) -> Batches:
         for columns in rows(batches):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+                [columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array)
+                 else pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
     return df.mapInArrow(run, fields)
 
 
