@@ -172,16 +172,23 @@ def _near(a: str, b: str, radius: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
 
-def _crowded_links(crowd: DataFrame) -> DataFrame:
+def _crowded_links(crowd: DataFrame, radius: int) -> DataFrame:
     """Links among fingerprints of crowded buckets, without comparing pairs.
 
-    Two are within two bits when they have a neighbour at one bit, or themselves, in common. So each
-    goes to its 65 such places, and to the least fingerprint there.
+    Two are within two bits when they have a neighbour at one bit, or themselves, in common, and
+    within one when they agree but for some one bit. So each goes to its 65 neighbours, or to itself
+    without each bit, and is linked to the least fingerprint there.
     """
-    places = crowd.select("fp", F.explode(F.array(F.col("fp"), *[
-        F.col("fp").bitwiseXOR(F.lit(_mask([b]))) for b in range(BITS)])).alias("place"))
-    least = places.groupBy("place").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    return places.join(least.drop("n"), "place").filter("fp != a").select(
+    fp = F.col("fp")
+    if radius == 2:
+        around = [fp, *[fp.bitwiseXOR(F.lit(_mask([b]))) for b in range(BITS)]]
+        places = [F.struct(F.lit(0).alias("bit"), x.alias("at")) for x in around]
+    else:
+        places = [F.struct(F.lit(b).alias("bit"), fp.bitwiseAND(F.lit(_mask([c for c in range(BITS) if c != b])))
+                           .alias("at")) for b in range(BITS)]
+    near = crowd.select("fp", F.explode(F.array(*places)).alias("place")).select("fp", "place.bit", "place.at")
+    least = near.groupBy("bit", "at").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    return near.join(least.drop("n"), ["bit", "at"]).filter("fp != a").select(
         "a", F.col("fp").alias("b")).distinct()
 
 
@@ -194,7 +201,7 @@ def hamming_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
-    plan = thresholds(fps, radius)
+    plan = thresholds(fps, radius) if radius else []  # fingerprints are distinct
     if not plan:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
 
@@ -224,8 +231,7 @@ def hamming_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     links = [inside.join(other, key).filter(_near("a", "b", radius)).filter(
         "a < b or (probe = 1 and a != b)").select("a", "b")]
     crowd = met.filter("crowded").select("fp").distinct()
-    links.append(_crowded_links(crowd).filter(_near("a", "b", radius)) if radius == 2 else
-                 _crowded_links(crowd).join(crowd, F.col("b") == F.col("fp"), "left_semi"))
+    links.append(_crowded_links(crowd, radius))
     return reduce(DataFrame.union, links)
 
 
