@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from codeq.operators.badges import issues_fixed, with_badge_details
 from codeq.operators.changes import FIX_CONFIDENCE
 from codeq.operators.findings import annotations
-from codeq.operators.metrics import review_metrics
 from codeq.operators.rollups import (
     STATS,
     author_counts,
@@ -16,7 +15,6 @@ from codeq.operators.rollups import (
     top_rules,
     with_author_stats,
 )
-from codeq.operators.running import attach
 from codeq.operators.syntax import FINDING_FIELDS
 from codeq.operators.timeline import (
     longest_streak,
@@ -25,7 +23,7 @@ from codeq.operators.timeline import (
     review_days,
     rolling_quality_exact,
 )
-from codeq.rules.catalogue import CATEGORIES, MAX_FILES_PER_REVIEW, SEVERITIES
+from codeq.rules.catalogue import CATEGORIES, SEVERITIES
 
 
 def _listed(df: DataFrame, key: str, name: str, order: str, *columns: str) -> DataFrame:
@@ -50,27 +48,19 @@ def _issue() -> Column:
 
 
 def review_detail(files: DataFrame, metrics: DataFrame, findings: DataFrame) -> DataFrame:
-    """Reviews with their files, these with their issues, these with their suggestions.
+    """One row per file of a review: text, metrics, issues with their suggestions, annotations.
 
-    ``metrics`` and ``findings`` are best given as written tables, as they are used more than once.
-    A review comes in parts of about as many files as one review may have, so one of the usual
-    size is one row, and one with a large share of all files is many: review_id, part_no, n_parts.
-    The lists per file are bounded by the file's text.
+    A review is as many rows as it has files, whatever their number; its own figures are those of
+    ``review_metrics``. The lists are bounded by the file's text. ``findings`` is best given as a
+    written table, as it is used twice.
     """
     issues = findings.groupBy("file_id").agg(F.sort_array(F.collect_list(_issue())).alias("issues"))
-    detailed = (
+    none = F.create_map().cast("map<string,array<string>>")
+    return (
         metrics.join(files.select("file_id", "content"), "file_id")
         .join(issues, "file_id", "left").join(annotations(findings), "file_id", "left")
+        .withColumns({**_or_empty("issues"), "annotations": F.coalesce("annotations", none)})
     )
-    parts = metrics.groupBy("review_id").agg(
-        F.ceil(F.count("*") / MAX_FILES_PER_REVIEW).alias("n_parts"))
-    numbered = attach(detailed, parts, "review_id", "file_id").withColumn(
-        "part_no", F.pmod(F.xxhash64("file_id"), "n_parts") + 1)
-    own = [c for c in detailed.columns if c != "review_id"]
-    grouped = numbered.groupBy("review_id", "part_no", "n_parts").agg(
-        F.collect_list(F.struct(*own)).alias("files"))
-    in_order = F.array_sort("files", lambda a, b: F.signum(a.file_id - b.file_id).cast("int"))
-    return grouped.withColumn("files", in_order).join(review_metrics(files, metrics), "review_id")
 
 
 def user_profile(users: DataFrame, reviews: DataFrame, issues: DataFrame, toggles: DataFrame,

@@ -109,14 +109,3 @@ def first_rows_plain(df: DataFrame, keys: Sequence[str], order: Level, n: int,
                      name: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*_order(order)))
     return df.withColumn(name, place).filter(F.col(name) <= n)
-
-
-def attach(rows: DataFrame, values: DataFrame, key: str, spread_on: str) -> DataFrame:
-    """Join one row per key to all rows of that key, dealing a key's rows to several tasks.
-
-    For when the result is grouped further by the key and something else, where Spark would keep
-    a hot key in one task.
-    """
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.lit(SALTS)).cast("int"))
-    right = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [key, "_salt"]).drop("_salt")

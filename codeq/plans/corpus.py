@@ -267,24 +267,30 @@ def syntax_facts(spark, folder):
     return syntax.facts_table(t.files(spark, folder)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+STRUCTURE_FIELDS = ("review_id", "file_id", "rule_id", "line_start", "line_end", "severity", "title",
+                    "message", "code_snippet", "fix_description")
+
+
+def comparable(found: DataFrame) -> DataFrame:
+    """Findings without the line and message of a syntax error, which depend on the parser's version."""
+    known = F.col("rule_id") != "SYNTAX001"
+    return found.withColumns({c: F.when(known, F.col(c)) for c in ("line_start", "message")})
+
+
 def _structure(spark, folder, rule_id: str) -> DataFrame:
     found = syntax.explode_findings(
         t.files(spark, folder), syntax.structure_findings())
-    return found.filter(F.col("rule_id") == rule_id).select(
-        "review_id", "file_id", "rule_id", "line_start", "severity")
+    return comparable(found.filter(F.col("rule_id") == rule_id)).select(*STRUCTURE_FIELDS)
 
 
 def _structure_sql(rule_id: str) -> str:
-    return s.with_ctes("v_files snippet_findings", f"""
-        SELECT review_id, file_id, rule_id, (prose_lines + line)::INTEGER AS line_start, severity
-        FROM v_files JOIN snippet_findings USING (k) WHERE rule_id = '{rule_id}'""")
+    return s.with_ctes("full_findings", f"""
+        SELECT {', '.join(STRUCTURE_FIELDS)} FROM full_findings WHERE rule_id = '{rule_id}'""")
 
 
-@query(s.with_ctes("v_files snippet_findings", """
-    SELECT review_id, file_id, rule_id, severity FROM v_files JOIN snippet_findings USING (k)
-    WHERE rule_id = 'SYNTAX001'"""))
+@query(_structure_sql("SYNTAX001"))
 def syntax_errors(spark, folder):
-    return _structure(spark, folder, "SYNTAX001").drop("line_start")
+    return _structure(spark, folder, "SYNTAX001")
 
 
 @query(_structure_sql("AST001"))
@@ -322,10 +328,8 @@ def ast_class_docstring(spark, folder):
     return _structure(spark, folder, "AST007")
 
 
-@query(s.with_ctes("numbered", f"""
-    SELECT file_id, line_no AS line_start, substring(line, 1, 80) || '...' AS code_snippet,
-           'Line ' || line_no || ' is ' || length(line) || ' characters (max 120). Long lines reduce readability. Break it up.' AS message
-    FROM numbered WHERE language = 'python' AND k <> {s.BROKEN} AND length(line) > 120"""))
+@query(s.with_ctes("full_findings", """
+    SELECT file_id, line_start, code_snippet, message FROM full_findings WHERE rule_id = 'AST010'"""))
 def long_lines(spark, folder):
     found = syntax.explode_findings(
         t.files(spark, folder),
@@ -356,14 +360,14 @@ def _complexity(spark, folder, rule_id: str) -> DataFrame:
     return found.filter(F.col("rule_id") == rule_id).select("file_id", "severity", "message")
 
 
-@query(s.with_ctes("v_files", """
-    SELECT file_id, 'critical' AS severity, 'Cyclomatic complexity is 22 (threshold: 20). This code is extremely hard to test. Break into smaller functions.' AS message FROM v_files WHERE k = 11"""))
+@query(s.with_ctes("full_findings", """
+    SELECT file_id, severity, message FROM full_findings WHERE rule_id = 'COMP001'"""))
 def comp_cyclomatic(spark, folder):
     return _complexity(spark, folder, "COMP001")
 
 
-@query(s.with_ctes("v_files", """
-    SELECT file_id, 'warning' AS severity, 'Cognitive complexity is 21. Code with high cognitive complexity is hard to read and reason about.' AS message FROM v_files WHERE k = 11"""))
+@query(s.with_ctes("full_findings", """
+    SELECT file_id, severity, message FROM full_findings WHERE rule_id = 'COMP002'"""))
 def comp_cognitive(spark, folder):
     return _complexity(spark, folder, "COMP002")
 
@@ -394,15 +398,9 @@ def to_pascal(spark, folder):
     return _names(spark, folder).select("name", naming.to_pascal("name").alias("better"))
 
 
-@query(s.with_ctes("findings", """
-    SELECT review_id, file_id, rule_id, category, severity,
-           CASE WHEN rule_id <> 'SYNTAX001' THEN line_start END::INTEGER AS line_start
-    FROM findings"""))
+@query(s.with_ctes("full_findings", "SELECT * FROM full_findings"))
 def all_findings(spark, folder):
-    """All findings; the line of a syntax error depends on the parser version and is left out."""
-    return fnd.all_findings(t.files(spark, folder)).select(
-        "review_id", "file_id", "rule_id", "category", "severity",
-        F.when(F.col("rule_id") != "SYNTAX001", F.col("line_start")).alias("line_start"))
+    return comparable(fnd.all_findings(t.files(spark, folder)))
 
 
 @query(s.with_ctes("v_files severity_by_file", """

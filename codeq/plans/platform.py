@@ -9,11 +9,12 @@ from codeq.functions.metrics import extension
 from codeq.operators import audits, badges, changes, listing, nested, rollups, scan, timeline
 from codeq.operators import findings as findings_of
 from codeq.operators import metrics as metrics_of
+from codeq.plans import corpus
 from codeq.plans import sql as s
 from codeq.plans.registry import query
 from codeq.rules.catalogue import CATEGORIES, LANGUAGES, SEVERITIES, STATUSES
 from codeq.sources import tables as t
-from codeq.sources.sinks import read_back, write_findings, write_table
+from codeq.sources.sinks import read_back, write_findings
 
 TODAY = "2024-01-30"
 NOW = "2024-01-31 00:00:00"
@@ -373,16 +374,15 @@ def badges_to_award(spark, folder):
     return badges.not_held(_held(spark, folder), held).select("user_id", "badge_id")
 
 
-@query(s.with_ctes("done v_reviews", """
+@query(s.with_ctes("done v_users", """
     SELECT author_id AS user_id, 1::BIGINT AS badge_id FROM done
-    WHERE created_at >= TIMESTAMP '2001-01-01' GROUP BY author_id HAVING count(*) = 1"""))
+    WHERE author_id NOT IN (SELECT user_id FROM v_users WHERE NOT is_active)
+    GROUP BY author_id HAVING count(*) = 1"""))
 def first_review_badge(spark, folder):
-    """Who gets the badge for reviews of 2001, nobody holding one before."""
-    reviews = t.reviews(spark, folder).filter(
-        F.col("created_at") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-    nobody = timeline.first_review(reviews.filter(F.lit(False))).select(
-        F.col("author_id").alias("user_id"), F.lit(1).cast("long").alias("badge_id"))
-    return badges.first_review_awards(reviews, nobody)
+    """Who gets the badge, given that every inactive user holds one already."""
+    held = t.users(spark, folder).filter("not is_active").select(
+        "user_id", F.lit(1).cast("long").alias("badge_id"))
+    return badges.first_review_awards(t.reviews(spark, folder), held)
 
 
 @query(s.with_ctes("held", """
@@ -462,24 +462,55 @@ def coerce_language(spark, folder):
 # Documents --------------------------------------------------------------------------------------
 
 def _detail(spark, folder):
-    """Review documents, put together from written tables of findings and metrics."""
+    """Files of reviews as documents, put together from a written table of findings."""
     files = t.files(spark, folder)
     findings = read_back(spark, write_findings(findings_of.all_findings(files)))
-    metrics = read_back(spark, write_table(metrics_of.file_metrics(files), purpose="metrics"))
-    return nested.review_detail(files, metrics, findings)
+    detail = nested.review_detail(files, metrics_of.file_metrics(files), corpus.comparable(findings))
+    return detail.select(*corpus.FILE_METRICS, "content", "issues", "annotations")
+
+
+DETAIL = {
+    "issue_lists": """
+    SELECT file_id, list(struct_pack(
+               line_start := line_start, rule_id := rule_id, category := category, severity := severity,
+               title := title, message := message, line_end := line_end, code_snippet := code_snippet,
+               is_fixable := is_fixable, fix_description := fix_description,
+               suggestions := CASE WHEN fix_description IS NULL THEN [] ELSE [struct_pack(
+                   title := 'Auto-fix: ' || title, explanation := fix_description,
+                   confidence := 0.9::DOUBLE)] END)
+           ORDER BY line_start NULLS FIRST, rule_id, category, severity, title, message NULLS FIRST,
+               line_end NULLS FIRST, code_snippet NULLS FIRST) AS issues
+    FROM full_findings GROUP BY file_id""",
+    "label_lists": """
+    SELECT file_id, line_start::VARCHAR AS line,
+           list('[' || upper(severity) || '] ' || title ORDER BY '[' || upper(severity) || '] ' || title) AS labels
+    FROM full_findings WHERE line_start IS NOT NULL GROUP BY ALL""",
+    "notes": """
+    SELECT file_id, map(list(line ORDER BY line), list(labels ORDER BY line)) AS notes
+    FROM label_lists GROUP BY file_id""",
+    "detail": f"""
+    SELECT {', '.join(f'm.{c}' for c in corpus.FILE_METRICS)}, content,
+           coalesce(to_json(issues)::VARCHAR, '[]') AS issues,
+           coalesce(to_json(notes)::VARCHAR, '{{}}') AS annotations
+    FROM file_metrics m JOIN v_files f ON m.file_id = f.file_id
+    LEFT JOIN issue_lists i ON i.file_id = m.file_id LEFT JOIN notes n ON n.file_id = m.file_id""",
+}
 
 
-@query()
+@query(s.with_ctes("file_metrics v_files full_findings", "SELECT * FROM detail", **DETAIL))
 def review_detail(spark, folder):
-    return _detail(spark, folder)
+    return nested.as_json(_detail(spark, folder), "issues", "annotations")
 
 
-@query()
+@query(s.with_ctes("file_metrics v_files full_findings", f"""
+    SELECT review_id, file_id, '{{' || concat_ws(',', {', '.join(
+        f"""'"{c}":' || to_json({c})::VARCHAR""" for c in (*corpus.FILE_METRICS, 'content'))},
+        '"issues":' || issues, '"annotations":' || annotations) || '}}' AS report
+    FROM detail""", **DETAIL))
 def report_json(spark, folder):
-    """Each part of each review as one JSON document."""
+    """Each file of each review as one JSON document."""
     return _detail(spark, folder).select(
-        "review_id", "part_no",
-        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("report"))
+        "review_id", "file_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("report"))
 
 
 @query(s.with_ctes("v_users scores totals review_streaks fixed held done", """

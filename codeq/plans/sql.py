@@ -6,6 +6,7 @@ made visible first: ``words`` puts a mark before and after each run of word char
 
 from __future__ import annotations
 
+from codeq.operators.syntax import TEXTS
 from codeq.rules.catalogue import BADGES, EXTENSION_LANGUAGE, PATTERN_RULES, SEVERITIES, PatternRule
 from codeq.sources.snippets import SNIPPETS
 
@@ -52,6 +53,13 @@ def round_exact(column: str, digits: int, ties: str = "even") -> str:
             f" / {scale}.0::DOUBLE)")
 
 
+def filled(text: str | None, values: dict[str, str]) -> str | None:
+    """A text of the syntax rules with its values."""
+    for name, value in values.items():
+        text = text and text.replace("{" + name + "}", value)
+    return text
+
+
 def band(column: str, bounds, other: str, sign: str = ">=") -> str:
     whens = " ".join(f"WHEN {column} {sign} {bound} THEN {quote(name)}" for bound, name in bounds)
     return f"CASE {whens} ELSE {quote(other)} END"
@@ -66,6 +74,21 @@ SYNTAX_FINDINGS = (
     (8, "AST005", "warning", 1), (9, "AST004", "info", 1), (10, "AST004", "warning", 1),
     (11, "AST004", "info", 1), (11, "COMP001", "critical", None), (11, "COMP002", "warning", None),
 )
+# The same in the same order: text, values in it, line it ends on, snippet.
+SYNTAX_DETAILS = (
+    ("function_docstring", {"name": "add"}, None, None),
+    ("mutable_default", {"name": "add"}, None, None), ("mutable_default", {"name": "add"}, None, None),
+    ("syntax_error", {"name": ""}, None, None),
+    ("class_name", {"name": "user_box", "better": "UserBox"}, None, None),
+    ("class_docstring", {"name": "user_box"}, None, None),
+    ("function_name", {"name": "getItem", "better": "get_item"}, None, "def getItem(...)"),
+    ("function_docstring", {"name": "getItem"}, None, None),
+    ("many_arguments", {"name": "wide", "n": "8"}, None, None),
+    ("function_longish", {"name": "mid", "n": "34"}, None, None),
+    ("function_long", {"name": "big", "n": "56"}, 57, None),
+    ("function_longish", {"name": "deep", "n": "43"}, None, None),
+    ("cyclomatic_critical", {"n": "22"}, None, None), ("cognitive", {"n": "21"}, None, None),
+)
 SYNTAX_CATEGORY = {
     "AST001": "style", "AST002": "documentation", "AST003": "bug", "AST004": "maintainability",
     "AST005": "maintainability", "AST006": "style", "AST007": "documentation",
@@ -183,6 +206,34 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL
         SELECT review_id, file_id, 'AST010', 'style', 'info', line_no FROM numbered
         WHERE language = 'python' AND k <> {BROKEN} AND length(line) > 120"""),
+    "snippet_details": ((), "SELECT * FROM (" + values(
+        (k, rule, SYNTAX_CATEGORY[rule], severity, line, end, snippet,
+         *(filled(part, own) for part in TEXTS[text]))
+        for (k, rule, severity, line), (text, own, end, snippet) in zip(
+            SYNTAX_FINDINGS, SYNTAX_DETAILS, strict=True))
+        + ") t(k, rule_id, category, severity, line, end_line, code_snippet, title, message,"
+          " fix_description)"),
+    # Findings with all their fields, but for the line and the message of a syntax error, which
+    # depend on the parser's version.
+    "full_findings": (("matches", "rules", "lines", "snippet_details", "v_files", "numbered"), rf"""
+        SELECT m.review_id, m.file_id, rule_id, category, severity, title, message,
+               line_start::INTEGER AS line_start, NULL::INTEGER AS line_end,
+               CASE WHEN line_start <= len(lines) THEN substring(regexp_replace(
+                   lines[line_start], '^[{SPACE}]+|[{SPACE}]+$', '', 'g'), 1, 200) ELSE '' END
+                   AS code_snippet, is_fixable, fix_description
+        FROM matches m JOIN rules USING (rule_id) JOIN lines l ON m.file_id = l.file_id
+        UNION ALL
+        SELECT review_id, file_id, rule_id, category, severity, title,
+               CASE WHEN rule_id <> 'SYNTAX001' THEN message END,
+               (prose_lines + line)::INTEGER, (prose_lines + end_line)::INTEGER, code_snippet,
+               fix_description IS NOT NULL, fix_description
+        FROM v_files JOIN snippet_details USING (k)
+        UNION ALL
+        SELECT review_id, file_id, 'AST010', 'style', 'info', {quote(TEXTS["long_line"][0])},
+               replace(replace({quote(TEXTS["long_line"][1])}, '{{line}}', line_no::VARCHAR),
+                       '{{n}}', length(line)::VARCHAR),
+               line_no::INTEGER, NULL, substring(line, 1, 80) || '...', false, NULL
+        FROM numbered WHERE language = 'python' AND k <> {BROKEN} AND length(line) > 120"""),
     "severity_by_file": (("findings",), """
         SELECT file_id, count(*) AS n,
                count(*) FILTER (severity = 'critical') AS critical,

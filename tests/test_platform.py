@@ -216,17 +216,13 @@ def test_leaderboard_ties(spark):
     assert board[0]["streak_days"] == 2 and board[1]["total_reviews"] == 0
 
 
-def test_review_documents_are_whole(make_files):
-    """A review far over the usual size comes in parts, and no file or issue is lost."""
-    files = make_files({i: (f"f{i}.py", f"eval(x{i})\nprint({i})\n", "hot" if i < 90 else f"r{i}")
-                        for i in range(100)})
+@pytest.mark.parametrize("n", [19, 20, 21, 90])
+def test_review_documents_have_one_grain(make_files, n):
+    """One row per file, however many files a review has."""
+    files = make_files({i: (f"f{i}.py", f"eval(x{i})\nprint({i})\n" if i else "", "hot") for i in range(n)})
     found, measured = findings.all_findings(files), metrics.file_metrics(files)
-    parts = nested.review_detail(files, measured, found).collect()
-    hot = [p for p in parts if p["review_id"] == "hot"]
-    assert len(hot) > 1 and all(p["n_parts"] == 5 for p in hot)
-    ids = sorted(f["file_id"] for p in parts for f in p["files"])
-    assert ids == list(range(100))
-    assert sum(len(f["issues"]) for p in parts for f in p["files"]) == found.count()
-    first = next(f for p in parts for f in p["files"] if f["file_id"] == 0)
-    assert first["annotations"]["1"] == ["[CRITICAL] Dangerous eval() usage"]
-    assert first["issues"][0]["suggestions"][0]["confidence"] == 0.9
+    rows = nested.review_detail(files, measured, found).orderBy("file_id").collect()
+    assert [(r["review_id"], r["file_id"]) for r in rows] == [("hot", i) for i in range(n)]
+    assert rows[0]["issues"] == [] and rows[0]["annotations"] == {}
+    assert all(r["annotations"]["1"] == ["[CRITICAL] Dangerous eval() usage"] for r in rows[1:])
+    assert all(r["issues"][0]["suggestions"][0]["confidence"] == 0.9 for r in rows[1:])
