@@ -7,11 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeq.operators.running import first_rows, with_positions
+from codeq.operators.rollups import author_totals, complete
+from codeq.operators.running import by_time, first_rows, with_positions
+from codeq.operators.timeline import longest_streak, review_days, rolling_quality_exact
 from codeq.rules.catalogue import SEVERITIES
+from codeq.sources.sinks import read_back, write_table
 
 PAGE_SIZE = 20
 LAST_LINE = 2**31 - 1
+LINE_BLOCK = 256
 
 
 def where_all(df: DataFrame, conditions: list[Column]) -> DataFrame:
@@ -51,20 +55,20 @@ def severity_rank(severity: Column) -> Column:
 
 def order_issues(issues: DataFrame) -> DataFrame:
     """Issues with their place in their review: most serious first, then by line, no line last."""
+    line = F.coalesce("line_start", F.lit(LAST_LINE))
     keyed = issues.withColumns({
-        "severity_rank": severity_rank(F.col("severity")),
-        "line_key": F.coalesce("line_start", F.lit(LAST_LINE)),
-        "block": F.substring("issue_id", 1, 2),
+        "severity_rank": severity_rank(F.col("severity")), "line_key": line,
+        "line_block": F.floor(line / LINE_BLOCK), "block": F.substring("issue_id", 1, 1),
     })
-    levels = [["-severity_rank", "line_key", "rule_id"], ["block"], ["issue_id"]]
-    return with_positions(keyed, ["review_id"], levels).drop("line_key", "block")
+    return with_positions(
+        keyed, ["review_id"], ["-severity_rank", "line_block"], ["line_key", "rule_id", "block"],
+        ["issue_id"]).drop("line_key", "line_block", "block")
 
 
 def order_reviews(reviews: DataFrame) -> DataFrame:
     """Reviews with their place among their author's, newest first."""
-    blocked = reviews.withColumn("block", F.floor(F.col("review_id") / 2**20))
-    levels = [["-created_at"], ["-block"], ["-review_id"]]
-    return with_positions(blocked, ["author_id"], levels).drop("block")
+    return with_positions(by_time(reviews, "created_at", "review_id"), ["author_id"], ["-minute"],
+                          ["-created_at", "-block"], ["-review_id"]).drop("minute", "block")
 
 
 def page_of_reviews(reviews: DataFrame, status: str | None = None, skip: int = 0,
@@ -81,8 +85,8 @@ def page_of_reviews(reviews: DataFrame, status: str | None = None, skip: int = 0
 
 def order_repositories(repositories: DataFrame) -> DataFrame:
     """Repositories with their place among their owner's, last updated first."""
-    levels = [["-updated_at"], ["repository_id"]]
-    return with_positions(repositories, ["owner_id"], levels)
+    return with_positions(by_time(repositories, "updated_at", "repository_id"), ["owner_id"], ["-minute"],
+                          ["-updated_at", "block"], ["repository_id"]).drop("minute", "block")
 
 
 def taken_accounts(users: DataFrame) -> DataFrame:
@@ -99,18 +103,26 @@ def taken_accounts(users: DataFrame) -> DataFrame:
     return flagged.filter(F.col("username_taken") | F.col("email_taken"))
 
 
-def leaderboard(users: DataFrame, scores: DataFrame, totals: DataFrame, streaks: DataFrame,
-                n: int = 10) -> DataFrame:
-    """The active users with the best scores, ranked from 1, ties by user id."""
+def leaderboard(users: DataFrame, reviews: DataFrame, issues: DataFrame, n: int = 10) -> DataFrame:
+    """The active users with the best scores, ranked from 1, ties by user id.
+
+    The board is found and written first; reviews, issues and days are then cut down to its ``n``
+    users before anything is counted.
+    """
+    done = complete(reviews)
+    scores = rolling_quality_exact(done).withColumnRenamed("author_id", "user_id")
     best = (
-        users.filter("is_active").join(scores, F.col("user_id") == F.col("author_id"), "left")
-        .select("user_id", "username", F.coalesce("quality_score", F.lit(0.0)).alias("quality_score"))
+        users.filter("is_active").join(scores, "user_id", "left")
+        .select("user_id", "username", "full_name", F.coalesce("quality_score", F.lit(0.0)).alias("quality_score"))
         .orderBy(F.col("quality_score").desc(), "user_id").limit(n)
     )
-    # The board has ten rows at most, so it is safe to broadcast.
-    details = totals.withColumnRenamed("author_id", "user_id").join(streaks, "user_id", "left")
-    of_board = details.join(F.broadcast(best.select("user_id")), "user_id", "left_semi")
-    listed = best.join(of_board, "user_id", "left").fillna(
+    best = read_back(users.sparkSession, write_table(best, purpose="board"))
+    board = F.broadcast(best.select(F.col("user_id").alias("author_id")))  # n rows
+    own = done.join(board, "author_id", "left_semi")
+    found = issues.join(own.select("review_id"), "review_id", "left_semi")
+    details = author_totals(found, own).withColumnRenamed("author_id", "user_id").join(
+        longest_streak(review_days(own)), "user_id", "left")
+    listed = best.join(details, "user_id", "left").fillna(
         0, ["total_reviews", "total_issues_found", "streak_days"])
     return first_rows(listed.withColumn("board", F.lit(1)), ["board"], ["-quality_score", "user_id"],
                       n, "rank").drop("board")

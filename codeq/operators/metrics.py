@@ -17,6 +17,7 @@ from codeq.functions.text import (
     split_lines,
 )
 from codeq.operators.duplication import duplication
+from codeq.operators.rollups import SUMMED
 from codeq.operators.scan import scan_input, severity_match_counts
 from codeq.operators.syntax import (
     MAX_LINE,
@@ -116,18 +117,20 @@ def review_totals(metrics: DataFrame) -> DataFrame:
         *[F.sum(f"{s}_issues").alias(f"{s}_issues") for s in SEVERITIES])
 
 
+def _total(column: str) -> Column:
+    return F.sum(F.col(column).cast(SUMMED))
+
+
 def review_averages(metrics: DataFrame) -> DataFrame:
     """Average score, maintainability and complexity per review.
 
-    The measures are summed as whole tenths, so the result does not depend on the order of rows.
+    The measures are summed exactly, so the result does not depend on the order of rows.
     """
-    tenths = lambda c: F.sum(F.round(F.col(c) * 10).cast("long"))
     sums = metrics.groupBy("review_id").agg(
-        F.count("*").alias("n"), tenths("quality_score").alias("q"),
-        tenths("maintainability").alias("mi"), F.sum(F.col("cyclomatic").cast("long")).alias("cc"))
-    means = sums.select(
-        "review_id", (F.col("q") / 10.0 / F.col("n")).alias("q"),
-        (F.col("mi") / 10.0 / F.col("n")).alias("mi"), (F.col("cc") / F.col("n")).alias("cc"))
+        F.count("*").alias("n"), _total("quality_score").alias("q"),
+        _total("maintainability").alias("mi"), _total("cyclomatic").alias("cc"))
+    means = sums.select("review_id", *[
+        (F.col(c).cast("double") / F.col("n")).alias(c) for c in ("q", "mi", "cc")])
     return means.select(
         "review_id", round_exact(F.col("q"), 1).alias("quality_score"),
         round_exact(F.col("mi"), 1).alias("maintainability"),
@@ -140,17 +143,15 @@ def review_metrics(files: DataFrame, metrics: DataFrame | None = None) -> DataFr
     ``n_failed`` counts the files that could not be analysed.
     """
     metrics = file_metrics(files) if metrics is None else metrics
-    tenths = lambda c: F.sum(F.round(F.col(c) * 10).cast("long"))
     sums = metrics.groupBy("review_id").agg(
         F.count("*").alias("total_files"), F.sum("loc").alias("total_lines"),
         F.sum("issue_count").alias("total_issues"),
         *[F.sum(f"{s}_issues").alias(f"{s}_issues") for s in SEVERITIES],
         F.count_if("analysis_failed").alias("n_failed"),
-        tenths("quality_score").alias("q"), tenths("maintainability").alias("mi"),
-        F.sum(F.col("cyclomatic").cast("long")).alias("cc"))
-    n = F.col("total_files")
-    means = (sums.withColumn("q", F.col("q") / 10.0 / n).withColumn("mi", F.col("mi") / 10.0 / n)
-             .withColumn("cc", F.col("cc") / n))
+        _total("quality_score").alias("q"), _total("maintainability").alias("mi"),
+        _total("cyclomatic").alias("cc"))
+    means = sums.withColumns({
+        c: F.col(c).cast("double") / F.col("total_files") for c in ("q", "mi", "cc")})
     rounded = (
         means.withColumn("quality_score", round_exact(F.col("q"), 1))
         .withColumn("maintainability", round_exact(F.col("mi"), 1))

@@ -13,6 +13,8 @@ from codeq.functions.rounding import round_exact
 from codeq.operators.running import first_rows
 from codeq.rules.catalogue import CATEGORIES, SEVERITIES
 
+# Doubles are summed in this type: exactly, so in any order, and to ten places.
+SUMMED = "decimal(38, 10)"
 COUNTS = ["n_issues", "n_fixable", *SEVERITIES, *CATEGORIES]
 
 
@@ -74,15 +76,15 @@ def top_rules(issues: DataFrame, reviews: DataFrame, k: int = 5) -> DataFrame:
     return first_rows(per_author, ["author_id"], ["-n", "rule_id"], k)
 
 
-def _mean_score(sum_tenths: Column, n: Column) -> Column:
-    return F.coalesce(sum_tenths, F.lit(0)) / 10.0 / F.greatest(n, F.lit(1))
+def _mean_score(total: Column, n: Column) -> Column:
+    return F.coalesce(total.cast("double"), F.lit(0.0)) / F.greatest(n, F.lit(1))
 
 
 def _score_sums(reviews: DataFrame, *keys: str) -> DataFrame:
-    """Complete reviews per key; scores are summed as whole tenths, so order does not matter."""
-    tenths = F.round(F.coalesce("quality_score", F.lit(0.0)) * 10).cast("long")
+    """Complete reviews per key; scores are summed exactly, so order does not matter."""
+    score = F.coalesce("quality_score", F.lit(0.0)).cast(SUMMED)
     return complete(reviews).groupBy(*keys).agg(
-        F.count("*").alias("total_reviews"), F.sum(tenths).alias("tenths"),
+        F.count("*").alias("total_reviews"), F.sum(score).alias("score_sum"),
         F.sum(F.coalesce("total_lines", F.lit(0))).alias("total_lines"),
         F.max("quality_score").alias("best_score"))
 
@@ -102,8 +104,8 @@ def with_author_stats(authors: DataFrame, counts: DataFrame, reviews: DataFrame)
     joined = (
         authors.join(_score_sums(reviews, "author_id"), "author_id", "left")
         .join(counts, "author_id", "left")
-        .fillna(0, ["total_reviews", "tenths", "total_lines", "n_fixable"])
-        .withColumn("mean", _mean_score(F.col("tenths"), F.col("total_reviews")))
+        .fillna(0, ["total_reviews", "total_lines", "n_fixable"])
+        .withColumn("mean", _mean_score(F.col("score_sum"), F.col("total_reviews")))
     )
     return joined.withColumns({
         "avg_quality": round_exact(F.col("mean"), 1), "total_lines_reviewed": F.col("total_lines"),
@@ -137,7 +139,7 @@ def repository_rollup(issues: DataFrame, reviews: DataFrame) -> DataFrame:
     counts = (of_repo.select("review_id", "repository_id").join(review_counts(issues), "review_id")
               .groupBy("repository_id").agg(*[F.expr(f"sum({c}) as {c}") for c in COUNTS]))
     joined = sums.join(counts, "repository_id", "left").fillna(0, COUNTS).withColumn(
-        "mean", _mean_score(F.col("tenths"), F.col("total_reviews")))
+        "mean", _mean_score(F.col("score_sum"), F.col("total_reviews")))
     return joined.select(
         "repository_id", "total_reviews", round_exact(F.col("mean"), 1).alias("avg_quality_score"),
         F.col("n_issues").alias("total_issues"),

@@ -1,8 +1,8 @@
 """Running totals, positions and firsts per key that hold up when one key owns much of the table.
 
-A plain window puts all rows of a key in one task. For a key too large for that, its order is cut
-into levels, say day, block of ids, id: totals per level come from a grouping that combines early,
-windows run over those few totals, and only the rows of one finest group share a task.
+A plain window puts all rows of a key in one task. Here the order within a key is cut into coarse
+groups, say minutes, and these into fine ones, say time and block of ids: totals come from a grouping
+that combines early, windows run over totals, and only the rows of one fine group share a task.
 """
 
 from __future__ import annotations
@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 # A column name, with a leading "-" for descending order.
 Level = Sequence[str]
 
-GROUP_LIMIT = 1000
-HOT_ROWS = 1_000_000
-SALTS = 32
+ID_BLOCK = 2**20
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def _names(level: Level) -> list[str]:
@@ -28,84 +27,62 @@ def _order(level: Level) -> list[Column]:
     return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in level]
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], levels: Sequence[Level],
-                   measures: dict[str, Column], hot_rows: int | None = None) -> DataFrame:
-    """``df`` with a running total per measure, in the order of the levels, within each key.
+def by_time(df: DataFrame, time: str, number: str) -> DataFrame:
+    """``df`` with ``minute`` and ``block``, which cut an order by time and then by number.
 
-    Keys of bearable size take a plain window; only those with more than ``hot_rows`` rows are
-    worked out level by level. A table has at most one such key per ``hot_rows`` rows, a few
-    megabytes for a trillion rows, so the list of them is safe to broadcast; on most tables it is
-    empty, and the second branch is dropped at run time.
-
-    Level columns must not be null. The last level orders single rows; the ones before it should
-    cut a key into groups of bearable size.
+    A key has at most 525,600 minutes a year, however many rows.
     """
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    hot = F.broadcast(df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-                      .filter(F.col("_rows") > limit).select(*keys))
-    order = [c for level in levels for c in _order(level)]
-    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    plain = df.join(hot, list(keys), "left_anti").select(
-        *df.columns, *[F.sum(column).over(so_far).alias(name) for name, column in measures.items()])
-    return plain.unionByName(
-        _totals_by_level(df.join(hot, list(keys), "left_semi"), keys, levels, measures))
+    return df.withColumns({"minute": F.date_trunc("minute", time),
+                           "block": F.floor(F.col(number) / ID_BLOCK)})
 
 
-def _totals_by_level(df: DataFrame, keys: Sequence[str], levels: Sequence[Level],
-                     measures: dict[str, Column]) -> DataFrame:
-    """Running totals from totals per level; only rows of one finest group share a task."""
+def running_totals(df: DataFrame, keys: Sequence[str], coarse: Level, fine: Level, single: Level,
+                   measures: dict[str, Column]) -> DataFrame:
+    """``df`` with a running total per measure within each key, ordered by the three levels.
+
+    ``coarse`` should have a bounded number of values per key, as their totals share a task, and
+    ``fine`` a bounded number per coarse group, as these are held in one row; ``single`` orders the
+    rows of a fine group, which share a task. Level columns must not be null. The input is read
+    twice: for the totals, and for the rows.
+    """
     own = {f"_{name}": column for name, column in measures.items()}
     rows = df.withColumns(own)
     sums = [F.sum(c).alias(c) for c in own]
-    before = [f"{c}_before" for c in own]
-
-    finest = [*keys, *[c for level in levels[:-1] for c in _names(level)]]
-    totals = rows.groupBy(*finest).agg(*sums)
-    offsets = None
-    for depth in range(len(levels) - 1):
-        outer = [*keys, *[c for level in levels[:depth] for c in _names(level)]]
-        inner = outer + _names(levels[depth])
-        at_depth = totals if inner == finest else totals.groupBy(*inner).agg(*sums)
-        earlier = Window.partitionBy(*outer).orderBy(*_order(levels[depth])).rowsBetween(
+    before = {c: f"{c}_before" for c in own}
+    outer, inner = [*keys, *_names(coarse)], [*keys, *_names(coarse), *_names(fine)]
+
+    def ahead(group: list[str], order: Level) -> list[Column]:
+        earlier = Window.partitionBy(*group).orderBy(*_order(order)).rowsBetween(
             Window.unboundedPreceding, -1)
-        step = at_depth.select(*inner, *[
-            F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(b) for c, b in zip(own, before)])
-        if offsets is None:
-            offsets = step
-        else:
-            coarse = offsets.withColumnsRenamed({b: f"{b}_outer" for b in before})
-            offsets = step.join(coarse, outer).select(
-                *inner, *[(F.col(b) + F.col(f"{b}_outer")).alias(b) for b in before])
-
-    so_far = Window.partitionBy(*finest).orderBy(*_order(levels[-1])).rowsBetween(
+        return [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(b) for c, b in before.items()]
+
+    in_coarse = rows.groupBy(*inner).agg(*sums).select("*", *ahead(outer, fine)).groupBy(*outer).agg(
+        *sums, F.collect_list(F.struct(*_names(fine), *before.values())).alias("_fine"))
+    offsets = in_coarse.select(*outer, *ahead(list(keys), coarse), "_fine").select(
+        *outer, *before.values(), F.explode("_fine").alias("_f")).select(
+        *outer, *[f"_f.{c}" for c in _names(fine)],
+        *[(F.col(b) + F.col(f"_f.{b}")).alias(b) for b in before.values()])
+    so_far = Window.partitionBy(*inner).orderBy(*_order(single)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return rows.join(offsets, finest).select(*df.columns, *[
-        (F.sum(f"_{name}").over(so_far) + F.col(f"_{name}_before")).alias(name)
-        for name in measures])
+    return rows.join(offsets, inner).select(*df.columns, *[
+        (F.sum(f"_{name}").over(so_far) + F.col(f"_{name}_before")).alias(name) for name in measures])
 
 
-def with_positions(df: DataFrame, keys: Sequence[str], levels: Sequence[Level],
+def with_positions(df: DataFrame, keys: Sequence[str], coarse: Level, fine: Level, single: Level,
                    name: str = "position") -> DataFrame:
     """``df`` with each row's place, from 1, within its key."""
-    return running_totals(df, keys, levels, {name: F.lit(1).cast("long")})
+    return running_totals(df, keys, coarse, fine, single, {name: F.lit(1).cast("long")})
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Level, n: int,
                name: str = "place") -> DataFrame:
     """The first ``n`` rows of each key, with their place.
 
-    Up to 1000 rows Spark itself cuts each task's rows before the shuffle. Beyond that the rows of
-    a key are dealt to a few salts, cut there, and cut again together.
+    Spark cuts each task's rows to ``n`` per key before the shuffle; the session's limit for that is
+    raised where it is lower.
     """
-    if n > GROUP_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*_names(order)), F.lit(SALTS)))
-        df = first_rows_plain(salted, [*keys, "_salt"], order, n, "_in_salt").drop(
-            "_salt", "_in_salt")
-    return first_rows_plain(df, keys, order, n, name)
-
-
-def first_rows_plain(df: DataFrame, keys: Sequence[str], order: Level, n: int,
-                     name: str) -> DataFrame:
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT)) < n:
+        conf.set(GROUP_LIMIT, str(n))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*_order(order)))
     return df.withColumn(name, place).filter(F.col(name) <= n)

@@ -6,20 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeq.functions.rounding import round_exact
-from codeq.operators.rollups import complete
-from codeq.operators.running import first_rows, running_totals
+from codeq.operators.rollups import SUMMED, complete
+from codeq.operators.running import by_time, first_rows, running_totals
 
 TREND_LENGTH = 10
 TREND_TITLE = 30
 RECENT = 5
-ID_BLOCK = 2**20
 
-# A score moves by at most 100/n when review n arrives, which from the 2001st review on is less
-# than the 0.05 that rounding to one decimal needs to change it. So the first 2000 reviews of an
-# author settle the rolling score, whatever follows.
+# A score from 0 to 100 moves by at most 100/n when review n arrives, which from the 2001st review on
+# is less than the 0.05 that rounding to one decimal needs to change it. So the first 2000 reviews of
+# an author settle the rolling score, whatever follows. Scores outside that range are refused.
 SETTLED_AFTER = 2000
 
 
+def checked_score(score: Column) -> Column:
+    """The score if it is 0 to 100, else an error."""
+    return F.when(score.between(0, 100), score).otherwise(F.raise_error(
+        F.concat(F.lit("a complete review needs a score from 0 to 100, not "),
+                 F.coalesce(score.cast("string"), F.lit("null")))).cast("double"))
+
+
 def quality_trend(reviews: DataFrame, n: int = TREND_LENGTH) -> DataFrame:
     """The last complete reviews of each author, renumbered from 1 in order of time."""
     last = first_rows(complete(reviews), ["author_id"], ["-created_at", "-review_id"], n)
@@ -44,15 +50,16 @@ def first_review(reviews: DataFrame) -> DataFrame:
 
 
 def rolling_quality(reviews: DataFrame) -> DataFrame:
-    """Average score of an author's complete reviews up to and including each one."""
-    done = complete(reviews).select(
-        "author_id", "review_id", "created_at", "quality_score",
-        F.floor(F.col("review_id") / ID_BLOCK).alias("block"))
+    """Average score of an author's complete reviews up to and including each one.
+
+    Scores are summed as decimals, so the result does not depend on the order of partial sums.
+    """
+    done = complete(reviews).select("author_id", "review_id", "created_at", "quality_score")
     running = running_totals(
-        done, ["author_id"], [["created_at"], ["block"], ["review_id"]],
-        {"n": F.lit(1).cast("long"), "tenths": F.round(F.col("quality_score") * 10).cast("long")})
+        by_time(done, "created_at", "review_id"), ["author_id"], ["minute"], ["created_at", "block"],
+        ["review_id"], {"n": F.lit(1).cast("long"), "total": F.col("quality_score").cast(SUMMED)})
     return running.select("author_id", "review_id", F.col("n").alias("review_num"),
-                          (F.col("tenths") / 10.0 / F.col("n")).alias("rolling_quality"))
+                          (F.col("total").cast("double") / F.col("n")).alias("rolling_quality"))
 
 
 def _fold(scores: Column) -> Column:
@@ -71,8 +78,9 @@ def _fold(scores: Column) -> Column:
 
 def rolling_quality_exact(reviews: DataFrame) -> DataFrame:
     """The score each author has after all complete reviews, rounded after each of them."""
-    settling = first_rows(complete(reviews), ["author_id"], ["created_at", "review_id"],
-                          SETTLED_AFTER)
+    done = complete(reviews).select(
+        "author_id", "created_at", "review_id", checked_score(F.col("quality_score")).alias("quality_score"))
+    settling = first_rows(done, ["author_id"], ["created_at", "review_id"], SETTLED_AFTER)
     ordered = settling.groupBy("author_id").agg(
         F.array_sort(F.collect_list(F.struct("place", "quality_score"))).alias("steps"))
     return ordered.select(

@@ -263,17 +263,14 @@ def fix_coverage(spark, folder):
 # Time -------------------------------------------------------------------------------------------
 
 def _board(spark, folder):
-    reviews, issues = _done(spark, folder), t.issues(spark, folder)
     return listing.leaderboard(
-        t.users(spark, folder), timeline.rolling_quality_exact(reviews),
-        rollups.author_totals(issues, reviews),
-        timeline.longest_streak(timeline.review_days(reviews))
+        t.users(spark, folder), _done(spark, folder), t.issues(spark, folder)
     ).withColumn("rank", F.col("rank").cast("long"))
 
 
 BOARD = """
     SELECT row_number() OVER (ORDER BY coalesce(quality_score, 0) DESC, u.user_id) AS rank,
-           u.user_id, username, coalesce(quality_score, 0.0::DOUBLE) AS quality_score,
+           u.user_id, username, full_name, coalesce(quality_score, 0.0::DOUBLE) AS quality_score,
            coalesce(total_reviews, 0) AS total_reviews,
            coalesce(total_issues_found, 0) AS total_issues_found,
            coalesce(streak_days, 0) AS streak_days

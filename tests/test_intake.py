@@ -16,6 +16,33 @@ def test_read_and_decode(spark, tmp_path):
     assert by_name["bad.py"]["is_rejected"] and by_name["bad.py"]["content"] is None
 
 
+def test_nested_folders_stay_apart(spark, tmp_path):
+    for name in ("r1/src/util.py", "r2/src/util.py", "r1/main.py", "top.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}\n")
+    (tmp_path / "r2" / "big.py").write_bytes(b"x" * 512001)
+    rows = intake.read_uploads(spark, f"file://{tmp_path}").collect()
+    assert {(r["review_id"], r["filename"]) for r in rows} == {
+        ("r1", "src/util.py"), ("r2", "src/util.py"), ("r1", "main.py"), (".", "top.py"), ("r2", "big.py")}
+    assert all((r["bytes"] is None) == (r["filename"] == "big.py") and r["upload_seq"] > 0 for r in rows)
+    checked = intake.check_uploads(intake.read_uploads(spark, str(tmp_path)))
+    flags = {r["filename"]: (r["is_oversize"], r["is_rejected"]) for r in checked.collect()}
+    assert flags["big.py"] == (True, False) and flags["main.py"] == (False, False)
+    rejected = intake.rejected_reviews(checked)
+    assert [r["review_id"] for r in rejected.collect()] == ["r2"]
+    ids = [{r["filename"]: r["file_id"] for r in intake.accepted_files(checked, rejected).collect()}
+           for _ in range(2)]
+    assert ids[0] == ids[1] and len(set(ids[0].values())) == 3
+
+
+def test_numbers_of_files_in_two_batches_differ(spark):
+    schema = "review_id string, filename string, upload_seq long, content string"
+    ids = [r["file_id"] for batch in ("a", "b") for r in intake.accepted_files(
+        spark.createDataFrame([(batch, f"f{i}", 1, "") for i in range(50)], schema),
+        spark.createDataFrame([], "review_id string")).collect()]
+    assert len(set(ids)) == 100
+
+
 def test_size_limit(make_files):
     files = make_files({1: ("a", "x" * 512000), 2: ("b", "x" * 512001), 3: ("c", "é" * 256001)})
     got = {r["file_id"]: r["is_oversize"] for r in intake.check_size(files).collect()}

@@ -15,13 +15,6 @@ REVIEW = ("review_id long, author_id long, repository_id long, title string, sta
           "quality_score double, total_lines long, created_at timestamp_ntz")
 
 
-@pytest.fixture(params=[None, 1000], ids=["plain", "by level"])
-def hot_rows(request, monkeypatch):
-    """Run a test both with plain windows and with the large key worked out level by level."""
-    if request.param:
-        monkeypatch.setattr(running, "HOT_ROWS", request.param)
-
-
 def review_row(i, author, score=80.0, day=0, status="complete", repo=None):
     return (i, author, repo, f"Review number {i} of a long series", status, score, 10,
             START + dt.timedelta(days=day))
@@ -46,7 +39,7 @@ def by_author(rows):
     return out
 
 
-def test_running_average(hot_reviews, hot_rows):
+def test_running_average(hot_reviews):
     rows, df = hot_reviews
     got = {r["review_id"]: (r["review_num"], r["rolling_quality"])
            for r in timeline.rolling_quality(df).collect()}
@@ -84,13 +77,48 @@ def test_trend_and_recent(hot_reviews):
             r[0] for r in own[::-1][:5]]
 
 
-def test_positions_of_reviews(hot_reviews, hot_rows):
+def test_positions_of_reviews(hot_reviews):
     rows, df = hot_reviews
     got = {r["review_id"]: r["position"] for r in listing.order_reviews(df).collect()}
     for own in by_author(rows).values():
         assert [got[r[0]] for r in own[::-1]] == list(range(1, len(own) + 1))
 
 
+def test_a_hot_author_with_distinct_times_is_split(spark):
+    """Microsecond times, one author with all reviews: no task gets more than a small part of them."""
+    dice = random.Random(8)
+    times = sorted(START + dt.timedelta(microseconds=dice.randrange(10**6 * 86400)) for _ in range(5000))
+    rows = [review_row(i, 1)[:7] + (t,) for i, t in enumerate(times)]
+    dice.shuffle(rows)
+    cut = running.by_time(spark.createDataFrame(rows, REVIEW), "created_at", "review_id")
+    per_minute = cut.groupBy("minute").count().agg(F.count("*"), F.max("count")).first()
+    per_fine = cut.groupBy("minute", "created_at", "block").count().agg(F.max("count")).first()
+    assert per_minute[0] <= 1440 and per_minute[1] < 30 and per_fine[0] == 1
+    got = {r["review_id"]: r["position"] for r in listing.order_reviews(spark.createDataFrame(rows, REVIEW)).collect()}
+    assert [got[i] for i in range(5000)] == list(range(5000, 0, -1))
+
+
+def test_running_totals_read_their_input_twice(spark, tmp_path):
+    path = str(tmp_path / "reviews")
+    spark.createDataFrame([review_row(i, 1, day=i) for i in range(5)], REVIEW).write.parquet(path)
+    plan = listing.order_reviews(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "Union" not in plan
+
+
+@pytest.mark.parametrize("first, rest", [(0.0, 100.0), (100.0, 0.0)])
+def test_the_score_is_settled_after_2000(spark, first, rest):
+    rows = [review_row(i, 1, first if i < 2000 else rest, day=i) for i in range(2001)]
+    got = timeline.rolling_quality_exact(spark.createDataFrame(rows, REVIEW)).first()
+    assert got["quality_score"] == first
+
+
+@pytest.mark.parametrize("score", [400.0, -1.0, None])
+def test_scores_out_of_range_are_refused(spark, score):
+    df = spark.createDataFrame([review_row(1, 1, score)], REVIEW)
+    with pytest.raises(Exception, match="score from 0 to 100"):
+        timeline.rolling_quality_exact(df).collect()
+
+
 def test_first_rows_beyond_the_group_limit(hot_reviews):
     rows, df = hot_reviews
     got = running.first_rows(df, ["author_id"], ["created_at", "review_id"], 1500)
@@ -127,7 +155,7 @@ def hot_issues(spark):
     return rows, spark.createDataFrame(rows, ISSUE).cache()
 
 
-def test_issue_order(hot_issues, hot_rows):
+def test_issue_order(hot_issues):
     rows, df = hot_issues
     rank = {"critical": 4, "error": 3, "warning": 2, "info": 1}
     got = {r["issue_id"]: r["position"] for r in listing.order_issues(df).collect()}
@@ -205,15 +233,16 @@ def test_status_suggestions_and_audits(spark):
 
 
 def test_leaderboard_ties(spark):
-    users = spark.createDataFrame([(u, f"u{u}", u != 3) for u in range(15)],
-                                  "user_id long, username string, is_active boolean")
-    scores = spark.createDataFrame([(u, 90.0 if u < 6 else 50.0) for u in range(14)],
-                                   "author_id long, quality_score double")
-    totals = spark.createDataFrame([(0, 4, 9)], "author_id long, total_reviews long, total_issues_found long")
-    streaks = spark.createDataFrame([(0, 2)], "user_id long, streak_days long")
-    board = listing.leaderboard(users, scores, totals, streaks).orderBy("rank").collect()
+    users = spark.createDataFrame([(u, f"u{u}", f"Name {u}", u != 3) for u in range(15)],
+                                  "user_id long, username string, full_name string, is_active boolean")
+    rows = [review_row(u, u, 90.0 if u < 6 else 50.0) for u in range(14)] + [review_row(99, 0, 90.0, day=1)]
+    reviews = spark.createDataFrame(rows, REVIEW)
+    issues = spark.createDataFrame([(0,), (99,), (99,), (3,)], "review_id long")
+    board = listing.leaderboard(users, reviews, issues).orderBy("rank").collect()
     assert [r["user_id"] for r in board] == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10]
-    assert board[0]["streak_days"] == 2 and board[1]["total_reviews"] == 0
+    assert [(r["total_reviews"], r["total_issues_found"], r["streak_days"]) for r in board[:2]] == [
+        (2, 3, 2), (1, 0, 1)]
+    assert board[0]["full_name"] == "Name 0"
 
 
 @pytest.mark.parametrize("n", [19, 20, 21, 90])
