@@ -9,6 +9,8 @@ word characters and line breaks mean the same for every text and on every Java v
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,11 +35,170 @@ UNUSUAL_BREAK = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 LINE_BREAK = rf"\r\n|[{BREAK}]"
 
 
+_SHORT = {"s": SPACE, "w": WORD, "d": r"\p{Nd}"}
+_SAME = set("AnrtfaBb0123456789xuU")
+_CODES = {"x": 2, "u": 4, "U": 8}
+
+
+class _Translation:
+    """Rewrites one pattern, token by token, so that Java reads it as Python does."""
+
+    def __init__(self, pattern: str):
+        self.text, self.at, self.out = pattern, 0, []
+        self.names: dict[str, str] = {}
+
+    def fail(self, what: str):
+        raise ValueError(f"{what} can't be used in a rule: {self.text!r}")
+
+    def take(self, n: int = 1) -> str:
+        part = self.text[self.at:self.at + n]
+        self.at += n
+        return part
+
+    def name(self) -> str:
+        end = self.text.index(")" if self.text[self.at - 1] == "=" else ">", self.at)
+        name = self.take(end - self.at)
+        self.at += 1
+        return self.names.setdefault(name, f"g{len(self.names)}")
+
+    def code(self, letter: str) -> str:
+        return "\\x{" + self.take(_CODES[letter]) + "}"
+
+    def escape(self) -> str:
+        c = self.take()
+        if c.lower() in _SHORT:
+            return f"[{'^' * c.isupper()}{_SHORT[c.lower()]}]"
+        edges = {"b": WORD_EDGE, "B": f"(?!{WORD_EDGE})", "Z": r"\z", "v": r"\x0b"}
+        if c in edges:
+            return edges[c]
+        if c in _CODES:
+            return self.code(c)
+        if c.isalpha() and c not in _SAME:
+            self.fail(f"\\{c}")
+        if c == "0":
+            self.fail("an octal number")
+        return "\\" + c
+
+    def group(self) -> str:
+        if self.text.startswith("(?P<", self.at):
+            self.at += 4
+            return f"(?<{self.name()}>"
+        if self.text.startswith("(?P=", self.at):
+            self.at += 4
+            return f"\\k<{self.name()}>"
+        if self.text.startswith(("(?:", "(?=", "(?!", "(?>"), self.at):
+            return self.take(3)
+        if self.text.startswith(("(?<=", "(?<!"), self.at):
+            return self.take(4)
+        if self.text.startswith("(?", self.at):
+            self.fail(self.text[self.at:self.at + 3] + "...)")
+        return self.take()
+
+    def members(self) -> str:
+        """A class; shorthands for what is not in a class become alternatives to it."""
+        self.at += 1
+        negated = self.text[self.at] == "^"
+        self.at += negated
+        own, others, first = [], [], True
+        while first or self.text[self.at] != "]":
+            c, first = self.take(), False
+            if c != "\\":
+                own.append("\\" + c if c in "[]&^" else c)
+                continue
+            c = self.take()
+            if c in _SHORT:
+                own.append(_SHORT[c])
+            elif c.lower() in _SHORT:
+                others.append(f"[^{_SHORT[c.lower()]}]")
+            elif c in _CODES:
+                own.append(self.code(c))
+            elif c in "bv":
+                own.append({"b": r"\x08", "v": r"\x0b"}[c])
+            elif c.isalnum() and c not in "nrtfa":
+                self.fail(f"\\{c} in a class")
+            else:
+                own.append("\\" + c)
+        self.at += 1
+        inside = "".join(own)
+        if not others:
+            return f"[{'^' * negated}{inside}]"
+        either = "|".join([*([f"[{inside}]"] if inside else []), *others])
+        return f"(?:(?!{either})[\\x{{0}}-\\x{{10FFFF}}])" if negated else f"(?:{either})"
+
+    def run(self) -> str:
+        while self.at < len(self.text):
+            c = self.text[self.at]
+            if c == "\\":
+                self.at += 1
+                self.out.append(self.escape())
+            elif c == "[":
+                self.out.append(self.members())
+            elif c == "(":
+                self.out.append(self.group())
+            elif c == "^":  # also at the very end of a text, unlike Java's
+                self.at += 1
+                self.out.append(r"(?<![^\n])")
+            elif c == "{":
+                bounds = re.match(r"\{(\d*)(,?)(\d*)\}", self.text[self.at:])
+                if bounds and (bounds[1] or bounds[3]):
+                    self.at += bounds.end()
+                    self.out.append("{" + (bounds[1] or "0") + bounds[2] + bounds[3] + "}")
+                else:
+                    self.at += 1
+                    self.out.append(r"\{")
+            else:
+                self.out.append(("\\" if c == "}" else "") + self.take())
+        return "".join(self.out)
+
+
 def java_pattern(pattern: str) -> str:
-    """A rule pattern in Java syntax: any case, ``^`` and ``$`` at each ``\\n``, Unicode classes."""
-    for shorthand, spelled in ((r"\s", f"[{SPACE}]"), (r"\w", f"[{WORD}]"), (r"\b", WORD_EDGE)):
-        pattern = pattern.replace(shorthand, spelled)
-    return "(?imdu)" + pattern
+    """A rule pattern in Java syntax: any case, ``^`` and ``$`` at each ``\n``, Unicode classes.
+
+    What Java can't be made to read the same way is refused: octal numbers, names of characters,
+    conditions, comments and flags.
+    """
+    re.compile(pattern, re.IGNORECASE | re.MULTILINE)
+    return "(?imdu)" + _Translation(pattern).run()
+
+
+def needles_hold(pattern: str, needles: tuple[str, ...]) -> bool:
+    """Whether it can be shown that every match of a valid pattern holds one of the needles.
+
+    Each alternative must have one in a run of plain characters that is neither optional nor in a
+    look-around. Knowing less than it could, this errs towards no.
+    """
+    def atom(at: int) -> tuple[str, bool, int]:
+        """(plain character or nothing, whether it surely holds a needle, where it ends)."""
+        c = pattern[at]
+        if c == "(":
+            ahead = re.match(r"\(\?(?:P<\w+>|P=\w+|<?[=!]|[:>])|\(", pattern[at:])[0]
+            held, end = sequence(at + len(ahead))
+            return "", held and ahead[-1] not in "=!" and not ahead.startswith("(?P="), end + 1
+        if c == "[":
+            return "", False, at + re.match(r"\[\^?\]?(?:\\.|[^\]\\])*\]", pattern[at:]).end()
+        if c == "\\":
+            follows = pattern[at + 1]
+            size = 2 + _CODES.get(follows, 0)
+            return "" if follows.isalnum() else follows, False, at + size
+        return "" if c in ".^$" else c, False, at + 1
+
+    def sequence(at: int) -> tuple[bool, int]:
+        every, held, run = True, False, ""
+        while at < len(pattern) and pattern[at] != ")":
+            if pattern[at] == "|":
+                every, held, run, at = every and held, False, "", at + 1
+                continue
+            plain, surely, at = atom(at)
+            times = re.match(r"([*?]|\{0?,\d*\}|\{0(?:,\d*)?\})?(\+|\{\d+(?:,\d*)?\})?[?+]?", pattern[at:])
+            at += times.end()
+            if times[1]:
+                plain, surely = "", False
+            run = run + plain.lower() if plain else ""
+            held = held or surely or any(n in run for n in needles)
+            if times[0]:
+                run = ""
+        return every and held, at
+    return sequence(0)[0]
 
 
 def fold_case(text: Column) -> Column:

@@ -15,12 +15,21 @@ from codeq.functions.text import split_lines, strip
 MIN_CHARS = 10
 
 
-def _kept_lines() -> Column:
+def _kept_lines(lines: Column | None = None) -> Column:
     """Stripped lines of ``content``: more than 10 characters and no ``#`` comments."""
-    stripped = F.transform(split_lines(F.col("content")), strip)
+    stripped = F.transform(split_lines(F.col("content")) if lines is None else lines, strip)
     return F.filter(stripped, lambda x: (F.length(x) > MIN_CHARS) & ~F.startswith(x, F.lit("#")))
 
 
+def line_hash(line: Column) -> Column:
+    return F.unhex(F.md5(line.cast("binary")))
+
+
+def line_hashes(lines: Column) -> Column:
+    """16 bytes for each line of a file that counts, from the file's lines."""
+    return F.transform(_kept_lines(lines), line_hash)
+
+
 def code_lines(files: DataFrame) -> DataFrame:
     """One row per line that counts for duplication."""
     return files.select("review_id", "file_id", F.explode(_kept_lines()).alias("line"))
@@ -33,7 +42,12 @@ def _share(counts: DataFrame, keys: list[str]) -> DataFrame:
     ratio = sums.select(
         *keys, F.coalesce(F.col("total"), F.lit(0)).alias("n_lines"),
         F.coalesce(F.col("repeated"), F.lit(0)).alias("n_duplicated"))
-    pct = ratio.withColumn(
+    return with_share(ratio)
+
+
+def with_share(counts: DataFrame) -> DataFrame:
+    """``counts`` with duplication_pct, from n_lines and n_duplicated."""
+    pct = counts.withColumn(
         "pct", F.col("n_duplicated") / F.greatest(F.col("n_lines"), F.lit(1)) * 100)
     return pct.withColumn("duplication_pct", round_exact(F.col("pct"), 1)).drop("pct")
 
@@ -41,7 +55,7 @@ def _share(counts: DataFrame, keys: list[str]) -> DataFrame:
 def duplication(files: DataFrame, by_review: bool = True) -> DataFrame:
     """n_lines, n_duplicated and duplication_pct, per review or over everything."""
     keys = ["review_id"] if by_review else []
-    lines = code_lines(files).select(*keys, F.unhex(F.md5(F.col("line").cast("binary"))).alias("h"))
+    lines = code_lines(files).select(*keys, line_hash(F.col("line")).alias("h"))
     return _share(lines.groupBy(*keys, "h").agg(F.count("*").alias("n")), keys)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from codeq.functions.text import (
     long_line_count,
     split_lines,
 )
-from codeq.operators.duplication import duplication
+from codeq.operators.duplication import line_hashes, with_share
 from codeq.operators.rollups import SUMMED
 from codeq.operators.scan import scan_input, severity_match_counts
 from codeq.operators.syntax import (
@@ -27,7 +28,7 @@ from codeq.operators.syntax import (
     structure_findings,
     with_facts,
 )
-from codeq.rules.catalogue import SEVERITIES
+from codeq.rules.catalogue import PATTERN_RULES, SEVERITIES, PatternRule
 
 
 def line_counts(files: DataFrame) -> DataFrame:
@@ -66,11 +67,13 @@ def _syntax_counts() -> dict[str, Column]:
             for s, c in counts.items()}
 
 
-def file_metrics(files: DataFrame) -> DataFrame:
+def file_metrics(files: DataFrame, rules: Sequence[PatternRule] = PATTERN_RULES,
+                 hashes: bool = False) -> DataFrame:
     """One row per file with all its metrics; a narrow job, nothing is shuffled.
 
     Findings are only counted here, so no finding rows are built. ``analysis_failed`` marks a file
-    that the parser could neither read nor reject.
+    that the parser could neither read nor reject. ``hashes`` adds ``line_hashes``, from which the
+    duplication of a review follows without a second look at the text.
     """
     content, lines, facts = F.col("content"), F.col("lines"), F.col("facts")
     is_python = facts.isNotNull()
@@ -84,7 +87,7 @@ def file_metrics(files: DataFrame) -> DataFrame:
                     .otherwise(m.branch_complexity(content)))
         .withColumn("cognitive", F.when(is_python, cognitive()).otherwise(0).cast("double"))
     )
-    matched, from_syntax = severity_match_counts(), _syntax_counts()
+    matched, from_syntax = severity_match_counts(rules), _syntax_counts()
     counted = measured.select(
         "review_id", "file_id", "filename", "language",
         code_line_count(lines).alias("loc"), F.size(lines).cast("long").alias("n_lines"),
@@ -94,6 +97,7 @@ def file_metrics(files: DataFrame) -> DataFrame:
         *[(matched[s] + from_syntax[s]).alias(f"{s}_issues") for s in SEVERITIES],
         F.coalesce(F.exists(facts, lambda f: f.kind == "analysis_error"), F.lit(False))
         .alias("analysis_failed"),
+        *([line_hashes(lines).alias("line_hashes")] if hashes else []),
     )
     counts = {s: F.col(f"{s}_issues") for s in SEVERITIES}
     ratio = m.comment_ratio(F.col("comment_lines"), F.col("loc"))
@@ -137,29 +141,44 @@ def review_averages(metrics: DataFrame) -> DataFrame:
         round_exact(F.col("cc"), 2).alias("avg_complexity"))
 
 
-def review_metrics(files: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    """One row per review: totals, averages, duplication and the three texts.
+def review_metrics(files: DataFrame, rules: Sequence[PatternRule] = PATTERN_RULES) -> DataFrame:
+    """One row per review: totals, averages, duplication and the three texts; reads the text once.
 
     ``n_failed`` counts the files that could not be analysed.
     """
-    metrics = file_metrics(files) if metrics is None else metrics
-    sums = metrics.groupBy("review_id").agg(
-        F.count("*").alias("total_files"), F.sum("loc").alias("total_lines"),
-        F.sum("issue_count").alias("total_issues"),
-        *[F.sum(f"{s}_issues").alias(f"{s}_issues") for s in SEVERITIES],
-        F.count_if("analysis_failed").alias("n_failed"),
-        _total("quality_score").alias("q"), _total("maintainability").alias("mi"),
-        _total("cyclomatic").alias("cc"))
-    means = sums.withColumns({
-        c: F.col(c).cast("double") / F.col("total_files") for c in ("q", "mi", "cc")})
+    return review_figures(file_metrics(files, rules, hashes=True))
+
+
+MEASURES = ("quality_score", "maintainability", "cyclomatic")
+
+
+def review_figures(measured: DataFrame) -> DataFrame:
+    """``review_metrics`` from file metrics with ``line_hashes``.
+
+    A file becomes a row per line hash and one without, which has its figures. Grouped by review and
+    hash first, so a popular line, or a review's files, are one row per task before the shuffle.
+    """
+    summed = {"total_files": F.lit(1).cast("long"), "total_lines": F.col("loc"),
+              "total_issues": F.col("issue_count"),
+              **{f"{s}_issues": F.col(f"{s}_issues") for s in SEVERITIES},
+              "n_failed": F.col("analysis_failed").cast("long"),
+              **{f"sum_{c}": F.col(c).cast(SUMMED) for c in MEASURES}}
+    exploded = measured.select("review_id", *[c.alias(n) for n, c in summed.items()], F.explode(
+        F.concat(F.array(F.lit(None).cast("binary")), "line_hashes")).alias("h"))
+    own = F.col("h").isNull()
+    by_line = exploded.groupBy("review_id", "h").agg(
+        F.count("h").alias("n"), *[F.sum(F.when(own, F.col(n))).alias(n) for n in summed])
+    sums = by_line.groupBy("review_id").agg(
+        *[F.sum(n).alias(n) for n in summed], F.sum("n").alias("n_lines"),
+        F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("n_duplicated"))
+    means = with_share(sums).withColumns({
+        c: F.col(f"sum_{c}").cast("double") / F.col("total_files") for c in MEASURES})
     rounded = (
-        means.withColumn("quality_score", round_exact(F.col("q"), 1))
-        .withColumn("maintainability", round_exact(F.col("mi"), 1))
-        .withColumn("avg_complexity", round_exact(F.col("cc"), 2)).drop("q", "mi", "cc")
+        means.withColumn("quality_score", round_exact(F.col("quality_score"), 1))
+        .withColumn("maintainability", round_exact(F.col("maintainability"), 1))
+        .withColumn("avg_complexity", round_exact(F.col("cyclomatic"), 2))
     )
-    repeated = duplication(files).select("review_id", "duplication_pct")
-    return with_texts(rounded.join(repeated, "review_id", "left").withColumn(
-        "duplication_pct", F.coalesce("duplication_pct", F.lit(0.0))))
+    return with_texts(rounded.drop("cyclomatic", "n_lines", "n_duplicated", *[f"sum_{c}" for c in MEASURES]))
 
 
 def with_texts(reviews: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from codeq.operators import intake, scan, syntax
 from codeq.operators import metrics as met
 from codeq.plans import sql as s
 from codeq.plans.registry import query
-from codeq.rules.catalogue import PatternRule
+from codeq.rules.catalogue import PATTERN_RULES, PatternRule
 from codeq.sources import tables as t
 from codeq.sources.sinks import read_back, write_findings
 
@@ -154,17 +154,25 @@ CUSTOM_RULES = (
                 needles=("return",)),
     PatternRule("TEAM002", "info", r"^\s*import\s", "Import", needles=("import",)),
     PatternRule("TEAM003", "info", r"(\w+)ing\b", "Word in -ing"),
+    PatternRule("TEAM004", "critical", r"\d\d+\W\S", "Number before a sign"),
+    PatternRule("TEAM005", "error", r"\D{3}\\s|\S+é\S*\W\s*\w", "Backslash, or a word with an accent"),
 )
 
 
-@query(s.with_ctes(
-    "matches", "SELECT file_id, rule_id, line_start FROM matches",
-    rules="SELECT * FROM (" + s.values((r.rule_id, s.re2(r)) for r in CUSTOM_RULES)
-          + ") t(rule_id, pattern)"))
+@query(s.with_ctes("matches", "SELECT file_id, rule_id, line_start FROM matches",
+                   rules=s.rules_sql(CUSTOM_RULES)))
 def custom_rules(spark, folder):
     return scan.scan_rules(t.files(spark, folder), CUSTOM_RULES).drop("review_id")
 
 
+@query(s.with_ctes("file_metrics", "SELECT file_id, issue_count, critical_issues, error_issues, quality_score"
+                   " FROM file_metrics", rules=s.rules_sql((*PATTERN_RULES, *CUSTOM_RULES))))
+def custom_file_metrics(spark, folder):
+    """Counts and scores with the own rules beside the built-in ones."""
+    return met.file_metrics(t.files(spark, folder), (*PATTERN_RULES, *CUSTOM_RULES)).select(
+        "file_id", "issue_count", "critical_issues", "error_issues", "quality_score")
+
+
 # File metrics -----------------------------------------------------------------------------------
 
 @query(s.with_ctes("v_language", "SELECT file_id, filename, language FROM v_language"))

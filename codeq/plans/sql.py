@@ -6,6 +6,8 @@ made visible first: ``words`` puts a mark before and after each run of word char
 
 from __future__ import annotations
 
+import re
+
 from codeq.operators.syntax import TEXTS
 from codeq.rules.catalogue import BADGES, EXTENSION_LANGUAGE, PATTERN_RULES, SEVERITIES, PatternRule
 from codeq.sources.snippets import SNIPPETS
@@ -33,9 +35,20 @@ def values(rows) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(map(quote, row)) + ")" for row in rows)
 
 
+CLASSES = {r"\s": f"[{SPACE}]", r"\S": f"[^{SPACE}]", r"\w": f"[{WORD}]", r"\W": f"[^{WORD}]",
+           r"\d": r"\p{Nd}", r"\D": r"\P{Nd}"}
+
+
 def re2(rule: PatternRule) -> str:
-    pattern = rule.pattern.replace(r"\s", f"[{SPACE}]").replace(r"\w", f"[{WORD}]")
-    return "(?im)" + pattern
+    """For rules without shorthands in classes; pairs of characters, so ``\\\\s`` keeps its meaning."""
+    return "(?im)" + re.sub(r"\\.", lambda m: CLASSES.get(m[0], m[0]), rule.pattern)
+
+
+def rules_sql(rules: tuple[PatternRule, ...]) -> str:
+    return "SELECT * FROM (" + values(
+        (i, r.rule_id, r.category, r.severity, r.title, r.message, r.fixable, r.fix, re2(r))
+        for i, r in enumerate(rules)) + (
+        ") t(idx, rule_id, category, severity, title, message, is_fixable, fix_description, pattern)")
 
 
 def round_exact(column: str, digits: int, ties: str = "even") -> str:
@@ -115,11 +128,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                     ELSE text END || chr(10) || code AS content,
                length(text) - length(replace(text, chr(10), '')) + 1 AS prose_lines
         FROM documents JOIN snippets ON k = doc_id % {len(SNIPPETS)}"""),
-    "rules": ((), "SELECT * FROM (" + values(
-        (i, r.rule_id, r.category, r.severity, r.title, r.message, r.fixable, r.fix, re2(r))
-        for i, r in enumerate(PATTERN_RULES))
-        + ") t(idx, rule_id, category, severity, title, message, is_fixable, fix_description,"
-          " pattern)"),
+    "rules": ((), rules_sql(PATTERN_RULES)),
     "severities": ((), "SELECT * FROM (" + values(_SEVERITY_RANKS) + ") t(severity, severity_rank)"),
     "badges": ((), "SELECT * FROM (" + values(
         (i + 1, b["slug"], b["name"], b["description"], b["metric"], b["threshold"])

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from codeq.functions.text import java_pattern, needles_hold
+
 # Domains, in order of seriousness where there is one.
 SEVERITIES = ("critical", "error", "warning", "info")
 CATEGORIES = (
@@ -35,12 +37,12 @@ MAX_FILES_PER_REVIEW = 20
 
 @dataclass(frozen=True)
 class PatternRule:
-    """One text rule.
+    """One text rule, built in or a user's own; a faulty one is refused when it is made.
 
-    ``pattern`` is written with the shorthands ``\\s \\w \\b``, which cover all of Unicode, and is
-    matched without regard to case. ``needles`` are lower-case strings of which a text must hold
-    at least one for the pattern to match at all; they spare most texts the pattern. No needles
-    means the pattern is always tried.
+    ``pattern`` is a Python regular expression, matched without regard to case and line by line for
+    ``^`` and ``$``. ``needles`` are lower-case strings of which a text must hold at least one for
+    the pattern to match at all; they spare most texts the pattern. No needles means the pattern is
+    always tried.
     """
 
     rule_id: str
@@ -52,6 +54,13 @@ class PatternRule:
     needles: tuple[str, ...] = ()
     fixable: bool = False
 
+    def __post_init__(self):
+        if self.severity not in SEVERITIES:
+            raise ValueError(f"{self.rule_id}: {self.severity} is not one of {SEVERITIES}")
+        java_pattern(self.pattern)
+        if self.needles and not needles_hold(self.pattern, self.needles):
+            raise ValueError(f"{self.rule_id}: a match need not hold one of {self.needles}")
+
     @property
     def category(self) -> str:
         for prefix, category in CATEGORY_BY_PREFIX.items():

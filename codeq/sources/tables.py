@@ -19,18 +19,6 @@ def table(spark: SparkSession, folder: str, name: str, stream: bool = False) ->
     return spark.readStream.schema(df.schema).parquet(f"{folder}/{name}.parque[t]")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out by key when the scan yields too few tasks for heavy per-row work.
-
-    A table of a few large row groups leaves most cores idle. One with at least as many splits as
-    cores - any large table - is left alone, so no big text is ever shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.select(key).rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * 2, key)
-
-
 def _pick(values: list, index: Column) -> Column:
     """The value at a 0-based index of a constant list; folded into the plan, so no join."""
     return F.get(F.expr(array(values)), index)
@@ -43,7 +31,7 @@ def files(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     commented = F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")))
     prose = F.when(ext == "py", commented).otherwise(F.col("text"))
     documents = table(spark, folder, "documents", stream).select("doc_id", "source", "text")
-    return (documents if stream else spread(documents, "doc_id")).select(
+    return documents.select(
         F.col("doc_id").alias("file_id"),
         F.col("source").alias("review_id"),
         F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("filename"),
