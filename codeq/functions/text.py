@@ -155,7 +155,7 @@ def java_pattern(pattern: str) -> str:
     """A rule pattern in Java syntax: any case, ``^`` and ``$`` at each ``\n``, Unicode classes.
 
     What Java can't be made to read the same way is refused: octal numbers, names of characters,
-    conditions, comments and flags.
+    conditions, comments and flags. A back-reference to a letter beyond U+FFFF finds nothing there.
     """
     re.compile(pattern, re.IGNORECASE | re.MULTILINE)
     return "(?imdu)" + _Translation(pattern).run()

@@ -21,6 +21,17 @@ def cascade(children: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     return children.join(deleted.select(key), key, "left_anti")
 
 
+def cascade_review(deleted: DataFrame, files: DataFrame, issues: DataFrame,
+                   suggestions: DataFrame) -> dict[str, DataFrame]:
+    """What is left of files, issues and suggestions when reviews are deleted.
+
+    Suggestions go with their issue (``issue_id``), the others with their review.
+    """
+    kept = cascade(issues, deleted, "review_id")
+    return {"file": cascade(files, deleted, "review_id"), "issue": kept,
+            "suggestion": suggestions.join(kept.select("issue_id"), "issue_id", "left_semi")}
+
+
 def latest_status(events: DataFrame, today: Column) -> DataFrame:
     """Status of each review after its last event up to today, later statuses winning a tie.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeq.functions.rounding import round_exact
+from codeq.operators.changes import FIX_CONFIDENCE
 from codeq.operators.running import first_rows
 from codeq.rules.catalogue import CATEGORIES, SEVERITIES
 
@@ -165,7 +166,10 @@ def global_stats(issues: DataFrame, reviews: DataFrame, users: DataFrame) -> Dat
 
 
 def fix_coverage(issues: DataFrame) -> DataFrame:
-    """Share of issues per category that come with a fix."""
+    """Share of issues per category that come with a fix, and how sure the fixes are on average."""
+    sure = F.lit(FIX_CONFIDENCE).cast(SUMMED)
     counts = issues.groupBy("category").agg(
-        F.count("*").alias("n"), F.count_if("is_fixable").alias("n_fixable"))
-    return counts.withColumn("coverage", F.col("n_fixable") / F.col("n"))
+        F.count("*").alias("n"), F.count_if("is_fixable").alias("n_fixable"),
+        F.sum(F.when(F.col("is_fixable"), sure)).cast("double").alias("sure"))
+    return counts.withColumn("coverage", F.col("n_fixable") / F.col("n")).withColumn(
+        "avg_confidence", F.try_divide("sure", "n_fixable")).drop("sure")

@@ -101,11 +101,10 @@ def dedupe_first_cap(spark, folder):
     return intake.first_uploads(_uploads(spark, folder))
 
 
-@query(s.with_ctes("findings", "SELECT severity, rule_id, count(*) AS n FROM findings GROUP BY ALL"))
+@query(s.with_ctes("full_findings", "SELECT * FROM full_findings"))
 def sink_findings(spark, folder):
-    """Write the findings partitioned by severity, read them back and count."""
-    path = write_findings(fnd.all_findings(t.files(spark, folder)))
-    return read_back(spark, path).groupBy("severity", "rule_id").agg(F.count("*").alias("n"))
+    """The findings as written, one folder per severity, and read back."""
+    return comparable(read_back(spark, write_findings(fnd.all_findings(t.files(spark, folder)))))
 
 
 # Pattern rules ----------------------------------------------------------------------------------

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeq.functions import presentation as p
 from codeq.functions.metrics import extension
-from codeq.operators import audits, badges, changes, listing, nested, rollups, scan, timeline
+from codeq.operators import audits, badges, changes, listing, nested, rollups, timeline
 from codeq.operators import findings as findings_of
 from codeq.operators import metrics as metrics_of
 from codeq.plans import corpus
 from codeq.plans import sql as s
 from codeq.plans.registry import query
-from codeq.rules.catalogue import CATEGORIES, LANGUAGES, SEVERITIES, STATUSES
+from codeq.rules.catalogue import CATEGORIES, LANGUAGES, SEVERITIES, STATUSES, badges_frame
 from codeq.sources import tables as t
 from codeq.sources.sinks import read_back, write_findings
 
@@ -255,7 +258,10 @@ def issues_fixed(spark, folder):
 
 @query(s.with_ctes("v_issues", """
     SELECT category, count(*) AS n, count(*) FILTER (is_fixable) AS n_fixable,
-           count(*) FILTER (is_fixable) / count(*) AS coverage FROM v_issues GROUP BY category"""))
+           count(*) FILTER (is_fixable) / count(*) AS coverage,
+           (sum(0.9::DECIMAL(38, 10)) FILTER (is_fixable))::DOUBLE / count(*) FILTER (is_fixable)
+               AS avg_confidence
+    FROM v_issues GROUP BY category"""))
 def fix_coverage(spark, folder):
     return rollups.fix_coverage(t.issues(spark, folder))
 
@@ -595,7 +601,7 @@ def audit_unique(spark, folder):
         "issue numbers": (t.toggles(spark, folder), ["review_id", "issue_no"])})
 
 
-@query(s.with_ctes("v_users v_reviews v_issues v_repositories held done", """
+@query(s.with_ctes("v_users v_reviews v_issues v_review_files v_suggestions v_repositories held badges done", """
     SELECT 'review author' AS edge, count(*) AS n_rows,
            count(*) FILTER (author_id NOT IN (SELECT user_id FROM v_users)) AS n_orphans
     FROM v_reviews
@@ -609,18 +615,31 @@ def audit_unique(spark, folder):
         SELECT user_id FROM v_users)) FROM v_repositories
     UNION ALL SELECT 'badge holder', count(*), count(*) FILTER (user_id NOT IN (
         SELECT user_id FROM v_users)) FROM held
+    UNION ALL SELECT 'file review', count(*), count(*) FILTER (review_id NOT IN (
+        SELECT review_id FROM done)) FROM v_review_files
+    UNION ALL SELECT 'issue file', count(*), count(*) FILTER (review_id || '/' || file_no NOT IN (
+        SELECT file_key FROM v_review_files)) FROM v_issues
+    UNION ALL SELECT 'suggestion issue', count(*), count(*) FILTER (issue_id NOT IN (
+        SELECT issue_id FROM v_issues)) FROM v_suggestions
+    UNION ALL SELECT 'held badge', count(*), count(*) FILTER (badge_id NOT IN (
+        SELECT badge_id FROM badges)) FROM held
     UNION ALL SELECT 'label document', count(*), count(*) FILTER (doc_id NOT IN (
         SELECT doc_id FROM documents)) FROM labels"""))
 def audit_fk(spark, folder):
     users, reviews = t.users(spark, folder), t.reviews(spark, folder)
     issues, repositories = t.issues(spark, folder), t.repositories(spark, folder)
+    held, files = _held(spark, folder), t.review_files(spark, folder)
     return audits.audit_references({
         "review author": (reviews, "author_id", users, "user_id"),
         "review repository": (reviews, "repository_id", repositories, "repository_id"),
         "issue review": (issues, "review_id", reviews, "review_id"),
         "issue complete review": (issues, "review_id", rollups.complete(reviews), "review_id"),
         "repository owner": (repositories, "owner_id", users, "user_id"),
-        "badge holder": (_held(spark, folder), "user_id", users, "user_id"),
+        "badge holder": (held, "user_id", users, "user_id"),
+        "held badge": (held, "badge_id", badges_frame(spark), "badge_id"),
+        "file review": (files, "review_id", rollups.complete(reviews), "review_id"),
+        "issue file": (issues.withColumn("file_key", t.file_key()), "file_key", files, "file_key"),
+        "suggestion issue": (t.issue_suggestions(spark, folder), "issue_id", issues, "issue_id"),
         "label document": (t.table(spark, folder, "labels"), "doc_id",
                            t.table(spark, folder, "documents"), "doc_id")})
 
@@ -669,22 +688,28 @@ def ack_state(spark, folder):
     return changes.acknowledged(t.toggles(spark, folder))
 
 
-@query(s.with_ctes("v_reviews v_issues", """
-    SELECT issue_id, review_id FROM v_issues
-    WHERE review_id NOT IN (SELECT review_id FROM v_reviews WHERE status = 'failed')"""))
+@query(s.with_ctes("v_reviews v_issues v_review_files v_suggestions", """
+    SELECT 'issue' AS child, issue_id AS key FROM v_issues WHERE review_id NOT IN (SELECT * FROM deleted)
+    UNION ALL SELECT 'file', file_key FROM v_review_files WHERE review_id NOT IN (SELECT * FROM deleted)
+    UNION ALL SELECT 'suggestion', issue_id FROM v_suggestions WHERE issue_id NOT IN (
+        SELECT issue_id FROM v_issues WHERE review_id IN (SELECT * FROM deleted))""",
+    deleted="SELECT review_id FROM v_reviews WHERE status = 'failed'"))
 def cascade_delete(spark, folder):
-    """Issues left once the failed reviews are deleted."""
+    """Files, issues and suggestions left once the failed reviews are deleted."""
     deleted = t.reviews(spark, folder).filter(F.col("status") == "failed")
-    return changes.cascade(t.issues(spark, folder), deleted, "review_id").select(
-        "issue_id", "review_id")
+    left = changes.cascade_review(deleted, t.review_files(spark, folder), t.issues(spark, folder),
+                                  t.issue_suggestions(spark, folder))
+    keys = {"file": "file_key", "issue": "issue_id", "suggestion": "issue_id"}
+    return reduce(DataFrame.union, [df.select(F.lit(name).alias("child"), F.col(keys[name]).alias("key"))
+                                    for name, df in left.items()])
 
 
-@query(s.with_ctes("matches rules", """
+@query(s.with_ctes("full_findings", """
     SELECT file_id, rule_id, line_start, 'Auto-fix: ' || title AS title,
            fix_description AS explanation, 0.9::DOUBLE AS confidence
-    FROM matches JOIN rules USING (rule_id) WHERE fix_description IS NOT NULL"""))
+    FROM full_findings WHERE fix_description IS NOT NULL"""))
 def suggestions(spark, folder):
-    return changes.suggestions(scan.enrich(scan.scan_rules(t.files(spark, folder))))
+    return changes.suggestions(findings_of.all_findings(t.files(spark, folder)))
 
 
 @query(f"""

@@ -336,6 +336,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM lineitem JOIN rules ON idx = l_partkey % {len(PATTERN_RULES)}"""),
     "v_authored": (("v_issues", "v_reviews"), """
         SELECT i.*, author_id, status FROM v_issues i JOIN v_reviews r ON i.review_id = r.review_id"""),
+    "v_review_files": (("v_issues",), """
+        SELECT DISTINCT review_id, file_no, review_id || '/' || file_no AS file_key
+        FROM v_issues WHERE file_no <= 6"""),
+    "v_suggestions": (("v_issues",), "SELECT issue_id FROM v_issues WHERE is_fixable"),
     "v_repositories": (("v_reviews",), """
         SELECT repository_id, min(author_id) AS owner_id, max(created_at) AS updated_at,
                'repo-' || repository_id AS name

@@ -6,6 +6,8 @@ from pyspark.sql import types as T
 
 from codeq.operators.syntax import FINDING_FIELDS
 
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
+
 FILES = T.StructType([
     T.StructField("file_id", T.LongType()),
     T.StructField("review_id", T.StringType()),
@@ -16,7 +18,7 @@ FILES = T.StructType([
 FINDINGS = T.StructType([
     T.StructField("review_id", T.StringType()),
     T.StructField("file_id", T.LongType()),
-    *[T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in FINDING_FIELDS.items()],
+    *[T.StructField(name, _KINDS[kind]) for name, kind in FINDING_FIELDS.items()],
 ])
 
 REVIEWS = T.StructType([

@@ -94,6 +94,21 @@ def issues(spark: SparkSession, folder: str) -> DataFrame:
     ).select("issue_id", "review_id", "file_no", "rule.*", "line_start", "is_acknowledged")
 
 
+def review_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of reviews, numbered up to six; issues may name a seventh, which is not there."""
+    return issues(spark, folder).filter("file_no <= 6").select("review_id", "file_no").distinct().withColumn(
+        "file_key", file_key())
+
+
+def file_key() -> Column:
+    return F.concat_ws("/", "review_id", "file_no")
+
+
+def issue_suggestions(spark: SparkSession, folder: str) -> DataFrame:
+    """A suggestion for each issue that can be fixed."""
+    return issues(spark, folder).filter("is_fixable").select("issue_id")
+
+
 def repositories(spark: SparkSession, folder: str) -> DataFrame:
     """Repositories named by any review, last updated by the newest one."""
     return (
