@@ -137,7 +137,7 @@ class _Translation:
                 self.out.append(self.group())
             elif c == "^":  # also at the very end of a text, unlike Java's
                 self.at += 1
-                self.out.append(r"(?<![^\n])")
+                self.out.append(r"(?:^|(?:(?<=\n)|\A)\z)")
             elif c == "{":
                 bounds = re.match(r"\{(\d*)(,?)(\d*)\}", self.text[self.at:])
                 if bounds and (bounds[1] or bounds[3]):
