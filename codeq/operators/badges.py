@@ -14,12 +14,16 @@ from codeq.rules.catalogue import badges_frame
 METRICS = ("reviews", "critical_found", "quality_score", "issues_fixed", "streak_days")
 
 
+def fixed_issues(toggles: DataFrame) -> DataFrame:
+    """Acknowledged issues per review."""
+    return acknowledged(toggles).filter("is_acknowledged").groupBy("review_id").agg(
+        F.count("*").alias("n_fixed"))
+
+
 def issues_fixed(toggles: DataFrame, reviews: DataFrame) -> DataFrame:
     """Acknowledged issues per author."""
-    per_review = acknowledged(toggles).filter("is_acknowledged").groupBy("review_id").agg(
-        F.count("*").alias("n"))
-    return per_review.join(reviews.select("review_id", "author_id"), "review_id").groupBy(
-        "author_id").agg(F.sum("n").alias("issues_fixed"))
+    return fixed_issues(toggles).join(reviews.select("review_id", "author_id"), "review_id").groupBy(
+        "author_id").agg(F.sum("n_fixed").alias("issues_fixed"))
 
 
 def author_metrics(reviews: DataFrame, issues: DataFrame, toggles: DataFrame) -> DataFrame:

@@ -516,7 +516,13 @@ def report_json(spark, folder):
         "review_id", "file_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("report"))
 
 
-@query(s.with_ctes("v_users scores totals review_streaks fixed held done", """
+BADGE_LISTS = """
+    SELECT user_id, to_json(list(struct_pack(slug := slug, name := name, description := description,
+           earned_at := strftime(earned_at, '%Y-%m-%dT%H:%M:%S')) ORDER BY badge_id))::VARCHAR AS b
+    FROM held GROUP BY user_id"""
+
+
+@query(s.with_ctes("v_users scores totals review_streaks fixed held done v_issues", """
     SELECT u.user_id, username, full_name, coalesce(quality_score, 0.0::DOUBLE) AS quality_score,
            coalesce(total_reviews, 0) AS total_reviews,
            coalesce(total_issues_found, 0) AS total_issues_found,
@@ -527,18 +533,23 @@ def report_json(spark, folder):
     LEFT JOIN review_streaks s ON s.user_id = u.user_id
     LEFT JOIN fixed f ON f.author_id = u.user_id
     LEFT JOIN badge_lists bl ON bl.user_id = u.user_id
-    LEFT JOIN recent_lists rl ON rl.author_id = u.user_id""", badge_lists="""
-    SELECT user_id, to_json(list(struct_pack(slug := slug, name := name) ORDER BY badge_id))::VARCHAR
-           AS b FROM held GROUP BY user_id""", recent_lists="""
-    SELECT author_id, to_json(list(struct_pack(review_id := review_id, title := title,
-           quality_score := quality_score) ORDER BY place))::VARCHAR AS rr
+    LEFT JOIN recent_lists rl ON rl.author_id = u.user_id""", badge_lists=BADGE_LISTS, recent_lists="""
+    SELECT author_id, to_json(list(struct_pack(review_id := d.review_id, title := title, status := status,
+           quality_score := quality_score, total_issues := coalesce(n, 0),
+           critical_issues := coalesce(critical, 0), error_issues := coalesce(error, 0),
+           warning_issues := coalesce(warning, 0), info_issues := coalesce(info, 0),
+           created_at := strftime(created_at, '%Y-%m-%dT%H:%M:%S')) ORDER BY place))::VARCHAR AS rr
     FROM (SELECT *, row_number() OVER (PARTITION BY author_id
-              ORDER BY created_at DESC, review_id DESC) AS place FROM done)
+              ORDER BY created_at DESC, review_id DESC) AS place FROM done) d
+    LEFT JOIN (SELECT review_id, count(*) AS n, count(*) FILTER (severity = 'critical') AS critical,
+                      count(*) FILTER (severity = 'error') AS error,
+                      count(*) FILTER (severity = 'warning') AS warning,
+                      count(*) FILTER (severity = 'info') AS info
+               FROM v_issues GROUP BY review_id) i ON i.review_id = d.review_id
     WHERE place <= 5 GROUP BY author_id"""))
 def user_profile(spark, folder):
-    profiles = nested.user_profile(
-        t.users(spark, folder), t.reviews(spark, folder), t.issues(spark, folder),
-        t.toggles(spark, folder), _held(spark, folder))
+    profiles = nested.user_profile(t.users(spark, folder), t.reviews(spark, folder),
+                                   t.issues(spark, folder), t.toggles(spark, folder))
     return nested.as_json(profiles, "badges", "recent_reviews")
 
 
@@ -550,16 +561,23 @@ def _counts_json(names, label: str, keep_zero: bool) -> str:
     return f"'[' || concat_ws(',', {', '.join(entries)}) || ']'"
 
 
-@query(s.with_ctes("v_users trend top held author_stats v_authored", f"""
-    SELECT u.user_id, username, full_name, coalesce(q, '[]') AS quality_trend,
+@query(s.with_ctes("v_users trend top held author_stats v_authored scores totals review_streaks", f"""
+    SELECT u.user_id, to_json(struct_pack(
+               username := username, full_name := full_name,
+               quality_score := coalesce(quality_score, 0.0::DOUBLE),
+               total_reviews := coalesce(x.total_reviews, 0), streak_days := coalesce(streak_days, 0),
+               total_issues_found := coalesce(total_issues_found, 0)))::VARCHAR AS user,
+           coalesce(q, '[]') AS quality_trend,
            {_counts_json(CATEGORIES, 'category', False)} AS issues_by_category,
            {_counts_json(SEVERITIES, 'severity', True)} AS issues_by_severity,
            coalesce(tr, '[]') AS top_rules, coalesce(b, '[]') AS badges,
            to_json(struct_pack(avg_quality := avg_quality,
                                total_lines_reviewed := total_lines_reviewed,
                                fixable_issues := fixable_issues,
-                               total_reviews := total_reviews))::VARCHAR AS stats
+                               total_reviews := a.total_reviews))::VARCHAR AS stats
     FROM v_users u JOIN author_stats a ON a.author_id = u.user_id
+    LEFT JOIN scores s ON s.author_id = u.user_id LEFT JOIN totals x ON x.author_id = u.user_id
+    LEFT JOIN review_streaks r ON r.user_id = u.user_id
     LEFT JOIN trends t ON t.author_id = u.user_id
     LEFT JOIN tops o ON o.author_id = u.user_id
     LEFT JOIN badge_lists bl ON bl.user_id = u.user_id
@@ -569,17 +587,14 @@ def _counts_json(names, label: str, keep_zero: bool) -> str:
     FROM trend GROUP BY author_id""", tops="""
     SELECT author_id, to_json(list(struct_pack(rule_id := rule_id, title := title, count := n,
            severity := severity) ORDER BY n DESC, rule_id))::VARCHAR AS tr
-    FROM top GROUP BY author_id""", badge_lists="""
-    SELECT user_id, to_json(list(struct_pack(slug := slug, name := name,
-           description := description) ORDER BY badge_id))::VARCHAR AS b
-    FROM held GROUP BY user_id""", counts_wide="SELECT author_id, " + ", ".join(
+    FROM top GROUP BY author_id""", badge_lists=BADGE_LISTS, counts_wide="SELECT author_id, " + ", ".join(
         [f"count(*) FILTER (severity = '{x}') AS {x}" for x in SEVERITIES]
         + [f"count(*) FILTER (category = '{x}') AS {x}" for x in CATEGORIES])
     + " FROM v_authored GROUP BY author_id"))
 def dashboard(spark, folder):
     boards = nested.dashboard(t.users(spark, folder), t.reviews(spark, folder),
-                              t.issues(spark, folder), _held(spark, folder))
-    return nested.as_json(boards, "quality_trend", "issues_by_category", "issues_by_severity",
+                              t.issues(spark, folder), t.toggles(spark, folder))
+    return nested.as_json(boards, "user", "quality_trend", "issues_by_category", "issues_by_severity",
                           "top_rules", "badges", "stats")
 
 

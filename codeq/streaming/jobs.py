@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codeq.operators.rollups import complete
 from codeq.operators.scan import scan_rules
-from codeq.operators.timeline import SETTLED_AFTER
+from codeq.operators.timeline import SETTLED_AFTER, checked_score
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -108,6 +108,7 @@ def _roll(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iter
 
 def rolling_quality(reviews: DataFrame) -> DataFrame:
     """Each author's rolling score, rounded after every review."""
-    done = complete(reviews).select("author_id", "review_id", "created_at", "quality_score")
+    done = complete(reviews).select("author_id", "review_id", "created_at",
+                                    checked_score(F.col("quality_score")).alias("quality_score"))
     return done.groupBy("author_id").applyInPandasWithState(
         _roll, ROLLING_SCHEMA, ROLLING_STATE, "update", GroupStateTimeout.NoTimeout)
