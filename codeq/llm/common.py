@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import DataType, StructType
 
 from codeq.session import shared_folder
 
@@ -47,10 +47,24 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+_kept: dict[str, object] = {}
+
+
+def kept_by_worker(name: str, make: Callable[[], object]):
+    """An object that a Python worker keeps from task to task, one at a time.
+
+    A worker serves one job after the other; what an earlier one kept goes when the next asks.
+    """
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def through_arrow(df: DataFrame, rows: Callable[[Batches], Iterator[dict[str, list]]],
                   schema: str | StructType) -> DataFrame:
     """``mapInArrow`` for a function that yields columns as a dict of lists or arrays."""
-    fields = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+    fields = schema if isinstance(schema, StructType) else DataType.fromDDL(schema)
     arrow = to_arrow_schema(fields)
 
     def run(batches: Batches) -> Batches:
@@ -61,15 +75,20 @@ def through_arrow(df: DataFrame, rows: Callable[[Batches], Iterator[dict[str, li
     return df.mapInArrow(run, fields)
 
 
-def chunks(batches: Batches, *columns: str, chars: int = 1 << 20) -> Iterator[tuple[list, ...]]:
-    """The rows in lists of about so many characters of the last column, one row at least."""
+def chunks(batches: Batches, *columns: str, chars: int = 1 << 20,
+           rows: int = 256) -> Iterator[tuple[list, ...]]:
+    """The rows in lists of at most so many rows, and so many characters of the last column or one row.
+
+    Only the rows of a list become Python objects, not a whole batch.
+    """
     for batch in batches:
-        lists = [batch.column(c).to_pylist() for c in columns]
-        start = held = 0
-        for i, text in enumerate(lists[-1]):
-            held += len(text) + 100
-            if held >= chars:
-                yield tuple(x[start:i + 1] for x in lists)
-                start, held = i + 1, 0
-        if start < len(lists[-1]):
-            yield tuple(x[start:] for x in lists)
+        for low in range(0, batch.num_rows, rows):
+            lists = [batch.column(c).slice(low, rows).to_pylist() for c in columns]
+            start = held = 0
+            for i, text in enumerate(lists[-1]):
+                held += len(text) + 100
+                if held >= chars:
+                    yield tuple(x[start:i + 1] for x in lists)
+                    start, held = i + 1, 0
+            if start < len(lists[-1]):
+                yield tuple(x[start:] for x in lists)

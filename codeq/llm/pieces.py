@@ -19,11 +19,14 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from codeq.llm.common import chunks, through_arrow, whole_text
+from codeq.llm.common import chunks, kept_by_worker, through_arrow, whole_text
 
 MARK = "▁"
-KNOWN_UNITS = 400_000
-UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+KNOWN_UNITS = 500_000
+STOPS = ".,!?;:"
+LETTERS = "a-zA-ZÀ-ÖØ-öø-ɏ"
+# Marks and what follows up to the next mark, or line feed, or up to a stop after nothing but letters.
+UNIT = re.compile(rf"{MARK}*(?:[{LETTERS}]++(?=[{STOPS}\n])|[^{MARK}\n]+)|{MARK}+|\n")
 
 
 class PieceModel:
@@ -46,12 +49,16 @@ class PieceModel:
         self.unknown = library.unk_id()
         self.longest = max(map(len, self.id), default=1)
         self.lowest = min(self.score.values(), default=0.0) - 10.0
-        # A cut before a mark that follows another character is safe if no piece runs over it.
-        self.cuts = not any(MARK in name.lstrip(MARK) for name in self.id)
+        # All paths meet at a place that no piece runs over: before a mark that follows another
+        # character, between a letter and a stop, around a line feed, if the pieces are like that.
+        self.cuts = not any(
+            MARK in name.lstrip(MARK) or "\n" in name
+            or any(a.isalpha() and b in STOPS for a, b in zip(name, name[1:])) for name in self.id)
         byte_of = {i: bytes([b]) for b, i in self.byte_id.items()}
         self.text_of = [byte_of.get(i) if i in byte_of else
                         self.names[i].replace(MARK, " ").encode() if self.names[i] in self.id
                         else " ⁇ ".encode() if i == self.unknown else b"" for i in ids]
+        self.ends: dict[str, str] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.sound: dict[str, bool] = {}
         self.known: dict[str, bytes] = {}
@@ -100,6 +107,28 @@ class PieceModel:
         lasts.append(best[1] if best else None)
         scores.append(best[0] if best else 0.0)
 
+    def _short(self, text: str) -> list[str]:
+        """Pieces of a text that fits the window; nodes are shared by texts that begin alike."""
+        ends, size = self.ends, len(text)
+        if len(ends) > KNOWN_UNITS:
+            ends.clear()
+        ends[""] = ""
+        done = size
+        while text[:done] not in ends:
+            done -= 1
+        lasts = []
+        for at in range(done):
+            last = ends.get(text[:at])
+            if last is None:  # forgotten, or never a node of its own
+                done = at
+                break
+            lasts.append(last)
+        lasts += [ends[text[:done]]]
+        for at in range(done, size):
+            self._step(text, at, 0, lasts, [])
+            ends[text[:at + 1]] = lasts[-1]
+        return self._path(text, size, lasts)
+
     def segment(self, text: str):
         """Yield settled pieces of a normalised text; keeps about two longest pieces of it."""
         window, lasts, scores = "", [""], [0.0]  # node i is before character i of the window
@@ -156,7 +185,8 @@ class PieceModel:
         for unit in UNIT.findall(marked):
             ids = self.known.get(unit)
             if ids is None:
-                ids = self._ids(self.segment(unit))
+                short = self.merges and len(unit) <= 2 * self.longest
+                ids = self._ids(self._short(unit) if short else self.segment(unit))
                 if len(self.known) < KNOWN_UNITS:
                     self.known[unit] = ids
             out.append(ids)
@@ -169,13 +199,8 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
-_MODELS: dict[str, PieceModel] = {}
-
-
 def model(path: str) -> PieceModel:
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    return kept_by_worker(f"pieces {path}", lambda: PieceModel(path))
 
 
 def encoded(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
