@@ -11,14 +11,14 @@ from codeq.llm.common import settle
 def _large_star(links: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least one around it."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = settle(both.groupBy("u").agg(F.min("v").alias("m")), "least")
     return (both.filter("v > u").join(least, "u")
             .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them; links point downwards."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = settle(links.groupBy("u").agg(F.min("v").alias("m")), "least")
     lower = links.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return lower.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -27,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link; the root is the least node reachable.
 
     ``links`` has two columns of a type with an order. No list of neighbours is ever gathered: stars
-    are minima and joins, so a node with very many links is split like any skewed key.
+    are minima, written down, and joins with them, whose hot keys Spark splits.
     """
     a, b = links.columns
     links = settle(links.filter(F.col(a) != F.col(b)).select(
@@ -38,6 +38,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
-        links = settle(_small_star(_large_star(links)), "links")
+        links = settle(_small_star(settle(_large_star(links), "links")), "links")
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         links.select("v", "v").distinct())

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeq.llm.common import chunks, through_arrow, whole_text
+from codeq.llm.common import chunks, kept_by_worker, through_arrow, whole_text
 from codeq.llm.subwords import byte_letters
 
 # White space and the pre-token pattern of the byte-level vocabulary.
@@ -113,15 +113,10 @@ class RankCounter:
         return [sum(map(known.__getitem__, units)) for units in split]
 
 
-_COUNTERS: dict[str, RankCounter] = {}
-
-
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit; null text is empty, rows stay as they are."""
     def rows(batches):
-        if vocabulary not in _COUNTERS:
-            _COUNTERS[vocabulary] = RankCounter(vocabulary)
-        counter = _COUNTERS[vocabulary]
+        counter = kept_by_worker(f"counts {vocabulary}", lambda: RankCounter(vocabulary))
         for doc_ids, n_bytes, texts in chunks(batches, "doc_id", "n_bytes", "text"):
             n_tokens = counter.counts(texts)
             yield {"doc_id": doc_ids, "n_bytes": n_bytes, "n_tokens": n_tokens,

@@ -104,14 +104,18 @@ def _first_texts(docs: DataFrame, carry: bool, budget: int) -> DataFrame:
     schema = schema.add("row_of", source.schema["row_of"].dataType).add("text", "binary")
     names = schema.names
 
-    def texts(entries) -> dict[str, list]:
-        out = {n: [] for n in names}
+    def texts(entries) -> Iterator[dict[str, list]]:
+        out, size = {n: [] for n in names}, 0
         for key, entry in entries:
             sha = hashlib.sha256(key).digest()
             for n, v in zip(names, (1, entry["rep"], *entry["best"], entry["n"], len(key), sha[:8],
                                     None, entry["row_of"], key), strict=True):
                 out[n].append(v)
-        return out
+            size += len(key) + 200
+            if size > 1 << 20:
+                yield out
+                out, size = {n: [] for n in names}, 0
+        yield out
 
     def rows(batches):
         trie, number = Trie(), TaskContext.get().partitionId() << 36
@@ -133,8 +137,8 @@ def _first_texts(docs: DataFrame, carry: bool, budget: int) -> DataFrame:
             if out["kind"]:
                 yield out
             while sum(trie.held.values()) > budget:
-                yield texts(trie.spill(max(trie.held, key=trie.held.get)))
-        yield texts(trie.spill())
+                yield from texts(trie.spill(max(trie.held, key=trie.held.get)))
+        yield from texts(trie.spill())
     return settle(through_arrow(source, rows, schema), "texts")
 
 
@@ -197,7 +201,7 @@ def _gathered(rows):
     return run
 
 
-def owners(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
+def owners(docs: DataFrame, budget: int = 16 << 20) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays; null text is empty and a null doc_id the
@@ -210,7 +214,7 @@ def owners(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
         F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def distinct_texts(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
+def distinct_texts(docs: DataFrame, budget: int = 16 << 20) -> DataFrame:
     """The documents that stay, with all their columns; a null text that stays is empty."""
     found = _owners(_first_texts(docs, True, budget), True)
     return found.select(*[F.col("text") if c == "text" else F.col(f"row_of.`{c}`") for c in docs.columns])

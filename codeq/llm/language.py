@@ -12,14 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeq.llm.common import through_arrow
+from codeq.llm.common import chunks, through_arrow
 
 BUCKETS = 1 << 16
 STEPS = 12
 LEAST_SHARE = 0.02  # languages with less are not considered
 PENALTY = 4.0  # per language and unit of log(words) / 2; word likelihoods are sharper than they should be
 UNKNOWN = "und"
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 CHARS = 1 << 20
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -133,11 +133,11 @@ def learn(docs: DataFrame) -> Mixture:
     """
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for langs, texts in chunks(batches, "lang", "text"):
             by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for lang, text in zip(langs, texts, strict=True):
                 by_lang.setdefault(lang, []).extend(_words(text))
-                if len(by_lang[lang]) > CHARS // 4:
+                if len(by_lang[lang]) > CHARS // 16:
                     _add(sums, lang, by_lang.pop(lang))
             for lang, words in by_lang.items():
                 _add(sums, lang, words)

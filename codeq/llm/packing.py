@@ -121,11 +121,12 @@ def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
     Every length is 1 to ``size``. The whole table is packed as one, so at most one bin is left
     that a sequential best-fit decreasing would not have.
     """
-    counts = pieces.groupBy("task", "length").agg((F.max("place") + 1).alias("n"))
+    counts = settle(pieces.groupBy("task", "length").agg((F.max("place") + 1).alias("n")), "counts")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(
         Window.unboundedPreceding, -1)
-    shifts = counts.select("task", "length",
-                           F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    # Written down, so that the join deals pieces out by task and length, not by length alone.
+    shifts = settle(counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")),
+                    "shifts")
     histogram = {r["length"]: r["n"] for r in
                  counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs, _ = best_fit(histogram, size)
@@ -147,7 +148,7 @@ def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
                 [*kept, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     placed = pieces.join(shifts, ["task", "length"]).withColumn(
-        "place", F.col("place") + F.col("shift")).drop("shift")
+        "place", F.col("place") + F.col("shift")).select(*pieces.columns)
     kept = [f for f in placed.schema if f.name not in ("task", "place")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return placed.mapInArrow(look_up, f"{schema}, sequence_id long, offset long")

@@ -239,8 +239,8 @@ def _components_of(prints: DataFrame, ids: list[Column], radius: int) -> DataFra
     """(fp, first) with the least of ``ids`` in the component of each fingerprint."""
     classes = settle(prints.groupBy("fp").agg(F.min(F.struct(*ids)).alias("first")), "classes")
     roots = components(hamming_links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    rooted = settle(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = settle(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
     return rooted.join(least, "root").select("fp", F.col("least").alias("first"))
 
 
@@ -251,10 +251,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     a null doc_id take part; a component of such rows alone has a null id. Repeated rows stay.
     """
     prints = settle(fingerprints(docs, width=width), "prints")
-    found = _components_of(prints.filter("key is not null"), [F.col("key")], radius)
-    lone = prints.filter("key is null").limit(1).count()
-    if lone:
-        found = _components_of(prints, [F.col("key").isNull().alias("none"), F.col("key")], radius)
+    found = _components_of(prints, [F.col("key").isNull().alias("none"), F.col("key")], radius)
     return prints.join(found, "fp").select(
         F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("first.key").alias("component_id"))

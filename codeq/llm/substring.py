@@ -1,6 +1,6 @@
 """Repeated passages across documents, exact or fuzzy, by collinear chaining of shared word k-mers.
 
-Every document gives the minimizers of its k-mers. A seed that several documents have links each of
+Every document gives the minimizers of its k-mers, numbered where it has one again. A seed that several documents have links each of
 them to the first one, so a seed in n documents gives n - 1 links. The links of two documents are
 chained with gap costs (a Fenwick tree over the place in the first one finds the best predecessor),
 and chains are aligned word by word.
@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeq.llm.common import chunks, free_name, numbered, settle, through_arrow, whole_text
+from codeq.llm.common import (
+    chunks, free_name, kept_by_worker, numbered, settle, through_arrow, whole_text)
 
 K = 5
 WINDOW = 12  # any K + WINDOW - 1 words in common have a seed in common
@@ -30,16 +31,14 @@ FILTER_BITS = 26
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 KNOWN_WORDS = 400_000
 
-_words: dict[bytes, int] = {}
-
-
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
-    if len(_words) > KNOWN_WORDS:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxh64_intdigest(w)
-    return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    known: dict[bytes, int] = kept_by_worker("word hashes", dict)
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxh64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def minimizers(words: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -62,12 +61,27 @@ def minimizers(words: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np
     return mixed[places].view(np.int64), places
 
 
+def with_repeats(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of one document, and for those that it has again one more, told apart by how often before.
+
+    By the plain seed every place meets the first place elsewhere, by the other one the second meets
+    the second, and so on, which a text that goes round in circles needs to be chained.
+    """
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    first = np.maximum.accumulate(np.where(np.diff(ordered, prepend=ordered[:1] - 1) != 0, np.arange(len(order)), 0))
+    turn = np.arange(len(order)) - first
+    again = turn > 0
+    told = (ordered[again] ^ (turn[again] * np.int64(0x2545F4914F6CDD1D))) * np.int64(0x5851F42D4C957F2D)
+    return np.append(hashes, told), np.append(places, places[order][again])
+
+
 def _seeds(docs: DataFrame, row: str) -> DataFrame:
     def rows(batches):
         for keys, texts in chunks(batches, "key", "text"):
             out = defaultdict(list)
             for key, text in zip(keys, texts, strict=True):
-                hashes, places = minimizers(text.encode().lower().split())
+                hashes, places = with_repeats(*minimizers(text.encode().lower().split()))
                 out["seed"].append(hashes)
                 out["pos"].append(places)
                 out["key"].append(np.full(len(places), key))
@@ -77,10 +91,15 @@ def _seeds(docs: DataFrame, row: str) -> DataFrame:
 
 
 def _links(seeds: DataFrame) -> DataFrame:
-    """(key, owner, pos, owner_pos): each place of a seed that is also in an earlier document."""
+    """(key, owner, pos, owner_pos): each place of a seed that is also in an earlier document.
+
+    Owners are written before they are joined: a join whose sides are both plain shuffles has its
+    hot keys split, one on top of an aggregate has not.
+    """
     shared = seeds.groupBy("seed").agg(F.min("key").alias("owner"), F.max("key").alias("last"))
-    met = settle(seeds.join(shared.filter("owner < last").drop("last"), "seed"), "shared")
-    first = met.filter("key = owner").groupBy("seed").agg(F.min("pos").alias("owner_pos"))
+    shared = settle(shared.filter("owner < last").drop("last"), "owners")
+    met = settle(seeds.join(shared, "seed"), "shared")
+    first = settle(met.filter("key = owner").groupBy("seed").agg(F.min("pos").alias("owner_pos")), "first")
     return met.filter("key > owner").join(first, "seed").select("key", "owner", "pos", "owner_pos")
 
 

@@ -7,6 +7,8 @@ from array import array
 
 import numpy as np
 
+from codeq.llm.common import kept_by_worker
+
 ODD = b"odd"
 STOPS = ".,!?;:"
 
@@ -42,7 +44,7 @@ class WordEncoder:
     and any space is such a place. At most ``limit`` words are kept.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 1_200_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -139,14 +141,9 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
-
-
 def word_encoder(path: str, spaced: bool) -> WordEncoder:
     """The encoder of this worker; its words stay known from task to task."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = WordEncoder(path, spaced)
-    return _ENCODERS[path, spaced]
+    return kept_by_worker(f"words {path}", lambda: WordEncoder(path, spaced))
 
 
 def vocabulary(name: str) -> str:
