@@ -51,23 +51,29 @@ _kept: dict[str, object] = {}
 
 
 def kept_by_worker(name: str, make: Callable[[], object]):
-    """An object that a Python worker keeps from task to task, one at a time.
-
-    A worker serves one job after the other; what an earlier one kept goes when the next asks.
-    """
+    """An object that a Python worker keeps from task to task; see ``through_arrow``."""
     if name not in _kept:
-        _kept.clear()
         _kept[name] = make()
     return _kept[name]
 
 
+def release(keeps: str = "") -> None:
+    """Drop what this worker keeps, but for the object of that name."""
+    for name in [n for n in _kept if n != keeps]:
+        del _kept[name]
+
+
 def through_arrow(df: DataFrame, rows: Callable[[Batches], Iterator[dict[str, list]]],
-                  schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` for a function that yields columns as a dict of lists or arrays."""
+                  schema: str | StructType, keeps: str = "") -> DataFrame:
+    """``mapInArrow`` for a function that yields columns as a dict of lists or arrays.
+
+    A worker serves the tasks of one job after the other: what it keeps for others than ``keeps`` goes.
+    """
     fields = schema if isinstance(schema, StructType) else DataType.fromDDL(schema)
     arrow = to_arrow_schema(fields)
 
     def run(batches: Batches) -> Batches:
+        release(keeps)
         for columns in rows(batches):
             yield pa.RecordBatch.from_arrays(
                 [columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array)

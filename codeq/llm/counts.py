@@ -116,11 +116,12 @@ class RankCounter:
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit; null text is empty, rows stay as they are."""
     def rows(batches):
-        counter = kept_by_worker(f"counts {vocabulary}", lambda: RankCounter(vocabulary))
+        counter = kept_by_worker(vocabulary, lambda: RankCounter(vocabulary))
         for doc_ids, n_bytes, texts in chunks(batches, "doc_id", "n_bytes", "text"):
             n_tokens = counter.counts(texts)
             yield {"doc_id": doc_ids, "n_bytes": n_bytes, "n_tokens": n_tokens,
                    "over_limit": [n > limit for n in n_tokens]}
     whole = docs.select("doc_id", whole_text()).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    return through_arrow(whole, rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return through_arrow(whole, rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean",
+                         keeps=vocabulary)

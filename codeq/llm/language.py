@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeq.llm.common import chunks, through_arrow
+from codeq.llm.common import chunks, release, through_arrow
 
 BUCKETS = 1 << 16
 STEPS = 12
@@ -172,6 +172,7 @@ def predictor(spark: SparkSession, mixture: Mixture):
     @F.pandas_udf("lang_pred string, score double, languages array<string>")
     def predict(texts: pd.Series) -> pd.DataFrame:
         if not ready:
+            release()
             ready.append(Mixture(*shared.value))
         found, held, size = [], [], 0
         for text in texts:

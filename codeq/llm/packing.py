@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from codeq.llm.common import Batches, chunks, settle, through_arrow, whole_text
 from codeq.llm.subwords import word_encoder
 
+KNOWN_WORDS = 500_000
 PIECES = ("doc_id long, piece int, start long, length int, ids_crc32 long, ids binary, "
           "task int, place long")
 
@@ -95,7 +96,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int
     32-bit little-endian, null unless wanted.
     """
     def cut(batches: Batches):
-        encoder, end = word_encoder(vocabulary, False), end_id.to_bytes(4, "little")
+        encoder, end = word_encoder(vocabulary, False, KNOWN_WORDS), end_id.to_bytes(4, "little")
         seen, task, width = defaultdict(int), TaskContext.get().partitionId(), 4 * size
         for doc_ids, texts in chunks(batches, "doc_id", "text"):
             rows = defaultdict(list)
@@ -112,7 +113,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int
                         rows[name].append(value)
                     seen[length] += 1
             yield rows
-    return through_arrow(docs.select("doc_id", whole_text()), cut, PIECES)
+    return through_arrow(docs.select("doc_id", whole_text()), cut, PIECES, keeps=vocabulary)
 
 
 def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:

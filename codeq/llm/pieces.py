@@ -200,7 +200,7 @@ class PieceModel:
 
 
 def model(path: str) -> PieceModel:
-    return kept_by_worker(f"pieces {path}", lambda: PieceModel(path))
+    return kept_by_worker(path, lambda: PieceModel(path))
 
 
 def encoded(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
@@ -218,7 +218,8 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
                    "round_trip": [pieces.decode(x) == t for x, t in zip(ids, texts, strict=True)],
                    "ids": ids if with_ids else [None] * len(ids)}
     return through_arrow(docs.select("doc_id", whole_text()), rows,
-                         "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, ids binary")
+                         "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, ids binary",
+                         keeps=path)
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -228,4 +229,4 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield {"doc_id": batch.column("doc_id"), "text": [
                 None if x is None else pieces.decode(x) for x in batch.column("ids").to_pylist()]}
-    return through_arrow(rows.select("doc_id", "ids"), texts, "doc_id long, text string")
+    return through_arrow(rows.select("doc_id", "ids"), texts, "doc_id long, text string", keeps=path)

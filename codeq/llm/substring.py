@@ -87,7 +87,7 @@ def _seeds(docs: DataFrame, row: str) -> DataFrame:
                 out["key"].append(np.full(len(places), key))
             yield {n: np.concatenate(v) for n, v in out.items()}
     return settle(through_arrow(docs.select(F.col(row).alias("key"), whole_text()), rows,
-                                "seed long, key long, pos int"), "seeds")
+                                "seed long, key long, pos int", keeps="word hashes"), "seeds")
 
 
 def _links(seeds: DataFrame) -> DataFrame:

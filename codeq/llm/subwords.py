@@ -44,7 +44,7 @@ class WordEncoder:
     and any space is such a place. At most ``limit`` words are kept.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 800_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -141,9 +141,9 @@ class WordEncoder:
         return out
 
 
-def word_encoder(path: str, spaced: bool) -> WordEncoder:
-    """The encoder of this worker; its words stay known from task to task."""
-    return kept_by_worker(f"words {path}", lambda: WordEncoder(path, spaced))
+def word_encoder(path: str, spaced: bool, limit: int) -> WordEncoder:
+    """The encoder of this worker, kept under its path; its words stay known from task to task."""
+    return kept_by_worker(path, lambda: WordEncoder(path, spaced, limit))
 
 
 def vocabulary(name: str) -> str:

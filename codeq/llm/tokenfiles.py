@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from codeq.llm.common import chunks, settle, through_arrow, whole_text
 from codeq.llm.subwords import word_encoder
 
+KNOWN_WORDS = 1_200_000
 SCHEMA = "doc_id long, part int, before long, ids array<int>"
 
 
@@ -31,7 +32,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0,
     ahead of a document in its range.
     """
     def encode(batches):
-        encoder, end, before = word_encoder(vocabulary, True), end_id.to_bytes(4, "little"), 0
+        encoder, end, before = word_encoder(vocabulary, True, KNOWN_WORDS), end_id.to_bytes(4, "little"), 0
         part = TaskContext.get().partitionId()
         for doc_ids, texts in chunks(batches, "doc_id", "text"):
             coded = [ids + end for ids in encoder.encode(texts)]
@@ -44,7 +45,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0,
             before += int(stops[-1])
     ordered = docs.select("doc_id", whole_text()).withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    (through_arrow(ordered, encode, SCHEMA).write.option("compression", "zstd")
+    (through_arrow(ordered, encode, SCHEMA, keeps=vocabulary).write.option("compression", "zstd")
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.create.index", "true").option("orc.row.index.stride", str(stride))
      .option("orc.stripe.size", str(stripe_mb << 20)).orc(path))
