@@ -47,6 +47,18 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers get at most so many texts at once; a setting of the session.
+
+    Workers that wait for their next task, and there may be several to a core, keep what a batch took.
+    """
+    if not 0 < int(spark.conf.get(BATCH)) <= rows:
+        spark.conf.set(BATCH, str(rows))
+
+
 _kept: dict[str, object] = {}
 
 
@@ -69,6 +81,7 @@ def through_arrow(df: DataFrame, rows: Callable[[Batches], Iterator[dict[str, li
 
     A worker serves the tasks of one job after the other: what it keeps for others than ``keeps`` goes.
     """
+    small_batches(df.sparkSession)
     fields = schema if isinstance(schema, StructType) else DataType.fromDDL(schema)
     arrow = to_arrow_schema(fields)
 

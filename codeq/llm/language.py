@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeq.llm.common import chunks, release, through_arrow
+from codeq.llm.common import chunks, release, small_batches, through_arrow
 
 BUCKETS = 1 << 16
 STEPS = 12
@@ -166,6 +166,7 @@ def _add(sums: dict[str, np.ndarray], lang: str, words: list[bytes]) -> None:
 
 def predictor(spark: SparkSession, mixture: Mixture):
     """Column function of a text: struct of lang_pred, score and languages."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((mixture.languages, mixture.logs))
     ready: list[Mixture] = []
 

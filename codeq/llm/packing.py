@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from codeq.llm.common import Batches, chunks, settle, through_arrow, whole_text
 from codeq.llm.subwords import word_encoder
 
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 250_000
 PIECES = ("doc_id long, piece int, start long, length int, ids_crc32 long, ids binary, "
           "task int, place long")
 
