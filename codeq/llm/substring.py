@@ -41,10 +41,8 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def minimizers(words: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of the k-mers that are the least of some window; signed 64-bit hashes."""
-    if len(words) < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def run_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """64-bit hashes of all runs of k words, of which there are some."""
     hashes = _word_hashes(words)
     count = len(words) - k + 1
     mixed = np.zeros(count, dtype=np.uint64)
@@ -52,7 +50,15 @@ def minimizers(words: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[i:i + count]
         mixed ^= mixed >> np.uint64(29)
     mixed = mixed * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def minimizers(words: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the k-mers that are the least of some window; signed 64-bit hashes."""
+    if len(words) < k:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    mixed = run_hashes(words, k)
+    count = len(mixed)
     if count <= window:
         places = np.array([int(mixed.argmin())])
     else:
