@@ -25,11 +25,14 @@ WINDOW = 12  # any K + WINDOW - 1 words in common have a seed in common
 GAP_COST = 0.05  # per word of either side between two links
 MAX_GAP, MAX_SHIFT = 64, 16  # chains are cut at wider gaps, or shifts of the diagonal
 MARGIN = 64  # words beside a chain that alignment may reach
-X_DROP = 8
+AGAIN, MAX_STEP = 2, 12  # beyond a chain: words equal again, words passed before them
 MIN_PIECE = 15
 FILTER_BITS = 26
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 KNOWN_WORDS = 400_000
+_STEPS = sorted(((x, y) for x in range(MAX_STEP + 1) for y in range(MAX_STEP + 1) if x or y),
+                key=lambda s: (max(s), abs(s[0] - s[1]), s))
+
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
@@ -230,72 +233,127 @@ def _cut(text: str, first: int, stop: int) -> tuple[int, list[bytes]]:
     return low, words[low:stop + K + MARGIN]
 
 
-def _extend(a: list, b: list, i: int, j: int, step: int) -> int:
-    """How far a match goes on beyond (i, j) on the diagonal, by an X-drop rule."""
-    best = at = score = top = 0
-    while 0 <= i < len(a) and 0 <= j < len(b) and score > top - X_DROP:
-        score += 1 if a[i] == b[j] else -4
-        at += 1
-        if score > top:
-            top, best = score, at
-        i, j = i + step, j + step
-    return best
+def _moves(a: list, b: list) -> list[tuple[int, int, int]]:
+    """How two stretches that need not be of one length go together: (words of a, words of b, equal)."""
+    out: list[tuple[int, int, int]] = []
+    if len(a) == len(b):
+        out = [(1, 1, int(x == y)) for x, y in zip(a, b, strict=True)]
+        if 2 * sum(m[2] for m in out) >= len(out) or len(out) < 4:
+            return out
+        out = []
+    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        both = min(i2 - i1, j2 - j1)
+        out += [(1, 1, int(tag == "equal"))] * both
+        out += [(1, 0, 0)] * (i2 - i1 - both) + [(0, 1, 0)] * (j2 - j1 - both)
+    return out
+
+
+def _onward(a: list, b: list) -> list[tuple[int, int, int]]:
+    """How the beginnings of two texts go together, as far as they do.
+
+    Past words that differ it goes on where the fewest of either side are passed and AGAIN words are
+    equal, or one behind a single other word; ends where there is no such place near.
+    """
+    i = j = 0
+    out: list[tuple[int, int, int]] = []
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((1, 1, 1))
+            i, j = i + 1, j + 1
+            continue
+        for x, y in _STEPS:
+            need = 1 if x == y == 1 else AGAIN
+            if a[i + x:i + x + need] == b[j + y:j + y + need] and i + x + need <= len(a):
+                out += [(1, 1, int(a[i + d] == b[j + d])) for d in range(min(x, y))]
+                out += [(1, 0, 0)] * (x - y) + [(0, 1, 0)] * (y - x)
+                i, j = i + x, j + y
+                break
+        else:
+            break
+    return out
+
+
+def _alike_spans(moves: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The longest spans whose equal words are 0.8 or more of the longer side, then those beside them.
+
+    No beginning or end of a span lowers its likeness below a half: words that are not alike are
+    only passed if as many equal ones lie on either side.
+    """
+    sums = np.vstack([[0, 0, 0], np.cumsum(moves, axis=0)])
+    good_a, good_b = 5 * sums[:, 2] - 4 * sums[:, 0], 5 * sums[:, 2] - 4 * sums[:, 1]
+    height = 2 * sums[:, 2] - np.arange(len(sums))
+    found, waiting = [], [(0, len(moves))]
+    while waiting:
+        low, high = waiting.pop()
+        for start, stop in _halves(height, low, high):
+            if stop - start < least:
+                continue
+            for size in range(stop - start, least - 1, -1):
+                fits = ((good_a[start + size:stop + 1] >= good_a[start:stop + 1 - size])
+                        & (good_b[start + size:stop + 1] >= good_b[start:stop + 1 - size]))
+                if fits.any():
+                    first = start + int(fits.argmax())
+                    last = first + size
+                    if first > start or last < stop:
+                        waiting += [(start, first), (last, stop)]
+                    equal = np.flatnonzero(moves[first:last, 2])
+                    found.append((first + int(equal[0]), first + int(equal[-1]) + 1))
+                    break
+    return found
+
+
+def _halves(height: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
+    """Maximal stretches of which every beginning and end is more than half equal."""
+    own = height[low:high + 1]
+    if len(own) < 2:
+        return []
+    if own[1:].min() > own[0] and own[:-1].max() < own[-1]:
+        return [(low, high)]
+    out: list[tuple[int, int]] = []  # after Ruzzo and Tompa
+    values = own.tolist()
+    for at in range(len(values) - 1):
+        if values[at + 1] < values[at]:
+            continue
+        new = (at, at + 1)
+        while True:
+            k = len(out) - 1
+            while k >= 0 and values[out[k][0]] >= values[new[0]]:
+                k -= 1
+            if k < 0 or values[out[k][1]] >= values[new[1]]:
+                out.append(new)
+                break
+            new = (out[k][0], new[1])
+            del out[k:]
+    return [(low + x, low + y) for x, y in out]
 
 
 def align(a: list, b: list, pos: list[int], owner_pos: list[int],
           least: int = MIN_PIECE) -> list[tuple[int, int, int, int, int]]:
     """Alike pieces (start, stop, owner start, owner stop, equal words) along a chain.
 
-    A word that is equal counts 1, any other of either side -4, so that a piece of positive score is
-    at least 0.8 alike; the pieces are the best-scoring ones, then the best beside them.
+    Equal words are at least 0.8 of the longer side of a piece, over the whole of it.
     """
-    columns: list[tuple[int, int, int]] = []  # (words of a, words of b, score) passed by each
-
-    def straight(i: int, j: int, n: int) -> None:
-        columns.extend((1, 1, 1 if a[i + d] == b[j + d] else -4) for d in range(n))
-
-    left = _extend(a, b, pos[0] - 1, owner_pos[0] - 1, -1)
-    i, j = pos[0] - left, owner_pos[0] - left
-    start = (i, j)
+    before = _onward(a[:pos[0]][::-1], b[:owner_pos[0]][::-1])[::-1]
+    i, j = start = pos[0], owner_pos[0]
+    columns: list[tuple[int, int, int]] = []  # (words of a, words of b, equal words) passed by each
     for x, y in zip(pos, owner_pos, strict=True):
-        if x - i == y - j:
-            if x > i:
-                straight(i, j, x - i)
-        elif x >= i and y >= j:
-            for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(
-                    None, a[i:x], b[j:y], autojunk=False).get_opcodes():
-                if tag == "equal":
-                    columns.extend([(1, 1, 1)] * (i2 - i1))
-                else:
-                    columns.extend([(1, 0, -4)] * (i2 - i1))
-                    columns.extend([(0, 1, -4)] * (j2 - j1))
-        else:
+        if x - i != y - j and (x < i or y < j):
             continue  # overlaps the link before it on another diagonal
+        if x > i or y > j:
+            columns += _moves(a[i:x], b[j:y])
         i, j = max(i, x), max(j, y)
         step = x + K - i
         if y + K - j == step and step > 0:
-            straight(i, j, step)
+            columns += [(1, 1, int(a[i + d] == b[j + d])) for d in range(step)]
             i, j = i + step, j + step
-    right = _extend(a, b, i, j, 1)
-    straight(i, j, right)
-    moves = np.array(columns).reshape(-1, 3)
+    moves = np.array(before + columns + _onward(a[i:], b[j:])).reshape(-1, 3)
+    start = (start[0] - sum(m[0] for m in before), start[1] - sum(m[1] for m in before))
     ends = np.vstack([[0, 0], np.cumsum(moves[:, :2], axis=0)]) + start
-    total = np.append(0, np.cumsum(moves[:, 2]))
-    pieces, spans = [], [(0, len(moves))]
-    while spans:
-        low, high = spans.pop()
-        if high - low < least:
-            continue
-        floor = np.minimum.accumulate(total[low:high + 1])
-        stop = low + int(np.argmax(total[low:high + 1] - floor))
-        first = low + int(np.argmin(total[low:stop + 1]))
-        (x1, y1), (x2, y2) = ends[first], ends[stop]
-        if total[stop] <= total[first]:
-            continue
+    pieces = []
+    for first, stop in _alike_spans(moves, least):
+        (x1, y1), (x2, y2) = ends[first].tolist(), ends[stop].tolist()
         if x2 - x1 >= least:
-            equal = int((moves[first:stop, 2] == 1).sum())
-            pieces.append((int(x1), int(x2), int(y1), int(y2), equal))
-            spans += [(low, first), (stop, high)]
+            pieces.append((x1, x2, y1, y2, int(moves[first:stop, 2].sum())))
     return pieces
 
 

@@ -55,6 +55,48 @@ def test_alignment_ends_where_the_likeness_does():
     assert (x1, x2, y1, y2, equal) == (30, 90, 10, 69, 58)
 
 
+def changed(run, alike, rng, shifts=False):
+    """The run with other words at random places, so that it is this much alike."""
+    out = list(run)
+    for at in sorted(rng.sample(range(1, len(run) - 1), round(len(run) * (1 - alike))), reverse=True):
+        kind = rng.random() if shifts else 1
+        if kind < 0.15:
+            del out[at]
+        elif kind < 0.3:
+            out.insert(at, f"new{rng.random()}")
+        else:
+            out[at] = f"new{rng.random()}"
+    return out
+
+
+def test_likeness_is_that_of_the_whole_span():
+    run = [w.encode() for w in prose(91)]
+    other = run[:40] + [b"x%d" % i for i in range(11)] + run[51:]
+    pos = list(range(0, 36, 5)) + list(range(51, 87, 5))
+    assert align(run, other, pos, pos) == [(0, 91, 0, 91, 80)]
+    far = run[:80] + [b"x%d" % i for i in range(8)] + run[88:]  # three equal words don't pay for eight others
+    assert [p[:2] for p in align(run, far, pos[:8], pos[:8])] == [(0, 80)]
+
+
+def test_a_short_best_piece_does_not_end_the_search():
+    run = [w.encode() for w in prose(60)]
+    other = [w if i % 5 != 4 else b"other" for i, w in enumerate(run)]  # 0.8 alike, never five words running
+    assert [p[1] - p[0] >= 55 for p in align(run, other, [0, 5], [0, 5])] == [True]
+
+
+@pytest.mark.parametrize("alike", [0.8, 0.85, 0.9])
+def test_aligned_passages_are_as_long_as_they_are_alike(alike):
+    rng, found = random.Random(51), 0
+    for _ in range(100):
+        run = prose(60, rng)
+        a, b = ([w.encode() for w in prose(70, rng) + r + prose(70, rng)] for r in (changed(run, alike, rng), run))
+        links = [i for i in range(70, 126) if a[i:i + K] == b[i:i + K]]
+        pieces = align(a, b, links, links) if len(links) > 1 else []
+        assert all(5 * e >= 4 * max(x2 - x1, y2 - y1) for x1, x2, y1, y2, e in pieces)
+        found += any(x2 - x1 >= 50 for x1, x2, *_ in pieces)
+    assert found >= 95
+
+
 def rows_of(docs, frame):
     return sorted((r["doc_id"], r["start_word"], r["end_word"], r["other_id"]) for r in passages(frame).collect())
 
