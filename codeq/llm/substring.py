@@ -1,7 +1,8 @@
 """Repeated passages across documents, exact or fuzzy, by collinear chaining of shared word k-mers.
 
-Every document gives the minimizers of its k-mers, numbered where it has one again. A seed that several documents have links each of
-them to the first one, so a seed in n documents gives n - 1 links. The links of two documents are
+Every document gives the minimizers of its k-mers, short and long, numbered where it has one again.
+A seed that several documents have links each of them to the first one, so a seed in n documents gives
+n - 1 links. The links of two documents are
 chained with gap costs (a Fenwick tree over the place in the first one finds the best predecessor),
 and chains are aligned word by word.
 """
@@ -22,6 +23,7 @@ from codeq.llm.common import (
 
 K = 5
 WINDOW = 12  # any K + WINDOW - 1 words in common have a seed in common
+LONG, LONG_WINDOW = 25, 26  # any 50 words in common have a long seed in common
 GAP_COST = 0.05  # per word of either side between two links
 MAX_GAP, MAX_SHIFT = 64, 16  # chains are cut at wider gaps, or shifts of the diagonal
 MARGIN = 64  # words beside a chain that alignment may reach
@@ -86,14 +88,17 @@ def with_repeats(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _seeds(docs: DataFrame, row: str) -> DataFrame:
+    """(seed, key, pos): short seeds, and long ones, whose place p is told as -1 - p."""
     def rows(batches):
         for keys, texts in chunks(batches, "key", "text"):
             out = defaultdict(list)
             for key, text in zip(keys, texts, strict=True):
-                hashes, places = with_repeats(*minimizers(text.encode().lower().split()))
-                out["seed"].append(hashes)
-                out["pos"].append(places)
-                out["key"].append(np.full(len(places), key))
+                words = text.encode().lower().split()
+                hashes, places = with_repeats(*minimizers(words))
+                far, far_places = with_repeats(*minimizers(words, LONG, LONG_WINDOW))
+                out["seed"] += [hashes, far]
+                out["pos"] += [places, -1 - far_places]
+                out["key"].append(np.full(len(places) + len(far_places), key))
             yield {n: np.concatenate(v) for n, v in out.items()}
     return settle(through_arrow(docs.select(F.col(row).alias("key"), whole_text()), rows,
                                 "seed long, key long, pos int", keeps="word hashes"), "seeds")
@@ -102,14 +107,21 @@ def _seeds(docs: DataFrame, row: str) -> DataFrame:
 def _links(seeds: DataFrame) -> DataFrame:
     """(key, owner, pos, owner_pos): each place of a seed that is also in an earlier document.
 
+    A long seed has an owner of its own, whoever has its words' short ones, and gives two links, of
+    its first and its last K words, which make a chain.
+
     Owners are written before they are joined: a join whose sides are both plain shuffles has its
     hot keys split, one on top of an aggregate has not.
     """
     shared = seeds.groupBy("seed").agg(F.min("key").alias("owner"), F.max("key").alias("last"))
     shared = settle(shared.filter("owner < last").drop("last"), "owners")
     met = settle(seeds.join(shared, "seed"), "shared")
+    far = F.col("pos") < 0
+    met = met.withColumn("far", far).withColumn("pos", F.when(far, -1 - F.col("pos")).otherwise(F.col("pos")))
     first = settle(met.filter("key = owner").groupBy("seed").agg(F.min("pos").alias("owner_pos")), "first")
-    return met.filter("key > owner").join(first, "seed").select("key", "owner", "pos", "owner_pos")
+    on = F.explode(F.when(F.col("far"), F.array(F.lit(0), F.lit(LONG - K))).otherwise(F.array(F.lit(0)))).alias("on")
+    return met.filter("key > owner").join(first, "seed").select("key", "owner", "pos", "owner_pos", on).select(
+        "key", "owner", (F.col("pos") + F.col("on")).alias("pos"), (F.col("owner_pos") + F.col("on")).alias("owner_pos"))
 
 
 class PrefixBest:

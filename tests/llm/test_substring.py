@@ -167,6 +167,17 @@ def test_parts_from_several_documents_are_one_passage(make_docs):
     assert [(r["doc_id"], r["start_word"], r["end_word"]) for r in passages(frame).collect()] == [(2, 0, 60)]
 
 
+def test_earlier_owners_of_short_seeds_hide_no_passage(make_docs):
+    """Every five words of the passage are also in an earlier document of their own."""
+    rng = random.Random(61)
+    run = prose(60, rng)
+    texts = [" ".join(prose(20, rng) + run[i:i + 5] + prose(20, rng)) for i in range(56)]
+    texts += [" ".join(prose(30, rng) + run + prose(30, rng)) for _ in range(2)]
+    frame = make_docs(list(enumerate(texts))).coalesce(1).orderBy("doc_id")
+    assert [(r["doc_id"], r["start_word"], r["end_word"], r["other_id"])
+            for r in passages(frame).collect()] == [(57, 30, 90, 56)]
+
+
 @pytest.mark.parametrize("circle", [1, 2, 7])
 def test_texts_that_go_round_in_circles(make_docs, circle):
     rng = random.Random(41)
