@@ -22,7 +22,7 @@ from codeq.llm.common import (
     chunks, free_name, kept_by_worker, numbered, settle, through_arrow, whole_text)
 
 K = 5
-WINDOW = 12  # any K + WINDOW - 1 words in common have a seed in common
+WINDOW = 4  # any K + WINDOW - 1 words in common have a seed in common
 LONG, LONG_WINDOW = 25, 26  # any 50 words in common have a long seed in common
 GAP_COST = 0.05  # per word of either side between two links
 MAX_GAP, MAX_SHIFT = 64, 16  # chains are cut at wider gaps, or shifts of the diagonal

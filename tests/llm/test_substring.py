@@ -97,6 +97,29 @@ def test_aligned_passages_are_as_long_as_they_are_alike(alike):
     assert found >= 95
 
 
+@pytest.mark.parametrize("shifts", [False, True])
+@pytest.mark.parametrize("alike, least", [(0.8, 90), (0.85, 97), (0.9, 99)])
+def test_fuzzy_passages_have_seeds_enough(alike, least, shifts):
+    """All of two texts, from the words to the pieces; 100 passages of 60 words."""
+    rng, found = random.Random(71), 0
+    for _ in range(100):
+        run = prose(60, rng)
+        a, b = ([w.encode() for w in prose(70, rng) + r + prose(70, rng)]
+                for r in (changed(run, alike, rng, shifts), run))
+        seeds = [dict(zip(*(x.tolist() for x in minimizers(t)))) for t in (a, b)]
+        links = sorted((p, seeds[1][h]) for h, p in seeds[0].items() if h in seeds[1])
+        pos, owner_pos = [x for x, _ in links], [y for _, y in links]
+        found += any(p[1] - p[0] >= 50 for c in chain(pos, owner_pos)
+                     for p in align(a, b, [pos[i] for i in c], [owner_pos[i] for i in c]))
+    assert found >= least
+
+
+def test_a_dropped_word_behind_the_last_seed_ends_nothing():
+    run = [w.encode() for w in prose(60)]
+    (x1, x2, y1, y2, equal), = align(run, run[:45] + run[46:], [0, 5], [0, 5])
+    assert (x1, x2, y1, y2, equal) == (0, 60, 0, 59, 59)
+
+
 def rows_of(docs, frame):
     return sorted((r["doc_id"], r["start_word"], r["end_word"], r["other_id"]) for r in passages(frame).collect())
 
