@@ -18,6 +18,7 @@ BUCKETS = 1 << 16
 STEPS = 12
 LEAST_SHARE = 0.02  # languages with less are not considered
 PENALTY = 4.0  # per language and unit of log(words) / 2; word likelihoods are sharper than they should be
+FLOOR = 0.05 / BUCKETS  # a trigram less likely than this is no language's
 UNKNOWN = "und"
 KNOWN_WORDS = 150_000
 CHARS = 1 << 20
@@ -49,9 +50,12 @@ class Mixture:
         self.languages, self.logs = languages, logs.astype(np.float32)
         self.known: dict[bytes, int] = {}
         self.table = np.zeros((1024, len(languages)), dtype=np.float32)
+        seen = self.logs > self.logs.min(axis=1, keepdims=True)  # trigrams that were not counted are least likely
+        self.own = (seen & (self.logs > np.log(FLOOR))).any(axis=0)
+        self.sure = np.zeros(1024, dtype=bool)
 
-    def _of(self, words: list[bytes]) -> np.ndarray:
-        """Log likelihood of each word (row) in each language."""
+    def _of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihood of each word (row) in each language; whether half its trigrams are of some language."""
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         new = list(set(words).difference(self.known))
@@ -61,9 +65,13 @@ class Mixture:
             at = len(self.known)
             while len(self.table) < at + len(new):
                 self.table = np.vstack([self.table, np.zeros_like(self.table)])
+                self.sure = np.append(self.sure, np.zeros_like(self.sure))
             self.table[at:at + len(new)] = found
+            self.sure[at:at + len(new)] = 2 * np.add.reduceat(
+                self.own[buckets].astype(np.int64), starts) >= np.diff(starts, append=len(buckets))
             self.known.update(zip(new, range(at, at + len(new)), strict=True))
-        return self.table[np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))]
+        places = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.table[places], self.sure[places]
 
     @staticmethod
     def _maximise(scaled, top, starts, sizes, shares) -> tuple[np.ndarray, np.ndarray]:
@@ -75,9 +83,12 @@ class Mixture:
         mixed = (scaled * np.repeat(shares, sizes, axis=0)).sum(axis=1, dtype=np.float64)
         return shares, np.add.reduceat(np.log(np.maximum(mixed, 1e-300)) + top, starts)
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float, list[str]]]:
-        """(language, its share, languages of the document) of whole texts, a few megabytes in all."""
-        out: list[tuple[str, float, list[str]]] = [(UNKNOWN, 0.0, [])] * len(texts)
+    def predict(self, texts: list[str]) -> list[tuple[str, float, list[str], float]]:
+        """(language, its share, languages of the document, share of words that these hold) of whole texts.
+
+        A few megabytes in all. A word most of whose trigrams are no language's is held by none.
+        """
+        out: list[tuple[str, float, list[str], float]] = [(UNKNOWN, 0.0, [], 0.0)] * len(texts)
         words, sizes, asked = [], [], []
         for i, text in enumerate(texts):
             if self.languages and any(map(str.isalpha, text)):
@@ -87,7 +98,7 @@ class Mixture:
                 asked.append(i)
         if not asked:
             return out
-        logs, sizes = self._of(words), np.array(sizes)
+        (logs, sure), sizes = self._of(words), np.array(sizes)
         starts = np.cumsum(sizes) - sizes
         top = logs.max(axis=1)
         scaled = np.exp(logs - top[:, None])
@@ -114,10 +125,14 @@ class Mixture:
             value -= size * price[docs]
             better = value > best_value[docs]
             best[docs[better]], best_value[docs[better]] = shares[better], value[better]
-        for i, shares, mixed in zip(asked, best, full, strict=True):
+        part = scaled * np.repeat(full, sizes, axis=0)
+        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
+        part *= np.repeat(best > 0, sizes, axis=0)
+        held = np.add.reduceat(part.sum(axis=1) * sure, starts) / sizes
+        for i, shares, mixed, own in zip(asked, best, full, held.tolist(), strict=True):
             first = int(shares.argmax())
             out[i] = (self.languages[first], min(1.0, max(0.0, float(mixed[first]))),
-                      [n for n, s in zip(self.languages, shares, strict=True) if s > 0])
+                      [n for n, s in zip(self.languages, shares, strict=True) if s > 0], own)
         return out
 
 
@@ -165,12 +180,12 @@ def _add(sums: dict[str, np.ndarray], lang: str, words: list[bytes]) -> None:
 
 
 def predictor(spark: SparkSession, mixture: Mixture):
-    """Column function of a text: struct of lang_pred, score and languages."""
+    """Column function of a text: struct of lang_pred, score, languages and held."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast((mixture.languages, mixture.logs))
     ready: list[Mixture] = []
 
-    @F.pandas_udf("lang_pred string, score double, languages array<string>")
+    @F.pandas_udf("lang_pred string, score double, languages array<string>, held double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         if not ready:
             release()
@@ -183,7 +198,7 @@ def predictor(spark: SparkSession, mixture: Mixture):
                 found += ready[0].predict(held)
                 held, size = [], 0
         found += ready[0].predict(held)
-        return pd.DataFrame(found, columns=["lang_pred", "score", "languages"])
+        return pd.DataFrame(found, columns=["lang_pred", "score", "languages", "held"])
     return predict
 
 
@@ -195,10 +210,10 @@ def languages(docs: DataFrame) -> DataFrame:
     """
     predict = predictor(docs.sparkSession, learn(docs))
     return docs.select("doc_id", held_out().alias("held_out"), predict("text").alias("found")).select(
-        "doc_id", "held_out", "found.*")
+        "doc_id", "held_out", "found.lang_pred", "found.score", "found.languages")
 
 
 def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents with a language that holds at least this share of their words, all columns."""
+    """The documents whose languages together hold at least this share of their words, all columns."""
     predict = predictor(docs.sparkSession, learn(docs))
-    return docs.filter(predict("text")["score"] >= least)
+    return docs.filter(predict("text")["held"] >= least)

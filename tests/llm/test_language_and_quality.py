@@ -29,6 +29,23 @@ def test_mixtures_are_seen(spark, make_docs):
     assert sum(len(r["languages"]) == 1 for r in single) >= 0.9 * len(single)
 
 
+def test_texts_of_three_languages_stay_and_of_no_language_go(spark, make_docs):
+    docs = spark.read.parquet(PATH).select("doc_id", "text", "lang").collect()
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs]
+    long = {}
+    for r in docs:
+        if 600 < len(r["text"]) < 4000:
+            long.setdefault(r["lang"], []).append(r["text"][:600])
+    three = ["\n".join(x) for x in zip(*[long[n] for n in sorted(long)[:3]])][:30]
+    foreign = ["Съешь же ещё этих мягких французских булок да выпей чаю. " * 8,
+               "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία και πάω στο σπίτι. " * 8]
+    rows += [(10_000 + i, t, None) for i, t in enumerate(three + foreign)]
+    kept = {r["doc_id"] for r in in_known_language(make_docs(rows)).select("doc_id").collect()}
+    assert {10_000 + i for i in range(len(three))} <= kept and len(three) > 10
+    assert not {10_000 + len(three) + i for i in range(len(foreign))} & kept
+    assert {r["doc_id"] for r in docs if any(map(str.isalpha, r["text"]))} <= kept
+
+
 def test_language_of_odd_documents(make_docs, clashing, spark):
     texts = odd_texts()
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id"), (5, "same"), (5, "same"), (6, "no lang", None)]
