@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeq.llm import (
-    counts, exact, language, packing, pieces, quality, sharding, simhash, substring, tokenfiles)
+    counts, exact, language, negatives, packing, pieces, quality, repair, reputation, sharding, simhash, substring,
+    tokenfiles)
 from codeq.llm.common import documents
 from codeq.llm.subwords import vocabulary
 from codeq.session import shared_folder
@@ -92,3 +93,21 @@ def op9_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder))
+
+
+@query(reputation.SQL)
+def op11_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    return reputation.judged(spark.read.parquet(f"{folder}/pages.parquet"),
+                             spark.read.parquet(f"{folder}/labels.parquet")).drop("bad_share", "bad_bound")
+
+
+@query(repair.SQL)
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{folder}/conversations.parquet")
+    return repair.repairs(repair.damaged(conversations), conversations)
+
+
+@query(negatives.SQL)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = negatives.relabelled(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return negatives.mined(negatives.whole_vectors(rows), F.col("vec_id") % 100 == 0)
