@@ -76,16 +76,37 @@ def _fold(scores: Column) -> Column:
     return F.aggregate(scores, start, step, lambda acc: acc.q)
 
 
+def first_reviews(scored: DataFrame, n: int = SETTLED_AFTER) -> DataFrame:
+    """The first ``n`` of each author's reviews, by time and id.
+
+    Of an author with more reviews only those up to the minute in which the ``n``-th falls are sorted: minutes are
+    counted first, which combines before any shuffle, so no task gets more than ``n`` rows and one minute.
+    """
+    minute = F.date_trunc("minute", "created_at")
+    counts = scored.groupBy("author_id", minute.alias("minute")).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("author_id").orderBy("minute"))
+    last = counts.withColumn("so_far", so_far).filter(F.col("so_far") >= n).groupBy("author_id").agg(
+        F.min("minute").alias("last_minute"))
+    near = scored.join(last, "author_id", "left").filter(
+        F.col("last_minute").isNull() | (minute <= F.col("last_minute"))).drop("last_minute")
+    place = F.row_number().over(Window.partitionBy("author_id").orderBy("created_at", "review_id"))
+    return near.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
+def folded(first: DataFrame) -> DataFrame:
+    """Each author's rolling score after the reviews given, rounded after each of them."""
+    ordered = first.groupBy("author_id").agg(
+        F.array_sort(F.collect_list(F.struct("created_at", "review_id", "quality_score"))).alias("steps"))
+    return ordered.select(
+        "author_id",
+        _fold(F.transform("steps", lambda s: s.quality_score)).alias("quality_score"))
+
+
 def rolling_quality_exact(reviews: DataFrame) -> DataFrame:
     """The score each author has after all complete reviews, rounded after each of them."""
     done = complete(reviews).select(
         "author_id", "created_at", "review_id", checked_score(F.col("quality_score")).alias("quality_score"))
-    settling = first_rows(done, ["author_id"], ["created_at", "review_id"], SETTLED_AFTER)
-    ordered = settling.groupBy("author_id").agg(
-        F.array_sort(F.collect_list(F.struct("place", "quality_score"))).alias("steps"))
-    return ordered.select(
-        "author_id",
-        _fold(F.transform("steps", lambda s: s.quality_score)).alias("quality_score"))
+    return folded(first_reviews(done))
 
 
 def streaks(days: DataFrame) -> DataFrame:
