@@ -10,7 +10,7 @@ from codeq.functions import naming
 from codeq.functions import presentation as p
 from codeq.operators import duplication as dup
 from codeq.operators import findings as fnd
-from codeq.operators import intake, scan, syntax
+from codeq.operators import bindings, intake, scan, syntax
 from codeq.operators import metrics as met
 from codeq.plans import sql as s
 from codeq.plans.registry import query
@@ -379,6 +379,23 @@ def comp_cognitive(spark, folder):
     return _complexity(spark, folder, "COMP002")
 
 
+# Snippet, name, line and number of uses of each import in the snippets, worked out by hand.
+IMPORTS = """
+    SELECT review_id, file_id, name, (prose_lines + line)::INTEGER AS line_start, n_uses::BIGINT AS n_uses
+    FROM v_files JOIN (VALUES (13, 'subprocess', 1, 1), (13, 'os', 1, 1), (13, 'pickle', 1, 1),
+        (13, 'hashlib', 1, 2), (13, 'random', 1, 1), (15, 'time', 1, 1)) x(k, name, line, n_uses) USING (k)"""
+
+
+@query(s.with_ctes("v_files", IMPORTS))
+def import_uses(spark, folder):
+    return bindings.import_uses(bindings.name_facts(t.files(spark, folder)))
+
+
+@query(s.with_ctes("v_files", f"SELECT review_id, file_id, name, line_start FROM ({IMPORTS}) WHERE n_uses = 0"))
+def unused_imports(spark, folder):
+    return bindings.unused_imports(bindings.name_facts(t.files(spark, folder)))
+
+
 NAMES = """
     SELECT DISTINCT unnest(regexp_extract_all(content, '[a-zA-Z_][a-zA-Z0-9_]*')) AS name
     FROM v_files"""
