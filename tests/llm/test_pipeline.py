@@ -7,7 +7,7 @@ import corpus_pipeline
 from codeq.llm.common import documents, settle
 from codeq.llm.queries import QUERIES, SQL
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import plain_fingerprint, roots
+from tests.llm.test_simhash import roots
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -42,13 +42,22 @@ def test_exact_copies_go(steps):
 
 
 def test_one_near_copy_stays(steps):
+    """Of documents that pairs of 0.8 or more Jaccard similarity of 5-word shingles connect, by brute force."""
     before, after = steps["near_dedup"]
-    prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in before}
-    nodes = sorted(set(prints.values()))
-    root = roots(nodes, [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1:] if (a ^ b).bit_count() <= 2])
+    shingles = {}
+    for r in before:
+        words = r["text"].encode().lower().split()
+        width = min(5, len(words))
+        shingles[r["doc_id"]] = frozenset(tuple(words[i:i + width]) for i in range(len(words) - width + 1)) if words else frozenset()
+    ids = sorted(shingles)
+
+    def alike(a, b):
+        x, y = shingles[a], shingles[b]
+        return x == y or 5 * len(x & y) >= 4 * len(x | y)
+    root = roots(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if alike(a, b)])
     least = {}
-    for doc_id, f in sorted(prints.items()):
-        least.setdefault(root[f], doc_id)
+    for i in ids:
+        least.setdefault(root[i], i)
     assert {r["doc_id"] for r in after} == set(least.values())
 
 
