@@ -1,15 +1,16 @@
 """Repeated passages across documents, exact or fuzzy, by collinear chaining of shared word k-mers.
 
 Every document gives the minimizers of its k-mers, short and long, numbered where it has one again.
-A seed that several documents have links each of them to the first one, so a seed in n documents gives
-n - 1 links. The links of two documents are
-chained with gap costs (a Fenwick tree over the place in the first one finds the best predecessor),
-and chains are aligned word by word.
+Seeds are dealt out and sorted once, and links stream from that order: a seed that several documents have
+links each of them to the first one and to the one before it, so a seed in n documents gives fewer than
+2 n links. The links of two documents are chained with gap costs (a Fenwick tree over the place in the
+first one finds the best predecessor), and chains are aligned word by word.
 """
 
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 from collections import defaultdict
 
@@ -32,6 +33,8 @@ MIN_PIECE = 15
 FILTER_BITS = 26
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 KNOWN_WORDS = 400_000
+BYTES = 1 << 18  # of text that are hashed together
+ENOUGH = 50  # equal words with one owner, within which no other owner is looked at
 _STEPS = sorted(((x, y) for x in range(MAX_STEP + 1) for y in range(MAX_STEP + 1) if x or y),
                 key=lambda s: (max(s), abs(s[0] - s[1]), s))
 
@@ -58,70 +61,188 @@ def run_hashes(words: list[bytes], k: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE, _WORD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)  # odd, so they have inverses
+
+
+def _powers(base: np.uint64, count: int) -> np.ndarray:
+    if count > 2 * BYTES:
+        return _first_powers.__wrapped__(base, count)
+    return _first_powers(base, 2 * BYTES)[:count]
+
+
+@functools.lru_cache(maxsize=4)
+def _first_powers(base: np.uint64, count: int) -> np.ndarray:
+    out = np.full(count, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _inverse(base: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(base), -1, 1 << 64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _sums(values: np.ndarray, base: np.uint64, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """For each stretch the sum of its values, each times a power of the base by its place in the stretch."""
+    so_far = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _powers(base, len(values)), out=so_far[1:])
+    return (so_far[stops] - so_far[starts]) * _powers(_inverse(base), len(values) + 1)[starts]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, A-Z lower-cased, and the number of words before each text and after all.
+
+    Whole arrays of bytes are hashed at once, in blocks that end between words.
+    """
+    data = _LOWER[np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)]
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    blank = _SPACE[data]
+    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    starts, stops = edges[::2], edges[1::2]
+    hashes = np.zeros(len(starts), dtype=np.uint64)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(stops, starts[low] + BYTES, side="right")))
+        base = starts[low]
+        own = data[base:stops[high - 1]].astype(np.uint64) + np.uint64(1)
+        hashes[low:high] = _sums(own, _BYTE, starts[low:high] - base, stops[low:high] - base)
+        low = high
+    return _mixed(hashes + (stops - starts).astype(np.uint64)), np.searchsorted(starts, begins)
+
+
+def _slide(x: np.ndarray, size: int, least) -> np.ndarray:
+    """``least`` (np.minimum or np.maximum) of every ``size`` neighbours."""
+    have = 1
+    while 2 * have <= size:
+        x, have = least(x[:-have], x[have:]), 2 * have
+    return least(x[:len(x) - (size - have)], x[size - have:]) if have < size else x
+
+
+def _minimizers(hashes: np.ndarray, begins: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places among all words) of the k-mers of texts that are the least of some window of one text.
+
+    A text of fewer k-mers than a window is one window.
+    """
+    count = len(hashes) - k + 1
+    if count <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.arange(count)
+    runs = _mixed(_sums(hashes, _WORD, at, at + k))
+    ends = np.repeat(begins[1:], np.diff(begins))[:count]  # where the text of a word ends
+    whole = at + k <= ends
+    picked = np.zeros(count, dtype=bool)
+    if count >= window:
+        least = _slide(np.where(whole, runs, np.uint64(2**64 - 1)), window, np.minimum)
+        least = np.where(at[:len(least)] + window + k - 1 <= ends[:len(least)], least, np.uint64(0))
+        edge = np.zeros(window - 1, dtype=np.uint64)
+        picked = whole & (_slide(np.concatenate([edge, least, edge]), window, np.maximum) == runs)
+    few = np.flatnonzero((np.diff(begins) >= k) & (np.diff(begins) < k + window - 1))
+    for low, high in zip(begins[few], begins[few + 1] - k + 1, strict=True):
+        picked[low + int(runs[low:high].argmin())] = True
+    places = np.flatnonzero(picked)
+    return runs[places], places
+
+
 def minimizers(words: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of the k-mers that are the least of some window; signed 64-bit hashes."""
-    if len(words) < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    mixed = run_hashes(words, k)
-    count = len(mixed)
-    if count <= window:
-        places = np.array([int(mixed.argmin())])
-    else:
-        views = np.lib.stride_tricks.sliding_window_view(mixed, window)
-        places = np.unique(views.argmin(axis=1) + np.arange(len(views)))
-    return mixed[places].view(np.int64), places
-
-
-def with_repeats(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds of one document, and for those that it has again one more, told apart by how often before.
+    """(hashes, places) of the k-mers of one text that are the least of some window; signed 64-bit hashes."""
+    found, places = _minimizers(*word_hashes([b" ".join(words)]), k, window)
+    return found.view(np.int64), places
+
+
+def with_repeats(hashes: np.ndarray, places: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of documents, and for those that a document has again one more, told apart by how often before.
 
     By the plain seed every place meets the first place elsewhere, by the other one the second meets
     the second, and so on, which a text that goes round in circles needs to be chained.
     """
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    first = np.maximum.accumulate(np.where(np.diff(ordered, prepend=ordered[:1] - 1) != 0, np.arange(len(order)), 0))
-    turn = np.arange(len(order)) - first
+    order = np.lexsort((places, hashes, of))
+    ordered, owner = hashes[order], of[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (ordered[1:] != ordered[:-1]) | (owner[1:] != owner[:-1])
+    turn = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     again = turn > 0
     told = (ordered[again] ^ (turn[again] * np.int64(0x2545F4914F6CDD1D))) * np.int64(0x5851F42D4C957F2D)
-    return np.append(hashes, told), np.append(places, places[order][again])
+    return np.append(hashes, told), np.append(places, places[order][again]), np.append(of, owner[again])
+
+
+def seeds_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, place, number of the text): short seeds, and long ones, whose place p is told as -1 - p."""
+    hashes, begins = word_hashes(texts)
+    out = []
+    for k, window in ((K, WINDOW), (LONG, LONG_WINDOW)):
+        found, places = _minimizers(hashes, begins, k, window)
+        of = np.searchsorted(begins, places, side="right") - 1
+        seeds, places, of = with_repeats(found.view(np.int64), places - begins[of], of)
+        out.append((seeds, places if k == K else -1 - places, of))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _seeds(docs: DataFrame, row: str) -> DataFrame:
-    """(seed, key, pos): short seeds, and long ones, whose place p is told as -1 - p."""
+    """(seed, key, pos) of all documents, as ``seeds_of`` gives them."""
     def rows(batches):
         for keys, texts in chunks(batches, "key", "text"):
-            out = defaultdict(list)
-            for key, text in zip(keys, texts, strict=True):
-                words = text.encode().lower().split()
-                hashes, places = with_repeats(*minimizers(words))
-                far, far_places = with_repeats(*minimizers(words, LONG, LONG_WINDOW))
-                out["seed"] += [hashes, far]
-                out["pos"] += [places, -1 - far_places]
-                out["key"].append(np.full(len(places) + len(far_places), key))
-            yield {n: np.concatenate(v) for n, v in out.items()}
-    return settle(through_arrow(docs.select(F.col(row).alias("key"), whole_text()), rows,
-                                "seed long, key long, pos int", keeps="word hashes"), "seeds")
+            seeds, places, of = seeds_of([t.encode() for t in texts])
+            yield {"seed": seeds, "pos": places, "key": np.array(keys, dtype=np.int64)[of]}
+    return through_arrow(docs.select(F.col(row).alias("key"), whole_text()), rows, "seed long, key long, pos int")
 
 
-def _links(seeds: DataFrame) -> DataFrame:
-    """(key, owner, pos, owner_pos): each place of a seed that is also in an earlier document.
+class Linker:
+    """Links from places that come by seed, key and place.
 
-    A long seed has an owner of its own, whoever has its words' short ones, and gives two links, of
-    its first and its last K words, which make a chain.
-
-    Owners are written before they are joined: a join whose sides are both plain shuffles has its
-    hot keys split, one on top of an aggregate has not.
+    Each place is linked to the first place of the first document that has the seed, and to the first place of
+    the last document before its own: where an early document has a seed by chance, two later ones that
+    share a passage still meet. What is kept is one seed's two places.
     """
-    shared = seeds.groupBy("seed").agg(F.min("key").alias("owner"), F.max("key").alias("last"))
-    shared = settle(shared.filter("owner < last").drop("last"), "owners")
-    met = settle(seeds.join(shared, "seed"), "shared")
-    far = F.col("pos") < 0
-    met = met.withColumn("far", far).withColumn("pos", F.when(far, -1 - F.col("pos")).otherwise(F.col("pos")))
-    first = settle(met.filter("key = owner").groupBy("seed").agg(F.min("pos").alias("owner_pos")), "first")
-    on = F.explode(F.when(F.col("far"), F.array(F.lit(0), F.lit(LONG - K))).otherwise(F.array(F.lit(0)))).alias("on")
-    return met.filter("key > owner").join(first, "seed").select("key", "owner", "pos", "owner_pos", on).select(
-        "key", "owner", (F.col("pos") + F.col("on")).alias("pos"), (F.col("owner_pos") + F.col("on")).alias("owner_pos"))
+
+    def __init__(self):
+        self.seed = self.first = self.before = self.own = None
+
+    def links(self, seed: np.ndarray, key: np.ndarray, pos: np.ndarray) -> dict[str, np.ndarray]:
+        held = [x for x in (self.first, self.before, self.own) if x is not None] if self.seed is not None else []
+        kept = list(dict.fromkeys(held))
+        seed = np.concatenate([np.full(len(kept), self.seed if kept else 0, dtype=np.int64), seed])
+        key = np.concatenate([np.array([x[0] for x in kept], dtype=np.int64), key])
+        pos = np.concatenate([np.array([x[1] for x in kept], dtype=np.int64), pos])
+        at = np.arange(len(seed))
+        new_seed = np.ones(len(seed), dtype=bool)
+        new_seed[1:] = seed[1:] != seed[:-1]
+        new_key = new_seed.copy()
+        new_key[1:] |= key[1:] != key[:-1]
+        first = np.maximum.accumulate(np.where(new_seed, at, 0))
+        own = np.maximum.accumulate(np.where(new_key, at, 0))  # first place of the same document
+        before = np.where(new_key & ~new_seed, own[np.maximum(at - 1, 0)], 0)
+        before = np.maximum.accumulate(np.where(new_key, np.where(new_seed, at, before), 0))
+        new = at >= len(kept)
+        to_first = np.flatnonzero(new & (key != key[first]))
+        to_before = np.flatnonzero(new & (key != key[first]) & (key[before] != key[first]))
+        if len(seed):
+            self.seed = seed[-1]
+            self.first, self.before, self.own = ((key[i], pos[i]) for i in (first[-1], before[-1], own[-1]))
+        mine, other = np.concatenate([to_first, to_before]), np.concatenate([first[to_first], before[to_before]])
+        x, y = pos[mine], pos[other]
+        far = x < 0
+        ends = [(key[mine], key[other], np.where(far, -1 - x, x), np.where(far, -1 - y, y))]
+        ends.append((key[mine][far], key[other][far], -1 - x[far] + LONG - K, -1 - y[far] + LONG - K))
+        return {n: np.concatenate([e[i] for e in ends]) for i, n in enumerate(("key", "owner", "pos", "owner_pos"))}
+
+
+def _links(seeds: DataFrame) -> DataFrame:
+    """(key, owner, pos, owner_pos) of all seeds, see ``Linker``; a long seed gives the links of both its ends."""
+    def rows(batches):
+        linker = Linker()
+        for batch in batches:
+            yield linker.links(*[batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64)
+                                 for n in ("seed", "key", "pos")])
+    dealt = seeds.repartition("seed").sortWithinPartitions("seed", "key", "pos")
+    return settle(through_arrow(dealt, rows, "key long, owner long, pos int, owner_pos int"), "links")
 
 
 class PrefixBest:
@@ -152,6 +273,8 @@ def chain(pos: list[int], owner_pos: list[int], k: int = K) -> list[list[int]]:
     A chain rises in both places. Its score is k per link less GAP_COST for each word passed on
     either side from one link to the next.
     """
+    if len(pos) > 1 and len(pos) == len(set(pos)) and len({y - x for x, y in zip(pos, owner_pos, strict=True)}) == 1:
+        return _straight(pos, k)
     rank = {y: i for i, y in enumerate(sorted(set(owner_pos)))}
     tree, score, back = PrefixBest(len(rank)), [], []
     waiting: list[int] = []
@@ -180,36 +303,70 @@ def chain(pos: list[int], owner_pos: list[int], k: int = K) -> list[list[int]]:
     return chains
 
 
+def _straight(pos: list[int], k: int) -> list[list[int]]:
+    """The chains of links that lie on one diagonal: each can only follow the one before it."""
+    chains, score = [[0]], float(k)
+    for i in range(1, len(pos)):
+        step = pos[i] - pos[i - 1]
+        left = score - 2 * GAP_COST * step
+        if step <= MAX_GAP and left > 0:
+            chains[-1].append(i)
+            score = k + left
+        else:
+            chains.append([i])
+            score = float(k)
+    return [c for c in chains if len(c) > 1]
+
+
+def equal_stretches(x: np.ndarray, y: np.ndarray, least: int = ENOUGH) -> list[tuple[int, int]]:
+    """Stretches of a chain whose links leave no room for a word that differs, of so many words or more."""
+    cut = np.flatnonzero((np.diff(x) != np.diff(y)) | (np.diff(x) > K)) + 1
+    out = [(int(p[0]), int(p[-1]) + K) for p in np.split(x, cut)]
+    return [p for p in out if p[1] - p[0] >= least]
+
+
 def _chains(links: DataFrame) -> DataFrame:
-    """(key, owner, pos, owner_pos) with the places of the links of a chain as arrays."""
+    """(key, owner, pos, owner_pos) with the places of the links of a chain as arrays.
+
+    A document's owners are taken in order. Where it has ENOUGH equal words with one, these are found, and links
+    of others inside them are left out. What a task holds are the links of one document, fewer than two for
+    each of its seeds.
+    """
     names = ("key", "owner", "pos", "owner_pos")
 
-    def of_pairs(columns: list[np.ndarray]):
-        key, owner, pos, owner_pos = columns
-        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(owner) != 0)) + 1
-        starts, stops = np.append(0, cuts), np.append(cuts, len(key))
-        out = {n: [] for n in names}
-        for a, b in zip(starts, stops, strict=True):
-            if b - a > 1:
-                x, y = pos[a:b].tolist(), owner_pos[a:b].tolist()
-                for found in chain(x, y):
-                    for n, v in zip(names, (key[a], owner[a], [x[i] for i in found],
-                                            [y[i] for i in found]), strict=True):
+    def of_document(key: int, owners: np.ndarray, pos: np.ndarray, owner_pos: np.ndarray, out: dict[str, list]):
+        cuts = np.flatnonzero(np.diff(owners)) + 1
+        equal: list[tuple[int, int]] = []
+        for x, y, of in zip(*(np.split(v, cuts) for v in (pos, owner_pos, owners)), strict=True):
+            for low, high in equal:
+                inside = (x >= low) & (x + K <= high)
+                if inside.any():
+                    x, y = x[~inside], y[~inside]
+            if len(x) > 1:
+                for found in chain(x.tolist(), y.tolist()):
+                    for n, v in zip(names, (key, int(of[0]), x[found].tolist(), y[found].tolist()), strict=True):
                         out[n].append(v)
-        return out
+                    equal += equal_stretches(x[found], y[found])
 
     def rows(batches):
-        held = None
+        held: list[list[np.ndarray]] = []  # of the document that the last batch ended with
         for batch in batches:
             new = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            same = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
-            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if last:  # the last pair may go on in the next batch
-                yield of_pairs([x[:last] for x in held])
-                held = [x[last:] for x in held]
-        if held is not None and len(held[0]):
-            yield of_pairs(held)
+            cuts = [0, *(np.flatnonzero(np.diff(new[0])) + 1), len(new[0])]
+            out = {n: [] for n in names}
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                part = [x[low:high] for x in new]
+                if held and held[0][0][0] != part[0][0]:
+                    whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    of_document(int(whole[0][0]), *whole[1:], out)
+                    held = []
+                held.append(part)
+            yield out
+        if held:
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            out = {n: [] for n in names}
+            of_document(int(whole[0][0]), *whole[1:], out)
+            yield out
     dealt = links.repartition("key").sortWithinPartitions("key", "owner", "pos", "owner_pos")
     return settle(through_arrow(dealt, rows,
                                 "key long, owner long, pos array<int>, owner_pos array<int>"), "chains")
@@ -247,17 +404,17 @@ def _cut(text: str, first: int, stop: int) -> tuple[int, list[bytes]]:
 
 def _moves(a: list, b: list) -> list[tuple[int, int, int]]:
     """How two stretches that need not be of one length go together: (words of a, words of b, equal)."""
-    out: list[tuple[int, int, int]] = []
+    straight: list[tuple[int, int, int]] = []
     if len(a) == len(b):
-        out = [(1, 1, int(x == y)) for x, y in zip(a, b, strict=True)]
-        if 2 * sum(m[2] for m in out) >= len(out) or len(out) < 4:
-            return out
-        out = []
+        straight = [(1, 1, int(x == y)) for x, y in zip(a, b, strict=True)]
+        if 5 * sum(m[2] for m in straight) >= 4 * len(straight) or len(straight) < 4:
+            return straight
+    out: list[tuple[int, int, int]] = []
     for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         both = min(i2 - i1, j2 - j1)
         out += [(1, 1, int(tag == "equal"))] * both
         out += [(1, 0, 0)] * (i2 - i1 - both) + [(0, 1, 0)] * (j2 - j1 - both)
-    return out
+    return straight if straight and sum(m[2] for m in straight) >= sum(m[2] for m in out) else out
 
 
 def _onward(a: list, b: list) -> list[tuple[int, int, int]]:
@@ -424,7 +581,7 @@ def _numbered_passages(docs: DataFrame, row: str, min_words: int) -> DataFrame:
     return _runs(_pieces(docs, row, _chains(_links(_seeds(docs, row)))), min_words)
 
 
-def passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def passages(docs: DataFrame, min_words: int = ENOUGH) -> DataFrame:
     """Passages of ``min_words`` or more that an earlier document has too, 0.8 alike or more.
 
     Columns: doc_id, start_word, end_word (words from start to before end), other_id, other_start,
@@ -454,7 +611,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, data[at:]]).decode()
 
 
-def drop_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def drop_passages(docs: DataFrame, min_words: int = ENOUGH) -> DataFrame:
     """The documents without passages that an earlier one has, in their own columns.
 
     ``n_chars``, where there is such a column, is counted anew; a document with no word left goes,

@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 
+from codeq.llm import substring
 from codeq.llm.substring import (
-    K, WINDOW, PrefixBest, align, chain, drop_passages, minimizers, passages, without)
+    K, LONG, LONG_WINDOW, WINDOW, Linker, PrefixBest, align, chain, drop_passages, minimizers, passages, seeds_of,
+    without, word_hashes)
 from tests.llm.conftest import odd_texts
 
 RNG = random.Random(11)
@@ -24,6 +27,66 @@ def test_minimizers_of_common_runs_are_common():
         assert found[0] & found[1]
 
 
+@pytest.mark.parametrize("k, window", [(K, WINDOW), (LONG, LONG_WINDOW)])
+def test_minimizers_are_the_least_of_their_windows(k, window):
+    rng = random.Random(4)
+    for _ in range(150):
+        words = [b"w%d" % rng.randrange(60) for _ in range(rng.randrange(80))]
+        hashes, places = minimizers(words, k, window)
+        runs = {}
+        for at in range(len(words) - k + 1):  # each run by itself, so equal runs are equal hashes
+            runs[at] = int(minimizers(words[at:at + k], k, 1)[0][0]) % 2**64
+        views = [range(at, at + window) for at in range(len(runs) - window + 1)] or ([range(len(runs))] if runs else [])
+        want = {p for v in views for p in v if runs[p] == min(runs[q] for q in v)}
+        if 0 < len(runs) < window:
+            want = {min(runs, key=lambda p: (runs[p], p))}
+        assert set(places.tolist()) == want
+        assert [h % 2**64 for h in hashes.tolist()] == [runs[p] for p in places.tolist()]
+
+
+def test_seeds_do_not_depend_on_their_neighbours(monkeypatch):
+    texts = [(t or "").encode() for t in odd_texts()] + [" ".join(prose(n)).encode() for n in (3, 8, 26, 300)]
+    apart = [[x.tolist() for x in seeds_of([t])[:2]] for t in texts]
+    for size in (substring.BYTES, 7):
+        monkeypatch.setattr(substring, "BYTES", size)
+        seeds, places, of = seeds_of(texts)
+        for i, (own, at) in enumerate(apart):
+            assert sorted(zip(own, at)) == sorted(zip(seeds[of == i].tolist(), places[of == i].tolist()))
+    assert [int(n) for n in np.diff(word_hashes(texts)[1])] == [len(t.lower().split()) for t in texts]
+
+
+def test_links_to_the_first_and_the_document_before():
+    rng = random.Random(6)
+    for _ in range(60):
+        rows = sorted({(rng.randrange(4), rng.randrange(6), rng.randrange(5)) for _ in range(60)})
+        places, want = {}, []
+        for seed, key, pos in rows:
+            places.setdefault(seed, {}).setdefault(key, []).append(pos)
+        for own in places.values():
+            keys = sorted(own)
+            for i, key in enumerate(keys[1:], 1):
+                for other in {keys[0], keys[i - 1]}:
+                    want += [(key, other, pos, own[other][0]) for pos in own[key]]
+        linker, got = Linker(), []
+        while rows:
+            n = rng.randrange(1, 9)
+            out = linker.links(*np.array(rows[:n], dtype=np.int64).T)
+            got += zip(*(out[c].tolist() for c in ("key", "owner", "pos", "owner_pos")))
+            rows = rows[n:]
+        assert sorted(got) == sorted(want)
+
+
+def test_straight_chains_hold_those_of_the_tree():
+    rng = random.Random(8)
+    for _ in range(100):
+        pos = sorted(rng.sample(range(400), rng.randrange(2, 40)))
+        straight = chain(pos, [x + 9 for x in pos])
+        # a link far off the diagonal makes it use the tree and joins nothing
+        tree = chain([*pos, 10_000], [*(x + 9 for x in pos), 5])
+        assert all(any(set(t) <= set(c) for c in straight) for t in tree)
+        assert all(pos[b] - pos[a] <= substring.MAX_GAP for c in straight for a, b in zip(c, c[1:]))
+
+
 def test_prefix_best():
     rng, tree, values = random.Random(2), PrefixBest(50), {}
     for i in range(300):
@@ -201,6 +264,21 @@ def test_earlier_owners_of_short_seeds_hide_no_passage(make_docs):
             for r in passages(frame).collect()] == [(57, 30, 90, 56)]
 
 
+@pytest.mark.parametrize("alike", [0.8, 0.85])
+def test_fuzzy_passages_are_found_where_seeds_are_owned_elsewhere(make_docs, alike):
+    """Half of the five-word runs of each passage are in an earlier document of another kind."""
+    rng, rows = random.Random(81), []
+    pairs = [(run := prose(60, rng), changed(run, alike, rng)) for _ in range(60)]
+    for a, b in pairs:
+        for text in (a, b):
+            rows += [prose(15, rng) + text[i:i + 5] + prose(15, rng) for i in range(56) if rng.random() < 0.5]
+    first = len(rows)
+    rows += [prose(40, rng) + a + prose(40, rng) for a, _ in pairs] + [prose(40, rng) + b + prose(40, rng) for _, b in pairs]
+    frame = make_docs([(i, " ".join(r)) for i, r in enumerate(rows)]).coalesce(1).orderBy("doc_id")
+    found = {r["doc_id"] for r in passages(frame).collect() if r["end_word"] - r["start_word"] >= 50}
+    assert found <= set(range(first + 60, first + 120)) and len(found) >= 54
+
+
 @pytest.mark.parametrize("circle", [1, 2, 7])
 def test_texts_that_go_round_in_circles(make_docs, circle):
     rng = random.Random(41)
