@@ -9,8 +9,8 @@ import numpy as np
 
 from codeq.llm.common import kept_by_worker
 
-ODD = b"odd"
 STOPS = ".,!?;:"
+ENDS = frozenset(STOPS)
 
 
 def byte_letters() -> list[str]:
@@ -90,9 +90,10 @@ class WordEncoder:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip(at, at[1:])]
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words, ODD for those after which a text can't be cut."""
-        bare = [w for w in words if w.isalpha() and max(w) < "\u0100" and (self.spaced or w == w.lower())]
+    def _learn(self, words: list[str]) -> dict[str, bytes | None]:
+        """Ids of new words, None for those after which a text can't be cut."""
+        bare = [w for w in words if w.isalpha() and (w.isascii() or max(w) < "\u0100")
+                and (self.spaced or w == w.lower())]
         fresh = dict(zip(bare, self._bare(bare), strict=True)) if bare else {}
         asked = {}
         for w in words:
@@ -100,7 +101,7 @@ class WordEncoder:
                 continue
             body = w.rstrip(" ") if self.spaced else w
             if self.spaced and (not body or body[-1].isspace()):
-                fresh[w] = ODD
+                fresh[w] = None
             else:
                 asked[w] = f" {w}" if self.spaced and len(body) == len(w) else body
         fresh.update(zip(asked, self._library(list(asked.values())), strict=True))
@@ -108,12 +109,10 @@ class WordEncoder:
 
     def _fresh(self, new: set[str]) -> dict[str, bytes]:
         """Ids of new words. Letters and the stops after them are pre-tokens apart, and joined here."""
-        stems = {w: w.rstrip(STOPS) for w in new}
-        whole = {s for w, s in stems.items() if len(s) < len(w) and s.isalpha()}
-        plain = {w for w, s in stems.items() if s not in whole or len(s) == len(w)}
-        fresh = self._learn([w for w in whole | plain if w not in self.known])
-        for w in new - plain:
-            stem, tail = stems[w], w[len(stems[w]):]
+        stems = {w: s for w in new if w[-1:] in ENDS and (s := w.rstrip(STOPS)).isalpha()}
+        fresh = self._learn([w for w in {*stems.values(), *(new - stems.keys())} if w not in self.known])
+        for w, stem in stems.items():
+            tail = w[len(stem):]
             if tail not in self.tails:
                 self.tails[tail] = self._library([tail])[0]
             fresh[w] = (fresh[stem] if stem in fresh else self.known[stem]) + self.tails[tail]
@@ -121,23 +120,30 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; texts of a few megabytes in all."""
-        known = self.known
-        split = [self._keys(t) for t in texts]
-        found = [list(map(known.get, words)) for words in split]
+        known, join = self.known, b"".join
+        out: list[bytes | None] = []
+        waiting: list[tuple[int, list[str], list]] = []
         new: set[str] = set()
-        for words, ids in zip(split, found, strict=True):
-            if None in ids:
-                new.update(w for w, x in zip(words, ids, strict=True) if x is None)
+        for text in texts:
+            words = self._keys(text)
+            ids = list(map(known.get, words))
+            try:
+                out.append(join(ids))
+            except TypeError:  # some word is not known
+                waiting.append((len(out), words, ids))
+                out.append(None)
+                new.update([w for w, x in zip(words, ids, strict=True) if x is None])
         fresh = self._fresh(new) if new else {}
-        out = []
-        for text, words, ids in zip(texts, split, found, strict=True):
-            if None in ids:
-                ids = [fresh[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-            if ODD in ids:
-                ids = self._library([text]) if text else []
-            out.append(b"".join(ids))
+        for at, words, ids in waiting:
+            ids = [fresh[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            if None in ids:  # a word after which the text can't be cut
+                out[at] = self._library([texts[at]])[0] if texts[at] else b""
+            else:
+                out[at] = join(ids)
         if len(known) + len(fresh) <= self.limit:
             known.update(fresh)
+            for w in [w for w, x in fresh.items() if x is None]:
+                del known[w]
         return out
 
 
