@@ -335,6 +335,11 @@ def _chains(links: DataFrame) -> DataFrame:
     names = ("key", "owner", "pos", "owner_pos")
 
     def of_document(key: int, owners: np.ndarray, pos: np.ndarray, owner_pos: np.ndarray, out: dict[str, list]):
+        met = np.diff(np.flatnonzero(np.diff(owners, prepend=-1, append=-1)))  # links of each owner, which are not below 0
+        several = np.repeat(met > 1, met)
+        owners, pos, owner_pos = owners[several], pos[several], owner_pos[several]
+        if not len(owners):
+            return
         cuts = np.flatnonzero(np.diff(owners)) + 1
         equal: list[tuple[int, int]] = []
         for x, y, of in zip(*(np.split(v, cuts) for v in (pos, owner_pos, owners)), strict=True):
@@ -395,11 +400,18 @@ def _among(keys: DataFrame, row: str) -> Column:
     return among(place(row))
 
 
-def _cut(text: str, first: int, stop: int) -> tuple[int, list[bytes]]:
-    """Words first - MARGIN to stop + K + MARGIN of a text, and the number of the first of them."""
-    words = text.encode().lower().split()
-    low = max(0, first - MARGIN)
-    return low, words[low:stop + K + MARGIN]
+class _Cutter:
+    """Words of texts, of which the rows of one come together."""
+
+    def __init__(self):
+        self.key, self.words = None, []
+
+    def around(self, key: int, text: str, first: int, stop: int) -> tuple[int, list[bytes]]:
+        """Words first - MARGIN to stop + K + MARGIN of a text, and the number of the first of them."""
+        if self.key != key:
+            self.key, self.words = key, text.encode().lower().split()
+        low = max(0, first - MARGIN)
+        return low, self.words[low:stop + K + MARGIN]
 
 
 def _moves(a: list, b: list) -> list[tuple[int, int, int]]:
@@ -533,19 +545,21 @@ def _pieces(docs: DataFrame, row: str, chains: DataFrame) -> DataFrame:
     names = ("key", "owner", "pos", "owner_pos", "low", "words")
 
     def cut(batches):
+        cutter = _Cutter()
         for lists in chunks(batches, "key", "owner", "pos", "owner_pos", "text"):
             out = {n: [] for n in names}
             for key, owner, pos, owner_pos, text in zip(*lists, strict=True):
-                low, words = _cut(text, pos[0], pos[-1])
+                low, words = cutter.around(key, text, pos[0], pos[-1])
                 for n, v in zip(names, (key, owner, pos, owner_pos, low, b" ".join(words)), strict=True):
                     out[n].append(v)
             yield out
 
     def hold(batches):
+        cutter = _Cutter()
         for lists in chunks(batches, *names, "text"):
             out = {n: [] for n in ("key", "start", "stop", "owner", "owner_start", "owner_stop", "equal")}
             for key, owner, pos, owner_pos, low, words, text in zip(*lists, strict=True):
-                base, others = _cut(text, owner_pos[0], owner_pos[-1])
+                base, others = cutter.around(owner, text, owner_pos[0], owner_pos[-1])
                 found = align(words.split(b" "), others, [x - low for x in pos],
                               [y - base for y in owner_pos])
                 for x1, x2, y1, y2, equal in found:
