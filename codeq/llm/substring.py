@@ -35,8 +35,6 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 KNOWN_WORDS = 400_000
 BYTES = 1 << 18  # of text that are hashed together
 ENOUGH = 50  # equal words with one owner, within which no other owner is looked at
-_STEPS = sorted(((x, y) for x in range(MAX_STEP + 1) for y in range(MAX_STEP + 1) if x or y),
-                key=lambda s: (max(s), abs(s[0] - s[1]), s))
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -197,8 +195,8 @@ def _seeds(docs: DataFrame, row: str) -> DataFrame:
 class Linker:
     """Links from places that come by seed, key and place.
 
-    Each place is linked to the first place of the first document that has the seed, and to the first place of
-    the last document before its own: where an early document has a seed by chance, two later ones that
+    Each place is linked to the first place of the first document that has the seed, and, of a short seed, to the
+    first place of the last document before its own: where an early document has a seed by chance, two later ones that
     share a passage still meet. What is kept is one seed's two places.
     """
 
@@ -222,7 +220,8 @@ class Linker:
         before = np.maximum.accumulate(np.where(new_key, np.where(new_seed, at, before), 0))
         new = at >= len(kept)
         to_first = np.flatnonzero(new & (key != key[first]))
-        to_before = np.flatnonzero(new & (key != key[first]) & (key[before] != key[first]))
+        # A long run is in no document by chance, so its first one is enough.
+        to_before = np.flatnonzero(new & (pos >= 0) & (key != key[first]) & (key[before] != key[first]))
         if len(seed):
             self.seed = seed[-1]
             self.first, self.before, self.own = ((key[i], pos[i]) for i in (first[-1], before[-1], own[-1]))
@@ -442,18 +441,31 @@ def _onward(a: list, b: list) -> list[tuple[int, int, int]]:
             out.append((1, 1, 1))
             i, j = i + 1, j + 1
             continue
-        for x, y in _STEPS:
-            need = 1 if x == y == 1 else AGAIN
-            if a[i + x:i + x + need] == b[j + y:j + y + need] and i + x + need <= len(a):
-                out += [(1, 1, int(a[i + d] == b[j + d])) for d in range(min(x, y))]
-                out += [(1, 0, 0)] * (x - y) + [(0, 1, 0)] * (y - x)
-                i, j = i + x, j + y
-                break
-        else:
+        step = _step(a[i:i + MAX_STEP + AGAIN], b[j:j + MAX_STEP + AGAIN])
+        if step is None:
             break
+        x, y = step
+        out += [(1, 1, int(a[i + d] == b[j + d])) for d in range(min(x, y))]
+        out += [(1, 0, 0)] * (x - y) + [(0, 1, 0)] * (y - x)
+        i, j = i + x, j + y
     return out
 
 
+def _step(a: list, b: list) -> tuple[int, int] | None:
+    """The fewest words to pass on either side, MAX_STEP at most, before AGAIN words that are equal."""
+    places: dict[bytes, list[int]] = {}
+    for y, word in enumerate(b[:MAX_STEP + 1]):
+        places.setdefault(word, []).append(y)
+    best = None
+    for x, word in enumerate(a[:MAX_STEP + 1]):
+        for y in places.get(word, ()):
+            need = 1 if x == y == 1 else AGAIN
+            if x + y and len(a) >= x + need and a[x:x + need] == b[y:y + need]:
+                rank = (max(x, y), abs(x - y), x, y)
+                best = rank if best is None or rank < best else best
+    return None if best is None else best[2:]
+
+
 def _alike_spans(moves: np.ndarray, least: int) -> list[tuple[int, int]]:
     """The longest spans whose equal words are 0.8 or more of the longer side, then those beside them.
 
@@ -508,15 +520,10 @@ def _halves(height: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
     return [(low + x, low + y) for x, y in out]
 
 
-def align(a: list, b: list, pos: list[int], owner_pos: list[int],
-          least: int = MIN_PIECE) -> list[tuple[int, int, int, int, int]]:
-    """Alike pieces (start, stop, owner start, owner stop, equal words) along a chain.
-
-    Equal words are at least 0.8 of the longer side of a piece, over the whole of it.
-    """
-    before = _onward(a[:pos[0]][::-1], b[:owner_pos[0]][::-1])[::-1]
-    i, j = start = pos[0], owner_pos[0]
-    columns: list[tuple[int, int, int]] = []  # (words of a, words of b, equal words) passed by each
+def _along(a: list, b: list, pos: list[int], owner_pos: list[int]) -> tuple[list[tuple[int, int, int]], int, int]:
+    """How the words from the first link of a chain to its last go together, and where that ends."""
+    i, j = pos[0], owner_pos[0]
+    columns: list[tuple[int, int, int]] = []
     for x, y in zip(pos, owner_pos, strict=True):
         if x - i != y - j and (x < i or y < j):
             continue  # overlaps the link before it on another diagonal
@@ -527,7 +534,24 @@ def align(a: list, b: list, pos: list[int], owner_pos: list[int],
         if y + K - j == step and step > 0:
             columns += [(1, 1, int(a[i + d] == b[j + d])) for d in range(step)]
             i, j = i + step, j + step
-    moves = np.array(before + columns + _onward(a[i:], b[j:])).reshape(-1, 3)
+    return columns, i, j
+
+
+def align(a: list, b: list, pos: list[int], owner_pos: list[int],
+          least: int = MIN_PIECE) -> list[tuple[int, int, int, int, int]]:
+    """Alike pieces (start, stop, owner start, owner stop, equal words) along a chain.
+
+    Equal words are at least 0.8 of the longer side of a piece, over the whole of it.
+    """
+    before = _onward(a[:pos[0]][::-1], b[:owner_pos[0]][::-1])[::-1]
+    i, j = start = pos[0], owner_pos[0]
+    stop, owner_stop = pos[-1] + K, owner_pos[-1] + K
+    if stop - i == owner_stop - j and a[i:stop] == b[j:owner_stop]:
+        columns, i, j = np.ones((stop - i, 3), dtype=np.int64), stop, owner_stop
+    else:
+        columns, i, j = _along(a, b, pos, owner_pos)
+    # (words of a, words of b, equal words) passed by each move
+    moves = np.concatenate([np.array(x, dtype=np.int64).reshape(-1, 3) for x in (before, columns, _onward(a[i:], b[j:]))])
     start = (start[0] - sum(m[0] for m in before), start[1] - sum(m[1] for m in before))
     ends = np.vstack([[0, 0], np.cumsum(moves[:, :2], axis=0)]) + start
     pieces = []
