@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,10 +27,32 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     rows were dealt out.
     """
     path = shared_folder(df.sparkSession, f"llm-{purpose}")
+    for paths in _recorders:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Put the folders of all tables settled inside into ``paths``, for ``drop`` when they have served."""
+    _recorders.append(paths)
+    try:
+        yield
+    finally:
+        _recorders.remove(paths)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these folders and empty the list. Nothing may still read them."""
+    while paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def whole_text() -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col("text"), F.lit("")).alias("text")
