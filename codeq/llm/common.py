@@ -43,7 +43,7 @@ def recorded(paths: list[str]) -> Iterator[None]:
     try:
         yield
     finally:
-        _recorders.remove(paths)
+        _recorders.pop()
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
