@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -98,6 +99,14 @@ def release(keeps: str = "") -> None:
         del _kept[name]
 
 
+def trim() -> None:
+    """Give memory that is free back to the machine: a worker that waits for its next task needs none."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if give_back is not None:
+        give_back(0)
+
+
 def through_arrow(df: DataFrame, rows: Callable[[Batches], Iterator[dict[str, list]]],
                   schema: str | StructType, keeps: str = "") -> DataFrame:
     """``mapInArrow`` for a function that yields columns as a dict of lists or arrays.
@@ -114,6 +123,8 @@ def through_arrow(df: DataFrame, rows: Callable[[Batches], Iterator[dict[str, li
             yield pa.RecordBatch.from_arrays(
                 [columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array)
                  else pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+        release(keeps)
+        trim()
     return df.mapInArrow(run, fields)
 
 
