@@ -144,9 +144,10 @@ def review_averages(metrics: DataFrame) -> DataFrame:
 def review_metrics(files: DataFrame, rules: Sequence[PatternRule] = PATTERN_RULES) -> DataFrame:
     """One row per review: totals, averages, duplication and the three texts; reads the text once.
 
-    ``n_failed`` counts the files that could not be analysed.
+    ``n_failed`` counts the files that could not be analysed. A file without text counts as an empty one.
     """
-    return review_figures(file_metrics(files, rules, hashes=True))
+    whole = files.withColumn("content", F.coalesce("content", F.lit("")))
+    return review_figures(file_metrics(whole, rules, hashes=True))
 
 
 MEASURES = ("quality_score", "maintainability", "cyclomatic")
@@ -164,7 +165,8 @@ def review_figures(measured: DataFrame) -> DataFrame:
               "n_failed": F.col("analysis_failed").cast("long"),
               **{f"sum_{c}": F.col(c).cast(SUMMED) for c in MEASURES}}
     exploded = measured.select("review_id", *[c.alias(n) for n, c in summed.items()], F.explode(
-        F.concat(F.array(F.lit(None).cast("binary")), "line_hashes")).alias("h"))
+        F.concat(F.array(F.lit(None).cast("binary")),
+                 F.coalesce("line_hashes", F.array().cast("array<binary>")))).alias("h"))
     own = F.col("h").isNull()
     by_line = exploded.groupBy("review_id", "h").agg(
         F.count("h").alias("n"), *[F.sum(F.when(own, F.col(n))).alias(n) for n in summed])
