@@ -112,7 +112,7 @@ def reputations(hosts: DataFrame, sure: float = SURE) -> DataFrame:
     above = settle(_drawn(suffixes, _strength(suffixes)).select("suffix", F.col("mean").alias("m")), "above")
     domains = settle(domains.join(above, "suffix"), "domains")
     above = settle(_drawn(domains, _strength(domains)).select("domain", F.col("mean").alias("m")), "above")
-    hosts = settle(hosts.join(above, "domain"), "hosts")
+    hosts = settle(hosts.join(above.hint("merge"), "domain"), "hosts")
     strength = _strength(hosts)
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + strength + 1))
     return _drawn(hosts, strength).select("host", F.col("mean").alias("bad_share"),
@@ -130,13 +130,15 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES, most_bad: float = M
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    seen = rows.select("page_id", "host").join(settle(outcomes(labels), "outcomes"), "page_id", "left")
+    seen = rows.select("page_id", "host").join(
+        settle(outcomes(labels), "outcomes").hint("merge"), "page_id", "left")
     hosts = settle(seen.groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("k")),
                    "hosts")
     known = settle(reputations(hosts, sure), "reputations")
     rule, said = fitting_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_bound") > most_bad, "block").otherwise("allow")
-    return rows.join(known, "host").select(
+    # Labels, hosts and domains grow with the pages, so none of them is broadcast.
+    return rows.join(known.hint("merge"), "host").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(said, own).alias("verdict"),
         "bad_share", "bad_bound")
 
