@@ -2,8 +2,9 @@
 
 Records are in the order of a key. A sample of keys, drawn by size, gives splitters; the ranges
 between them are measured exactly, and overfull ones are sampled and split again. Shards are runs of
-ranges. A range that the boundary of a shard falls into is split at the exact byte: its records are
-dealt to both sides, the largest first, to where most room is left.
+ranges. A range that the boundary of a shard falls into is split at the exact byte: its groups of equal
+texts are dealt to both sides, the largest first, to where most room is left. A group goes whole unless
+it would overfill every side by more than a fiftieth of a shard; then its records are dealt one by one.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from codeq.llm.common import free_name, settle
 SAMPLES = 50_000  # keys drawn for splitters; bounds what comes to the driver
 MOST_RANGES = 4000
 ROUNDS = 3
+OVERFULL = 0.02  # of a shard: what each of its two boundaries may add to it to keep a group whole
 
 
 def _range_of(splitters: np.ndarray):
@@ -40,6 +42,13 @@ def _range_of(splitters: np.ndarray):
     return number
 
 
+def _at_groups(splitters: np.ndarray) -> np.ndarray:
+    """A key's only splitter moves to before its first record; a key of several fills ranges of its own."""
+    keys, n = np.unique(splitters[:, 0], return_counts=True)
+    only = np.isin(splitters[:, 0], keys[n == 1])
+    return np.column_stack([splitters[:, 0], np.where(only, -1, splitters[:, 1])])
+
+
 def _splitters(rows: DataFrame, total: int, ranges: int) -> np.ndarray:
     """Quantiles of a size-weighted sample of (key, salt), again inside ranges that are overfull."""
     drawn = np.zeros((0, 2), dtype=np.int64)
@@ -51,7 +60,7 @@ def _splitters(rows: DataFrame, total: int, ranges: int) -> np.ndarray:
         found = np.column_stack([sample["key"].to_numpy(), sample["salt"].to_numpy()]).reshape(-1, 2)
         found = found[np.lexsort((found[:, 1], found[:, 0]))]
         at = np.linspace(0, len(found), wanted + 1)[1:-1].astype(np.int64)
-        drawn = np.unique(np.vstack([drawn, found[at[at < len(found)]]]), axis=0)
+        drawn = _at_groups(np.unique(np.vstack([drawn, found[at[at < len(found)]]]), axis=0))
         number = _range_of(drawn)
         ranged = rows.withColumn("range", number("key", "salt"))
         full = ranged.groupBy("range").agg(F.sum("size").alias("bytes")).filter(
@@ -70,9 +79,10 @@ def shard(docs: DataFrame, shards: int = 16, range_mb: int = 64,
 
     Shards are runs of one order, by a hash of the text and then by place in the table, but that
     records around a boundary change sides until both have their bytes, but for about the smallest
-    of them. Slots count from 0 in that order. Null text has size 1; equal texts and repeated rows
-    are neighbours, and a boundary may go through them. All columns that come in come out, but for
-    the text if it isn't wanted; those named like new ones are replaced.
+    of them. Slots count from 0 in that order. Null text has size 1 and equals empty text. Equal texts
+    go to one shard unless together they are larger than a range (``range_mb``, or half a shard if
+    that is less) or would overfill the shards around their boundary by more than a fiftieth. All columns that come in
+    come out, but for the text if it isn't wanted; those named like new ones are replaced.
     """
     new = ("size", "shard", "slot", "key", "salt", "range", "segment", "turn", "rows_ahead", "first_shard")
     names = {c: free_name(docs, f"_{c}") if c.lower() in new else c for c in docs.columns
@@ -80,23 +90,35 @@ def shard(docs: DataFrame, shards: int = 16, range_mb: int = 64,
     rows = settle(docs.select(
         *[F.col(f"`{c}`").alias(n) for c, n in names.items()],
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
-        F.xxhash64("text").alias("key"), F.monotonically_increasing_id().alias("salt")), "sized")
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.monotonically_increasing_id().alias("salt")), "sized")
     return _cut(rows, shards, range_mb).select(
         *[F.col(f"`{n}`").alias(c) for c, n in names.items()
           if c.lower() not in ("size", "shard", "slot")],
         "size", "shard", "slot")
 
 
-def _split(rows: pd.DataFrame, room: list[float]) -> np.ndarray:
-    """Segment of each record (key, salt, size): the largest first, each to where most room is."""
-    order = np.lexsort((rows["salt"], rows["key"], -rows["size"]))
+def _split(rows: pd.DataFrame, room: list[float], over: float = 0) -> np.ndarray:
+    """Segment of each record (key, salt, size): the largest group first, each to where most room is.
+
+    A group that overfills it by more than ``over`` is dealt record by record.
+    """
+    groups = pd.Series(np.arange(len(rows))).groupby(rows["key"].to_numpy()).indices
+    sizes, salts = rows["size"].to_numpy(), rows["salt"].to_numpy()
+    total = {key: int(sizes[at].sum()) for key, at in groups.items()}
     heap = [(-r, i) for i, r in enumerate(room)]
     heapq.heapify(heap)
     out = np.zeros(len(rows), dtype=np.int32)
-    for at, size in zip(order.tolist(), rows["size"].to_numpy()[order].tolist(), strict=True):
+    for key in sorted(groups, key=lambda k: (-total[k], k)):
+        at = groups[key]
         left, i = heap[0]
-        out[at] = i
-        heapq.heapreplace(heap, (left + size, i))
+        if total[key] <= over - left:
+            out[at] = i
+            heapq.heapreplace(heap, (left + total[key], i))
+            continue
+        for one in at[np.lexsort((salts[at], -sizes[at]))].tolist():
+            left, i = heap[0]
+            out[one] = i
+            heapq.heapreplace(heap, (left + int(sizes[one]), i))
     return out
 
 
@@ -115,9 +137,10 @@ def _cut(rows: DataFrame, shards: int, range_mb: int) -> DataFrame:
             room[number] = [b - a for a, b in zip(edges, edges[1:])]
         ahead += size
     # One group is one range, of about range_mb of text or 1/MOST_RANGES of it; at most a range per boundary.
+    over = OVERFULL * total / shards
     dealt = placed.filter(F.col("range").isin(list(room))).select("range", "key", "salt", "size").groupBy(
         "range").applyInPandas(lambda x: x[["range", "salt"]].assign(
-            segment=_split(x, room[int(x["range"].iloc[0])])), "range int, salt long, segment int")
+            segment=_split(x, room[int(x["range"].iloc[0])], over)), "range int, salt long, segment int")
     firsts = _table(placed, {"range": list(first_shard), "first_shard": list(first_shard.values())},
                     "range int, first_shard int")
     found = placed.join(dealt, ["range", "salt"], "left").join(F.broadcast(firsts), "range").select(

@@ -3,11 +3,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow.orc
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from codeq.llm.sharding import shard, write_shards
+from codeq.llm.sharding import _split, shard, write_shards
 from codeq.llm.subwords import vocabulary
 from codeq.llm.tokenfiles import read_tokens, token_index, write_tokens
 from tests.llm.conftest import odd_texts
@@ -71,6 +72,27 @@ def test_shards_are_even(spark):
     assert all(r["size"] == len(r["text"].encode()) + 1 for r in rows)
 
 
+def test_equal_texts_stay_together(spark, make_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shards_of = defaultdict(set)
+    for r in shard(docs).collect():
+        shards_of[r["text"] or ""].add(r["shard"])
+    assert max(map(len, shards_of.values())) == 1
+    rows = [(i, f"group {i % 300} of few rows " * (i % 300 % 7 + 1)) for i in range(900)] + [(2000, None), (2001, "")]
+    found = shard(make_docs(rows), 3).collect()
+    assert len({(r["text"] or "", r["shard"]) for r in found}) == 301
+    check_shards(found, 3, 2000)
+
+
+def test_groups_are_dealt_whole_where_there_is_room():
+    rows = pd.DataFrame({"key": [1, 1, 1, 2, 3, 3, 4], "salt": range(7), "size": [5, 5, 5, 12, 4, 4, 1]})
+    found = _split(rows, [20, 16], over=3)
+    assert [len(set(found[rows["key"] == k])) for k in (1, 2, 3, 4)] == [1, 1, 1, 1]
+    assert abs(sum(rows["size"][found == 0]) - 20) <= 4
+    hot = pd.DataFrame({"key": [1] * 50, "salt": range(50), "size": [3] * 50})
+    assert np.bincount(_split(hot, [90, 60])).tolist() == [30, 20]
+
+
 def test_a_hot_text_is_split(make_docs, spark, tmp_path):
     rows = [(i, f"text number {i} " * (i % 7 + 1)) for i in range(400)] + [(1000 + i, "hot " * 20) for i in range(700)]
     sharded = shard(make_docs(rows, extra="shard string, slot double, row_range int", values=("x", 1.5, 3)), 5)
