@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeq.operators.running import with_positions
 from codeq.rules.catalogue import STATUSES
 
 FIX_CONFIDENCE = 0.90
@@ -16,6 +17,13 @@ def acknowledged(toggles: DataFrame) -> DataFrame:
         (F.count("*") % 2 == 1).alias("is_acknowledged"))
 
 
+def click_states(clicks: DataFrame) -> DataFrame:
+    """Clicks with a time ``at``, with their ``turn`` in their issue and whether it is acknowledged then."""
+    timed = clicks.filter(F.col("at").isNotNull()).withColumn("minute", F.date_trunc("minute", "at"))
+    return with_positions(timed, ["review_id", "issue_no"], ["minute"], ["at"], ["at"], "turn").drop(
+        "minute").withColumn("is_acknowledged", F.col("turn") % 2 == 1)
+
+
 def cascade(children: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     """Children whose parent was not deleted."""
     return children.join(deleted.select(key), key, "left_anti")

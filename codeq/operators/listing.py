@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from codeq.operators.rollups import author_totals, complete
-from codeq.operators.running import by_time, first_rows, with_positions
+from codeq.operators.running import ID_BLOCK, by_time, first_rows, with_positions
 from codeq.operators.timeline import longest_streak, review_days, rolling_quality_exact
 from codeq.rules.catalogue import SEVERITIES
 from codeq.sources.sinks import read_back, write_table
@@ -16,6 +17,7 @@ from codeq.sources.sinks import read_back, write_table
 PAGE_SIZE = 20
 LAST_LINE = 2**31 - 1
 LINE_BLOCK = 256
+FEW_ROWS = 100_000  # what is sorted at once to cut out a page
 
 
 def where_all(df: DataFrame, conditions: list[Column]) -> DataFrame:
@@ -126,3 +128,58 @@ def leaderboard(users: DataFrame, reviews: DataFrame, issues: DataFrame, n: int
         0, ["total_reviews", "total_issues_found", "streak_days"])
     return first_rows(listed.withColumn("board", F.lit(1)), ["board"], ["-quality_score", "user_id"],
                       n, "rank").drop("board")
+
+
+def _levels(time: str, number: str) -> list[tuple[Column, Column, str]]:
+    """(time of a part, its block of numbers, how long it lasts), each level finer than the one before."""
+    whole, block = F.lit(0).cast("long"), F.floor(F.col(number) / ID_BLOCK)
+    return [*[(F.date_trunc(unit, time), whole, f"interval 1 {unit}") for unit in ("day", "minute", "millisecond")],
+            (F.col(time), whole, "interval 1 microsecond"), (F.col(time), block, "interval 1 microsecond")]
+
+
+def _beyond(time: str, kind: DataType, block: Column, part: Row, ahead: bool) -> Column:
+    """Whether a row has the time of a part and lies in a block before it, or after it. Null blocks come last."""
+    same = F.col(time).eqNullSafe(F.lit(part["start"]).cast(kind))
+    if part["block"] is None:
+        return same & block.isNotNull() if ahead else F.lit(False)
+    return same & (F.coalesce(block > part["block"], F.lit(False)) if ahead
+                   else F.coalesce(block < part["block"], F.lit(True)))
+
+
+def page_at(rows: DataFrame, time: str, number: str, skip: int, limit: int = PAGE_SIZE) -> DataFrame:
+    """The page after the first ``skip`` rows of the whole table, newest first, with each row's ``place``.
+
+    Ties are broken by ``number``, a unique whole number, the larger first; rows without a time come last.
+    The table is not sorted: counts per day tell in which days the page lies, then counts per minute
+    of those days the minutes, and so on down to blocks of numbers at one time, until few rows are left.
+    Each step reads its range only, and the driver gets one row per part of what the page touches.
+    """
+    kind = rows.schema[time].dataType
+    ahead, inside = 0, rows
+    for start, block, lasts in _levels(time, number):
+        parts = inside.groupBy(start.alias("start"), block.alias("block")).agg(F.count("*").alias("n")).orderBy(
+            F.col("start").desc_nulls_last(), F.col("block").desc_nulls_last())
+        touched, seen = [], ahead
+        for part in parts.withColumn("start", F.col("start").cast("string")).collect():
+            if seen + part["n"] <= skip:
+                ahead = seen + part["n"]
+            elif seen < skip + limit:
+                touched.append(part)
+            seen += part["n"]
+        if not touched:
+            inside = rows.limit(0)
+            break
+        timed = [p["start"] for p in touched if p["start"] is not None]
+        within = F.col(time).isNull() if len(timed) < len(touched) else F.lit(False)
+        if timed:
+            newest, oldest = (F.lit(x).cast(kind) for x in (timed[0], timed[-1]))
+            within = within | ((F.col(time) >= oldest) & (F.col(time) < newest + F.expr(lasts)))
+        inside = inside.filter(within)
+        inside = inside.filter(~_beyond(time, kind, block, touched[0], True)
+                               & ~_beyond(time, kind, block, touched[-1], False))
+        if sum(p["n"] for p in touched) <= FEW_ROWS:
+            break
+    order = [F.col(time).desc_nulls_last(), F.col(number).desc_nulls_last()]
+    page = inside.orderBy(*order).limit(skip - ahead + limit)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) + ahead
+    return page.withColumn("place", place.cast("long")).filter(F.col("place") > skip)

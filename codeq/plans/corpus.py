@@ -10,7 +10,7 @@ from codeq.functions import naming
 from codeq.functions import presentation as p
 from codeq.operators import duplication as dup
 from codeq.operators import findings as fnd
-from codeq.operators import bindings, intake, scan, syntax
+from codeq.operators import bindings, blocks, intake, scan, syntax
 from codeq.operators import metrics as met
 from codeq.plans import sql as s
 from codeq.plans.registry import query
@@ -458,6 +458,30 @@ def duplicate_lines(spark, folder):
     return dup.duplicate_lines(t.files(spark, folder))
 
 
+@query(s.with_ctes("numbered", """
+    SELECT file_id, min(first_line)::INTEGER AS first_line, max(last_line)::INTEGER AS last_line,
+           count(*) + 5 AS n_lines, origin_file_id, min(origin_line)::INTEGER AS origin_line
+    FROM islands GROUP BY file_id, origin_file_id, ahead, island""",
+    kept_lines=rf"""
+    SELECT file_id, line_no, stripped, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS place
+    FROM (SELECT file_id, line_no, regexp_replace(line, '^[{s.SPACE}]+|[{s.SPACE}]+$', '', 'g') AS stripped
+          FROM numbered)
+    WHERE length(stripped) > 10 AND NOT starts_with(stripped, '#')""", line_runs="""
+    SELECT file_id, place, line_no AS first_line, list(line_no) OVER six AS nos, list(stripped) OVER six AS run
+    FROM kept_lines
+    WINDOW six AS (PARTITION BY file_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)""", links="""
+    SELECT file_id, place, first_line, nos[6] AS last_line,
+           first_value(file_id) OVER firsts AS origin_file_id, first_value(place) OVER firsts AS origin_place,
+           first_value(first_line) OVER firsts AS origin_line
+    FROM line_runs WHERE len(run) = 6
+    WINDOW firsts AS (PARTITION BY run ORDER BY file_id, place)""", islands="""
+    SELECT *, place - origin_place AS ahead, place - row_number() OVER (
+        PARTITION BY file_id, origin_file_id, place - origin_place ORDER BY place) AS island
+    FROM links WHERE (file_id, place) <> (origin_file_id, origin_place)"""))
+def duplicate_blocks(spark, folder):
+    return blocks.duplicate_blocks(t.files(spark, folder))
+
+
 # Reviews of files -------------------------------------------------------------------------------
 
 @query(s.with_ctes("review_metrics", "SELECT review_id, critical_issues, error_issues,"

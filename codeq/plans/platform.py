@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeq.functions import presentation as p
 from codeq.functions.metrics import extension
-from codeq.operators import audits, badges, changes, listing, nested, rollups, timeline
+from codeq.operators import asof, audits, badges, changes, listing, nested, rollups, timeline
 from codeq.operators import findings as findings_of
 from codeq.operators import metrics as metrics_of
 from codeq.plans import corpus
@@ -110,6 +110,17 @@ def reviews_page(spark, folder):
     ).select("author_id", "review_id", F.col("place").cast("long").alias("place"), "total")
 
 
+@query(s.with_ctes("v_reviews", """
+    SELECT review_id, author_id, place FROM (
+        SELECT review_id, author_id, row_number() OVER (ORDER BY created_at DESC, review_id DESC) AS place
+        FROM v_reviews)
+    WHERE place > 1000 AND place <= 1020"""))
+def reviews_deep_page(spark, folder):
+    """The page after the newest thousand reviews of all authors."""
+    return listing.page_at(t.reviews(spark, folder), "created_at", "review_id", skip=1000).select(
+        "review_id", "author_id", "place")
+
+
 @query(s.with_ctes("v_repositories", """
     SELECT repository_id, owner_id, name, row_number() OVER (
         PARTITION BY owner_id ORDER BY updated_at DESC, repository_id) AS position
@@ -736,3 +747,47 @@ def suggestions(spark, folder):
     FROM orders WHERE o_orderdate::DATE <= DATE '{STATUS_DAY}'""")
 def latest_status(spark, folder):
     return changes.latest_status(t.status_events(spark, folder), F.lit(STATUS_DAY).cast("date"))
+
+
+# States as of a time ----------------------------------------------------------------------------
+
+EVENTS_SQL = """
+    SELECT o_orderkey AS review_id, status, (o_orderdate::DATE + days)::TIMESTAMP AS at
+    FROM orders, (VALUES ('pending', 0), ('analyzing', 1), ('', 8)) steps(step, days),
+         LATERAL (SELECT CASE WHEN step <> '' THEN step WHEN o_orderstatus = 'P' THEN 'failed'
+                         ELSE 'complete' END AS status)"""
+CLICKS_SQL = "SELECT l_orderkey AS review_id, l_linenumber::BIGINT AS issue_no, l_shipdate AS at FROM lineitem"
+
+
+def _status_changes(spark, folder):
+    return t.status_events(spark, folder).select("review_id", "status", F.col("day").cast("timestamp_ntz").alias("at"))
+
+
+@query(s.with_ctes("status_changes", """
+    SELECT review_id, status, s.at, lead(s.at) OVER (PARTITION BY review_id ORDER BY s.at) AS valid_until
+    FROM status_changes s""", status_changes=EVENTS_SQL))
+def status_intervals(spark, folder):
+    """From when until when each review had each status."""
+    return asof.intervals(_status_changes(spark, folder), ["review_id"], "at", ["status"])
+
+
+@query(s.with_ctes("status_changes clicks", """
+    SELECT c.review_id, c.issue_no, c.at, s.status
+    FROM clicks c ASOF LEFT JOIN status_changes s ON c.review_id = s.review_id AND c.at >= s.at""",
+    status_changes=EVENTS_SQL, clicks=CLICKS_SQL))
+def status_as_of(spark, folder):
+    """The status that each review had when one of its issues was clicked."""
+    return asof.as_of(t.clicks(spark, folder), _status_changes(spark, folder), ["review_id"], "at", ["status"])
+
+
+@query(s.with_ctes("status_changes clicks", """
+    SELECT s.review_id, i.issue_no, s.at, s.status, (SELECT count(*) FROM clicks c
+        WHERE c.review_id = s.review_id AND c.issue_no = i.issue_no AND c.at <= s.at) % 2 = 1 AS is_acknowledged
+    FROM status_changes s JOIN (SELECT DISTINCT review_id, issue_no FROM clicks) i ON s.review_id = i.review_id""",
+    status_changes=EVENTS_SQL, clicks=CLICKS_SQL))
+def acknowledged_as_of(spark, folder):
+    """Whether each issue was acknowledged when its review changed its status."""
+    clicks = t.clicks(spark, folder)
+    asked = _status_changes(spark, folder).join(clicks.select("review_id", "issue_no").distinct(), "review_id")
+    return asof.as_of(asked, changes.click_states(clicks), ["review_id", "issue_no"], "at", ["is_acknowledged"],
+                      ties=["turn"]).fillna(False, ["is_acknowledged"])

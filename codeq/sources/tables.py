@@ -125,6 +125,13 @@ def toggles(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_orderkey").alias("review_id"), F.col("l_linenumber").cast("long").alias("issue_no"))
 
 
+def clicks(spark: SparkSession, folder: str) -> DataFrame:
+    """The acknowledge clicks with their times."""
+    return table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("review_id"), F.col("l_linenumber").cast("long").alias("issue_no"),
+        F.col("l_shipdate").alias("at"))
+
+
 def status_events(spark: SparkSession, folder: str) -> DataFrame:
     """A review goes pending, analyzing a day later, and to its end a week after that."""
     end = F.when(F.col("o_orderstatus") == "P", "failed").otherwise("complete")
