@@ -10,7 +10,7 @@ from codeq.functions import naming
 from codeq.functions import presentation as p
 from codeq.operators import duplication as dup
 from codeq.operators import findings as fnd
-from codeq.operators import bindings, blocks, intake, scan, syntax
+from codeq.operators import bindings, blocks, intake, packs, scan, syntax
 from codeq.operators import metrics as met
 from codeq.plans import sql as s
 from codeq.plans.registry import query
@@ -172,6 +172,23 @@ def custom_file_metrics(spark, folder):
         "file_id", "issue_count", "critical_issues", "error_issues", "quality_score")
 
 
+# A pack of 294 rules: words that begin with three letters and end in s or e, and the rules above.
+RULE_PACK = (*PATTERN_RULES, *CUSTOM_RULES, *(
+    PatternRule(f"WORD-{a}{b}{c}", "info", f"{a}{b}{c}[a-z]+[es] ", "Word", needles=(a + b + c,))
+    for a in "abcdefghijklmnopqrstuvwxyz" for b in "aeiou" for c in "nr"))
+
+
+@query(s.with_ctes("matches", "SELECT file_id, rule_id, line_start FROM matches", rules=s.rules_sql(RULE_PACK)))
+def rule_pack(spark, folder):
+    return packs.scan_pack(t.files(spark, folder), RULE_PACK).drop("review_id")
+
+
+@query(s.with_ctes("matches", "SELECT rule_id, count(*) AS n_matches FROM matches GROUP BY rule_id",
+                   rules=s.rules_sql(RULE_PACK)))
+def rule_pack_counts(spark, folder):
+    return packs.count_pack(t.files(spark, folder), RULE_PACK)
+
+
 # File metrics -----------------------------------------------------------------------------------
 
 @query(s.with_ctes("v_language", "SELECT file_id, filename, language FROM v_language"))
