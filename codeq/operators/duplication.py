@@ -59,6 +59,22 @@ def duplication(files: DataFrame, by_review: bool = True) -> DataFrame:
     return _share(lines.groupBy(*keys, "h").agg(F.count("*").alias("n")), keys)
 
 
+def line_changes(changes: DataFrame) -> DataFrame:
+    """Counts (review_id, h, n) that files with a ``sign`` of 1 add and those with -1 take away."""
+    lines = changes.select("review_id", "sign", F.explode(_kept_lines()).alias("line"))
+    return lines.groupBy("review_id", line_hash(F.col("line")).alias("h")).agg(F.sum("sign").cast("long").alias("n"))
+
+
+def added_up(counts: DataFrame) -> DataFrame:
+    """Counts of lines summed; lines that are gone leave no row."""
+    return counts.groupBy("review_id", "h").agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+def duplication_of(counts: DataFrame) -> DataFrame:
+    """``duplication`` per review from counts per line; reviews without lines have no row."""
+    return _share(counts, ["review_id"])
+
+
 def duplicate_lines(files: DataFrame) -> DataFrame:
     """Every line that occurs more than once: how often and in how many files.
 

@@ -123,6 +123,20 @@ def streaks(days: DataFrame) -> DataFrame:
     )
 
 
+def joined_runs(runs: DataFrame) -> DataFrame:
+    """Runs of days (user_id, first_day, last_day) that touch or overlap, joined; single days are runs.
+
+    The result is the same whichever of them were joined before, so runs can be gathered part by part.
+    """
+    once = runs.groupBy("user_id", "first_day").agg(F.max("last_day").alias("last_day"))
+    own = Window.partitionBy("user_id").orderBy("first_day")
+    reached = F.max("last_day").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("first_day") > F.date_add(reached, 1), F.lit(True))
+    return (once.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(own))
+            .groupBy("user_id", "run").agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+            .drop("run"))
+
+
 def active_days(activity: DataFrame) -> DataFrame:
     return activity.select("user_id", F.to_date("ts").alias("day"))
 

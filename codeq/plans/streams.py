@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeq.operators import timeline
 from codeq.plans import sql as s
 from codeq.plans.registry import query
 from codeq.session import shared_folder
@@ -127,3 +128,28 @@ def stream_closed_windows(spark, folder):
 def stream_late_events(spark, folder):
     rows = jobs.late_rows(spark, _windows(spark, folder)[1])
     return rows.select("event_id", "user_id", "event_type", _slice().cast("long").alias("batch"))
+
+
+@query(s.with_ctes("active_runs", """
+    SELECT user_id, max(n_days) AS streak_days FROM active_runs GROUP BY user_id"""))
+def stream_streaks(spark, folder):
+    run = shared_folder(spark, "stream-streaks")
+    out = _in_slices(spark, folder, lambda arrived: jobs.streaks(timeline.active_days(arrived), run))
+    return jobs.longest_streaks(spark, out)
+
+
+@query(s.with_ctes("code_lines", f"""
+    SELECT review_id, n_lines, n_duplicated, {s.round_exact('pct', 1)} AS duplication_pct FROM pct""", pct="""
+    SELECT review_id, sum(n)::BIGINT AS n_lines, sum(n - 1)::BIGINT AS n_duplicated,
+           sum(n - 1)::DOUBLE / sum(n) * 100 AS pct
+    FROM (SELECT review_id, count(*) AS n FROM code_lines WHERE file_id % 5 <> 0 GROUP BY review_id, stripped)
+    GROUP BY review_id"""))
+def stream_duplication(spark, folder):
+    """Files come in three batches, and each fifth one goes again with the batch after its own."""
+    files, run, source = t.files(spark, folder), shared_folder(spark, "stream-lines"), shared_folder(spark, "arrivals")
+    comes, goes = F.col("file_id") % 3, F.col("file_id") % 5 == 0
+    for k in range(4):
+        files.filter(comes == k).withColumn("sign", F.lit(1)).union(
+            files.filter(goes & (comes == k - 1)).withColumn("sign", F.lit(-1))).write.mode("append").parquet(source)
+        jobs.duplication(spark.readStream.schema(files.withColumn("sign", F.lit(1)).schema).parquet(source), run)
+    return jobs.duplication_now(spark, run)

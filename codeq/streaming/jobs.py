@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from codeq.operators.duplication import added_up, duplication_of, line_changes
 from codeq.operators.rollups import complete
 from codeq.operators.scan import scan_rules
-from codeq.operators.timeline import checked_score, first_reviews, folded
+from codeq.operators.timeline import checked_score, first_reviews, folded, joined_runs
 from codeq.streaming.merged import MergedParts, last_versions, sums
 
 MERGE_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
@@ -189,3 +190,42 @@ def rolling_scores(spark: SparkSession, folder: str) -> DataFrame:
     first = MergedParts(spark, f"{folder}/first", first_reviews).read()
     counts = MergedParts(spark, f"{folder}/counts", sums("author_id")).read()
     return folded(first).join(counts, "author_id")
+
+
+def streaks(days: DataFrame, folder: str) -> str:
+    """Keep each user's runs of days, of days (user_id, day) in any order, late and repeated ones too.
+
+    A late day joins the runs on both its sides. Rows without a day count for nothing.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        runs = batch.filter("day is not null").select(
+            "user_id", F.col("day").alias("first_day"), F.col("day").alias("last_day"))
+        MergedParts(batch.sparkSession, folder + "/runs", joined_runs).add(runs, batch_id)
+
+    _each_batch(days, folder, write)
+    return folder
+
+
+def longest_streaks(spark: SparkSession, folder: str) -> DataFrame:
+    """user_id and streak_days after all days that ``streaks`` has seen."""
+    runs = MergedParts(spark, folder + "/runs", joined_runs).read()
+    length = F.date_diff("last_day", "first_day") + 1
+    return runs.groupBy("user_id").agg(F.max(length).cast("long").alias("streak_days"))
+
+
+def duplication(changes: DataFrame, folder: str) -> str:
+    """Keep counts of lines per review, of files that come (``sign`` 1) and go (``sign`` -1).
+
+    A file that goes, or changes, comes once more with the content that it had. The order does not matter:
+    a file may go before it came.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        MergedParts(batch.sparkSession, folder + "/lines", added_up).add(line_changes(batch), batch_id)
+
+    _each_batch(changes, folder, write)
+    return folder
+
+
+def duplication_now(spark: SparkSession, folder: str) -> DataFrame:
+    """review_id, n_lines, n_duplicated and duplication_pct of the files that are there now."""
+    return duplication_of(MergedParts(spark, folder + "/lines", added_up).read())

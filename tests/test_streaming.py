@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codeq.operators import scan, timeline
+from codeq.operators import duplication, scan, timeline
 from codeq.sources.snippets import SNIPPETS
 from codeq.streaming import jobs
 from tests.test_platform import REVIEW, START, by_author, review_row
@@ -178,3 +178,39 @@ def test_merged_parts_stay_few_and_lose_nothing(spark, tmp_path, monkeypatch):
     assert {r["k"]: r["n"] for r in parts.read().collect()} == {0: 14, 1: 13, 2: 13, 7: sum(range(40))}
     assert len(glob.glob(f"{folder}/manifest/*.parquet")) <= merged.FAN + merged.KEPT_MANIFESTS + 1
     assert len(glob.glob(f"{folder}/parts/*")) < 30
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_streaks_of_days_in_any_order(spark, tmp_path, seed):
+    dice = random.Random(seed)
+    rows = [(dice.choice([1, 2, 3, None]), START.date() + dt.timedelta(days=dice.randrange(60))) for _ in range(150)]
+    rows += [(4, None), (5, START.date()), (5, START.date())]
+    whole = spark.createDataFrame(rows, "user_id long, day date")
+    dice.shuffle(rows)
+    seen, source, folder = [], str(tmp_path / "in"), str(tmp_path / "job")
+    for k in range(10):  # more than a level of parts
+        seen += rows[k::10]
+        spark.createDataFrame(rows[k::10], whole.schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.streaks(spark.readStream.schema(whole.schema).parquet(source), folder)
+        if k in (0, 4, 9):
+            expected = timeline.longest_streak(
+                spark.createDataFrame(seen, whole.schema).filter("day is not null"))
+            key = lambda r: (r[0] is not None, r[0] or 0)
+            assert sorted(map(tuple, jobs.longest_streaks(spark, folder).collect()), key=key) == sorted(
+                map(tuple, expected.select("user_id", "streak_days").collect()), key=key)
+
+
+def test_duplication_as_files_come_and_go(spark, tmp_path, make_files):
+    dice = random.Random(4)
+    pool = [f"a line of code, number {i}" for i in range(9)] + ["short", "# a long enough comment"]
+    files = {i: ("a.js", "\n".join(dice.choices(pool, k=dice.randrange(12))), f"r{i % 4}") for i in range(40)}
+    files[40] = ("a.js", None, "r0")
+    steps, here = [], {}
+    for _ in range(6):
+        come = {i: f for i, f in files.items() if i not in here and dice.random() < 0.5}
+        go = {i: f for i, f in here.items() if dice.random() < 0.3}
+        steps.append(make_files(come).withColumn("sign", F.lit(1)).union(make_files(go).withColumn("sign", F.lit(-1))))
+        here = {i: f for i, f in {**here, **come}.items() if i not in go}
+    out = in_steps(spark, tmp_path, steps, steps[0].schema, lambda stream: stream, jobs.duplication)
+    left = duplication.duplication(make_files(here)).filter("n_lines > 0")
+    assert here and sorted(jobs.duplication_now(spark, out).collect()) == sorted(left.collect())
