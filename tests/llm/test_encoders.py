@@ -1,6 +1,7 @@
 """Encoders against the libraries, on odd and random texts."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -9,8 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from codeq.llm.counts import RankCounter
-from codeq.llm.pieces import MARK, PieceModel
+from codeq.llm.counts import RankCounter, token_counts
+from codeq.llm.pieces import MARK, PieceModel, decoded, encoded
 from codeq.llm.subwords import WordEncoder, vocabulary
 from tests.llm.conftest import odd_texts
 
@@ -107,3 +108,47 @@ def test_unigram_scores_give_the_best_sum():
         pieces = list(model.segment(text))
         assert "".join(pieces) == text
         assert sum(model.score[p] for p in pieces) == pytest.approx(best[-1])
+
+
+ROWS = [(50 - i, t) for i, t in enumerate(odd_texts())] + [(None, "no id"), (7, "twice"), (7, "twice"), (60, "w " * 512)]
+
+
+def by_repr(rows):
+    return sorted(rows, key=repr)
+
+
+def test_counts_per_document(make_docs, clashing):
+    extra = {"extra": f"n_tokens string, n_bytes string, {clashing['extra']}", "values": ("x", "y", *clashing["values"])}
+    found = token_counts(make_docs(ROWS, **extra), BYTE).collect()
+    expected = []
+    for doc_id, text in ROWS:
+        n = len(LIBRARY[BYTE].encode(text or "", add_special_tokens=False).ids)
+        expected.append((doc_id, len((text or "").encode()), n, n > 512))
+    assert by_repr(map(tuple, found)) == by_repr(expected)
+    assert {r["over_limit"] for r in found} == {True, False}
+    assert token_counts(make_docs([]), BYTE).collect() == []
+
+
+def test_pieces_per_document(make_docs, clashing):
+    extra = {"extra": f"ids string, n_tokens string, {clashing['extra']}", "values": ("x", "y", *clashing["values"])}
+    frame = encoded(make_docs(ROWS, **extra), PIECE)
+    expected = []
+    for doc_id, text in ROWS:
+        own = np.array(PIECES.encode(text or ""), dtype="<u4").tobytes()
+        expected.append((doc_id, len(own) // 4, zlib.crc32(own), MARK not in (text or ""), own))
+    assert by_repr((r[0], r[1], r[2], r[3], bytes(r[4])) for r in frame.collect()) == by_repr(expected)
+    back = decoded(frame, PIECE).collect()
+    assert by_repr(map(tuple, back)) == by_repr((i, (t or "").replace(MARK, " ")) for i, t in ROWS)
+    without = encoded(make_docs(ROWS), PIECE, with_ids=False)
+    assert {r["ids"] for r in without.collect()} == {None}
+    assert {r["text"] for r in decoded(without, PIECE).collect()} == {None}
+    assert encoded(make_docs([]), PIECE).collect() == []
+
+
+def test_a_text_of_two_million_characters(make_docs):
+    rows = [(1, "a long text, said over and over again. " * 50_000), (2, "x" * 300_000)]
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts(make_docs(rows), BYTE).collect()}
+    pieces = {r["doc_id"]: (r["n_tokens"], r["round_trip"]) for r in encoded(make_docs(rows), PIECE).collect()}
+    for doc_id, text in rows:
+        assert counts[doc_id] == len(LIBRARY[BYTE].encode(text, add_special_tokens=False).ids)
+        assert pieces[doc_id] == (len(PIECES.encode(text)), True)

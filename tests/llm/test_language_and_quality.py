@@ -1,7 +1,19 @@
+import math
+
 import duckdb
 import pytest
 
-from codeq.llm.language import in_known_language, languages
+from codeq.llm.language import (
+    FLOOR,
+    LEAST_SHARE,
+    PENALTY,
+    STEPS,
+    _trigrams,
+    _words,
+    in_known_language,
+    languages,
+    learn,
+)
 from codeq.llm.quality import SQL, clean_lines, judge, line_fails
 from tests.llm.conftest import odd_texts
 
@@ -17,6 +29,58 @@ def test_held_out_documents_are_told_right(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_mixture(model, text):
+    """Shares, chosen languages and the share of words they hold, one word and one language at a time."""
+    words, chances, sure = _words(text), [], []
+    for word in words:
+        data = b" " + word + b" "
+        buckets = [int(_trigrams([word])[0][k]) for k in range(len(data) - 2)]
+        chances.append([math.exp(sum(float(model.logs[i][b]) for b in buckets)) for i in range(len(model.languages))])
+        sure.append(2 * sum(any(math.exp(row[b]) > FLOOR and row[b] > row.min() for row in model.logs)
+                            for b in buckets) >= len(buckets))
+
+    def maximise(shares):
+        for _ in range(STEPS):
+            sums = [0.0] * len(shares)
+            for chance in chances:
+                part = [c * s for c, s in zip(chance, shares, strict=True)]
+                sums = [a + p / sum(part) for a, p in zip(sums, part, strict=True)]
+            shares = [x / len(words) for x in sums]
+        return shares, sum(math.log(sum(c * s for c, s in zip(chance, shares, strict=True))) for chance in chances)
+    count = len(model.languages)
+    full, _ = maximise([1 / count] * count)
+    order = sorted(range(count), key=lambda i: -full[i])
+    price = PENALTY * math.log(max(2, len(words))) / 2
+    best = max((maximise([float(i == k) for i in range(count)])[1] - price, [float(i == k) for i in range(count)])
+               for k in range(count))
+    for size in range(2, sum(s >= LEAST_SHARE for s in full) + 1):
+        shares, value = maximise([1 / size if i in order[:size] else 0.0 for i in range(count)])
+        best = max(best, (value - size * price, shares))
+    chosen = [i for i in range(count) if best[1][i] > 0]
+    held = 0.0
+    for chance, known in zip(chances, sure, strict=True):
+        part = [c * s for c, s in zip(chance, full, strict=True)]
+        held += known * sum(part[i] for i in chosen) / sum(part)
+    first = max(range(count), key=lambda i: best[1][i])
+    return model.languages[first], full[first], [model.languages[i] for i in chosen], held / len(words)
+
+
+def test_mixtures_equal_plain_expectation_maximisation(spark):
+    docs = spark.read.parquet(PATH)
+    model = learn(docs)
+    texts = {}
+    for r in docs.filter("lang is not null").orderBy("doc_id").limit(300).collect():
+        texts.setdefault(r["lang"], []).append(" ".join(r["text"].split()[:40]))
+    some = [t for own in texts.values() for t in own[:4]]
+    some += [f"{a} {b}" for a, b in zip(texts["en"][4:8], texts["de"][4:8], strict=True)]
+    some += [" ".join(own[9] for own in texts.values()), "word", "Съешь же ещё этих мягких булок"]
+    some = [t for t in some if any(map(str.isalpha, t))]
+    for text, found in zip(some, model.predict(some), strict=True):
+        name, share, chosen, held = plain_mixture(model, text)
+        assert (found[0], found[2]) == (name, chosen), text
+        assert found[1] == pytest.approx(share, abs=2e-3) and found[3] == pytest.approx(held, abs=2e-3), text
+
+
 def test_mixtures_are_seen(spark, make_docs):
     docs = spark.read.parquet(PATH).select("doc_id", "text", "lang").collect()
     long = {lang: [r["text"] for r in docs if r["lang"] == lang and 600 < len(r["text"]) < 4000] for lang in ("en", "de")}
