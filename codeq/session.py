@@ -24,7 +24,13 @@ def local_session(cpus: int | str = 8, name: str = "codeq") -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the one named in ``spark.checkpoint.dir``.
 
-    Where that is unset it lies below the warehouse, which all executors reach as well.
+    Where that is unset it lies below the warehouse; on a cluster that must not be a local folder, which
+    executors would not share, and is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        is_local = base.startswith(("file:", "/")) or ":" not in base
+        if is_local and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"name a folder that all executors share in spark.checkpoint.dir; {base} is not")
     return f"{base.rstrip('/')}/codeq/{purpose}-{uuid.uuid4().hex}"
