@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,31 @@ def table(spark: SparkSession, folder: str, name: str, stream: bool = False) ->
     return spark.readStream.schema(df.schema).parquet(f"{folder}/{name}.parque[t]")
 
 
+SHARE_ROWS = 256  # a share of a row group has about so many rows or more
+MOST_SHARES = 32  # and a row group is read so many times at most
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The same rows of a table of few row groups, dealt to all cores without a shuffle.
+
+    One task reads a row group, so long work on a small table would leave most cores idle. Here several
+    tasks read it, and each keeps the rows of its share, by their number in the file, before anything is
+    made of them. ``df`` is a table as read; with a file per core or more it stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    held = df.groupBy(F.spark_partition_id()).count().agg(F.count("*").alias("tasks"), F.max("count").alias("rows")).first()
+    if not held["tasks"]:
+        return df
+    shares = min(-(-cores // held["tasks"]), held["rows"] // SHARE_ROWS, MOST_SHARES)
+    if shares < 2:
+        return df
+    parts = [df.filter(F.col("_metadata.row_index") % shares == i) for i in range(shares)]
+    # Coalescing to more tasks than there are does nothing, but keeps the work above from being planned once per share.
+    return reduce(DataFrame.union, parts).coalesce(1 << 30)
+
+
 def _pick(values: list, index: Column) -> Column:
     """The value at a 0-based index of a constant list; folded into the plan, so no join."""
     return F.get(F.expr(array(values)), index)
@@ -30,7 +57,8 @@ def files(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     ext = _pick([e for e, _ in SNIPPETS], k)
     commented = F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")))
     prose = F.when(ext == "py", commented).otherwise(F.col("text"))
-    documents = table(spark, folder, "documents", stream).select("doc_id", "source", "text")
+    documents = table(spark, folder, "documents", stream)
+    documents = (documents if stream else dealt(documents)).select("doc_id", "source", "text")
     return documents.select(
         F.col("doc_id").alias("file_id"),
         F.col("source").alias("review_id"),
