@@ -22,6 +22,7 @@ FLOOR = 0.05 / BUCKETS  # a trigram less likely than this is no language's
 UNKNOWN = "und"
 KNOWN_WORDS = 150_000
 CHARS = 1 << 20
+MOST_LANGUAGES = 256  # a model of so many is gathered by the driver and sent to workers; more are refused
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
@@ -144,8 +145,13 @@ def held_out() -> Column:
 def learn(docs: DataFrame) -> Mixture:
     """Count the trigrams of every document that is not held out and has a language and a text.
 
-    All of them count. The model has BUCKETS numbers per language, whatever the size of the data.
+    All of them count. The model has BUCKETS numbers per language, whatever the size of the data; more than
+    MOST_LANGUAGES distinct values of lang are refused with an error, not cut.
     """
+    told = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("lang").distinct()
+    if told.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values; it should name languages")
+
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for langs, texts in chunks(batches, "lang", "text"):

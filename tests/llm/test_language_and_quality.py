@@ -81,6 +81,14 @@ def test_mixtures_equal_plain_expectation_maximisation(spark):
         assert found[1] == pytest.approx(share, abs=2e-3) and found[3] == pytest.approx(held, abs=2e-3), text
 
 
+def test_too_many_languages_are_refused(make_docs, monkeypatch):
+    monkeypatch.setattr("codeq.llm.language.MOST_LANGUAGES", 2)
+    docs = [(i, f"some words {i}", f"l{i % 3}") for i in range(30)]
+    with pytest.raises(ValueError, match="more than 2"):
+        learn(make_docs(docs))
+    assert len(learn(make_docs([d for d in docs if d[2] != "l2"])).languages) == 2
+
+
 def test_mixtures_are_seen(spark, make_docs):
     docs = spark.read.parquet(PATH).select("doc_id", "text", "lang").collect()
     long = {lang: [r["text"] for r in docs if r["lang"] == lang and 600 < len(r["text"]) < 4000] for lang in ("en", "de")}
