@@ -1,7 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose pairs, the texts decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash bands propose pairs, the texts decide.
 
-A pair of similarity s shares one of BANDS values of ROWS minima with probability
-1 - (1 - s^ROWS)^BANDS: 0.99993 at 0.8, more above. Every proposed pair is held to its texts.
+Fingerprints of the same shingles within ``RADIUS`` bits are linked by the general pigeonhole principle
+(``simhash``). Copies at 0.8 often differ in more bits than any radius can reach at scale, so bands of minima
+propose the rest: a pair of similarity s shares one of BANDS values of ROWS minima with probability
+1 - (1 - s^ROWS)^BANDS, 0.99993 at 0.8, more above. Every proposed pair is held to its texts, once.
 """
 
 from __future__ import annotations
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 
 from codeq.llm.common import chunks, free_name, numbered, settle, through_arrow, whole_text
 from codeq.llm.components import components
+from codeq.llm.simhash import fingerprint, hamming_links
 from codeq.llm.substring import _among, run_hashes
 
+RADIUS = 2  # bits that fingerprints linked by SimHash differ in at most
 ROWS, BANDS = 5, 24
 SHARE = 16  # a bucket is compared pair by pair up to so many pairs per entry; others meet by hubs and rare shingles
 STEP = 1.05  # a class of lengths
@@ -52,15 +56,17 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signed(rows: DataFrame, row: str, width: int) -> DataFrame:
-    """(key, same, n, bands): a hash and the number of the shingles, and the values of the bands."""
+    """(key, same, n, fp, bands): hash and number of the shingles, the SimHash fingerprint, the values of the bands."""
     def sign(batches):
         from xxhash import xxh64_intdigest
         for keys, texts in chunks(batches, "key", "text"):
             found = [shingles(t, width) for t in texts]
             same = np.array([xxh64_intdigest(f.tobytes()) for f in found], dtype=np.uint64).view(np.int64)
-            yield {"key": keys, "same": same, "n": [len(f) for f in found], "bands": [bands(f) for f in found]}
+            prints = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)
+            yield {"key": keys, "same": same, "n": [len(f) for f in found], "fp": prints,
+                   "bands": [bands(f) for f in found]}
     return settle(through_arrow(rows.select(F.col(row).alias("key"), whole_text()), sign,
-                                "key long, same long, n int, bands array<long>", keeps="word hashes"), "signed")
+                                "key long, same long, n int, fp long, bands array<long>", keeps="word hashes"), "signed")
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, row: str, least: float, width: int,
@@ -151,10 +157,19 @@ def _ranked(members: DataFrame, rows: DataFrame, row: str, least: float, width:
     return settle(through_arrow(texts, rank, "key long, n int, place long, at int, longer boolean", keeps="word hashes"), "ranked")
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents that SimHash proposes; they connect all within ``RADIUS`` bits of each other."""
+    firsts = settle(nodes.groupBy("fp").agg(F.min("key").alias("first")), "prints")
+    equal = nodes.join(firsts, "fp").filter("key != first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    ends = firsts.select(F.col("fp").alias("b"), F.col("first").alias("other"))
+    near = hamming_links(firsts.select("fp"), RADIUS).join(firsts.withColumnRenamed("fp", "a"), "a").join(ends, "b")
+    return equal.union(near.select("first", "other"))
+
+
 def _links(nodes: DataFrame, rows: DataFrame, row: str, least: float, width: int) -> DataFrame:
     """Links (a, b) that connect all proposed pairs that are alike.
 
-    A crowded bucket is linked to single members of it, as long as that joins much. The documents of those
+    Fingerprints are linked first; the bands add what they miss. A crowded bucket is linked to single members of it, as long as that joins much. The documents of those
     that are left in several components, say texts of one template, meet by their rare shingles instead,
     so the pairs held to texts grow with those that are nearly alike, not with the bucket.
     """
@@ -189,14 +204,15 @@ def _links(nodes: DataFrame, rows: DataFrame, row: str, least: float, width: int
             links = settle(links.union(hold(star)), "links")
             crowd, turn, before = left.drop("root", "largest"), turn + 1, parts
 
+    alike = hold(_by_fingerprint(nodes))
     entries = nodes.select("key", "n", F.posexplode("bands").alias("band", "value")).select(
         "key", "n", F.xxhash64("band", "value").alias("place"))
     size = settle(entries.groupBy("place").agg(F.count("*").alias("held")).filter("held > 1"), "buckets")
     met = settle(entries.join(size, "place").withColumn("crowded", F.col("held") - 1 > 2 * SHARE), "met")
     few = met.filter("not crowded").select("place", F.struct("key", "n").alias("x"))
     close = F.expr(f"least(x.n, y.n) >= {least!r} * greatest(x.n, y.n)")
-    links = hold(few.join(few.withColumnRenamed("x", "y"), "place").filter("x.key < y.key").filter(close).select(
-        F.col("x.key").alias("a"), F.col("y.key").alias("b")))
+    links = alike.union(hold(few.join(few.withColumnRenamed("x", "y"), "place").filter("x.key < y.key").filter(close).select(
+        F.col("x.key").alias("a"), F.col("y.key").alias("b"))))
     links, crowd = stars(met.filter("crowded").select("place", "key", "n"), links, F.lit(True), close)
     if crowd is None:
         return links

@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from codeq.llm import similar
-from codeq.llm.similar import _needed, jaccard, one_of_each, prefixes, shingles
+from codeq.llm.similar import _by_fingerprint, _needed, jaccard, one_of_each, prefixes, shingles
 from tests.llm.conftest import odd_texts
 from tests.llm.test_simhash import roots
 
@@ -109,3 +109,28 @@ def test_texts_of_one_template_are_not_compared_all_with_all(make_docs, monkeypa
     docs.append((600, docs[7][1] + " and more"))
     assert {r["doc_id"] for r in one_of_each(make_docs(docs)).collect()} == set(range(600))
     assert sum(proposed) < 20 * len(docs)
+
+
+def test_simhash_links_are_a_step_of_the_stage(spark, make_docs, monkeypatch):
+    """Without any band the stage still links what is alike and within two bits, by the pigeonhole principle."""
+    from codeq.llm.simhash import fingerprint
+    docs = groups(random.Random(11), 10, 8) + [(90, "one two three"), (91, "ONE  two three"), (92, "other words")]
+    monkeypatch.setattr(similar, "bands", lambda hashes: np.zeros(0, np.int64))
+    sets = {i: plain_shingles(t) for i, t in docs}
+    prints = {i: fingerprint(t, 5) for i, t in docs}
+    linked = [(a, b) for a in sets for b in sets if a < b and (prints[a] ^ prints[b]).bit_count() <= 2
+              and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert len(linked) > 10
+    kept = {r["doc_id"] for r in one_of_each(make_docs(docs)).collect()}
+    assert kept == {i for i, root in roots(sets, linked).items() if i == root} < set(sets)
+
+
+def test_simhash_proposes_each_pair_within_the_radius(spark, tmp_path):
+    rng = random.Random(12)
+    base = [rng.getrandbits(62) for _ in range(20)]
+    prints = [b ^ sum(1 << i for i in rng.sample(range(62), n)) for b in base for n in (0, 0, 1, 2, 6)]
+    spark.createDataFrame(list(enumerate(prints)), "key long, fp long").write.parquet(str(tmp_path / "nodes"))
+    pairs = [tuple(r) for r in _by_fingerprint(spark.read.parquet(str(tmp_path / "nodes"))).collect()]
+    near = [(a, b) for a in range(100) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    assert all((prints[a] ^ prints[b]).bit_count() <= 2 for a, b in pairs)
+    assert roots(range(100), pairs) == roots(range(100), near)
