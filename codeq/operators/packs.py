@@ -2,11 +2,12 @@
 
 The scan of the catalogue writes each rule into the plan. Here the rules are a table: an automaton over
 all needles reads a text once and names the rules it may match, and only those pairs of text and rule
-run a pattern. The plan is the same for ten rules and for ten thousand.
+run a pattern; rules that begin with plain letters are tried right where these are. The plan is the same for ten rules and for ten thousand.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -21,28 +22,62 @@ from codeq.rules.catalogue import PatternRule
 MOST_CHARS = 16 << 20  # of patterns, ids and needles: what is broadcast and sent to each task
 
 
-def _candidates(rules: Sequence[PatternRule]) -> Callable:
-    """Column function: numbers of the rules that a folded text may match, in their order."""
-    always = [i for i, r in enumerate(rules) if not r.needles]
-    owners: dict[str, list[int]] = {}
+# A pattern of plain ASCII letters and what repeats of letters and classes may follow them; Python and Java read these alike.
+_LED = re.compile(r"(?:(?:[0-9A-Za-z_ ]|\[[0-9A-Za-z_ -]+\])(?:(?:[+*?]|\{\d+(?:,\d*)?\})\??(?![+?]))?)+")
+
+
+def lead(pattern: str) -> str:
+    """The plain letters that every match of such a pattern begins with, lower-case; empty for other patterns."""
+    begins = re.match(r"[0-9A-Za-z_ ]+", pattern)
+    if not begins or not _LED.fullmatch(pattern):
+        return ""
+    known = begins[0][:-1] if re.match(r"[*?{]", pattern[begins.end():]) else begins[0]
+    return known.lower() if len(known) > 1 else ""
+
+
+def _tried(rules: Sequence[PatternRule]) -> Callable:
+    """Column function: (number, lines) of the rules that a text may match, from the clean and the folded text.
+
+    ``lines`` has the line of each match of a rule with a lead, which can begin only where the lead is;
+    it is null for other rules, whose patterns are still to be run.
+    """
+    leads = {i: word for i, r in enumerate(rules) if (word := lead(r.pattern))}
+    always = [i for i, r in enumerate(rules) if i not in leads and not r.must_hold]
+    owners: dict[str, tuple[list[int], list[int]]] = {}  # rules whose needle it is, and whose lead
     for i, r in enumerate(rules):
-        for needle in r.needles:
-            owners.setdefault(needle, []).append(i)
+        for needle in [leads[i]] if i in leads else r.must_hold:
+            owners.setdefault(needle, ([], []))[i in leads].append(i)
+    patterns = {i: rules[i].pattern for i in leads}
 
-    @F.pandas_udf("array<int>")
-    def numbers(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<struct<number:int,lines:array<int>>>")
+    def tried(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         import ahocorasick
         automaton = ahocorasick.Automaton()
-        for needle, numbers in owners.items():
-            automaton.add_word(needle, (needle, numbers))
+        for needle, (need, led) in owners.items():
+            automaton.add_word(needle, (len(needle) - 1, need, led))
         automaton.make_automaton()
-
-        def of(text: str | None) -> list[int]:
-            found = dict(hit for _, hit in automaton.iter(text)) if text and owners else {}
-            return sorted({*always, *(i for numbers in found.values() for i in numbers)})
-        for batch in texts:
-            yield batch.map(of, na_action=None)
-    return numbers
+        match = {i: re.compile(p, re.IGNORECASE | re.MULTILINE).match for i, p in patterns.items()}
+
+        def of(clean: str | None, folded: str | None) -> list[tuple[int, list[int] | None]]:
+            may, found, ends = set(always), {}, {}
+            line, at = 1, 0
+            for end, (back, need, led) in automaton.iter(folded) if folded and owners else ():
+                may.update(need)
+                for i in led:
+                    start = end - back
+                    if start >= ends.get(i, 0) and (hit := match[i](clean, start)):
+                        ends[i] = hit.end()
+                        # Leads end in order; of several that end here the longest begins first.
+                        if start < at:
+                            own = line - clean.count("\n", start, at)
+                        else:
+                            own = line = line + clean.count("\n", at, start)
+                            at = start
+                        found.setdefault(i, []).append(own)
+            return [(i, None) for i in sorted(may)] + list(found.items())
+        for cleans, foldeds in columns:
+            yield pd.Series([of(c, f) for c, f in zip(cleans, foldeds, strict=True)], dtype=object)
+    return tried
 
 
 def pack_frame(spark: SparkSession, rules: Sequence[PatternRule]) -> DataFrame:
@@ -57,26 +92,32 @@ def pack_frame(spark: SparkSession, rules: Sequence[PatternRule]) -> DataFrame:
     }))
 
 
+def _pairs(files: DataFrame, rules: Sequence[PatternRule]) -> DataFrame:
+    """A row per file and rule that it may match, with the pattern and, where known, the lines of the matches."""
+    read = scan_input(files).select("review_id", "file_id", "clean", _tried(rules)("clean", "folded").alias("tried"))
+    return read.select("review_id", "file_id", "clean", F.explode("tried").alias("x")).select(
+        "review_id", "file_id", F.when(F.col("x.lines").isNull(), F.col("clean")).alias("clean"), "x.*").join(
+        F.broadcast(pack_frame(files.sparkSession, rules)), "number")
+
+
 def scan_pack(files: DataFrame, rules: Sequence[PatternRule]) -> DataFrame:
     """One row per match: review_id, file_id, rule_id, line_start, as ``scan_rules`` gives them.
 
-    No shuffle: the text goes once through the automaton, and is repeated for each rule that may match.
-    Rules without needles are tried on every text. Null content has no matches; two rules of one id are
+    No shuffle: the text goes once through the automaton. Rules led by plain letters are held to the text
+    where these are; for each other rule that may match the text is repeated and its pattern run. Rules of
+    which no needle is known are tried on every text. Null content has no matches; two rules of one id are
     two rules.
     """
-    pairs = scan_input(files).select("review_id", "file_id", "clean", _candidates(rules)("folded").alias("numbers"))
-    tried = pairs.select("review_id", "file_id", "clean", F.explode("numbers").alias("number")).join(
-        F.broadcast(pack_frame(files.sparkSession, rules)), "number")
-    marked = F.regexp_replace("clean", F.col("pattern"), F.lit(MARK + "$0"))
-    pieces = tried.select("review_id", "file_id", "rule_id", F.posexplode(F.transform(
-        F.split(marked, "\n"), lambda x: F.length(x) - F.length(F.replace(x, F.lit(MARK), F.lit(""))))))
-    return pieces.filter("col > 0").select("review_id", "file_id", "rule_id", F.explode(F.array_repeat(
-        F.col("pos") + 1, F.col("col"))).alias("line_start"))
+    mark = F.lit(MARK)
+    marked = F.transform(F.split(F.regexp_replace("clean", F.col("pattern"), F.lit(MARK + "$0")), "\n"),
+                         lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    lines = F.flatten(F.transform(F.filter(marked, lambda x: F.contains(x.text, mark)), lambda x: F.array_repeat(
+        x.line, F.length(x.text) - F.length(F.replace(x.text, mark, F.lit(""))))))
+    return _pairs(files, rules).select("review_id", "file_id", "rule_id", F.explode(
+        F.coalesce("lines", lines)).alias("line_start"))
 
 
 def count_pack(files: DataFrame, rules: Sequence[PatternRule]) -> DataFrame:
     """rule_id and n_matches over all files, for rules that match at all; counted without their lines."""
-    pairs = scan_input(files).select("clean", F.explode(_candidates(rules)("folded")).alias("number"))
-    tried = pairs.join(F.broadcast(pack_frame(files.sparkSession, rules)), "number")
-    return tried.groupBy("rule_id").agg(F.sum(F.regexp_count("clean", F.col("pattern")).cast("long")).alias(
-        "n_matches")).filter("n_matches > 0")
+    counted = F.when(F.col("lines").isNotNull(), F.size("lines")).otherwise(F.regexp_count("clean", F.col("pattern")))
+    return _pairs(files, rules).groupBy("rule_id").agg(F.sum(counted.cast("long")).alias("n_matches")).filter("n_matches > 0")

@@ -23,25 +23,28 @@ def table(spark: SparkSession, folder: str, name: str, stream: bool = False) ->
 
 SHARE_ROWS = 256  # a share of a row group has about so many rows or more
 MOST_SHARES = 32  # and a row group is read so many times at most
+TASK_ROWS = 8192  # more rows than this are shared out whatever the cores, so no task's time grows with the table
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """The same rows of a table of few row groups, dealt to all cores without a shuffle.
+    """The same rows of a table of few or large row groups, dealt to all cores without a shuffle.
 
-    One task reads a row group, so long work on a small table would leave most cores idle. Here several
-    tasks read it, and each keeps the rows of its share, by their number in the file, before anything is
-    made of them. ``df`` is a table as read; with a file per core or more it stays as it is.
+    One task reads a row group, so long work on a small table would leave most cores idle, and on a table
+    of large ones be long itself. Here several tasks read it, and each keeps the rows of its share, by their
+    number in the file, before anything is made of them. ``df`` is a table as read; with a file per core or
+    more, none of many rows, it stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
     held = df.groupBy(F.spark_partition_id()).count().agg(F.count("*").alias("tasks"), F.max("count").alias("rows")).first()
     if not held["tasks"]:
         return df
-    shares = min(-(-cores // held["tasks"]), held["rows"] // SHARE_ROWS, MOST_SHARES)
+    wanted = max(-(-cores // held["tasks"]), -(-held["rows"] // TASK_ROWS))
+    shares = min(wanted, held["rows"] // SHARE_ROWS, MOST_SHARES)
     if shares < 2:
         return df
-    parts = [df.filter(F.col("_metadata.row_index") % shares == i) for i in range(shares)]
+    # By a hash, as long rows may come at regular places.
+    share = F.pmod(F.xxhash64("_metadata.row_index"), F.lit(shares))
+    parts = [df.filter(share == i) for i in range(shares)]
     # Coalescing to more tasks than there are does nothing, but keeps the work above from being planned once per share.
     return reduce(DataFrame.union, parts).coalesce(1 << 30)
 

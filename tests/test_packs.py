@@ -1,6 +1,8 @@
 """Scans of large packs against the scan that writes every rule into the plan."""
 
 import itertools
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +59,26 @@ def test_the_plan_does_not_grow_and_needs_no_shuffle(files):
     assert "Exchange hash" not in packs.scan_pack(files, MANY)._jdf.queryExecution().executedPlan().toString()
 
 
+LED = tuple(PatternRule(f"L{i}", "info", p, "x") for i, p in enumerate((
+    "aan[a-z]+[es] ", "aa", "aaa?b", "aab{2,3}?c", "is[a-zk ]*", "ki[0-9]*", "ss+", "aa[ab]*a", "no", "im [a-z]{2}")))
+
+
+def test_rules_led_by_plain_letters(make_files):
+    """They are held to the text where their letters are; no text is repeated for them."""
+    dice = random.Random(5)
+    parts = ["aa", "a", "b", "bbb", "c", "is", "ıſ", "k", "\u212ai", "İs", "7", " ", "\n", "n", "no", "im ", "é", "\U0001d400", "\ue000"]
+    texts = {i: "".join(dice.choice(parts) for _ in range(dice.randrange(40))) for i in range(150)}
+    assert all(packs.lead(r.pattern) for r in LED)
+    assert not any(packs.lead(p) for p in (r"ab\w", "a", "ab|c", "(ab)c", "^ab", "ab.", "ab[^c]", "aab*+", "a{2}b", "ab(?=c)"))
+    files = make_files({i: ("f.txt", t) for i, t in texts.items()})
+    tried = scan.scan_input(files).select(F.explode(packs._tried(LED)("clean", "folded")).alias("x"))
+    assert tried.count() and not tried.filter("x.lines is null").count()
+    found = rows(packs.scan_pack(files, LED))
+    assert found == rows(scan.scan_rules(files, LED))
+    counts = {r["rule_id"]: r["n_matches"] for r in packs.count_pack(files, LED).collect()}
+    assert counts == Counter(r[2] for r in found) and len(counts) >= 8
+
+
 def test_no_rules_no_files_and_too_many(files, monkeypatch):
     assert packs.scan_pack(files, ()).count() == 0
     assert packs.scan_pack(files.limit(0), MANY).count() == 0

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from codeq.sources import tables
 from codeq.sources.tables import SHARE_ROWS, dealt
 
 
@@ -23,3 +24,14 @@ def test_small_empty_and_many_files_stay(spark, tmp_path):
         spark.range(0, rows, 1, parts).write.parquet(str(tmp_path / name))
         df = spark.read.parquet(str(tmp_path / name))
         assert dealt(df) is df
+
+
+def test_large_row_groups_are_shared_out_whatever_the_cores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    for i in range(9):
+        spark.range(3000 * i, 3000 * i + 3000, 1, 1).write.parquet(str(tmp_path / f"p/n={i}"))
+    whole = spark.read.parquet(str(tmp_path / "p")).select("id")
+    with_index = tables.dealt(spark.read.parquet(str(tmp_path / "p")))
+    held = with_index.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert held <= 6 * 500 and with_index.select("id").exceptAll(whole).count() == 0
+    assert with_index.count() == whole.count()
