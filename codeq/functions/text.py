@@ -36,8 +36,18 @@ LINE_BREAK = rf"\r\n|[{BREAK}]"
 
 
 _SHORT = {"s": SPACE, "w": WORD, "d": r"\p{Nd}"}
+# The same outside of a class, with ASCII told by a look at a table: under (?iu) each range above asks for the
+# other cases of every letter it doesn't hold.
+_QUICK = {
+    "s": r"\p{Space}\x1c\x1d\x1e\x1f[\P{ASCII}&&[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]",
+    "w": r"\p{Alnum}_[\P{ASCII}&&[" + "\U0001d400" + r"\p{L}\p{N}]]",
+    "d": r"\p{Nd}",
+}
+_QUICK_START, _QUICK_END = f"(?<![{_QUICK['w']}])", f"(?![{_QUICK['w']}])"
+_QUICK_EDGE = f"(?:(?<=[{_QUICK['w']}]){_QUICK_END}|{_QUICK_START}(?=[{_QUICK['w']}]))"
 _SAME = set("AnrtfaBb0123456789xuU")
 _CODES = {"x": 2, "u": 4, "U": 8}
+_LATIN = set("àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 
 
 class _Translation:
@@ -45,6 +55,7 @@ class _Translation:
 
     def __init__(self, pattern: str):
         self.text, self.at, self.out = pattern, 0, []
+        self.after_word = False  # whether what was read last is a plain ASCII letter or digit, once
         self.names: dict[str, str] = {}
 
     def fail(self, what: str):
@@ -64,11 +75,21 @@ class _Translation:
     def code(self, letter: str) -> str:
         return "\\x{" + self.take(_CODES[letter]) + "}"
 
-    def escape(self) -> str:
+    def before_word(self) -> bool:
+        """Whether a plain ASCII letter, digit or underscore must follow, whose case changes nothing of that."""
+        return bool(re.match(r"[0-9A-Za-z_](?![*?{])", self.text[self.at:]))
+
+    def edge(self, after_word: bool) -> str:
+        """The edge of a word; beside a plain letter one look is enough."""
+        if after_word and not self.before_word():
+            return _QUICK_END
+        return _QUICK_START if self.before_word() and not after_word else _QUICK_EDGE
+
+    def escape(self, after_word: bool) -> str:
         c = self.take()
         if c.lower() in _SHORT:
-            return f"[{'^' * c.isupper()}{_SHORT[c.lower()]}]"
-        edges = {"b": WORD_EDGE, "B": f"(?!{WORD_EDGE})", "Z": r"\z", "v": r"\x0b"}
+            return f"[{'^' * c.isupper()}{_QUICK[c.lower()]}]"
+        edges = {"b": self.edge(after_word), "B": f"(?!{_QUICK_EDGE})", "Z": r"\z", "v": r"\x0b"}
         if c in edges:
             return edges[c]
         if c in _CODES:
@@ -77,6 +98,8 @@ class _Translation:
             self.fail(f"\\{c}")
         if c == "0":
             self.fail("an octal number")
+        if c.isdigit():  # of a group; the next letter is no plain one
+            c += self.take(len(re.match(r"\d*", self.text[self.at:])[0]))
         return "\\" + c
 
     def group(self) -> str:
@@ -128,9 +151,10 @@ class _Translation:
     def run(self) -> str:
         while self.at < len(self.text):
             c = self.text[self.at]
+            after_word, self.after_word = self.after_word, False
             if c == "\\":
                 self.at += 1
-                self.out.append(self.escape())
+                self.out.append(self.escape(after_word))
             elif c == "[":
                 self.out.append(self.members())
             elif c == "(":
@@ -148,6 +172,7 @@ class _Translation:
                     self.out.append(r"\{")
             else:
                 self.out.append(("\\" if c == "}" else "") + self.take())
+                self.after_word = c.isascii() and (c.isalnum() or c == "_")
         return "".join(self.out)
 
 
@@ -201,6 +226,32 @@ def needles_hold(pattern: str, needles: tuple[str, ...]) -> bool:
     return sequence(0)[0]
 
 
+def sure_needles(pattern: str) -> tuple[str, ...]:
+    """Lower-case strings of which every match of a valid pattern holds one; none if that can't be shown.
+
+    The longest run of plain characters of each alternative is taken, as far as ``needles_hold`` shows it.
+    Letters of other scripts are left out, as ``fold_case`` need not fold them as a pattern does.
+    """
+    parts, runs, depth = [""], [[""]], 0
+    for token in re.findall(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", pattern, re.DOTALL):
+        if token == "|" and not depth:
+            parts.append("")
+            runs.append([""])
+            continue
+        depth += (token == "(") - (token == ")")
+        parts[-1] += token
+        plain = token[-1] if token[0] == "\\" and not token[-1].isalnum() else token
+        if len(plain) == 1 and (plain != token or plain not in ".^$*+?{}[]()|\\") and (plain.isascii() or plain in _LATIN):
+            runs[-1][-1] += plain.lower()
+        else:
+            if token in "*?{":
+                runs[-1][-1] = runs[-1][-1][:-1]
+            runs[-1].append("")
+    held = [next((r for r in sorted(of, key=len, reverse=True) if (len(r) > 1 or r and r in _LATIN) and needles_hold(part, (r,))), "")
+            for part, of in zip(parts, runs, strict=True)]
+    return tuple(dict.fromkeys(held)) if all(held) and needles_hold(pattern, tuple(held)) else ()
+
+
 def fold_case(text: Column) -> Column:
     """Lower case, with the four letters that match an ASCII letter only when case is ignored."""
     odd = "\u0130\u0131\u017f\u212a"

@@ -33,7 +33,7 @@ def _clean(text: Column) -> Column:
 
 
 def _may_match(rule: PatternRule) -> str:
-    return " or ".join(f"contains(folded, {literal(n)})" for n in rule.needles) or "true"
+    return " or ".join(f"contains(folded, {literal(n)})" for n in rule.must_hold) or "true"
 
 
 def _matches(rule: PatternRule) -> str:

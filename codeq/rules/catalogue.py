@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from codeq.functions.text import java_pattern, needles_hold
+from codeq.functions.text import java_pattern, needles_hold, sure_needles
 
 # Domains, in order of seriousness where there is one.
 SEVERITIES = ("critical", "error", "warning", "info")
@@ -41,8 +41,8 @@ class PatternRule:
 
     ``pattern`` is a Python regular expression, matched without regard to case and line by line for
     ``^`` and ``$``. ``needles`` are lower-case strings of which a text must hold at least one for
-    the pattern to match at all; they spare most texts the pattern. No needles means the pattern is
-    always tried.
+    the pattern to match at all; they spare most texts the pattern. Without needles those that the
+    pattern shows by itself are taken (``must_hold``), and if it shows none it is always tried.
     """
 
     rule_id: str
@@ -61,6 +61,11 @@ class PatternRule:
         if self.needles and not needles_hold(self.pattern, self.needles):
             raise ValueError(f"{self.rule_id}: a match need not hold one of {self.needles}")
 
+    @property
+    def must_hold(self) -> tuple[str, ...]:
+        """The needles given, or those that the pattern shows."""
+        return self.needles or sure_needles(self.pattern)
+
     @property
     def category(self) -> str:
         for prefix, category in CATEGORY_BY_PREFIX.items():

@@ -133,3 +133,15 @@ def test_faulty_rules_are_refused_at_once():
         with pytest.raises(ValueError, match="need not hold"):
             PatternRule("OWN", "info", pattern, "own", needles=needles)
     PatternRule("OWN", "info", r"(?:foo\s|bar+)x", "own", needles=("foo", "bar"))
+
+
+def test_needles_that_patterns_show(make_files):
+    """A rule without needles has those every match must hold, so texts without them are spared its pattern."""
+    assert [r.must_hold for r in map(lambda p: PatternRule("X", "info", p, "x"), (
+        r"(\w+)ing\b", r"\D{3}\\s|\S+é\S*", "colou?r", "(ab|cd)ef+", r"a|bc", "(foo)?b", "é*", "[abc]d*", r"\bµß", "(?!ab)c"))] == [
+        ("ing",), ("\\s", "é"), ("colo",), ("ef",), (), (), (), (), (), ()]
+    bare = [PatternRule(f"B{i}", "info", p, "x") for i, p in enumerate((r"Éa|xK", "å+b", r"\bıs\b|ſi", r"k\b", r"\bi", r"a\bb?", r"(x)\1\b"))]
+    dice = random.Random(3)
+    texts = {i: "".join(dice.choice(["é", "É", "a", "A", "\u212b", "Å", "b", "K", "\u212a", "x", "ſ", "s", "i", "İ", "ı", " ", "\u0345"])
+                        for _ in range(dice.randrange(12))) for i in range(300)}
+    assert scanned(make_files({i: ("a.txt", t) for i, t in texts.items()}), bare) == expected(texts, bare)
