@@ -12,12 +12,13 @@ from codeq.rules.catalogue import EXTENSION_LANGUAGE
 BRANCH_WORDS = ("if", "else", "elif", "for", "while", "switch", "case", "catch")
 SIGNS = r"+\-*/%&|^~<>"
 
+# The look-ahead is cheap and rules out most places in a text at once.
 BRANCH = (
-    rf"{WORD_START}(?:{'|'.join(BRANCH_WORDS)}){WORD_END}"
-    rf"|(?<=[{WORD}])(?:&&|\|\|)(?=[{WORD}])"
+    rf"(?=[{''.join(sorted({w[0] for w in BRANCH_WORDS}))}&|])(?:{WORD_START}(?:{'|'.join(BRANCH_WORDS)}){WORD_END}"
+    rf"|(?<=[{WORD}])(?:&&|\|\|)(?=[{WORD}]))"
 )
-# A sign with or without =, then == and !=, then and, or, not, in, is as whole words. The
-# look-ahead is cheap and rules out most places in a text at once.
+# A sign with or without =, then == and !=, then and, or, not, in, is as whole words; again a
+# look-ahead first.
 OPERATOR = (
     rf"(?=[{SIGNS}=!aoni])(?:[{SIGNS}]=?|[=!]="
     rf"|{WORD_START}(?:and|or|not|in|is){WORD_END})"
