@@ -33,7 +33,9 @@ def _clean(text: Column) -> Column:
 
 
 def _may_match(rule: PatternRule) -> str:
-    return " or ".join(f"contains(folded, {literal(n)})" for n in rule.must_hold) or "true"
+    held = [f"contains(folded, {literal(n)})" for n in rule.must_hold]
+    # Of null text a rule given needles has no matches, one without has null.
+    return " or ".join(held if rule.needles or not held else ["clean is null", *held]) or "true"
 
 
 def _matches(rule: PatternRule) -> str:

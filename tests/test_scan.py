@@ -145,3 +145,11 @@ def test_needles_that_patterns_show(make_files):
     texts = {i: "".join(dice.choice(["é", "É", "a", "A", "\u212b", "Å", "b", "K", "\u212a", "x", "ſ", "s", "i", "İ", "ı", " ", "\u0345"])
                         for _ in range(dice.randrange(12))) for i in range(300)}
     assert scanned(make_files({i: ("a.txt", t) for i, t in texts.items()}), bare) == expected(texts, bare)
+
+
+def test_null_text_has_null_counts_without_needles(make_files):
+    given, shown = (PatternRule("N1", "info", "eval", "x", needles=n) for n in (("eval",), ()))
+    text = scan.scan_input(make_files({1: ("a.txt", None), 2: ("a.txt", "no"), 3: ("a.txt", "eval")}))
+    found = text.select("file_id", *[scan.rule_match_counts([r])["N1"] for r in (given, shown)],
+                        F.size(scan.pattern_matches([given])), scan.pattern_matches([shown]).isNull())
+    assert sorted(map(tuple, found.collect())) == [(1, 0, None, 0, True), (2, 0, 0, 0, False), (3, 1, 1, 1, False)]
