@@ -21,17 +21,26 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table into the shared folder and read it from there.
 
     Cuts the lineage, so a lost executor costs no recomputation, and freezes ids that depend on how
-    rows were dealt out.
+    rows were dealt out. What was shuffled for it leaves the disk when it is written.
     """
-    path = shared_folder(df.sparkSession, f"llm-{purpose}")
+    spark = df.sparkSession
+    path = shared_folder(spark, f"llm-{purpose}")
     for paths in _recorders:
         paths.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREED, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _recorders: list[list[str]] = []
@@ -83,6 +92,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(BATCH, str(rows))
 
 
+@contextmanager
+def larger_batches(spark: SparkSession, rows: int = 1 << 14) -> Iterator[None]:
+    """Let Python workers get so many rows at once while a table of numbers is settled inside."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 _kept: dict[str, object] = {}
 
 

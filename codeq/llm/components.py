@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeq.llm.common import settle
+from codeq.llm.common import drop, recorded, settle
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -27,17 +27,23 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link; the root is the least node reachable.
 
     ``links`` has two columns of a type with an order. No list of neighbours is ever gathered: stars
-    are minima, written down, and joins with them, whose hot keys Spark splits.
+    are minima, written down, and joins with them, whose hot keys Spark splits. Of the tables written
+    only the last is left.
     """
-    a, b = links.columns
-    links = settle(links.filter(F.col(a) != F.col(b)).select(
-        F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    spark, (a, b) = links.sparkSession, links.columns
+    held: list[str] = []  # the folder of ``links``
+    with recorded(held):
+        links = settle(links.filter(F.col(a) != F.col(b)).select(
+            F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     state = None
     while True:
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now
-        links = settle(_small_star(settle(_large_star(links), "links")), "links")
+        with recorded(held):
+            links = settle(_small_star(settle(_large_star(links), "links")), "links")
+        held, passed = held[-1:], held[:-1]
+        drop(spark, passed)
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         links.select("v", "v").distinct())

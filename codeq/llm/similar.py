@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeq.llm.common import chunks, free_name, numbered, settle, through_arrow, whole_text
+from codeq.llm.common import chunks, drop, free_name, numbered, recorded, settle, through_arrow, whole_text
 from codeq.llm.components import components
 from codeq.llm.simhash import fingerprint, hamming_links
 from codeq.llm.substring import _among, run_hashes
@@ -181,28 +181,37 @@ def _links(nodes: DataFrame, rows: DataFrame, row: str, least: float, width: int
 
     def still_open(crowd: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
         """Members of places with several components, with their component and the largest there."""
-        members = settle(crowd.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn(
-            "root", F.coalesce("root", "key")), "members")
-        parts = settle(members.groupBy("place", "root").agg(F.count("*").alias("c")).groupBy("place").agg(
-            F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("largest")).filter("roots > 1"), "open")
-        return (settle(members.join(parts.select("place", "largest"), "place"), "crowd"),
-                parts.agg(F.sum("roots")).first()[0] or 0)
+        with recorded(passed := []):
+            members = settle(crowd.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn(
+                "root", F.coalesce("root", "key")), "members")
+            parts = settle(members.groupBy("place", "root").agg(F.count("*").alias("c")).groupBy("place").agg(
+                F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("largest")).filter("roots > 1"), "open")
+            left = settle(members.join(parts.select("place", "largest"), "place"), "crowd")
+        roots = parts.agg(F.sum("roots")).first()[0] or 0
+        drop(rows.sparkSession, passed[:-1])
+        return left, roots
 
     def stars(crowd: DataFrame, links: DataFrame, hubs: Column, fit: Column) -> tuple[DataFrame, DataFrame | None]:
         """Links after turns of one hub per place, and what is still open, if anything."""
         turn, before = 0, None
+        passed: list[str] = []  # folders of the turn before
         while True:
-            left, parts = still_open(crowd, links)
+            with recorded(own := []):
+                left, parts = still_open(crowd, links)
+            drop(rows.sparkSession, passed)
             if not parts:
                 return links, None
             if before is not None and parts > 0.9 * before:
                 return links, left
             order = F.struct(F.when(F.lit(turn == 0), F.col("n")), F.xxhash64("key", F.lit(turn)))
             held = left.filter(hubs).groupBy("place").agg(F.min_by(F.struct(*left.columns), order).alias("x"))
-            star = left.select("place", F.struct(*left.columns).alias("y")).join(settle(held, "hubs"), "place").filter(
+            with recorded(passed):
+                hubs_held = settle(held, "hubs")
+            star = left.select("place", F.struct(*left.columns).alias("y")).join(hubs_held, "place").filter(
                 "x.root != y.root").filter(fit).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
             links = settle(links.union(hold(star)), "links")
             crowd, turn, before = left.drop("root", "largest"), turn + 1, parts
+            passed.append(own[-1])
 
     alike = hold(_by_fingerprint(nodes))
     entries = nodes.select("key", "n", F.posexplode("bands").alias("band", "value")).select(
