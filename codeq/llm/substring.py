@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeq.llm.common import (
-    chunks, free_name, kept_by_worker, numbered, settle, through_arrow, whole_text)
+    chunks, free_name, kept_by_worker, larger_batches, numbered, settle, through_arrow, whole_text)
 
 K = 5
 WINDOW = 4  # any K + WINDOW - 1 words in common have a seed in common
@@ -241,7 +241,9 @@ def _links(seeds: DataFrame) -> DataFrame:
             yield linker.links(*[batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64)
                                  for n in ("seed", "key", "pos")])
     dealt = seeds.repartition("seed").sortWithinPartitions("seed", "key", "pos")
-    return settle(through_arrow(dealt, rows, "key long, owner long, pos int, owner_pos int"), "links")
+    found = through_arrow(dealt, rows, "key long, owner long, pos int, owner_pos int")
+    with larger_batches(seeds.sparkSession):
+        return settle(found, "links")
 
 
 class PrefixBest:
@@ -252,28 +254,76 @@ class PrefixBest:
 
     def put(self, place: int, value: float, index: int) -> None:
         place += 1
-        while place < len(self.best):
-            if value > self.best[place][0]:
-                self.best[place] = (value, index)
+        best, new = self.best, (value, index)
+        while place < len(best) and value > best[place][0]:  # what holds more, holds it further up too
+            best[place] = new
             place += place & -place
 
     def before(self, place: int) -> tuple[float, int]:
-        found = (-1e18, -1)
+        best, found = self.best, (-1e18, -1)
         while place:
-            if self.best[place][0] > found[0]:
-                found = self.best[place]
+            if best[place][0] > found[0]:
+                found = best[place]
             place -= place & -place
         return found
 
 
-def chain(pos: list[int], owner_pos: list[int], k: int = K) -> list[list[int]]:
+def chain(pos: list[int], owner_pos: list[int], k: int = K, straight: bool = True) -> list[list[int]]:
     """Disjoint chains of links (given by rising ``pos``), best first; indexes, two or more each.
 
     A chain rises in both places. Its score is k per link less GAP_COST for each word passed on
-    either side from one link to the next.
+    either side from one link to the next. Links of one diagonal are only looked at as such if ``straight``.
     """
-    if len(pos) > 1 and len(pos) == len(set(pos)) and len({y - x for x, y in zip(pos, owner_pos, strict=True)}) == 1:
+    if straight and len(pos) > 1 and len(pos) == len(set(pos)) and len({y - x for x, y in zip(pos, owner_pos, strict=True)}) == 1:
         return _straight(pos, k)
+    score, back = _rising(pos, owner_pos, k) or _scored(pos, owner_pos, k)
+    used, chains = [False] * len(pos), []
+    for end in sorted(range(len(pos)), key=score.__getitem__, reverse=True):  # of equal scores the first
+        if used[end] or back[end] < 0:
+            used[end] = True
+            continue
+        links, i = [], end
+        while i >= 0 and not used[i]:
+            used[i] = True
+            links.append(i)
+            i = back[i]
+        if len(links) > 1:
+            chains.append(links[::-1])
+    return chains
+
+
+def _far(dx: int, dy: int) -> bool:
+    """Whether links that lie so far apart can't follow each other."""
+    return dx > MAX_GAP or dy > MAX_GAP or abs(dx - dy) > MAX_SHIFT
+
+
+def _rising(pos: list[int], owner_pos: list[int], k: int) -> tuple[list[float], list[int]] | None:
+    """Scores and predecessors of links that rise in both places, where each may follow any before it.
+
+    None for others, and where two are equally good, as the tree tells which is taken.
+    """
+    score, back = [float(k)], [-1]
+    x, y = pos[0], owner_pos[0]
+    best, at = k + GAP_COST * (x + y), 0
+    for i in range(1, len(pos)):
+        if pos[i] <= x or owner_pos[i] <= y:
+            return None
+        x, y = pos[i], owner_pos[i]
+        value = best - GAP_COST * (x + y)
+        if value > 0 and _far(x - pos[at], y - owner_pos[at]):
+            value = 0
+        score.append(k + max(0.0, value))
+        back.append(at if value > 0 else -1)
+        value = score[i] + GAP_COST * (x + y)
+        if value == best:
+            return None
+        if value > best:
+            best, at = value, i
+    return score, back
+
+
+def _scored(pos: list[int], owner_pos: list[int], k: int) -> tuple[list[float], list[int]]:
+    """The score of each link and its best predecessor, -1 for none."""
     rank = {y: i for i, y in enumerate(sorted(set(owner_pos)))}
     tree, score, back = PrefixBest(len(rank)), [], []
     waiting: list[int] = []
@@ -284,22 +334,12 @@ def chain(pos: list[int], owner_pos: list[int], k: int = K) -> list[list[int]]:
             waiting = []
         value, j = tree.before(rank[y])
         value -= GAP_COST * (x + y)
-        if j >= 0 and (x - pos[j] > MAX_GAP or y - owner_pos[j] > MAX_GAP
-                       or abs((x - pos[j]) - (y - owner_pos[j])) > MAX_SHIFT):
+        if j >= 0 and _far(x - pos[j], y - owner_pos[j]):
             value = 0
         score.append(k + max(0.0, value))
         back.append(j if value > 0 else -1)
         waiting.append(i)
-    used, chains = [False] * len(pos), []
-    for end in sorted(range(len(pos)), key=lambda i: (-score[i], i)):
-        links, i = [], end
-        while i >= 0 and not used[i]:
-            used[i] = True
-            links.append(i)
-            i = back[i]
-        if len(links) > 1:
-            chains.append(links[::-1])
-    return chains
+    return score, back
 
 
 def _straight(pos: list[int], k: int) -> list[list[int]]:
@@ -329,51 +369,58 @@ def _chains(links: DataFrame) -> DataFrame:
 
     A document's owners are taken in order. Where it has ENOUGH equal words with one, these are found, and links
     of others inside them are left out. What a task holds are the links of one document, fewer than two for
-    each of its seeds.
+    each of its seeds, and of one batch. They come by document and are put in order here, whole batches at once.
     """
     names = ("key", "owner", "pos", "owner_pos")
 
-    def of_document(key: int, owners: np.ndarray, pos: np.ndarray, owner_pos: np.ndarray, out: dict[str, list]):
-        met = np.diff(np.flatnonzero(np.diff(owners, prepend=-1, append=-1)))  # links of each owner, which are not below 0
-        several = np.repeat(met > 1, met)
-        owners, pos, owner_pos = owners[several], pos[several], owner_pos[several]
-        if not len(owners):
-            return
-        cuts = np.flatnonzero(np.diff(owners)) + 1
+    def of_documents(*links: np.ndarray) -> dict[str, list]:
+        order = np.lexsort(links[::-1])
+        key, owner, pos, owner_pos = (x[order] for x in links)
+        pair = np.ones(len(key), dtype=bool)  # the first link of a document and an owner
+        pair[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        new = pair.copy()  # short and long seeds may give the same link
+        new[1:] |= (pos[1:] != pos[:-1]) | (owner_pos[1:] != owner_pos[:-1])
+        met = np.diff(np.flatnonzero(np.append(pair[new], True)))
+        several = np.flatnonzero(new)[np.repeat(met > 1, met)]
+        again = ~np.append(new, True)[several + 1]
+        key, owner, pos, owner_pos = (x[several] for x in (key, owner, pos, owner_pos))
+        ends = np.cumsum(met[met > 1]).tolist()
+        out: dict[str, list] = {n: [] for n in names}
         equal: list[tuple[int, int]] = []
-        for x, y, of in zip(*(np.split(v, cuts) for v in (pos, owner_pos, owners)), strict=True):
-            for low, high in equal:
-                inside = (x >= low) & (x + K <= high)
+        for low, high in zip([0, *ends], ends, strict=False):
+            if low and key[low] != key[low - 1]:
+                equal = []
+            x, y, twice = pos[low:high], owner_pos[low:high], again[low:high]
+            for first, stop in equal:
+                inside = (x >= first) & (x + K <= stop)
                 if inside.any():
-                    x, y = x[~inside], y[~inside]
+                    x, y, twice = x[~inside], y[~inside], twice[~inside]
             if len(x) > 1:
-                for found in chain(x.tolist(), y.tolist()):
-                    for n, v in zip(names, (key, int(of[0]), x[found].tolist(), y[found].tolist()), strict=True):
+                for found in chain(x.tolist(), y.tolist(), straight=not twice.any()):
+                    for n, v in zip(names, (int(key[low]), int(owner[low]), x[found].tolist(), y[found].tolist()), strict=True):
                         out[n].append(v)
                     equal += equal_stretches(x[found], y[found])
+        return out
 
     def rows(batches):
         held: list[list[np.ndarray]] = []  # of the document that the last batch ended with
         for batch in batches:
             new = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-            cuts = [0, *(np.flatnonzero(np.diff(new[0])) + 1), len(new[0])]
-            out = {n: [] for n in names}
-            for low, high in zip(cuts, cuts[1:], strict=False):
-                part = [x[low:high] for x in new]
-                if held and held[0][0][0] != part[0][0]:
-                    whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-                    of_document(int(whole[0][0]), *whole[1:], out)
-                    held = []
-                held.append(part)
-            yield out
+            if not len(new[0]):
+                continue
+            cut = int(np.searchsorted(new[0], new[0][-1]))  # where the last document of the batch begins
+            if held and (cut or held[0][0][0] != new[0][0]):
+                yield of_documents(*[np.concatenate(x) for x in zip(*held, [x[:cut] for x in new], strict=True)])
+                held = []
+            elif cut:
+                yield of_documents(*[x[:cut] for x in new])
+            held.append([x[cut:] for x in new])
         if held:
-            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-            out = {n: [] for n in names}
-            of_document(int(whole[0][0]), *whole[1:], out)
-            yield out
-    dealt = links.repartition("key").sortWithinPartitions("key", "owner", "pos", "owner_pos")
-    return settle(through_arrow(dealt, rows,
-                                "key long, owner long, pos array<int>, owner_pos array<int>"), "chains")
+            yield of_documents(*[np.concatenate(x) for x in zip(*held, strict=True)])
+    dealt = links.repartition("key").sortWithinPartitions("key")
+    found = through_arrow(dealt, rows, "key long, owner long, pos array<int>, owner_pos array<int>")
+    with larger_batches(links.sparkSession):
+        return settle(found, "chains")
 
 
 def _among(keys: DataFrame, row: str) -> Column:
@@ -405,10 +452,10 @@ class _Cutter:
     def __init__(self):
         self.key, self.words = None, []
 
-    def around(self, key: int, text: str, first: int, stop: int) -> tuple[int, list[bytes]]:
+    def around(self, key: int, text: bytes, first: int, stop: int) -> tuple[int, list[bytes]]:
         """Words first - MARGIN to stop + K + MARGIN of a text, and the number of the first of them."""
         if self.key != key:
-            self.key, self.words = key, text.encode().lower().split()
+            self.key, self.words = key, text.lower().split()
         low = max(0, first - MARGIN)
         return low, self.words[low:stop + K + MARGIN]
 
@@ -458,6 +505,8 @@ def _step(a: list, b: list) -> tuple[int, int] | None:
         places.setdefault(word, []).append(y)
     best = None
     for x, word in enumerate(a[:MAX_STEP + 1]):
+        if best is not None and x > best[0]:
+            break
         for y in places.get(word, ()):
             need = 1 if x == y == 1 else AGAIN
             if x + y and len(a) >= x + need and a[x:x + need] == b[y:y + need]:
@@ -472,6 +521,8 @@ def _alike_spans(moves: np.ndarray, least: int) -> list[tuple[int, int]]:
     No beginning or end of a span lowers its likeness below a half: words that are not alike are
     only passed if as many equal ones lie on either side.
     """
+    if len(moves) >= least and moves.min() == 1:
+        return [(0, len(moves))]
     sums = np.vstack([[0, 0, 0], np.cumsum(moves, axis=0)])
     good_a, good_b = 5 * sums[:, 2] - 4 * sums[:, 0], 5 * sums[:, 2] - 4 * sums[:, 1]
     height = 2 * sums[:, 2] - np.arange(len(sums))
@@ -565,7 +616,7 @@ def align(a: list, b: list, pos: list[int], owner_pos: list[int],
 def _pieces(docs: DataFrame, row: str, chains: DataFrame) -> DataFrame:
     """Align chains: the words around each chain are cut from one text, then held to the other."""
     keys = chains.select("key").union(chains.select("owner"))
-    texts = docs.filter(_among(keys, row)).select(F.col(row).alias("key"), whole_text())
+    texts = docs.filter(_among(keys, row)).select(F.col(row).alias("key"), whole_text().cast("binary").alias("text"))
     names = ("key", "owner", "pos", "owner_pos", "low", "words")
 
     def cut(batches):

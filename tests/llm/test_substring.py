@@ -3,10 +3,10 @@ import random
 import numpy as np
 import pytest
 
-from codeq.llm import substring
+from codeq.llm import common, substring
 from codeq.llm.substring import (
     K, LONG, LONG_WINDOW, WINDOW, Linker, PrefixBest, align, chain, drop_passages, minimizers, passages, seeds_of,
-    without, word_hashes)
+    _rising, _scored, without, word_hashes)
 from tests.llm.conftest import odd_texts
 
 RNG = random.Random(11)
@@ -87,6 +87,32 @@ def test_straight_chains_hold_those_of_the_tree():
         assert all(pos[b] - pos[a] <= substring.MAX_GAP for c in straight for a, b in zip(c, c[1:]))
 
 
+def test_rising_links_have_the_scores_of_the_tree():
+    rng, told = random.Random(8), 0
+    for _ in range(500):
+        steps = [(rng.choice([1, 2, 3, 9, 40, 70]), rng.choice([1, 2, 3, 9, 40, 70])) for _ in range(rng.randint(2, 30))]
+        pos, owner_pos = ([sum(s[i] for s in steps[:n + 1]) for n in range(len(steps))] for i in (0, 1))
+        found = _rising(pos, owner_pos, 5)
+        told += found is not None
+        assert found in (None, _scored(pos, owner_pos, 5))
+        assert _rising([*pos, pos[-1]], [*owner_pos, owner_pos[-1] + 1], 5) is None
+    assert told > 400
+
+
+def test_links_in_any_order_and_told_twice(spark, monkeypatch):
+    """A document's links may come in any order and over several batches."""
+    rng = random.Random(9)
+    links = [(key, owner, x, x + owner) for key in range(1, 6) for owner in range(key) for x in range(0, 900, 3 + owner)]
+    rows = links + rng.sample(links, 500)
+    rng.shuffle(rows)
+    schema = "key long, owner long, pos int, owner_pos int"
+    found = substring._chains(spark.createDataFrame(rows, schema)).collect()
+    monkeypatch.setattr(substring, "larger_batches", lambda spark: common.larger_batches(spark, 7))
+    assert sorted(found) == sorted(substring._chains(spark.createDataFrame(rows, schema)).collect())
+    assert {(r["key"], r["owner"]) for r in found} == {(key, 0) for key in range(1, 6)}
+    assert all(list(r["pos"]) == list(range(0, 900, 3)) and r["pos"] == r["owner_pos"] for r in found)
+
+
 def test_prefix_best():
     rng, tree, values = random.Random(2), PrefixBest(50), {}
     for i in range(300):
