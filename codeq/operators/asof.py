@@ -58,11 +58,14 @@ def as_of(asked: DataFrame, events: DataFrame, keys: Sequence[str], time: str, v
     days = [*keys, "_day"]
     at_end = F.max(F.when(F.col("_asks") == 0, F.struct(time, "_state")))
     before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.groupBy(*days).agg(at_end.alias("_end")).select(
-        *days, F.last("_end", ignorenulls=True).over(before)["_state"].alias("_carried"))
-    so_far = Window.partitionBy(*days).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    today = rows.withColumn("_today", F.last("_state", ignorenulls=True).over(so_far)).filter("_asks = 1")
-    held = F.when(F.col(f"a.{time}").isNotNull(), F.coalesce("a._today", "b._carried"))
-    return _joined(today, carried, days).select(
-        *[F.col(f"a.{c}") if c in {*keys, time} else F.col(f"a._own.{c}").alias(c) for c in asked.columns],
-        *[held[c].alias(c) for c in values])
+    # A day that is asked about begins with the state carried to it, where there is one.
+    carried = rows.groupBy(*days).agg(at_end.alias("_end"), F.max("_asks").alias("_asked")).select(
+        *days, "_asked", F.last("_end", ignorenulls=True).over(before)["_state"].alias("_state")).filter(
+        "_asked = 1 and _state is not null and _day is not null").select(*days, "_state", F.lit(-1).alias("_asks"))
+    first = [F.col("_asks") >= 0, *order]
+    so_far = Window.partitionBy(*days).orderBy(*first).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = rows.unionByName(carried, allowMissingColumns=True).withColumn(
+        "_held", F.last("_state", ignorenulls=True).over(so_far)).filter("_asks = 1")
+    return held.select(
+        *[F.col(c) if c in {*keys, time} else F.col(f"_own.{c}").alias(c) for c in asked.columns],
+        *[F.col(f"_held.{c}").alias(c) for c in values])
