@@ -119,3 +119,16 @@ def test_a_page_reads_its_range_only(spark):
     page = listing.page_at(df, "o_orderdate", "o_orderkey", 10_000)
     assert "GreaterThanOrEqual(o_orderdate" in page._jdf.queryExecution().toString()
     assert page.count() == 20
+
+
+def test_states_are_found_without_a_join(spark, capsys):
+    """What is asked goes to the windows of its day once, with the state carried there."""
+    events = spark.sql("SELECT 1L AS k, timestamp_ntz'2024-01-01 10:00:00' AS at, 'a' AS s"
+                       " UNION ALL SELECT 1L, timestamp_ntz'2024-01-03 10:00:00', 'b' UNION ALL SELECT null, timestamp_ntz'2024-01-01 00:00:00', 'c'")
+    asked = spark.sql("SELECT k, at, id FROM VALUES (1L, timestamp_ntz'2024-01-01 09:00:00', 1),"
+                      " (1L, timestamp_ntz'2024-01-03 09:00:00', 2), (1L, timestamp_ntz'2024-01-03 10:00:00', 3),"
+                      " (1L, null, 4), (null, timestamp_ntz'2024-02-01 00:00:00', 5), (2L, timestamp_ntz'2024-02-01 00:00:00', 6) AS t(k, at, id)")
+    found = asof.as_of(asked, events, ["k"], "at", ["s"])
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
+    assert {r["id"]: r["s"] for r in found.collect()} == {1: None, 2: "a", 3: "b", 4: None, 5: "c", 6: None}
