@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 from array import array
 
 import numpy as np
@@ -10,7 +11,9 @@ import numpy as np
 from codeq.llm.common import kept_by_worker
 
 STOPS = ".,!?;:"
-ENDS = frozenset(STOPS)
+MARKS = string.punctuation.replace("'", "")  # an apostrophe may go with the letters after it
+BREAK = "\n  "  # a line feed between characters that are no white space; no word is kept so
+TAILS = 1 << 16
 
 
 def byte_letters() -> list[str]:
@@ -39,7 +42,7 @@ class WordEncoder:
 
     ``spaced``: the vocabulary keeps spaces (byte-level), a space going with the word after it. Its
     pre-tokens never run from a character that is no white space into a space, so a text may be cut
-    there, and the pieces encoded apart. A word that is empty or ends with other white space gives
+    there, and the pieces encoded apart. A line feed between two such characters is a pre-token of its own. A word that is empty or ends with other white space gives
     no such place; a text with one is encoded in one go. Without ``spaced`` white space is dropped,
     and any space is such a place. At most ``limit`` words are kept.
     """
@@ -50,6 +53,8 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import WhitespaceSplit
         self.library = Tokenizer.from_file(path)
         self.spaced, self.limit, self.known = spaced, limit, {}
+        self.stops = MARKS if spaced else STOPS  # one pre-token if they follow a letter
+        self.ends = frozenset(self.stops)
         self.tails: dict[str, bytes] = {}
         self.lower = '"Lowercase"' in self.library.to_str()
         self.model = Tokenizer(self.library.model)
@@ -68,9 +73,19 @@ class WordEncoder:
             text = text.replace("\n", " ")
             if self.lower and _latin(text):
                 text = text.lower()  # as the vocabulary does; other letters may depend on their context
+        if self.spaced and "\n" in text:
+            lines = text.split("\n")
+            if all(line and not line[0].isspace() and not line[-1].isspace() for line in lines):
+                words = []
+                for line in lines:
+                    at = len(words)
+                    words += line.split(" ")
+                    words[at] += " "
+                    words.append(BREAK)
+                return words[:-1]
         words = text.split(" ")
         if self.spaced:
-            words[0] += " "  # no other word ends so: the first has no space before it
+            words[0] += " "  # no other word ends so: the first of a line has no space before it
         return words
 
     def _bare(self, words: list[str]) -> list[bytes]:
@@ -100,7 +115,9 @@ class WordEncoder:
             if w in fresh:
                 continue
             body = w.rstrip(" ") if self.spaced else w
-            if self.spaced and (not body or body[-1].isspace()):
+            if w == BREAK:
+                fresh[w] = self._library(["\n"])[0]
+            elif self.spaced and (not body or body[-1].isspace()):
                 fresh[w] = None
             else:
                 asked[w] = f" {w}" if self.spaced and len(body) == len(w) else body
@@ -109,11 +126,13 @@ class WordEncoder:
 
     def _fresh(self, new: set[str]) -> dict[str, bytes]:
         """Ids of new words. Letters and the stops after them are pre-tokens apart, and joined here."""
-        stems = {w: s for w in new if w[-1:] in ENDS and (s := w.rstrip(STOPS)).isalpha()}
+        stems = {w: s for w in new if w[-1:] in self.ends and (s := w.rstrip(self.stops)).isalpha()}
         fresh = self._learn([w for w in {*stems.values(), *(new - stems.keys())} if w not in self.known])
         for w, stem in stems.items():
             tail = w[len(stem):]
             if tail not in self.tails:
+                if len(self.tails) >= TAILS:
+                    self.tails.clear()
                 self.tails[tail] = self._library([tail])[0]
             fresh[w] = (fresh[stem] if stem in fresh else self.known[stem]) + self.tails[tail]
         return fresh

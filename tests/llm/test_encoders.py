@@ -152,3 +152,21 @@ def test_a_text_of_two_million_characters(make_docs):
     for doc_id, text in rows:
         assert counts[doc_id] == len(LIBRARY[BYTE].encode(text, add_special_tokens=False).ids)
         assert pieces[doc_id] == (len(PIECES.encode(text)), True)
+
+
+def test_words_around_line_feeds_and_before_marks_stay_known(monkeypatch):
+    """Pairs of words around a line feed are nearly as many as there are lines; the words are few."""
+    encoder = WordEncoder(BYTE, True)
+    encoder.encode(["alpha beta.\ngamma delta$$$ end\nend"])
+    texts, library = ["alpha delta.\ngamma beta$$$ end\ngamma"], Tokenizer.from_file(BYTE)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(encoder, "_library", lambda texts: pytest.fail(f"asked for {texts}") if texts else [])
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(texts)] == expected
+
+
+def test_white_space_beside_line_feeds_is_left_to_the_library():
+    parts = ["a", "b's", "É", "\n", "\n\n", " ", "  ", "\n ", " \n", "\t", "$", "'", "_", "1", ".", "<|endoftext|>", " "]
+    rng, encoder, library = random.Random(4), WordEncoder(BYTE, True), Tokenizer.from_file(BYTE)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(texts)] == expected
