@@ -8,6 +8,8 @@ propose the rest: a pair of similarity s shares one of BANDS values of ROWS mini
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,8 +75,8 @@ def _alike(pairs: DataFrame, rows: DataFrame, row: str, least: float, width: int
            seen: list[DataFrame]) -> DataFrame:
     """The pairs (a, b) whose texts are alike, each once; those in ``seen`` were held to their texts before."""
     pairs = pairs.select("a", "b").distinct()
-    for before in seen:
-        pairs = pairs.join(before, ["a", "b"], "left_anti")
+    if seen:
+        pairs = pairs.join(reduce(DataFrame.union, seen), ["a", "b"], "left_anti")
     pairs = settle(pairs, "proposed")
     seen.append(pairs)
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
@@ -127,6 +129,7 @@ def _ranked(members: DataFrame, rows: DataFrame, row: str, least: float, width:
     """(key, n, place, at, longer) of these documents: where all of them that are alike meet.
 
     What shingles are rare is told by counts of SLOTS slots, over these documents, whatever their number.
+    Places where no shorter one meets a longer one are left out.
     """
     keys = settle(members.select("key").distinct(), "keys")
     texts = rows.select(F.col(row).alias("key"), whole_text()).filter(_among(keys, "key")).join(keys, "key", "left_semi")
@@ -154,7 +157,13 @@ def _ranked(members: DataFrame, rows: DataFrame, row: str, least: float, width:
             yield {"key": np.repeat(np.array(keys, np.int64), each), "n": np.repeat([len(h) for h in hashes], each),
                    "place": np.concatenate([m[0] for m in met]), "at": np.concatenate([m[1] for m in met]),
                    "longer": np.concatenate([m[2] for m in met])}
-    return settle(through_arrow(texts, rank, "key long, n int, place long, at int, longer boolean", keeps="word hashes"), "ranked")
+    with recorded(passed := []):
+        every = settle(through_arrow(texts, rank, "key long, n int, place long, at int, longer boolean", keeps="word hashes"), "ranked")
+    both = every.groupBy("place").agg(
+        F.count_if("longer").alias("y"), F.count_if(~F.col("longer")).alias("x"), F.min("key").alias("a"), F.max("key").alias("b"))
+    met = settle(every.join(both.filter("x > 0 and y > 0 and a != b").select("place"), "place", "left_semi"), "places")
+    drop(rows.sparkSession, passed)
+    return met
 
 
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:

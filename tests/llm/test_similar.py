@@ -134,3 +134,33 @@ def test_simhash_proposes_each_pair_within_the_radius(spark, tmp_path):
     near = [(a, b) for a in range(100) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
     assert all((prints[a] ^ prints[b]).bit_count() <= 2 for a, b in pairs)
     assert roots(range(100), pairs) == roots(range(100), near)
+
+
+def test_places_where_nothing_can_meet_are_left_out(spark, make_docs):
+    rng = random.Random(9)
+    frame = [f"t{i}" for i in range(60)]
+    docs = [(i, " ".join(frame + [f"own{rng.randrange(10**9)}" for _ in range(30)])) for i in range(40)]
+    docs.append((40, docs[7][1] + " and more"))
+    frame = make_docs(docs).withColumnRenamed("doc_id", "_row")
+    ranked = similar._ranked(frame.selectExpr("_row AS key"), frame, "_row", 0.8, 5).collect()
+    places = {}
+    for r in ranked:
+        places.setdefault(r["place"], []).append(r)
+    assert places and all(len({r["key"] for r in p}) > 1 and len({r["longer"] for r in p}) == 2 for p in places.values())
+    assert {7, 40} <= {r["key"] for r in ranked}
+
+
+def test_pairs_are_held_against_all_earlier_ones_at_once(spark, make_docs, monkeypatch):
+    """A join per earlier table made rows of all pairs as often as there had been turns."""
+    plans, real = [], similar.settle
+
+    def settle(df, purpose):
+        plans.extend([df._jdf.queryExecution().optimizedPlan().toString()] * (purpose == "proposed"))
+        return real(df, purpose)
+    monkeypatch.setattr(similar, "settle", settle)
+    rows = make_docs([(i, "one two three four five") for i in range(5)]).withColumnRenamed("doc_id", "_row")
+    seen = []
+    for b in (1, 2, 3, 4):
+        pairs = spark.createDataFrame([(0, x) for x in range(1, b + 1)], "a long, b long")
+        assert [tuple(r) for r in similar._alike(pairs, rows, "_row", 0.8, 5, seen).collect()] == [(0, b)]
+    assert [p.count("LeftAnti") for p in plans] == [0, 1, 1, 1]
