@@ -79,6 +79,16 @@ def severity_match_counts(rules: Sequence[PatternRule] = PATTERN_RULES) -> dict[
             for s in SEVERITIES}
 
 
+def severity_counts_of(findings: Column, text: Column, rules: Sequence[PatternRule] = PATTERN_RULES) -> dict[str, Column]:
+    """``severity_match_counts`` from the findings of the same rules, without a second look at the text."""
+    counts = {}
+    for s in SEVERITIES:
+        unsure = any(r.severity == s and not r.needles for r in rules)  # of null text such a rule has null
+        counts[s] = F.when(text.isNotNull(), F.size(F.filter(findings, lambda f: f.severity == s))).otherwise(
+            F.lit(None) if unsure else F.lit(0)).cast("long")
+    return counts
+
+
 def with_snippets(matches: str, lines: str) -> Column:
     """Matches with their line, stripped and cut to 200 characters; empty past the last line."""
     def snippet(line_no: Column) -> Column:

@@ -17,7 +17,7 @@ from codeq.plans import sql as s
 from codeq.plans.registry import query
 from codeq.rules.catalogue import CATEGORIES, LANGUAGES, SEVERITIES, STATUSES, badges_frame
 from codeq.sources import tables as t
-from codeq.sources.sinks import read_back, write_findings
+from codeq.sources.sinks import read_back, write_findings, write_table
 
 TODAY = "2024-01-30"
 NOW = "2024-01-31 00:00:00"
@@ -476,10 +476,15 @@ def coerce_language(spark, folder):
 # Documents --------------------------------------------------------------------------------------
 
 def _detail(spark, folder):
-    """Files of reviews as documents, put together from a written table of findings."""
-    files = t.files(spark, folder)
-    findings = read_back(spark, write_findings(findings_of.all_findings(files)))
-    detail = nested.review_detail(files, metrics_of.file_metrics(files), corpus.comparable(findings))
+    """Files of reviews as documents, put together from a written table of findings.
+
+    The text is read once: metrics, text and findings of each file are written, and all that is joined comes from there.
+    """
+    measured = read_back(spark, write_table(metrics_of.metrics_with_findings(t.files(spark, folder)), purpose="measured"))
+    found = measured.select("review_id", "file_id", F.explode("found").alias("f")).select("review_id", "file_id", "f.*")
+    findings = read_back(spark, write_findings(found))
+    detail = nested.review_detail(
+        measured.select("file_id", "content"), measured.drop("content", "found"), corpus.comparable(findings))
     return detail.select(*corpus.FILE_METRICS, "content", "issues", "annotations")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from codeq.operators import (
     audits, badges, changes, findings, listing, metrics, nested, rollups, running, timeline,
 )
+from codeq.plans import corpus, platform
+from codeq.sources import tables
 
 START = dt.datetime(2024, 1, 1)
 REVIEW = ("review_id long, author_id long, repository_id long, title string, status string, "
@@ -255,3 +257,18 @@ def test_review_documents_have_one_grain(make_files, n):
     assert rows[0]["issues"] == [] and rows[0]["annotations"] == {}
     assert all(r["annotations"]["1"] == ["[CRITICAL] Dangerous eval() usage"] for r in rows[1:])
     assert all(r["issues"][0]["suggestions"][0]["confidence"] == 0.9 for r in rows[1:])
+
+
+def test_review_documents_read_the_text_once(spark, tmp_path):
+    """What is joined comes from written tables; rows are as from metrics and findings apart, also where ids repeat."""
+    texts = ["eval(x)\nprint(1)\n", None, "", "SELECT * FROM t\n" * 3, "x" * 200, "TODO: eval (\n\n# FIXME"]
+    rows = [(i % 60 if i else None, texts[i % len(texts)], f"r{i % 3}") for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    built = platform._detail(spark, str(tmp_path))
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "facts" not in plan
+    files = tables.files(spark, str(tmp_path))
+    apart = nested.review_detail(files, metrics.file_metrics(files), corpus.comparable(findings.all_findings(files)))
+    wanted, found = (sorted(map(repr, x.select(built.columns).collect())) for x in (apart, built))
+    assert found == wanted and len(found) == 31 + 29 * 4
+
