@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeq.llm.common import chunks, free_name, numbered, settle, through_arrow, whole_text
-from codeq.llm.components import components
+from codeq.llm.components import below_roots
 
 BITS = 64
 VERIFY = 0.3  # cost of a candidate, in index entries
@@ -230,15 +230,15 @@ def hamming_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     other = loose.select(*key, F.col("fp").alias("b"), "probe")
     links = [inside.join(other, key).filter(_near("a", "b", radius)).filter(
         "a < b or (probe = 1 and a != b)").select("a", "b")]
-    crowd = met.filter("crowded").select("fp").distinct()
-    links.append(_crowded_links(crowd, radius))
+    if not size.filter("crowded").isEmpty():
+        links.append(_crowded_links(met.filter("crowded").select("fp").distinct(), radius))
     return reduce(DataFrame.union, links)
 
 
 def _components_of(prints: DataFrame, ids: list[Column], radius: int) -> DataFrame:
     """(fp, first) with the least of ``ids`` in the component of each fingerprint."""
     classes = settle(prints.groupBy("fp").agg(F.min(F.struct(*ids)).alias("first")), "classes")
-    roots = components(hamming_links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    roots = below_roots(hamming_links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = settle(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = settle(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
     return rooted.join(least, "root").select("fp", F.col("least").alias("first"))

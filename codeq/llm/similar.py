@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeq.llm.common import chunks, drop, free_name, numbered, recorded, settle, through_arrow, whole_text
-from codeq.llm.components import components
+from codeq.llm.components import below_roots
 from codeq.llm.simhash import fingerprint, hamming_links
 from codeq.llm.substring import _among, run_hashes
 
@@ -79,7 +79,7 @@ def _alike(pairs: DataFrame, rows: DataFrame, row: str, least: float, width: int
         pairs = pairs.join(reduce(DataFrame.union, seen), ["a", "b"], "left_anti")
     pairs = settle(pairs, "proposed")
     seen.append(pairs)
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
     texts = rows.filter(_among(keys, row)).select(F.col(row).alias("key"), whole_text())
 
     def hold(batches):
@@ -188,10 +188,10 @@ def _links(nodes: DataFrame, rows: DataFrame, row: str, least: float, width: int
         return _alike(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
                       rows, row, least, width, seen)
 
-    def still_open(crowd: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    def still_open(crowd: DataFrame, below: DataFrame) -> tuple[DataFrame, int]:
         """Members of places with several components, with their component and the largest there."""
         with recorded(passed := []):
-            members = settle(crowd.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn(
+            members = settle(crowd.join(below.withColumnRenamed("node", "key"), "key", "left").withColumn(
                 "root", F.coalesce("root", "key")), "members")
             parts = settle(members.groupBy("place", "root").agg(F.count("*").alias("c")).groupBy("place").agg(
                 F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("largest")).filter("roots > 1"), "open")
@@ -201,13 +201,19 @@ def _links(nodes: DataFrame, rows: DataFrame, row: str, least: float, width: int
         return left, roots
 
     def stars(crowd: DataFrame, links: DataFrame, hubs: Column, fit: Column) -> tuple[DataFrame, DataFrame | None]:
-        """Links after turns of one hub per place, and what is still open, if anything."""
+        """Links after turns of one hub per place, and what is still open, if anything.
+
+        The links given back lead each document to the root of its component; a turn adds to those of the turn before.
+        """
         turn, before = 0, None
         passed: list[str] = []  # folders of the turn before
         while True:
+            with recorded(rooted := []):
+                below = below_roots(links)
             with recorded(own := []):
-                left, parts = still_open(crowd, links)
+                left, parts = still_open(crowd, below)
             drop(rows.sparkSession, passed)
+            links = below.toDF("a", "b")
             if not parts:
                 return links, None
             if before is not None and parts > 0.9 * before:
@@ -218,9 +224,12 @@ def _links(nodes: DataFrame, rows: DataFrame, row: str, least: float, width: int
                 hubs_held = settle(held, "hubs")
             star = left.select("place", F.struct(*left.columns).alias("y")).join(hubs_held, "place").filter(
                 "x.root != y.root").filter(fit).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-            links = settle(links.union(hold(star)), "links")
+            found = hold(star)
+            if found.isEmpty():
+                return links, left  # nothing that the next turn would find otherwise
+            links = links.union(found)
             crowd, turn, before = left.drop("root", "largest"), turn + 1, parts
-            passed.append(own[-1])
+            passed += [own[-1], *rooted]
 
     alike = hold(_by_fingerprint(nodes))
     entries = nodes.select("key", "n", F.posexplode("bands").alias("band", "value")).select(
@@ -265,7 +274,7 @@ def one_of_each(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFram
         F.min("key").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
         .alias("first")), "classes")
     nodes = settle(signed.join(classes.select(F.col("node").alias("key")), "key", "left_semi"), "nodes")
-    roots = components(_links(nodes, rows, row, least, width))
+    roots = below_roots(_links(nodes, rows, row, least, width))
     stay = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(
         F.min("first").alias("first")).select(F.col("first.key").alias(row))
     return rows.join(stay, row, "left_semi").drop(row)

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from codeq.llm import simhash
-from codeq.llm.common import settle
+from codeq.llm.common import recorded, settle
 from codeq.llm.components import components
 from codeq.llm.simhash import fingerprint, hamming_links, near_duplicates, one_of_each
 from tests.llm.conftest import odd_texts
@@ -55,6 +55,16 @@ def test_components(spark, seed):
     assert found == roots({x for p in linked for x in p}, linked)
 
 
+def test_few_tables_for_components(spark):
+    """Links that lead to roots already are seen to after one turn and a half; equal links change nothing."""
+    pairs = [(hub, hub + i) for hub in range(0, 1000, 50) for i in range(1, 50)] * 3
+    pairs += [(b, a) for a, b in pairs]
+    with recorded(written := []):
+        found = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert found == {i: i // 50 * 50 for i in range(1000)}
+    assert len(written) <= 7
+
+
 def crowd(rng):
     """Fingerprints at random, some a few bits apart, and many around one."""
     base = [rng.getrandbits(64) for _ in range(60)]
