@@ -1,7 +1,7 @@
 """States as of a time: validity intervals from events, and the state that held at each of many times.
 
 A key's events are cut by day. Windows run over the rows of one day of a key and over one row per day,
-so a key with very many events is not one task.
+so a key with very many events is not one task. Keys that are known to have few rows can stay whole.
 """
 
 from __future__ import annotations
@@ -41,31 +41,36 @@ def _joined(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def as_of(asked: DataFrame, events: DataFrame, keys: Sequence[str], time: str, values: Sequence[str],
-          ties: Sequence[str] = ()) -> DataFrame:
+          ties: Sequence[str] = (), few: bool = False) -> DataFrame:
     """The rows of ``asked`` with the values of their key's last event up to their time.
 
     Both have the keys and ``time``. An event of the very time counts; of several events of one time
     the last by ``ties`` and ``values`` does. Rows before any event, or without a time, have nulls.
+    With ``few`` the rows of a key are not cut by day; nothing is shuffled where both tables are dealt
+    to the same partitions by some of the keys.
     """
     own = [c for c in asked.columns if c not in {*keys, time}]
     order = [time, "_asks", *[f"_state.{c}" for c in (*ties, *values)]]
     state = F.struct(*dict.fromkeys((*ties, *values)))
     told = events.filter(F.col(time).isNotNull()).select(
         *keys, time, state.alias("_state"), F.lit(0).alias("_asks"))
-    rows = _by_day(told.unionByName(asked.select(
+    rows = told.unionByName(asked.select(
         *keys, time, F.struct(*own).alias("_own") if own else F.lit(None).alias("_own"),
-        F.lit(1).alias("_asks")), allowMissingColumns=True), time)
-    days = [*keys, "_day"]
-    at_end = F.max(F.when(F.col("_asks") == 0, F.struct(time, "_state")))
-    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    # A day that is asked about begins with the state carried to it, where there is one.
-    carried = rows.groupBy(*days).agg(at_end.alias("_end"), F.max("_asks").alias("_asked")).select(
-        *days, "_asked", F.last("_end", ignorenulls=True).over(before)["_state"].alias("_state")).filter(
-        "_asked = 1 and _state is not null and _day is not null").select(*days, "_state", F.lit(-1).alias("_asks"))
-    first = [F.col("_asks") >= 0, *order]
-    so_far = Window.partitionBy(*days).orderBy(*first).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = rows.unionByName(carried, allowMissingColumns=True).withColumn(
-        "_held", F.last("_state", ignorenulls=True).over(so_far)).filter("_asks = 1")
+        F.lit(1).alias("_asks")), allowMissingColumns=True)
+    if few:
+        days, cut = list(keys), rows
+    else:
+        days, rows = [*keys, "_day"], _by_day(rows, time)
+        at_end = F.max(F.when(F.col("_asks") == 0, F.struct(time, "_state")))
+        before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+        # A day that is asked about begins with the state carried to it, where there is one.
+        carried = rows.groupBy(*days).agg(at_end.alias("_end"), F.max("_asks").alias("_asked")).select(
+            *days, "_asked", F.last("_end", ignorenulls=True).over(before)["_state"].alias("_state")).filter(
+            "_asked = 1 and _state is not null and _day is not null").select(*days, "_state", F.lit(-1).alias("_asks"))
+        cut = rows.unionByName(carried, allowMissingColumns=True)
+        order = [F.col("_asks") >= 0, *order]
+    so_far = Window.partitionBy(*days).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = cut.withColumn("_held", F.last("_state", ignorenulls=True).over(so_far)).filter("_asks = 1")
     return held.select(
         *[F.col(c) if c in {*keys, time} else F.col(f"_own.{c}").alias(c) for c in asked.columns],
         *[F.col(f"_held.{c}").alias(c) for c in values])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeq.operators.running import with_positions
@@ -17,8 +17,19 @@ def acknowledged(toggles: DataFrame) -> DataFrame:
         (F.count("*") % 2 == 1).alias("is_acknowledged"))
 
 
-def click_states(clicks: DataFrame) -> DataFrame:
-    """Clicks with a time ``at``, with their ``turn`` in their issue and whether it is acknowledged then."""
+def click_states(clicks: DataFrame, few: bool = False) -> DataFrame:
+    """Clicks with a time ``at``, with their ``turn`` in their issue and whether it is acknowledged then.
+
+    Those without a review or an issue number are left out. With ``few`` the clicks of an issue share a task,
+    and nothing is shuffled where they are dealt by review; clicks are left out at the end, so that others who
+    read them all read the same shuffle.
+    """
+    if few:
+        so_far = Window.partitionBy("review_id", "issue_no").orderBy("at").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        known = F.col("review_id").isNotNull() & F.col("issue_no").isNotNull()
+        return clicks.withColumn("turn", F.count(F.when(known, F.col("at"))).over(so_far)).filter(
+            "turn > 0").withColumn("is_acknowledged", F.col("turn") % 2 == 1)
     timed = clicks.filter(F.col("at").isNotNull()).withColumn("minute", F.date_trunc("minute", "at"))
     return with_positions(timed, ["review_id", "issue_no"], ["minute"], ["at"], ["at"], "turn").drop(
         "minute").withColumn("is_acknowledged", F.col("turn") % 2 == 1)

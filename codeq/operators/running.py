@@ -8,6 +8,7 @@ that combines early, windows run over totals, and only the rows of one fine grou
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 Level = Sequence[str]
 
 ID_BLOCK = 2**20
+KEY_BUCKETS = 2**14  # keys are counted in so many buckets
+HOT_SHARE = 1000  # a bucket is hot with a thousandth of all rows,
+HOT_ROWS = 2**16  # and so many at least
+DEALT_ROWS = 2**19  # rows of a partition, on average
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
@@ -74,6 +79,25 @@ def with_positions(df: DataFrame, keys: Sequence[str], coarse: Level, fine: Leve
     return running_totals(df, keys, coarse, fine, single, {name: F.lit(1).cast("long")})
 
 
+def by_key_size(key: str, *tables: DataFrame) -> list[tuple[bool, tuple[DataFrame, ...]]]:
+    """The tables in parts by ``key``: those of keys with few rows, and those of hot keys where there are any.
+
+    The first are marked True and dealt by the key, all to the same partitions, so what is grouped by the key
+    and more needs no other shuffle. Any of their keys has less than a thousandth of all rows, or few. The
+    others are left as they are, for operators that cut a key's rows. Keys are counted at once, in buckets.
+    """
+    keys = reduce(DataFrame.union, [df.select(key) for df in tables])
+    bucket = F.pmod(F.xxhash64(F.col(key).cast(keys.schema[key].dataType)), F.lit(KEY_BUCKETS))
+    held = {r["bucket"]: r["count"] for r in keys.groupBy(bucket.alias("bucket")).count().collect()}
+    rows = sum(held.values())
+    hot = [b for b, n in held.items() if n >= max(HOT_ROWS, rows / HOT_SHARE)]
+    wanted = max(keys.sparkSession.sparkContext.defaultParallelism, -(-rows // DEALT_ROWS))
+    if not hot:
+        return [(True, tuple(df.repartition(wanted, key) for df in tables))]
+    return [(True, tuple(df.filter(~bucket.isin(hot)).repartition(wanted, key) for df in tables)),
+            (False, tuple(df.filter(bucket.isin(hot)) for df in tables))]
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Level, n: int,
                name: str = "place") -> DataFrame:
     """The first ``n`` rows of each key, with their place.

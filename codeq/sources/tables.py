@@ -163,15 +163,23 @@ def clicks(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_shipdate").alias("at"))
 
 
+def begun_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """What the status events of a review are made of: its day and its code."""
+    return table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("review_id"), "o_orderdate", "o_orderstatus")
+
+
 def status_events(spark: SparkSession, folder: str) -> DataFrame:
+    return status_steps(begun_reviews(spark, folder))
+
+
+def status_steps(begun: DataFrame) -> DataFrame:
     """A review goes pending, analyzing a day later, and to its end a week after that."""
     end = F.when(F.col("o_orderstatus") == "P", "failed").otherwise("complete")
     steps = F.array(*[
         F.struct(status.alias("status"), F.date_add(F.to_date("o_orderdate"), days).alias("day"))
         for status, days in ((F.lit("pending"), 0), (F.lit("analyzing"), 1), (end, 8))])
-    return table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("review_id"), F.explode(steps).alias("e")
-    ).select("review_id", "e.*")
+    return begun.select("review_id", F.explode(steps).alias("e")).select("review_id", "e.*")
 
 
 def activity(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:

@@ -3,10 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from codeq.operators import asof, blocks, listing
+from codeq.operators import asof, blocks, changes, listing, running
+from codeq.plans import REGISTRY
 
 
 def plain_blocks(files, k):
@@ -132,3 +134,81 @@ def test_states_are_found_without_a_join(spark, capsys):
     found.explain()
     assert "Join" not in capsys.readouterr().out
     assert {r["id"]: r["s"] for r in found.collect()} == {1: None, 2: "a", 3: "b", 4: None, 5: "c", 6: None}
+
+
+@pytest.fixture(scope="module")
+def clicked(spark, tmp_path_factory):
+    """A folder with orders and order lines: twice, without keys, numbers or times, and many of order 7."""
+    rnd = random.Random(11)
+    some = lambda n: None if rnd.random() < 0.05 else rnd.randrange(n)
+    moment = lambda: None if rnd.random() < 0.05 else T0 + timedelta(hours=6 * rnd.randrange(60))
+    orders = [(i, rnd.choice("FOP"), moment()) for i in range(60)] + [(some(60), "P", moment()) for _ in range(15)]
+    lines = [(some(70), some(4), moment()) for _ in range(600)] + [(7, some(4), moment()) for _ in range(400)]
+    folder = str(tmp_path_factory.mktemp("clicked"))
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderdate timestamp_ntz").write.parquet(
+        f"{folder}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz").write.parquet(
+        f"{folder}/lineitem.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("hot_rows", [2**16, 100, 1])
+def test_acknowledged_states_of_small_and_hot_reviews(spark, clicked, monkeypatch, hot_rows):
+    monkeypatch.setattr(running, "HOT_ROWS", hot_rows)
+    con = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{clicked}/{name}.parquet/*.parquet'")
+    query = REGISTRY["acknowledged_as_of"]
+    found = query.job(spark, clicked)
+    result = con.execute(query.sql)
+    names = [d[0] for d in result.description]
+    expected = sorted(map(repr, result.fetchall()))
+    assert expected and sorted(repr(tuple(r)) for r in found.select(*names).collect()) == expected
+
+
+def test_acknowledged_states_shuffle_orders_and_clicks_once(spark, clicked, capsys):
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = REGISTRY["acknowledged_as_of"].job(spark, clicked)
+        found.collect()
+        found.explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    final = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    dealt = [line for line in final.splitlines() if "Exchange hashpartitioning(review_id" in line]
+    assert len(dealt) == 3 and sum("ReusedExchange" in line for line in dealt) == 1
+    assert "ENSURE_REQUIREMENTS" not in final
+
+
+def test_keys_are_parted_by_size(spark, monkeypatch):
+    few = spark.sql("SELECT explode(array(1L, 1L, 2L, null)) AS k")
+    many = spark.range(500).select(F.when(F.col("id") < 300, 9).when(F.col("id") < 480, F.col("id")).alias("k"))
+    assert [kind for kind, _ in running.by_key_size("k", few, many)] == [True]
+    monkeypatch.setattr(running, "HOT_ROWS", 20)
+    (is_few, small), (is_hot_few, hot) = running.by_key_size("k", few, many)
+    assert is_few and not is_hot_few
+    assert [df.count() for df in small] == [3, 180] and [df.count() for df in hot] == [1, 320]
+    assert {r["k"] for df in hot for r in df.collect()} == {9, None}
+
+
+def test_states_of_whole_keys_equal_those_cut_by_day(spark):
+    rnd = random.Random(8)
+    some = lambda n: None if rnd.random() < 0.1 else rnd.randrange(n)
+    moment = lambda: None if rnd.random() < 0.1 else T0 + timedelta(hours=6 * rnd.randrange(40))
+    told = spark.createDataFrame([(some(4), moment(), n, rnd.choice(["a", "b", None])) for n in range(120)],
+                                 "k long, at timestamp_ntz, n long, state string")
+    asked = spark.createDataFrame([(some(6), moment(), n) for n in range(150)], "k long, at timestamp_ntz, q long")
+    whole, cut = ({r["q"]: tuple(r) for r in asof.as_of(
+        asked, told, ["k"], "at", ["state"], ties=["n"], few=few).collect()} for few in (True, False))
+    assert whole == cut and len(cut) == 150
+
+
+def test_click_states_of_few_clicks_equal_those_of_many(spark):
+    rnd = random.Random(3)
+    some = lambda n: None if rnd.random() < 0.1 else rnd.randrange(n)
+    rows = [(some(5), some(3), None if rnd.random() < 0.1 else T0 + timedelta(hours=rnd.randrange(30))) for _ in range(200)]
+    clicks = spark.createDataFrame(rows, "review_id long, issue_no long, at timestamp_ntz")
+    whole, cut = changes.click_states(clicks, few=True), changes.click_states(clicks)
+    assert whole.schema.names == cut.schema.names
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect())) != []
